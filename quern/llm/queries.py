@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, urls
+from . import bpe, langid, packing, quality, sharding, urls
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def vocabulary(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -35,6 +43,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
     "op6_packing": op6_packing,
     "op7_url_filters": op7_url_filters,
     "op8_quality_rules": op8_quality_rules,
