@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, sharding, simhash, substrings, urls
+from . import bpe, embedding, langid, packing, quality, sharding, simhash, substrings, suffix, urls
 from .common import documents
 
 
@@ -30,6 +30,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(documents(spark, sf_dir))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_url_filters": op7_url_filters,
     "op8_quality_rules": op8_quality_rules,

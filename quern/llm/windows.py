@@ -27,7 +27,7 @@ from .common import drop_written, split_words, text_blocks, written
 #: Buckets with more different strings are resolved window by window, over all tasks.
 MOST_STRINGS = 8192
 #: Strings that one call of resolve() gets; a bucket is never cut.
-CHUNK_STRINGS = 1500
+CHUNK_STRINGS = 400
 _SEGMENT = 1 << 22
 _NO_ID = (1 << 63) - 1
 
