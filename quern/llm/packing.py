@@ -7,8 +7,11 @@ the tightest open window.
 
 from __future__ import annotations
 
-import struct
+import hashlib
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import text_blocks, written
 
 #: Pieces of one packing group: bounds the task, and is long enough for a padding of a few windows.
@@ -75,32 +79,70 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-class WordCachedTokenizer:
-    """Whole-text encodings, one call of the library for each new blank-separated run.
+#: Code points below 0x180, where normal form and lower case are one character each but for U+0130.
+_SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u017f]*")
+#: The vocabulary's splitter (fixed), written out for those code points.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:_|[^\w\t-\r \x85\xa0])+")
+_SHARED: dict[str, WordTokenizer] = {}
 
-    The tokenizer's normaliser and splitter never join text across a plain
-    space, so a text's ids are those of its runs; a run's packed ids are kept
-    until `most` runs are held.
+
+class _Ids(dict):
+    """Packed ids of parts; a part is merged by the library's model when first asked for, and kept up to `most` parts."""
+
+    def __init__(self, model: object, most: int) -> None:
+        super().__init__()
+        self.model, self.most = model, most
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, part: str) -> bytes:
+        plain = "".join(map(self.shown.__getitem__, part.encode()))
+        packed = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        if len(self) < self.most:
+            self[part] = packed
+        return packed
+
+
+class WordTokenizer:
+    """The tokenizers library's ids of whole texts, for a lower-casing vocabulary with word ends.
+
+    Texts of simple code points are split here and only their different parts
+    go to the library's model. In other texts this holds for each run between
+    blanks, which normaliser and splitter never join; the rest of the runs go
+    through the whole library.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 200_000) -> None:
+    def __init__(self, tokenizer_json: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.ids = Tokenizer.from_str(tokenizer_json), most, {}
+        self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.no_truncation()
         self.tok.no_padding()
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (null: empty) and then end_id."""
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        runs = [t.split(" ") if t else [] for t in texts]
-        new = list({r for rs in runs for r in rs}.difference(self.ids))
-        for run, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.ids[run] = struct.pack(f"<{len(ids)}I", *ids)
-        get, end = self.ids.__getitem__, struct.pack("<I", end_id)
-        return [b"".join(map(get, rs)) + end for rs in runs]
+        self.special = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
+        self.ids = _Ids(self.tok.model, most)
+
+    @classmethod
+    def shared(cls, tokenizer_json: str) -> WordTokenizer:
+        """One for each worker process: its parts serve all tasks that run there."""
+        key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+        if key not in _SHARED:
+            _SHARED[key] = cls(tokenizer_json)
+        return _SHARED[key]
+
+    def _own(self, text: str) -> bytes | None:
+        if not _SIMPLE.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        return b"".join(map(self.ids.__getitem__, _PARTS.findall(text.lower())))
+
+    def encode(self, text: str | None, end_id: int) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text (null: empty) and then end_id."""
+        end = end_id.to_bytes(4, "little")
+        if not text:
+            return end
+        packed = self._own(text)
+        if packed is None:
+            runs = [(self._own(run), run) for run in text.split(" ")]
+            packed = b"".join(array("I", self.tok.encode(run, add_special_tokens=False).ids).tobytes() if p is None else p for p, run in runs)
+        return packed + end
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -114,11 +156,12 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: i
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordCachedTokenizer(tokenizer_json)
+        tok = WordTokenizer.shared(tokenizer_json)
         for block in text_blocks(batches, "text"):
             keys = block.column(0)
             rows, out = [], {"start": [], "length": [], "ids": [], "ids_crc32": [], "doc_tokens": []}
-            for row, ids in enumerate(tok.encode(block.column(1).to_pylist(), end_id)):
+            for row, text in enumerate(block.column(1).to_pylist()):
+                ids = tok.encode(text, end_id)
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     rows.append(row)
