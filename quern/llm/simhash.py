@@ -19,8 +19,9 @@ Every case is an equality of a key of 30 bits or more.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,81 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = DISTANCE, text:
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for documents."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of similar_documents(): two-word shingles find candidates, five-word shingles judge them.
+FIND_WIDTH, FIND_SETS = 2, 5
+JUDGE_WIDTH, JUDGE_SETS = 5, 8
+
+
+def fingerprint_sets(text: str | None, width: int, sets: int, seed: int = SEED) -> np.ndarray:
+    """Several 64-bit SimHashes of one text, by independent mixes of each shingle's hash; no words: zeros."""
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(s, seed) for s in shingles(text, width)), np.uint64)
+    out = np.zeros(sets, np.uint64)
+    for k in range(sets if len(h) else 0):
+        x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF | 1)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))).astype("<u8")
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), 65536):
+            ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc, th, component): id, text hash and least id of the group of every distinct (id, text).
+
+    Texts are linked if the similarity of their five-word shingle sets, as
+    their 64 * JUDGE_SETS fingerprint bits estimate it, is at least
+    `similarity`. Candidates share a Golay key of one of FIND_SETS two-word
+    fingerprints; the texts of a key are compared with its first one and with
+    their neighbours in an order that differs from key to key, so that a
+    group of thousands is joined by links whose number grows with its size,
+    not with its pairs. Null ids count as the largest.
+    """
+    none = (1 << 63) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_blocks(batches, "text"):
+            texts = b.column(2).to_pylist()
+            cols = [np.array([fingerprint_sets(t, w, k) for t in texts]).view(np.int64).tolist() for w, k in ((FIND_WIDTH, FIND_SETS), (JUDGE_WIDTH, JUDGE_SETS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["doc", "th", "find", "judge"])
+
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = written(slim.mapInArrow(run, "doc long, th long, find array<long>, judge array<long>"), "fingerprints")
+    nodes = held.groupBy("find", "judge").agg(F.min("doc").alias("least_doc"))  # exact copies are one
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                found = np.array(part.column(1).to_pylist(), np.int64).view(np.uint64).reshape(-1, FIND_SETS)
+                for k in range(FIND_SETS):
+                    row, keys_of = keys(found[:, k])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((keys_of | np.uint64(k) << np.uint64(60)).view(np.int64))], names=["at", "key"])
+
+    numbered = written(nodes.withColumn("at", F.monotonically_increasing_id()), "texts")
+    table = numbered.select("at", "find").mapInArrow(key, "at long, key long")
+    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
+    pairs = table.withColumns({"first": F.first("at").over(mixed), "prev": F.lag("at").over(mixed)}).where("prev is not null")
+    pairs = pairs.select("at", F.explode(F.array("first", "prev")).alias("other")).select(F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b")).distinct()
+    most = int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * JUDGE_SETS)
+    x, y = numbered.select(F.col("at").alias("a"), F.col("judge").alias("x")), numbered.select(F.col("at").alias("b"), F.col("judge").alias("y"))
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(JUDGE_SETS)])
+    found = components(pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"))
+    named = numbered.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+    least = named.groupBy("component").agg(F.min("least_doc").alias("least"))
+    group = named.join(least, "component").select("find", "judge", F.col("least").alias("component"))
+    return held.join(group, ["find", "judge"]).select("doc", "th", "component").distinct()
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without all but one row of each group of similar_documents(): the row of least id stays, one of equal rows too.
+
+    Columns and an empty table stay as they are.
+    """
+    best = similar_documents(docs, similarity, text, id_col).groupBy("component").agg(F.min(F.struct("doc", "th")).alias("best")).select(F.col("best.doc").alias("__doc"), F.col("best.th").alias("__th"))
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return keyed.join(best, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"]).select(docs.columns)
