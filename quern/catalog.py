@@ -1,6 +1,477 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and, where SQL expresses them, their DuckDB form."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import vectors as V
+from .operators import chunking, context, graph, metrics, search, sparse, store
+from .operators import understanding as U
+from .plans import evaluation
+from .plans import pipelines as P
+from .sources import parsers
+from .streaming import ingest as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: SQL forms of the definitions: words, blank tokens, hashed bucket and sign.
+_WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
+_BUCKET = "(('0x' || substr(sha1({t}), 1, 8))::UBIGINT % {n})::INTEGER"
+_SIGN = "(CASE WHEN ('0x' || substr(sha1({t}), 9, 2))::UBIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
+_CHUNKS = "chunks AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, text FROM documents WHERE text IS NOT NULL)"
+_ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as one chunk."""
+    return table(spark, sf, "documents").where("text is not null").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), "text")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def r6(c: str) -> F.Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+# --- text -----------------------------------------------------------------
+
+
+@query(
+    f"""SELECT doc_id, len({_WORDS.format(t='text')}) AS n_words, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_tokens,
+    substr(sha256('doc' || chr(31) || doc_id::VARCHAR || chr(31) || lang), 1, 16) AS stable_id,
+    CASE WHEN length(c) <= 240 THEN c ELSE rtrim(substr(c, 1, 240)) || '…' END AS snippet
+    FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents WHERE text IS NOT NULL)"""
+)
+def prj_text(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf, "documents").where("text is not null").select(
+        "doc_id", F.size(T.words(t)).cast("long").alias("n_words"), T.count_tokens(t).cast("long").alias("n_tokens"),
+        T.stable_id(F.lit("doc"), F.col("doc_id"), F.col("lang")).alias("stable_id"), T.snippet(t).alias("snippet"),
+    )
+
+
+@query(
+    r"""SELECT doc_id, len(s) AS n_sentences, s[1] AS first_sentence, len(m) AS n_metric_sentences FROM (SELECT doc_id,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])["'')\]]?\s+', '\1' || chr(30), 'g'), '\n+', chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '') AS s,
+    list_filter(list_transform(string_split(regexp_replace(text, '[.!?。！？\n]+', chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '') AS m
+    FROM documents WHERE text IS NOT NULL)"""
+)
+def prj_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"), T.metric_sentences(F.col("text")).alias("m"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first_sentence"), F.size("m").cast("long").alias("n_metric_sentences"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN list_bool_or(list_transform(['compare','comparison','difference between','differences between','relationship','relation between','how does','how do','both','and how','versus','vs.','vs ','contrast','similarities','similarity between','distinguish','while also','as well as'], lambda c: contains(lower(trim(text)), c))) THEN 'multi_step'
+    WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) <= 4 OR regexp_matches(trim(text), '^[\\d\\s\\+\\-\\*\\/\\^\\(\\)\\.%±×÷]+$') THEN 'no_retrieval' ELSE 'single_step' END AS route
+    FROM conversations WHERE text IS NOT NULL"""
+)
+def qry_route(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", U.route(F.col("text")).alias("route"))
+
+
+@query()
+def qry_expand(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").where("text is not null")
+    return d.select("conv_id", "turn", F.posexplode(U.expand(F.col("text"))).alias("variant", "query"))
+
+
+@query()
+def qry_decompose(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").where("text is not null")
+    return d.select("conv_id", "turn", F.posexplode(U.decompose(F.col("text"))).alias("hop", "question"))
+
+
+# --- sources and chunking --------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id, ord - 1 AS ord, p AS text FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord FROM (SELECT doc_id,
+    list_filter(list_transform(regexp_split_to_array(text, '\n(?:[^\S\n]*\n)+'), lambda b: trim(replace(b, chr(10), ' '))), lambda b: b <> '') AS ps FROM documents WHERE text IS NOT NULL))"""
+)
+def src_plain(spark: SparkSession, sf: str) -> DataFrame:
+    e = parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id")
+    return e.select(F.col("source_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "text")
+
+
+@query()
+def src_html(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("text/html").alias("media_type"), F.col("html").alias("text"))
+    return parsers.parse(pages)[0].select("source_id", "ord", "type", "text", F.size("section_path").alias("depth"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS tok FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT doc_id, tok, CASE WHEN len(tok) <= 180 THEN 1 ELSE ceil((len(tok) - 180) / 140.0)::BIGINT + 1 END AS n FROM t WHERE len(tok) > 0),
+    w AS (SELECT doc_id, tok, unnest(generate_series(0, n - 1)) AS w FROM n)
+    SELECT doc_id, w AS window_idx, len(tok[w * 140 + 1 : w * 140 + 180])::BIGINT AS token_count, md5(array_to_string(tok[w * 140 + 1 : w * 140 + 180], ' ')) AS token_md5 FROM w"""
+)
+def chk_heading_aware(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.heading_aware(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    return c.select(F.col("source_id").cast("long").alias("doc_id"), F.col("chunk_ord").cast("long").alias("window_idx"), F.col("token_count").cast("long").alias("token_count"), F.md5(T.collapse(F.col("text")).cast("binary")).alias("token_md5"))
+
+
+@query()
+def chk_proposition(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.propositions(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")
+
+
+@query()
+def chk_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.semantic(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")
+
+
+@query()
+def chk_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
+    leaves = chunking.heading_aware(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    return chunking.hierarchical(leaves).select("chunk_id", "source_id", "parent_chunk_id", "token_count")
+
+
+# --- encodings --------------------------------------------------------------
+
+_TF = f"tf AS (SELECT chunk_id, {_BUCKET.format(t='w', n=1 << 20)} AS idx, count(*) AS tf FROM (SELECT chunk_id, unnest({_WORDS.format(t='text')}) AS w FROM chunks) GROUP BY ALL)"
+_FIT = f"""{_CHUNKS}, {_TF}, totals AS (SELECT count(*) AS n, avg(len({_WORDS.format(t='text')})) AS avgdl FROM chunks),
+    terms AS (SELECT idx, count(*) AS df, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, totals GROUP BY idx, n)"""
+_POST = f"""{_FIT}, post AS (SELECT tf.chunk_id, idx, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS w
+    FROM tf JOIN terms USING (idx) JOIN (SELECT chunk_id, len({_WORDS.format(t='text')}) AS dl FROM chunks) USING (chunk_id), totals)"""
+
+
+@query(f"WITH {_FIT} SELECT idx, df, round(idf, 6) AS idf FROM terms")
+def spr_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return sparse.fit(doc_chunks(spark, sf)).terms.select("idx", "df", r6("idf"))
+
+
+@query(f"WITH {_POST} SELECT chunk_id, idx, round(w, 6) AS w FROM post")
+def spr_encode(spark: SparkSession, sf: str) -> DataFrame:
+    c = doc_chunks(spark, sf)
+    return sparse.encode(c, sparse.fit(c)).select("chunk_id", "idx", r6("w"))
+
+
+def _hashed(key: str, source: str, text: str, name: str) -> str:
+    return f"""{name}_raw AS (SELECT {key}, {_BUCKET.format(t='w', n=256)} AS bucket, sum({_SIGN.format(t='w')}) AS v FROM (SELECT {key}, unnest({_WORDS.format(t=text)}) AS w FROM {source}) GROUP BY ALL),
+    {name} AS (SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS w FROM {name}_raw WHERE v <> 0)"""
+
+
+@query(f"WITH {_CHUNKS}, {_hashed('chunk_id', 'chunks', 'text', 'vec')} SELECT chunk_id, bucket, round(w, 6) AS w FROM vec")
+def emb_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return V.hash_embedding(doc_chunks(spark, sf), "chunk_id", "text").select("chunk_id", "bucket", r6("w"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    p AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) AS peak FROM v)
+    SELECT vec_id, list_sum(list_transform(e, lambda x: round_even(x * 127.0::DOUBLE / peak, 0)))::BIGINT AS int8_sum, list_max(list_transform(e, lambda x: round_even(x * 127.0::DOUBLE / peak, 0)))::BIGINT AS int8_max,
+    round(list_sum(list_transform(e[1:16], lambda x: x / sqrt(list_sum(list_transform(e[1:16], lambda y: y * y))))), 6) AS truncated_sum FROM p"""
+)
+def emb_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    q, t = V.int8(F.col("e")), V.truncated(F.col("e"), 16)
+    return e.select("vec_id", F.aggregate(q, F.lit(0), lambda a, x: a + x).cast("long").alias("int8_sum"), F.array_max(q).cast("long").alias("int8_max"), F.round(F.aggregate(t, F.lit(0.0), lambda a, x: a + x), 6).alias("truncated_sum"))
+
+
+@query(
+    """WITH l AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+    m AS (SELECT label, vec_id, dim, 0.7::DOUBLE * x + 0.3::DOUBLE * avg(x) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM l)
+    SELECT label, vec_id, round(sum(y) / sqrt(sum(y * y)), 6) AS late_sum FROM m GROUP BY label, vec_id"""
+)
+def emb_late_chunking(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    late = V.late_chunked(e, "label", "vec_id", "vec")
+    return late.select("label", "vec_id", F.round(F.aggregate("late", F.lit(0.0), lambda a, x: a + x), 6).alias("late_sum"))
+
+
+# --- search -----------------------------------------------------------------
+
+
+def _search_sql(parts: str, name: str) -> str:
+    """Best 100 chunks of each query with zero-scored chunks filled in."""
+    return f"""{parts}, {name}_all AS (SELECT query_id, chunk_id, coalesce(score, 0.0::DOUBLE) AS score FROM (SELECT query_id FROM asked) CROSS JOIN (SELECT chunk_id FROM chunks) LEFT JOIN {name}_hit USING (query_id, chunk_id)),
+    {name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {name}_all QUALIFY rank <= 100)"""
+
+
+_Q = f"q AS (SELECT query_id, {_BUCKET.format(t='w', n=1 << 20)} AS idx, count(*) AS q FROM (SELECT query_id, unnest({_WORDS.format(t='query')}) AS w FROM asked) GROUP BY ALL)"
+_SPARSE = _search_sql(f"{_POST}, {_ASKED}, {_Q}, s_hit AS (SELECT query_id, chunk_id, sum(q * w) AS score FROM q JOIN post USING (idx) GROUP BY ALL)", "s")
+_DENSE_PARTS = f"{_hashed('chunk_id', 'chunks', 'text', 'vec')}, {_hashed('query_id', 'asked', 'query', 'qvec')}, d_hit AS (SELECT query_id, chunk_id, sum(qvec.w * vec.w) AS score FROM qvec JOIN vec USING (bucket) GROUP BY ALL)"
+_DENSE = _search_sql(f"{_CHUNKS}, {_ASKED}, {_DENSE_PARTS}", "d")
+_BOTH = f"{_SPARSE}, {_search_sql(_DENSE_PARTS, 'd')}, both_hits AS (SELECT *, 's' AS m FROM s UNION ALL SELECT *, 'd' AS m FROM d)"
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), r6("score"))
+
+
+def _sparse_hits(spark: SparkSession, sf: str) -> DataFrame:
+    c = doc_chunks(spark, sf)
+    return search.sparse_search(sparse.encode_query(asked(spark, sf), text="query"), sparse.encode(c, sparse.fit(c)), c)
+
+
+def _dense_hits(spark: SparkSession, sf: str) -> DataFrame:
+    c = doc_chunks(spark, sf)
+    return search.hashed_dense_search(V.hash_embedding(asked(spark, sf), "query_id", "query"), V.hash_embedding(c, "chunk_id", "text"), c)
+
+
+@query(f"WITH {_SPARSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM s")
+def search_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(_sparse_hits(spark, sf))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM d")
+def search_hashed_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(_dense_hits(spark, sf))
+
+
+@query(
+    f"""WITH {_BOTH}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM f QUALIFY rank <= 10"""
+)
+def search_hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.hybrid(_dense_hits(spark, sf), _sparse_hits(spark, sf), 10, "rrf"))
+
+
+@query(
+    f"""WITH {_BOTH}, z AS (SELECT query_id, chunk_id, score, avg(score) OVER w AS mu, stddev_samp(score) OVER w AS sd FROM both_hits WINDOW w AS (PARTITION BY query_id, m)),
+    f AS (SELECT query_id, chunk_id, sum(CASE WHEN sd IS NULL OR sd < 1e-12 THEN 0.5::DOUBLE ELSE (score - (mu - 3 * sd)) / (6 * sd) END) AS score FROM z GROUP BY ALL)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM f QUALIFY rank <= 10"""
+)
+def search_hybrid_dbsf(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.hybrid(_dense_hits(spark, sf), _sparse_hits(spark, sf), 10, "dbsf"))
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "embeddings").select("vec_id", F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec"), e.select("chunk_id", "vec")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, lpad(c.vec_id::VARCHAR, 12, '0') AS chunk_id, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 100 = 0)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+)
+def search_dense(spark: SparkSession, sf: str) -> DataFrame:
+    q, v = _vectors(spark, sf)
+    return _hits(search.dense_search(q, v, 10))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT *, list_max(list_transform(e, lambda x: abs(x))) AS peak FROM v),
+    z AS (SELECT vec_id, e, list_transform(e, lambda x: round_even(x * 127.0::DOUBLE / peak, 0)) AS i8 FROM p),
+    a AS (SELECT q.vec_id AS query_id, lpad(c.vec_id::VARCHAR, 12, '0') AS chunk_id, list_cosine_similarity(q.e, c.e) AS score, list_dot_product(q.i8, c.i8) AS rough FROM z q, z c WHERE q.vec_id % 100 = 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rough, 9) DESC, chunk_id) AS r FROM a QUALIFY r <= 40)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM b QUALIFY rank <= 10"""
+)
+def search_quantised(spark: SparkSession, sf: str) -> DataFrame:
+    q, v = _vectors(spark, sf)
+    return _hits(search.quantised_search(q, v, 10))
+
+
+@query()
+def search_max_sim(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.max_sim(search.multi_vectors(asked(spark, sf), "query_id", "query"), search.multi_vectors(doc_chunks(spark, sf), "chunk_id", "text"), 10))
+
+
+def _contexts(spark: SparkSession, sf: str) -> DataFrame:
+    c = doc_chunks(spark, sf)
+    return search.attach(search.ranked(_sparse_hits(spark, sf), 10), c).join(asked(spark, sf), "query_id")
+
+
+@query()
+def rrk_listwise(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.listwise_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10))
+
+
+@query()
+def rrk_mmr(spark: SparkSession, sf: str) -> DataFrame:
+    return search.mmr_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10).select("query_id", "chunk_id", "rank", r6("rerank"), r6("relevance"))
+
+
+@query()
+def ctx_process(spark: SparkSession, sf: str) -> DataFrame:
+    c = _contexts(spark, sf).withColumn("position", F.col("rank"))
+    return context.process(c).select("query_id", "chunk_id", "position", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    f"""WITH {_SPARSE}, t AS (SELECT query_id, chunk_id, rank FROM s WHERE rank <= 10)
+    SELECT query_id, chunk_id, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE count(*) OVER (PARTITION BY query_id) - rank // 2 + 1 END AS position FROM t"""
+)
+def ctx_reorder(spark: SparkSession, sf: str) -> DataFrame:
+    c = search.ranked(_sparse_hits(spark, sf), 10).withColumn("position", F.col("rank"))
+    return context.reorder(c).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    f"""WITH {_SPARSE}, top AS (SELECT query_id, chunk_id FROM s WHERE rank = 1), j AS (SELECT query_id, list_distinct({_WORDS.format(t='query')}) AS a, list_distinct({_WORDS.format(t='text')}) AS b FROM asked LEFT JOIN top USING (query_id) LEFT JOIN chunks USING (chunk_id))
+    SELECT query_id, CASE WHEN b IS NULL THEN 'incorrect' WHEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE >= 0.1 THEN 'correct' ELSE 'ambiguous' END AS grade FROM j"""
+)
+def qry_grade(spark: SparkSession, sf: str) -> DataFrame:
+    return U.grade(asked(spark, sf), search.attach(_sparse_hits(spark, sf), doc_chunks(spark, sf)))
+
+
+# --- metrics ----------------------------------------------------------------
+
+_GOLD = "gold AS (SELECT b.item_id AS query_id, chunk_id FROM benchmark b JOIN chunks ON contains(lower(chunks.text), lower(b.text)))"
+
+
+@query(
+    f"""WITH {_SPARSE}, {_GOLD}, g AS (SELECT query_id, count(*) AS n, list_sum(list_transform(generate_series(1, least(count(*), 10)), lambda i: 1.0::DOUBLE / log2(i + 1))) AS idcg FROM gold GROUP BY query_id),
+    h AS (SELECT s.query_id, rank, count(*) OVER (PARTITION BY s.query_id ORDER BY rank) AS so_far FROM s JOIN gold USING (query_id, chunk_id)),
+    m AS (SELECT query_id, count(*) FILTER (rank <= 10) AS hit, min(rank) AS first, coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, coalesce(sum(so_far / rank::DOUBLE) FILTER (rank <= 10), 0) AS ap FROM h GROUP BY query_id)
+    SELECT query_id AS case_id, round(coalesce(hit / n::DOUBLE, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(ap / least(n, 10), 0), 6) AS context_precision
+    FROM asked LEFT JOIN g USING (query_id) LEFT JOIN m USING (query_id)"""
+)
+def met_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    cases = asked(spark, sf).withColumnRenamed("query_id", "case_id")
+    gold = evaluation.gold_by_substring(doc_chunks(spark, sf), cases.withColumn("needle", F.col("query")))
+    m = metrics.ranking_metrics(_sparse_hits(spark, sf).withColumnRenamed("query_id", "case_id"), gold, cases, 10)
+    return m.select("case_id", r6("recall"), r6("mrr"), r6("ndcg"), r6("context_precision"))
+
+
+_PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS said, b.text AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", F.col("text").alias("said")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")), ["conv_id", "turn"])
+
+
+@query(
+    f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_WORDS.format(t='said')} AS a, {_WORDS.format(t='reply')} AS r, said, reply FROM pairs),
+    c AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) AS same FROM w)
+    SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(r) = 0 THEN 1.0::DOUBLE WHEN coalesce(same, 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * same / (len(a) + len(r)) END, 6) AS correctness,
+    round(levenshtein(said[1:200], reply[1:200]) / greatest(length(said[1:200]), 1)::DOUBLE, 6) AS cer FROM c"""
+)
+def met_answers(spark: SparkSession, sf: str) -> DataFrame:
+    short = lambda c: F.substring(c, 1, 200)
+    p = _pairs(spark, sf)
+    return p.select("conv_id", "turn", F.round(metrics.answer_correctness(F.col("said"), F.col("reply")), 6).alias("correctness"), F.round(metrics.character_error_rate(short("said"), short("reply")), 6).alias("cer"))
+
+
+def _grounded_sql(claim: str, source: str) -> str:
+    sents = f"list_filter(list_transform(string_split(regexp_replace({claim}, '[.!?。！？\\n]+', chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_transform(list_transform({sents}, lambda s: list_distinct({_WORDS.format(t='s')})), lambda t: CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect(t, {source})) / len(t)::DOUBLE END)"
+
+
+@query(
+    f"""WITH {_PAIRS}, g AS (SELECT conv_id, turn, {_grounded_sql('said', 'src')} AS c FROM (SELECT *, list_distinct({_WORDS.format(t='reply')}) AS src FROM pairs))
+    SELECT conv_id, turn, round(CASE WHEN len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(c, lambda x: x >= 0.6)) / len(c)::DOUBLE END, 6) AS faithfulness FROM g"""
+)
+def met_faithfulness(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.faithfulness(F.col("said"), F.array("reply")), 6).alias("faithfulness"))
+
+
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(\b(i don''?t know|i do not know|cannot determine|can''?t determine|not enough information|don''?t have enough|do not have enough|insufficient(\s+(context|information))?|unable to (answer|determine|find)|no information|unclear from|not specified|no relevant|cannot answer|can''?t answer)\b|모르겠|알 수 없|정보가 없|확인할 수 없)') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS abstention
+    FROM conversations WHERE text IS NOT NULL"""
+)
+def met_abstention(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", metrics.abstention(F.col("text")).alias("abstention"))
+
+
+# --- graph, store, streaming ------------------------------------------------
+
+
+@query()
+def grf_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.build(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text"))[1]
+
+
+@query()
+def grf_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text")
+    mentions, edges = graph.build(b)
+    q = b.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
+    return _hits(graph.retrieve(q, mentions, edges, 5, iterations=20))
+
+
+@query("SELECT c_custkey AS document_id, count(o_orderkey) AS chunk_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def sto_document_list(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"))
+    return store.document_list(docs, table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("chunk_id")))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def sto_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    return store.keep_last(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'q' || l.quality END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
+def sto_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("state"))
+    new = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("state"))
+    return store.upsert(old, new, ["doc_id"])
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def sto_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return store.delete_where(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id"), ["doc_id"])
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.event_windows(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- pipelines --------------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf: str) -> P.Index:
+    return P.ingest_plain(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "answer", F.size("citations").alias("n_citations"), F.coalesce(F.array_join("retrieved_ids", ","), F.lit("")).alias("retrieved"))
+
+
+@query()
+def pipe_answer(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(P.answer(asked(spark, sf), _index(spark, sf)))
+
+
+@query()
+def pipe_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(P.adaptive(asked(spark, sf), _index(spark, sf)))
+
+
+@query()
+def pipe_corrective(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(P.corrective(asked(spark, sf), _index(spark, sf)))
+
+
+@query()
+def pipe_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(P.decomposed(asked(spark, sf), _index(spark, sf)))
+
+
+@query()
+def pipe_iterative(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(P.iterative(asked(spark, sf), _index(spark, sf), P.Settings(mode="sparse")))
+
+
+@query()
+def eval_modes(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    cases = asked(spark, sf).withColumnRenamed("query_id", "case_id").withColumn("needle", F.col("query"))
+    out = evaluation.run_modes(cases, index, evaluation.gold_by_substring(index.chunks, cases), 10, ["dense", "sparse", "hybrid"])
+    return out.select("mode", r6("recall"), r6("mrr"), r6("ndcg"), r6("context_precision"))
