@@ -42,14 +42,14 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple
     return mentions, pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 50, cut_every: int = 10) -> DataFrame:
+def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 50, cut_every: int = 2) -> DataFrame:
     """(query_id, node, rank): walks that restart at the query's seeds with probability alpha.
 
     nodes: all nodes, seeds: query_id, node. Nodes without edges give their
     rank to all nodes evenly; seeds outside the graph are ignored and a query
     without seeds has no rows. The table is written every few steps.
     """
-    own = seeds.join(nodes, "node", "left_semi").distinct()
+    own = written(seeds.join(nodes, "node", "left_semi").distinct(), "seeds")
     restart = own.join(own.groupBy("query_id").agg((1.0 / F.count("*")).alias("p")), "query_id").select("query_id", "node", "p")
     total = edges.groupBy("src").agg(F.sum("w").alias("total"))
     step = written(edges.join(total, "src").select("src", F.col("dst").alias("node"), (F.col("w") / F.col("total")).alias("share")), "steps")
@@ -72,7 +72,8 @@ def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float
 
 def retrieve(queries: DataFrame, mentions: DataFrame, edges: DataFrame, k: int, iterations: int = 50) -> DataFrame:
     """Chunks by the summed rank of their entities; a query without a known entity has no hits."""
-    nodes = mentions.select(F.col("entity").alias("node")).distinct()
+    mentions, edges = written(mentions, "mentions"), written(edges, "edges")
+    nodes = written(mentions.select(F.col("entity").alias("node")).distinct(), "nodes")
     seeds = queries.select("query_id", F.explode(entities(F.col("query"))).alias("node"))
     rank = page_rank(edges, nodes, seeds, iterations=iterations)
     hits = rank.join(mentions.withColumnRenamed("entity", "node"), "node").groupBy("query_id", "chunk_id").agg(F.sum("rank").alias("score")).where("score > 0")

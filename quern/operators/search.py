@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import blank_tokens
+from ..plans.tables import written
 
 PREFETCH, RRF_K, RESCORE = 100, 60, 4
 #: Scores are compared by this many decimals, so that sums in another order tie alike.
@@ -24,32 +25,34 @@ def ranked(hits: DataFrame, k: int | Column | None = None, by: list[str] | None
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def padded(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """hits and, for each query, the first k chunks it does not match, with score 0.
+def best_with_zeros(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Best k of each query over all chunks, those that share nothing with it included with score 0.
 
-    Zero-scored chunks sort after all others and by id among themselves, so
-    no more than k of them can be among the best k: the lowest k ids and as
-    many as may be matched are enough, not all pairs.
+    Only queries with fewer than k positive scores have room for zeros, and
+    those take the lowest ids among what they did not match. The best k are
+    written, so the join behind hits runs once.
     """
-    matched = hits.groupBy("query_id").agg(F.count("*").alias("n"))
-    need = matched.agg(F.coalesce(F.max(F.least("n", F.lit(k))), F.lit(0))).first()[0] + k  # at most 2k rows are taken
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(int(need))
-    zero = queries.select("query_id").crossJoin(F.broadcast(first)).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return hits.select("query_id", "chunk_id", "score").unionByName(zero)
+    top = written(ranked(hits.select("query_id", "chunk_id", "score"), k), "top")
+    full = top.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    needy = queries.select("query_id").distinct().join(full, "query_id", "left_anti")
+    if needy.isEmpty():
+        return top
+    own = hits.join(F.broadcast(needy), "query_id", "left_semi").select("query_id", "chunk_id")
+    zero = needy.crossJoin(chunks.select("chunk_id")).join(own, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(top.drop("rank").unionByName(ranked(zero, k).drop("rank")), k)
 
 
 def sparse_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = PREFETCH) -> DataFrame:
     """(query_id, chunk_id, score, rank): inverted-index join on terms; chunks without a shared term rank with score 0."""
     hits = queries.join(postings, "idx").groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
-    asked = queries.select("query_id").distinct()
-    return ranked(padded(hits, asked, chunks, k), k)
+    return best_with_zeros(hits, queries, chunks, k)
 
 
 def hashed_dense_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = PREFETCH) -> DataFrame:
     """Cosine of hashed embeddings (bucket, w rows, unit length), joined on buckets; negative scores rank below 0."""
     q = queries.select("query_id", "bucket", F.col("w").alias("qw"))
     hits = q.join(vectors, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return ranked(padded(hits, queries.select("query_id").distinct(), chunks, k), k)
+    return best_with_zeros(hits, queries, chunks, k)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH, distance: str = "cosine") -> DataFrame:
@@ -105,23 +108,65 @@ def multi_vectors(df: DataFrame, key: str, text: str, dim: int = V.TOKEN_DIM) ->
     return tokens.select(key, "pos", F.explode(V.token_coordinates(F.col("t"), dim)).alias("c")).select(key, "pos", "c.*")
 
 
-def max_sim(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Sum over query tokens of the best cosine of the document's tokens. Rows as of multi_vectors().
+def token_matrix(tokens: list[str], dim: int = V.TOKEN_DIM) -> np.ndarray:
+    """Unit vectors of tokens, as token_coordinates() gives them."""
+    import hashlib
 
-    Different tokens are compared once each. A document token that shares no
-    bucket counts 0, so the best is negative only if every token shares one.
+    out = np.zeros((len(tokens), dim))
+    times = [len(range(i, dim, 4)) for i in range(4)]
+    for row, token in zip(out, tokens, strict=True):
+        d = hashlib.sha1(token.encode()).digest()
+        for i in range(4):
+            row[int.from_bytes(d[5 * i : 5 * i + 4], "big") % dim] += times[i] * (1 if d[5 * i + 4] & 1 else -1)
+        size = np.sqrt((row * row).sum())
+        if size:
+            row /= size
+        else:
+            row[0] = 1.0
+    return out
+
+
+def max_sim(queries: DataFrame, docs: DataFrame, k: int, dim: int = V.TOKEN_DIM) -> DataFrame:
+    """Sum over query tokens of the best cosine of a document's tokens.
+
+    queries: query_id, query; docs: chunk_id, text. The batch of queries goes
+    to every task as one matrix, documents stay where they are, and each task
+    keeps its best k of each query. Different tokens of a document are
+    compared once each.
     """
-    kinds = docs.groupBy("chunk_id", "pos").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("v"))
-    per_doc = kinds.groupBy("chunk_id", "v").agg(F.count("*").alias("n"))
-    q = queries.groupBy("query_id", "pos").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("qv"))
-    a = q.select("qv").distinct().select("qv", F.explode("qv").alias("c")).select("qv", "c.bucket", F.col("c.w").alias("qw"))
-    b = per_doc.select("v").distinct().select("v", F.explode("v").alias("c")).select("v", "c.bucket", "c.w")
-    sims = a.join(b, "bucket").groupBy("qv", "v").agg(F.sum(F.col("qw") * F.col("w")).alias("sim"))
-    total = per_doc.groupBy("chunk_id").agg(F.count("*").alias("kinds"))
-    met = sims.join(per_doc.select("chunk_id", "v"), "v").groupBy("qv", "chunk_id").agg(F.max("sim").alias("sim"), F.count("*").alias("shared")).join(total, "chunk_id")
-    best = met.select("qv", "chunk_id", F.when(F.col("shared") < F.col("kinds"), F.greatest("sim", F.lit(0.0))).otherwise(F.col("sim")).alias("sim"))
-    hits = q.select("query_id", "qv").join(best, "qv").groupBy("query_id", "chunk_id").agg(F.sum("sim").alias("score"))
-    return ranked(padded(hits, q.select("query_id").distinct(), total.select("chunk_id"), k), k)
+    asked = queries.select("query_id", V.text_tokens(F.col("query")).alias("t")).collect()  # a batch of queries
+    kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), docs.schema["chunk_id"].dataType.simpleString()
+    names = [r["query_id"] for r in asked]
+    kinds = list(dict.fromkeys(t for r in asked for t in r["t"]))
+    number = {t: i for i, t in enumerate(kinds)}
+    matrix = token_matrix(kinds, dim)
+    counts = np.zeros((len(kinds), len(asked)))  # how often each query has each token
+    for j, r in enumerate(asked):
+        for t in r["t"]:
+            counts[number[t], j] += 1
+
+    def best(batches):  # noqa: ANN001, ANN202
+        held = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        for pdf in batches:
+            scores = np.zeros((len(pdf), len(names)))
+            known: dict[str, int] = {}
+            lists = [list(dict.fromkeys(t)) for t in pdf["tokens"]]
+            for t in {t for own in lists for t in own}:
+                known[t] = len(known)
+            vectors = token_matrix(list(known), dim)
+            for i, own in enumerate(lists):
+                scores[i] = (vectors[[known[t] for t in own]] @ matrix.T).max(axis=0) @ counts
+            part = pd.DataFrame({"query_id": np.repeat(names, len(pdf)), "chunk_id": np.tile(pdf["chunk_id"].to_numpy(), len(names)), "score": scores.T.reshape(-1)})
+            held = pd.concat([held, part]) if len(held) else part
+            held["__r"] = held["score"].round(DECIMALS)
+            held = held.sort_values(["__r", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k).drop(columns="__r")
+        if len(held):
+            yield held
+
+    if not names:
+        return ranked(docs.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id {chunk_kind}, score double"), k)
+    rows = docs.select("chunk_id", V.text_tokens(F.col("text")).alias("tokens"))
+    return ranked(rows.mapInPandas(best, f"query_id {kind}, chunk_id {chunk_kind}, score double"), k)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -39,8 +39,10 @@ def test_fusion_golden(spark):
 
 
 def test_max_sim_and_mmr(spark):
-    docs = search.multi_vectors(spark.createDataFrame([("c1", "alpha beta"), ("c2", "gamma")], "chunk_id string, text string"), "chunk_id", "text")
-    q = search.multi_vectors(spark.createDataFrame([("q", "alpha")], "query_id string, text string"), "query_id", "text")
+    docs = spark.createDataFrame([("c1", "alpha beta"), ("c2", "gamma")], "chunk_id string, text string")
+    q = spark.createDataFrame([("q", "alpha")], "query_id string, query string")
+    rows = search.multi_vectors(docs, "chunk_id", "text").where("chunk_id = 'c2'").collect()
+    assert {r["bucket"]: r["w"] for r in rows} == pytest.approx({i: v for i, v in enumerate(search.token_matrix(["gamma"])[0]) if v})
     hits = search.max_sim(q, docs, 5).collect()
     assert hits[0]["chunk_id"] == "c1" and hits[0]["score"] == pytest.approx(1.0) and len(hits) == 2
     rows = spark.createDataFrame([("q", "a", 1.0, 1, "cat dog"), ("q", "b", 0.9, 2, "cat dog"), ("q", "c", 0.5, 3, "cat bird")], "query_id string, chunk_id string, score double, rank int, text string")
