@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embedding, langid, packing, quality, sharding, simhash, substrings, suffix, urls
 from .common import documents
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -70,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {}
