@@ -13,6 +13,7 @@ import heapq
 import json
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -252,7 +253,7 @@ def compile_lexicon(spark: SparkSession, words: list[bytes], tokenizer_json: str
     path = f"{folder}/lexicon"
     lexicon.save(path)
     with open(path, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}.bin"
+        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.bin"  # a session takes a name once
     os.rename(path, f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
