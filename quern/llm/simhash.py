@@ -225,8 +225,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "tex
     Texts are linked if the similarity of their five-word shingle sets, as
     their 64 * JUDGE_SETS fingerprint bits estimate it, is at least
     `similarity`. Candidates share a Golay key of one of FIND_SETS two-word
-    fingerprints; the texts of a key are compared with its first one and with
-    their neighbours in an order that differs from key to key, so that a
+    fingerprints; the texts of a key are compared with their neighbours in an
+    order that differs from key to key, so that a
     group of thousands is joined by links whose number grows with its size,
     not with its pairs. Null ids count as the largest.
     """
@@ -254,8 +254,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "tex
     numbered = written(nodes.withColumn("at", F.monotonically_increasing_id()), "texts")
     table = numbered.select("at", "find").mapInArrow(key, "at long, key long")
     mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
-    pairs = table.withColumns({"first": F.first("at").over(mixed), "prev": F.lag("at").over(mixed)}).where("prev is not null")
-    pairs = pairs.select("at", F.explode(F.array("first", "prev")).alias("other")).select(F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b")).distinct()
+    pairs = table.withColumn("prev", F.lag("at").over(mixed)).where("prev is not null")
+    pairs = pairs.select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b")).distinct()
     most = int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * JUDGE_SETS)
     x, y = numbered.select(F.col("at").alias("a"), F.col("judge").alias("x")), numbered.select(F.col("at").alias("b"), F.col("judge").alias("y"))
     differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(JUDGE_SETS)])
