@@ -12,10 +12,12 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,15 @@ from .common import text_blocks
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the tokenizers library's splitter sees it: Unicode White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The splitter for texts of code points below 0x180, whose letters, numbers and blanks the plain `re` module can name.
+_SIMPLE = re.compile(r"[\x00-\u017f]*")
+_BLANK = r"\t-\r \x85\xa0"
+_SIMPLE_SPLIT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+" + rf"| ?(?:_|[^\w{_BLANK}])+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
 LEXICON_WORDS = 30_000
+#: Unseen words whose merged ids a task keeps at hand.
+MEMO_WORDS = 200_000
 LONGEST = 64
 
 
@@ -47,6 +57,7 @@ class Vocabulary:
     """Ranks, ids and special tokens of a byte-level BPE file's content."""
 
     def __init__(self, tokenizer_json: str) -> None:
+        self.content = tokenizer_json
         spec = json.loads(tokenizer_json)
         to_byte = byte_alphabet()
         raw = lambda s: bytes(to_byte[c] for c in s)
@@ -62,14 +73,22 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """Words in order; special tokens' strings stand alone."""
         if self.parts is None or not any(s in text for s in self.special):
-            return self.split.findall(text)
+            return (_SIMPLE_SPLIT if _SIMPLE.fullmatch(text) else self.split).findall(text)
         out: list[str] = []
         for i, part in enumerate(self.parts.split(text)):
             out += [part] if i % 2 else self.split.findall(part)
         return out
 
+    def merger(self) -> Callable[[bytes], bytes]:
+        """Packed ids of a word, merged by the tokenizers library's model over the same ranks."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_str(self.content).model
+        shown = {b: c for c, b in byte_alphabet().items()}
+        return lambda word: array("I", [t.id for t in model.tokenize("".join(map(shown.__getitem__, word)))]).tobytes()
+
     def merge(self, word: bytes) -> list[int]:
-        """Exact ids of a word: always merge the pair of least rank, leftmost first."""
+        """Exact ids of a word by the definition: always merge the pair of least rank, leftmost first."""
         parts = [word[i : i + 1] for i in range(len(word))]
         if len(parts) > 48:
             return self._merge_long(parts)
@@ -270,14 +289,22 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lex = Vocabulary(tokenizer_json), Lexicon.mapped(SparkFiles.get(lexicon))
-        special = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
+        memo = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
+        merge = vocab.merger()
         for b in text_blocks(batches, "text"):
             split = [vocab.words(t) if t else [] for t in b.column(1).to_pylist()]
             distinct = list(set().union(*split))
             raw = [w.encode() for w in distinct]
             packed: dict[str, bytes] = {}
             for word, octets, number in zip(distinct, raw, lex.numbers(raw).tolist(), strict=True):
-                packed[word] = lex.ids_of(number) if number >= 0 else special.get(word) or np.array(vocab.merge(octets), "<u4").tobytes()
+                if number >= 0:
+                    packed[word] = lex.ids_of(number)
+                elif (ids := memo.get(word)) is not None:
+                    packed[word] = ids
+                else:
+                    packed[word] = ids = merge(octets)
+                    if len(memo) < MEMO_WORDS:
+                        memo[word] = ids
             get = packed.__getitem__
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(get, ws)) for ws in split], pa.binary())], names=[id_col, "ids"])
 
