@@ -18,6 +18,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import text_blocks, written
 
 #: The byte-level splitter of the vocabulary (fixed).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +40,8 @@ _SIMPLE_SPLIT = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+" + rf"| ?(?:_|[^\w{_BLANK}])+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 LEXICON_WORDS = 30_000
+#: Words that occur less often are never in the lexicon.
+LEAST_COUNT = 3
 #: Unseen words whose merged ids a task keeps at hand.
 MEMO_WORDS = 200_000
 LONGEST = 64
@@ -53,23 +56,38 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+@cache
+def _alphabet() -> dict[str, int]:
+    return byte_alphabet()
+
+
+def _octets(shown: str) -> bytes:
+    return bytes(map(_alphabet().__getitem__, shown))
+
+
 class Vocabulary:
-    """Ranks, ids and special tokens of a byte-level BPE file's content."""
+    """Ranks, ids and special tokens of a byte-level BPE file's content; each table is made when it is first asked for."""
 
     def __init__(self, tokenizer_json: str) -> None:
         self.content = tokenizer_json
-        spec = json.loads(tokenizer_json)
-        to_byte = byte_alphabet()
-        raw = lambda s: bytes(to_byte[c] for c in s)
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.special = {t["content"]: t["id"] for t in json.loads(tokenizer_json)["added_tokens"]}
         pattern = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.split = regex.compile(pattern)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        return {_octets(t): i for t, i in json.loads(self.content)["model"]["vocab"].items()}
+
+    @cached_property
+    def ranks(self) -> dict[tuple[bytes, bytes], int]:
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in json.loads(self.content)["model"]["merges"])
+        return {(_octets(a), _octets(b)): r for r, (a, b) in enumerate(pairs)}
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+
     def words(self, text: str) -> list[str]:
         """Words in order; special tokens' strings stand alone."""
         if self.parts is None or not any(s in text for s in self.special):
@@ -241,7 +259,7 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, tokenizer_json: str, text: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The `most` commonest words of at most LONGEST bytes; counts cover every whole text."""
+    """The commonest words of at most LONGEST bytes, `most` at most (words of nearly one count are taken together); counts cover every whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen = Vocabulary(tokenizer_json), Counter()
@@ -255,12 +273,22 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, text: str = "text", mos
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(vocab.words(t))
-            if len(seen) > 400_000:
+            if len(seen) > 250_000:
                 yield flush()
         yield flush()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    common = written(counted.where(F.col("n") >= LEAST_COUNT), "frequent-words")
+    # the step of counts from which at most `most` words are left: a short table of steps reaches the driver, then the words
+    step = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    left, least = most, None
+    for r in common.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        if r["words"] > left:
+            break
+        left, least = left - r["words"], r["step"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in common.where(step >= least).select("word").collect())
 
 
 def compile_lexicon(spark: SparkSession, words: list[bytes], tokenizer_json: str) -> str:
@@ -291,7 +319,7 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: str, text: str = "text
         vocab, lex = Vocabulary(tokenizer_json), Lexicon.mapped(SparkFiles.get(lexicon))
         memo = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
         merge = vocab.merger()
-        for b in text_blocks(batches, "text"):
+        for b in text_blocks(batches, "text", 2 << 20):
             split = [vocab.words(t) if t else [] for t in b.column(1).to_pylist()]
             distinct = list(set().union(*split))
             raw = [w.encode() for w in distinct]
@@ -319,7 +347,7 @@ def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
         tokens = Vocabulary(tokenizer_json).tokens
         table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         get = table.__getitem__
-        for b in text_blocks(batches, "ids"):
+        for b in text_blocks(batches, "ids", 2 << 20):
             ids = b.column(b.schema.get_field_index("ids")).to_pylist()
             texts = [None if x is None else b"".join(map(get, memoryview(x).cast("I"))).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
