@@ -3,9 +3,11 @@
 Every vector keeps a list of its best neighbours. Lists start from groups of
 equal sign patterns under random hyperplanes and are refined by joining the
 neighbours of each vector with each other, until a round finds no new pair at
-the threshold. Lists in which everything is at the threshold are saturated:
-they are enlarged to the whole component, block against block, so that no
-link inside is missed. An audit compares a query set with all vectors and
+the threshold. Equal vectors are one node with a weight. Lists may be full of
+a tight group's own members and lose the links that lead out of it, so that
+at the end every vector is compared with every other, tile against tile: this
+counts all links and finds those between the components that the lists gave,
+which are joined. An audit compares a query set with all vectors and
 asks for further rounds with longer lists if its links are not recalled.
 """
 
@@ -27,6 +29,8 @@ NEIGHBOURS = 8
 TREES = 6
 LEAF = 64
 BLOCK = 512
+#: Vectors of a tile of the exact comparison: an eighth of all within these bounds.
+LEAST_TILE, MOST_TILE = 2048, 32768
 #: The audit takes ids divisible by 100, this many at most (those of least hash): it measures, it changes no result by itself.
 AUDIT_QUERIES = 1000
 AUDIT_RECALL = 0.995
@@ -221,42 +225,49 @@ def recall(found: DataFrame, truth: DataFrame) -> float:
     return r["hit"] / r["n"] if r["n"] else 1.0
 
 
-def count_links(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(node, n_links): every list enlarged to its whole component, compared in pairs of blocks."""
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = found.join(sizes, "component").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), F.col("component") * 0 + F.ceil(F.col("size") / BLOCK)).cast("int")})
-    # a small component is one group with others of its hash; a large one has a group for each pair of blocks
-    packs = F.lit(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16)
+def exact_links(nodes: DataFrame, found: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Every vector against every other, tile against tile: (node, n_links, other).
+
+    other -1: the links of node counted in one tile, equal rows included. Else
+    a link node-other between two components of found, one for each pair of
+    components in a tile. No link is left out: work grows with the square of
+    the number of different vectors, output with vectors x tiles.
+    """
+    tile = min(MOST_TILE, max(LEAST_TILE, n // 8))
+    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    members = nodes.select("node", "dim", "weight").join(found, "node", "left").join(F.broadcast(sizes), "dim").withColumns({"component": F.coalesce("component", "node"), "block": F.pmod(F.xxhash64("node"), "blocks").cast("int")})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = members.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), packs)).otherwise(F.xxhash64("component", "i", "j"))
-    rows = paired.select("node", "component", "block", "i", "j", group.alias("grp")).join(nodes.select("node", "v64"), "node")
+    columns = ["node", "component", "weight", "dim", "block", "i", "j"]
+    rows = paired.select(*columns, F.xxhash64("dim", "i", "j").alias("grp")).join(nodes.select("node", "v64"), "node")
 
     def compare(_: int, rows: dict[str, list]) -> Iterator[tuple]:
-        comp, node = np.array(rows["component"], np.int64), np.array(rows["node"], np.int64)
-        block, i, j = (np.array(rows[c], np.int64) for c in ("block", "i", "j"))
-        order = np.lexsort((node, j, i, comp))
-        key = np.stack((comp, i, j))[:, order]
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(order)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            at = order[s:e]
-            same = i[at[0]] == j[at[0]]
-            left, right = (at, at) if same else (at[block[at] == i[at]], at[block[at] == j[at]])
+        node, comp, weight, dim, block, i, j = (np.array(rows[c], np.int64) for c in columns)
+        for d, p, q in sorted(set(zip(dim.tolist(), i.tolist(), j.tolist(), strict=True))):  # one, unless hashes meet
+            at = np.flatnonzero((dim == d) & (i == p) & (j == q))
+            left, right = at[block[at] == p], at[block[at] == q]
             if not len(left) or not len(right):
                 continue
-            x = _matrix([rows["v64"][p] for p in left], np.float64)
-            y = x if same else _matrix([rows["v64"][p] for p in right], np.float64)
-            hit = x @ y.T >= threshold
-            if same:
-                np.fill_diagonal(hit, False)
-                yield node[left], hit.sum(axis=1)
-            else:
-                yield node[left], hit.sum(axis=1)
-                yield node[right], hit.sum(axis=0)
-
-    counted = _grouped(rows, "grp", ["node", "component", "block", "i", "j", "v64"], compare, "node long, n_links long", ["node", "n_links"])
-    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+            y = _matrix([rows["v64"][r] for r in right], np.float64)
+            back = np.zeros(len(right), np.int64)
+            for s in range(0, len(left), BLOCK):
+                part = left[s : s + BLOCK]
+                hit = _matrix([rows["v64"][r] for r in part], np.float64) @ y.T >= threshold
+                if p == q:
+                    hit[np.arange(len(part)), s + np.arange(len(part))] = False
+                counts = hit @ weight[right] + (weight[part] - 1 if p == q else 0)
+                yield node[part], counts, np.full(len(part), -1, np.int64)
+                if p != q:
+                    back += weight[part] @ hit
+                u, v = np.nonzero(hit)
+                apart = comp[part][u] != comp[right][v]
+                u, v = part[u[apart]], right[v[apart]]
+                _, first = np.unique(np.stack((comp[u], comp[v])), axis=1, return_index=True)
+                yield node[u[first]], np.zeros(len(first), np.int64), node[v[first]]
+            if p != q:
+                yield node[right], back, np.full(len(right), -1, np.int64)
+
+    return _grouped(rows, "grp", [*columns, "v64"], compare, "node long, n_links long, other long", ["node", "n_links", "other"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec: str = "embedding", id_col: str = "vec_id", k: int = NEIGHBOURS) -> DataFrame:
@@ -268,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec: str =
     empty table gives an empty result. Labels and other columns are not read.
     """
     all_rows = written(prepare(vectors, vec, id_col), "vectors")
-    nodes = all_rows.where("dim > 0")
+    nodes = written(all_rows.where("dim > 0").groupBy("dim", "v64", "v32").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("weight")), "nodes")  # equal vectors are one
     n = nodes.count()
     truth = written(audit_links(nodes, threshold), "audit")
     graph = written(top_lists(leaf_lists(nodes, n, k), k), "lists")
@@ -285,8 +296,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec: str =
         if recall(found, truth) >= AUDIT_RECALL:
             break
         k *= 2  # longer lists, further rounds
-    counts = count_links(nodes, found, threshold)
-    named = all_rows.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    exact = written(exact_links(nodes, found, n, threshold), "links")
+    bridges = exact.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if not bridges.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
+    counts = exact.where("other < 0").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    one = nodes.select("dim", "v64", F.col("node").alias("first"))
+    rows = all_rows.join(one, ["dim", "v64"], "left").select(F.coalesce("first", "node").alias("node"), "id")
+    named = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     return (
         named.join(least, "component").join(counts, "node", "left")

@@ -205,6 +205,26 @@ def test_embedding_dedup(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def against_all_pairs(spark, x, **how):
+    """near_duplicates() of the rows of x equals links and components of a comparison of all pairs."""
+    got = {r["vec_id"]: r for r in embedding.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), **how).collect()}
+    m = x / np.linalg.norm(x, axis=1)[:, None]
+    links = m @ m.T >= 0.9
+    least = np.arange(len(x))
+    for _ in range(len(x)):
+        least = np.where(links, least[None, :], len(x)).min(axis=1)
+    assert [got[i]["n_links"] for i in range(len(x))] == (links.sum(axis=1) - 1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
+
+
+def test_embedding_dedup_links_tight_groups(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = np.linalg.qr(rng.standard_normal((32, 3)))[0].T
+    turn = lambda u, v, cos: cos * u + np.sqrt(1 - cos * cos) * v
+    x = np.concatenate((np.tile(a, (20, 1)), np.tile(turn(a, b, 0.93), (20, 1)), turn(a, c, 0.92) + 1e-4 * rng.standard_normal((12, 32)), rng.standard_normal((150, 32))))
+    against_all_pairs(spark, x)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
