@@ -225,6 +225,17 @@ def test_embedding_dedup_links_tight_groups(spark):
     against_all_pairs(spark, x)
 
 
+def test_embedding_dedup_does_not_depend_on_the_lists(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(embedding, "TREES", 1)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 24))
+    for i in range(120):  # chains of 12, each vector at about 0.93 from the last
+        if i % 12:
+            x[i] = x[i - 1] + 0.4 * np.linalg.norm(x[i - 1]) / np.sqrt(24) * rng.standard_normal(24)
+    against_all_pairs(spark, x, k=1)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
