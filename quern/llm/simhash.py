@@ -20,7 +20,7 @@ Every case is an equality of a key of 30 bits or more.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -219,16 +219,44 @@ def fingerprint_sets(text: str | None, width: int, sets: int, seed: int = SEED)
     return out
 
 
+def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) over the links that judge keeps of all pairs (a, b) that share a key of table (at, n, key).
+
+    n: size of a text; pairs whose sizes alone forbid the similarity are not
+    judged. The texts of a key are first compared with their neighbours in an
+    order that differs from key to key, which joins large groups of near
+    copies without comparing all pairs; then all pairs of a key that still lie
+    in different components are compared, so that no link between components
+    is lost. Of the keys that the same texts share, the second pass reads one.
+    """
+    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
+    sizes_allow = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    beside = table.withColumns({"prev": F.lag("at").over(mixed), "np": F.lag("n").over(mixed), "next": F.lead("at").over(mixed)})
+    shared = written(beside.where("prev is not null or next is not null").select("at", "n", "key", "prev", "np"), "shared-keys")
+    near = shared.where("prev is not null").select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
+    first = written(judge(near.where(sizes_allow).select("a", "b").distinct()), "near-links")
+    groups = components(first)
+    named = shared.select("at", "n", "key").join(groups.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+    texts_of = [F.count("*"), F.min("at"), F.max("at"), F.bit_xor(F.xxhash64("at")), F.bit_xor(F.xxhash64("at", F.lit(1)))]
+    crowds = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(c.alias(f"t{i}") for i, c in enumerate(texts_of))).where("lo <> hi")
+    crowds = crowds.groupBy(*(f"t{i}" for i in range(len(texts_of)))).agg(F.min("key").alias("key"))
+    apart = written(named.join(crowds.select("key"), "key", "left_semi"), "apart")
+    x, y = (apart.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
+    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = written(judge(pairs), "late-links")
+    found = groups if late.isEmpty() else components(first.unionByName(late))
+    for t in (shared, apart):
+        drop_written(t)
+    return found
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc, th, component): id, text hash and least id of the group of every distinct (id, text).
 
     Texts are linked if the similarity of their five-word shingle sets, as
     their 64 * JUDGE_SETS fingerprint bits estimate it, is at least
     `similarity`. Candidates share a Golay key of one of FIND_SETS two-word
-    fingerprints; the texts of a key are compared with their neighbours in an
-    order that differs from key to key, so that a
-    group of thousands is joined by links whose number grows with its size,
-    not with its pairs. Null ids count as the largest.
+    fingerprints, see link_by_keys(). Null ids count as the largest.
     """
     none = (1 << 63) - 1
 
@@ -252,14 +280,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "tex
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((keys_of | np.uint64(k) << np.uint64(60)).view(np.int64))], names=["at", "key"])
 
     numbered = written(nodes.withColumn("at", F.monotonically_increasing_id()), "texts")
-    table = numbered.select("at", "find").mapInArrow(key, "at long, key long")
-    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
-    pairs = table.withColumn("prev", F.lag("at").over(mixed)).where("prev is not null")
-    pairs = pairs.select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b")).distinct()
+    table = numbered.select("at", "find").mapInArrow(key, "at long, key long").withColumn("n", F.lit(1))
     most = int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * JUDGE_SETS)
     x, y = numbered.select(F.col("at").alias("a"), F.col("judge").alias("x")), numbered.select(F.col("at").alias("b"), F.col("judge").alias("y"))
     differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(JUDGE_SETS)])
-    found = components(pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"))
+    found = link_by_keys(table, similarity, lambda pairs: pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"))
     named = numbered.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("least"))
     group = named.join(least, "component").select("find", "judge", F.col("least").alias("component"))

@@ -131,6 +131,13 @@ def test_similar_documents_keep_one(spark):
     assert left == list(range(12)) and simhash.keep_one(df).columns == df.columns
 
 
+def test_similar_documents_of_a_crowded_key(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "keys", lambda fps: (np.arange(len(fps)), np.zeros(len(fps), np.uint64)))
+    base = [prose(120) for _ in range(40)]
+    df = documents(spark, [*base, *(t + " x" for t in base)])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(40))
+
+
 @pytest.mark.parametrize("most", [8192, 1])
 def test_suffix_dedup(spark, most, monkeypatch):
     monkeypatch.setattr(suffix, "repeated_spans", lambda *a, **k: suffix_spans(*a, most_strings=most, **k))
