@@ -19,9 +19,8 @@ Every case is an equality of a key of 30 bits or more.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -198,9 +197,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of similar_documents(): two-word shingles find candidates, five-word shingles judge them.
+#: Fingerprints of similar_documents(): two-word shingles find candidates, sets of five-word shingles judge them.
 FIND_WIDTH, FIND_SETS = 2, 5
-JUDGE_WIDTH, JUDGE_SETS = 5, 8
+JUDGE_WIDTH = 5
 
 
 def fingerprint_sets(text: str | None, width: int, sets: int, seed: int = SEED) -> np.ndarray:
@@ -250,45 +249,57 @@ def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame
     return found
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc, th, component): id, text hash and least id of the group of every distinct (id, text).
-
-    Texts are linked if the similarity of their five-word shingle sets, as
-    their 64 * JUDGE_SETS fingerprint bits estimate it, is at least
-    `similarity`. Candidates share a Golay key of one of FIND_SETS two-word
-    fingerprints, see link_by_keys(). Null ids count as the largest.
-    """
+def shingle_sets(docs: DataFrame, text: str, id_col: str, width: int = JUDGE_WIDTH) -> DataFrame:
+    """(row, doc, th, n, digest, grams, text): ascending 64-bit hashes of the different shingles of each text, their number and a digest of them."""
     none = (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, "text"):
-            texts = b.column(2).to_pylist()
-            cols = [np.array([fingerprint_sets(t, w, k) for t in texts]).view(np.int64).tolist() for w, k in ((FIND_WIDTH, FIND_SETS), (JUDGE_WIDTH, JUDGE_SETS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["doc", "th", "find", "judge"])
+            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)), np.uint64)).view(np.int64) for t in b.column(3).to_pylist()]
+            sizes = np.array([len(g) for g in sets], np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets)))
+            cols = [*(b.column(i) for i in range(3)), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), grams, b.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "th", "n", "digest", "grams", "text"])
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
+    return slim.mapInArrow(run, "row long, doc long, th long, n int, digest binary, grams array<long>, text string")
+
+
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, in sets (at, n, grams), have at least this Jaccard similarity."""
+    x, y = (sets.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("grams").alias(f"g{i}")) for i in "ab")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(x, "a").join(y, "b").where((1 + similarity) * both >= similarity * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
 
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = written(slim.mapInArrow(run, "doc long, th long, find array<long>, judge array<long>"), "fingerprints")
-    nodes = held.groupBy("find", "judge").agg(F.min("doc").alias("least_doc"))  # exact copies are one
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc, th, component): id, text hash and least id of the group of every distinct (id, text).
+
+    Texts are linked if the Jaccard similarity of their sets of five-word
+    shingles is at least `similarity`; equal sets are one node. Candidates
+    share a Golay key of one of FIND_SETS two-word fingerprints, see
+    link_by_keys(). Null ids count as the largest.
+    """
+    held = written(shingle_sets(docs, text, id_col), "shingles")
+    nodes = written(held.groupBy("digest").agg(F.min("row").alias("at"), F.min("doc").alias("least_doc")), "texts")
+    sets = written(held.join(nodes.select(F.col("at").alias("row")), "row", "left_semi").withColumnRenamed("row", "at"), "sets")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                found = np.array(part.column(1).to_pylist(), np.int64).view(np.uint64).reshape(-1, FIND_SETS)
+            for part in text_blocks(iter([batch]), "text"):
+                found = np.array([fingerprint_sets(t, FIND_WIDTH, FIND_SETS) for t in part.column(2).to_pylist()], np.uint64).reshape(-1, FIND_SETS)
                 for k in range(FIND_SETS):
                     row, keys_of = keys(found[:, k])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((keys_of | np.uint64(k) << np.uint64(60)).view(np.int64))], names=["at", "key"])
-
-    numbered = written(nodes.withColumn("at", F.monotonically_increasing_id()), "texts")
-    table = numbered.select("at", "find").mapInArrow(key, "at long, key long").withColumn("n", F.lit(1))
-    most = int(math.acos(2 * similarity / (1 + similarity)) / math.pi * 64 * JUDGE_SETS)
-    x, y = numbered.select(F.col("at").alias("a"), F.col("judge").alias("x")), numbered.select(F.col("at").alias("b"), F.col("judge").alias("y"))
-    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(JUDGE_SETS)])
-    found = link_by_keys(table, similarity, lambda pairs: pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"))
-    named = numbered.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((keys_of | np.uint64(k) << np.uint64(60)).view(np.int64))], names=["at", "n", "key"])
+
+    table = sets.select("at", "n", "text").mapInArrow(key, "at long, n int, key long")
+    found = link_by_keys(table, similarity, lambda pairs: jaccard_links(pairs, sets, similarity))
+    named = nodes.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("least"))
-    group = named.join(least, "component").select("find", "judge", F.col("least").alias("component"))
-    return held.join(group, ["find", "judge"]).select("doc", "th", "component").distinct()
+    group = named.join(least, "component").select("digest", F.col("least").alias("component"))
+    return held.select("doc", "th", "digest").join(group, "digest").select("doc", "th", "component").distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -138,6 +138,36 @@ def test_similar_documents_of_a_crowded_key(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(40))
 
 
+def edited(words, n, rng):
+    """words with n of them changed, at scattered places."""
+    at = set(rng.sample(range(len(words)), n))
+    return [f"new{rng.random()}" if i in at else w for i, w in enumerate(words)]
+
+
+def against_jaccard(spark, texts):
+    """Groups of similar_documents() equal the components of exact Jaccard similarity, of all pairs, from 0.8."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    got = {r["doc"]: r["component"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == group
+
+
+def test_similar_documents_are_judged_exactly(spark):
+    rng = random.Random(3)
+    texts = []
+    for n in (3, 4, 5, 6, 7, 8) * 4:  # similarity from 0.86 to 0.66
+        base = [prose(1) + str(i) for i in range(200)]
+        texts += [" ".join(base), " ".join(edited(base, n, rng))]
+    line = prose(30)  # a line repeated often outweighs the rest only if repeats count
+    texts += ["\n".join([line] * 40 + [prose(40)]) for _ in range(2)]
+    against_jaccard(spark, texts)
+
+
 @pytest.mark.parametrize("most", [8192, 1])
 def test_suffix_dedup(spark, most, monkeypatch):
     monkeypatch.setattr(suffix, "repeated_spans", lambda *a, **k: suffix_spans(*a, most_strings=most, **k))
