@@ -20,7 +20,7 @@ Every case is an equality of a key of 30 bits or more.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -197,25 +197,14 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of similar_documents(): two-word shingles find candidates, sets of five-word shingles judge them.
-FIND_WIDTH, FIND_SETS = 2, 5
+#: similar_documents() compares sets of shingles of this many words.
 JUDGE_WIDTH = 5
-
-
-def fingerprint_sets(text: str | None, width: int, sets: int, seed: int = SEED) -> np.ndarray:
-    """Several 64-bit SimHashes of one text, by independent mixes of each shingle's hash; no words: zeros."""
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles(text, width)), np.uint64)
-    out = np.zeros(sets, np.uint64)
-    for k in range(sets if len(h) else 0):
-        x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF | 1)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(32))).astype("<u8")
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(x), 65536):
-            ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
-    return out
+#: 64-bit words of a set's parities, which bound the difference of two sets from below.
+PARITY_WORDS = 32
+#: Keys of a text by which neighbours are compared first; all keys count in the pass after it.
+NEAR_KEYS = 3
+#: Buckets of each of the two count tables that tell common shingles.
+SKETCH = 1 << 18
 
 
 def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -223,17 +212,19 @@ def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame
 
     n: size of a text; pairs whose sizes alone forbid the similarity are not
     judged. The texts of a key are first compared with their neighbours in an
-    order that differs from key to key, which joins large groups of near
-    copies without comparing all pairs; then all pairs of a key that still lie
+    order that differs from key to key, by NEAR_KEYS keys a text, which joins
+    large groups of near copies without comparing all pairs; then, by all keys, all pairs of a key that still lie
     in different components are compared, so that no link between components
     is lost. Of the keys that the same texts share, the second pass reads one.
     """
     mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
     sizes_allow = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    beside = table.withColumns({"prev": F.lag("at").over(mixed), "np": F.lag("n").over(mixed), "next": F.lead("at").over(mixed)})
-    shared = written(beside.where("prev is not null or next is not null").select("at", "n", "key", "prev", "np"), "shared-keys")
-    near = shared.where("prev is not null").select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
-    first = written(judge(near.where(sizes_allow).select("a", "b").distinct()), "near-links")
+    beside = table.withColumns({"prev": F.lag("at").over(mixed), "next": F.lead("at").over(mixed)})
+    shared = written(beside.where("prev is not null or next is not null").select("at", "n", "key"), "shared-keys")
+    few = shared.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("key"), "key"))).where(f"r <= {NEAR_KEYS}")
+    beside = few.withColumns({"prev": F.lag("at").over(mixed), "np": F.lag("n").over(mixed)})
+    near = beside.where("prev is not null").select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
+    first = judge(near.where(sizes_allow).select("a", "b").distinct())
     groups = components(first)
     named = shared.select("at", "n", "key").join(groups.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
     texts_of = [F.count("*"), F.min("at"), F.max("at"), F.bit_xor(F.xxhash64("at")), F.bit_xor(F.xxhash64("at", F.lit(1)))]
@@ -242,7 +233,7 @@ def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame
     apart = written(named.join(crowds.select("key"), "key", "left_semi"), "apart")
     x, y = (apart.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
     pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(judge(pairs), "late-links")
+    late = judge(pairs)
     found = groups if late.isEmpty() else components(first.unionByName(late))
     for t in (shared, apart):
         drop_written(t)
@@ -250,7 +241,11 @@ def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame
 
 
 def shingle_sets(docs: DataFrame, text: str, id_col: str, width: int = JUDGE_WIDTH) -> DataFrame:
-    """(row, doc, th, n, digest, grams, text): ascending 64-bit hashes of the different shingles of each text, their number and a digest of them."""
+    """(row, doc, th, n, digest, parity, grams): ascending 64-bit hashes of the different shingles of each text, their number, digest and parities.
+
+    A parity bit is set if an odd number of the hashes fall on it.
+    """
+    bits = 64 * PARITY_WORDS
     none = (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +253,86 @@ def shingle_sets(docs: DataFrame, text: str, id_col: str, width: int = JUDGE_WID
             sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)), np.uint64)).view(np.int64) for t in b.column(3).to_pylist()]
             sizes = np.array([len(g) for g in sets], np.int32)
             grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets)))
-            cols = [*(b.column(i) for i in range(3)), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), grams, b.column(3)]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "th", "n", "digest", "grams", "text"])
+            odd = [np.packbits((np.bincount(g & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64) for g in sets]
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate(odd)))
+            cols = [*(b.column(i) for i in range(3)), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), parity, grams]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "th", "n", "digest", "parity", "grams"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
-    return slim.mapInArrow(run, "row long, doc long, th long, n int, digest binary, grams array<long>, text string")
+    return slim.mapInArrow(run, "row long, doc long, th long, n int, digest binary, parity array<long>, grams array<long>")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """2 x SKETCH counts of texts: a bucket's count where it stands out, else zero. The driver gets only those that do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, SKETCH), np.int64)
+        for b in batches:
+            for row, at in enumerate(_buckets(b.column(0).flatten().to_numpy())):
+                seen[row] += np.bincount(at, minlength=SKETCH)
+        row, bucket = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[row, bucket])], names=["row", "bucket", "n"])
+
+    merged = written(sets.select("grams").mapInArrow(count, "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")), "sketch")
+    mean = (merged.agg(F.sum("n")).first()[0] or 0) / (2 * SKETCH)
+    out = np.zeros((2, SKETCH), np.int64)
+    for r in merged.where(F.col("n") > mean + 8 * mean**0.5 + 8).collect():  # 2 x SKETCH at most, whatever the input
+        out[r["row"], r["bucket"]] = r["n"]
+    drop_written(merged)
+    return out
+
+
+def _buckets(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return grams & (SKETCH - 1), grams >> 24 & (SKETCH - 1)
+
+
+def prefix_table(sets: DataFrame, similarity: float) -> DataFrame:
+    """(at, n, key): the first n - ceil(similarity * n) + 1 of each set's n shingles, in one order for all sets.
+
+    Sets at the similarity have at least ceil(similarity * n) shingles in
+    common and so, whatever the order, one among these of both: no pair is
+    lost. Common shingles come last, which keeps passages that many texts
+    quote from making candidates.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                size = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                grams, text = part.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+                first, second = _buckets(grams)
+                order = np.lexsort((grams, np.minimum(counts.value[0, first], counts.value[1, second]), text))
+                place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+                long = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+                taken = place < long[text]
+                rows = pa.array(text[taken])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(grams[order][taken])], names=["at", "n", "key"])
+
+    return sets.select("at", "n", "grams").mapInArrow(run, "at long, n int, key long")
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, in sets (at, n, grams), have at least this Jaccard similarity."""
-    x, y = (sets.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("grams").alias(f"g{i}")) for i in "ab")
+    """The pairs (a, b) whose shingle sets, in sets (at, n, parity, grams), have at least this Jaccard similarity.
+
+    Every odd difference of parities is an element of one set only, so pairs
+    with too many of them are surely less similar; the sets themselves judge
+    the rest.
+    """
+    px, py = (sets.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("parity").alias(f"p{i}")) for i in "ab")
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
+    may = (1 + similarity) * differ <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    pairs = written(pairs.join(px, "a").join(py, "b").where(may).select("a", "b"), "pairs")
+    asked = written(pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct(), "asked")
+    own = written(sets.drop("parity").join(asked, "at", "left_semi"), "asked-sets")  # only sets of candidates travel
+    x, y = (own.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("grams").alias(f"g{i}")) for i in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(x, "a").join(y, "b").where((1 + similarity) * both >= similarity * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    links = written(pairs.join(x, "a").join(y, "b").where((1 + similarity) * both >= similarity * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"), "judged")
+    for t in (pairs, asked, own):
+        drop_written(t)
+    return links
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -278,23 +340,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "tex
 
     Texts are linked if the Jaccard similarity of their sets of five-word
     shingles is at least `similarity`; equal sets are one node. Candidates
-    share a Golay key of one of FIND_SETS two-word fingerprints, see
-    link_by_keys(). Null ids count as the largest.
+    share a shingle of their sets' prefixes, which every such pair does, see
+    prefix_table() and link_by_keys(). Null ids count as the largest.
     """
     held = written(shingle_sets(docs, text, id_col), "shingles")
     nodes = written(held.groupBy("digest").agg(F.min("row").alias("at"), F.min("doc").alias("least_doc")), "texts")
-    sets = written(held.join(nodes.select(F.col("at").alias("row")), "row", "left_semi").withColumnRenamed("row", "at"), "sets")
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_blocks(iter([batch]), "text"):
-                found = np.array([fingerprint_sets(t, FIND_WIDTH, FIND_SETS) for t in part.column(2).to_pylist()], np.uint64).reshape(-1, FIND_SETS)
-                for k in range(FIND_SETS):
-                    row, keys_of = keys(found[:, k])
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((keys_of | np.uint64(k) << np.uint64(60)).view(np.int64))], names=["at", "n", "key"])
-
-    table = sets.select("at", "n", "text").mapInArrow(key, "at long, n int, key long")
+    sets = held.select(F.col("row").alias("at"), "n", "parity", "grams")
+    table = prefix_table(sets, similarity).join(nodes.select("at"), "at", "left_semi")
     found = link_by_keys(table, similarity, lambda pairs: jaccard_links(pairs, sets, similarity))
     named = nodes.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("least"))

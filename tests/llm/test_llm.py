@@ -132,7 +132,7 @@ def test_similar_documents_keep_one(spark):
 
 
 def test_similar_documents_of_a_crowded_key(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "keys", lambda fps: (np.arange(len(fps)), np.zeros(len(fps), np.uint64)))
+    monkeypatch.setattr(simhash, "prefix_table", lambda sets, similarity: sets.select("at", "n", F.lit(0).alias("key")))
     base = [prose(120) for _ in range(40)]
     df = documents(spark, [*base, *(t + " x" for t in base)])
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(40))
@@ -168,6 +168,18 @@ def test_similar_documents_are_judged_exactly(spark):
     against_jaccard(spark, texts)
 
 
+def test_similar_documents_with_an_added_block(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):  # similarity from 0.79 to 0.9, by a block in front, behind or left out
+        base = [prose(1) + str(i) for i in range(rng.randint(30, 300))]
+        block = [prose(1) + "b" for _ in range(int(len(base) * rng.uniform(0.1, 0.25)))]
+        texts += [" ".join(base), " ".join([block + base, base + block, base[len(block) * 4 // 5 :]][i % 3])]
+    passage = prose(60)
+    texts += [prose(20) + " " + passage + " " + prose(20) for _ in range(30)]  # a quoted passage makes no copies
+    against_jaccard(spark, texts)
+
+
 @pytest.mark.parametrize("most", [8192, 1])
 def test_suffix_dedup(spark, most, monkeypatch):
     monkeypatch.setattr(suffix, "repeated_spans", lambda *a, **k: suffix_spans(*a, most_strings=most, **k))
