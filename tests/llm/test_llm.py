@@ -349,6 +349,22 @@ def test_url_filters(spark):
     assert urls.match_rules(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
 
 
+def test_url_filters_with_many_rules(spark):
+    rng = random.Random(6)
+    labels, letters = ["com", "net", "a", "b", "c", "x1"], "ab/"
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    path = lambda n: "/" + "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    rules = sorted({(rng.choice(["allow", "block"]), host(), path(6)) for _ in range(20_000)})
+    pages = [(i % 300, f"http://{host()}{path(12)}") for i in range(1500)] + [(None, "http://com/")] * 40
+    got = urls.match_rules(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string"), ranges=7).collect()
+    by_host: dict = {}
+    for v, h, p in rules:
+        by_host.setdefault(h, []).append((v, h, p))
+    near = lambda u: [r for k in range(u.split("/")[2].count(".") + 1) for r in by_host.get(".".join(u.split("/")[2].split(".")[k:]), [])]
+    want = Counter((i, *judged(u, near(u))) for i, u in pages)
+    assert Counter(map(tuple, got)) == want
+
+
 def test_quality_rules(spark):
     clean = [prose(80) for _ in range(300)]
     junk = [" ".join(w + "###" for w in prose(80).split()) for _ in range(6)]
