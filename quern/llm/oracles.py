@@ -28,20 +28,19 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(
 _FENCES = [("mean_word_chars", 16.0, 0.15, True), ("symbols_per_word", 8.0, 0.025, False), ("dup_line_share", 8.0, 0.06, False), ("repeat_share", 8.0, 0.03, False)]
 
 
+#: Documents' worth of a parent's sketch in each sketch.
+_PRIOR = 20
+
+
 def _quality() -> str:
     value = {"mean_word_chars": "word_chars / greatest(n_words, 1)::DOUBLE", "symbols_per_word": "n_symbols / greatest(n_words, 1)::DOUBLE", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)::DOUBLE", "repeat_share": "n_repeat_words / greatest(n_words, 1)::DOUBLE"}
     long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS f, {v} AS v FROM counts WHERE NOT base_failed" for f, v in value.items())
     own = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS f, {v} AS v FROM counts" for f, v in value.items())
     k, least, two = ("CASE f " + " ".join(f"WHEN '{r[0]}' THEN {r[i]}" for r in _FENCES) + " END" for i in (1, 2, 3))
 
-    def quartiles(name: str, by: str) -> str:
-        part = f"PARTITION BY {by}" if by else ""
-        keys = f"{by}, " if by else ""
-        return f"""{name} AS (SELECT {keys}f, max(total) AS total, min(b) FILTER (upto >= 0.25 * total) AS b1, min(b) FILTER (upto >= 0.5 * total) AS b2, min(b) FILTER (upto >= 0.75 * total) AS b3 FROM (
-            SELECT *, sum(n) OVER ({part or "PARTITION BY 1"}, f ORDER BY b) AS upto, sum(n) OVER ({part or "PARTITION BY 1"}, f) AS total FROM (SELECT {keys}f, b, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY ALL)"""
+    prior = f"{float(_PRIOR)}::DOUBLE"
 
     q = lambda b: f"CASE WHEN {b} = -1048576 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * pow(g, {b}) / (g + 1) END"
-    use = lambda c: f"CASE WHEN fine.total >= 100 THEN fine.{c} WHEN mid.total >= 100 THEN mid.{c} ELSE top.{c} END"
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 6)),
@@ -50,8 +49,14 @@ base AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string
 counts AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 gamma AS (SELECT 1.01::DOUBLE / 0.99::DOUBLE AS g),
 buckets AS (SELECT doc_id, lang, source, f, CASE WHEN v <= 1e-6 THEN -1048576 ELSE ceil(ln(v) / ln(g))::INTEGER END AS b FROM ({long}), gamma),
-{quartiles("fine", "lang, source")}, {quartiles("mid", "lang")}, {quartiles("top", "")},
-used AS (SELECT fine.lang, fine.source, f, {use("b1")} AS b1, {use("b2")} AS b2, {use("b3")} AS b3 FROM fine LEFT JOIN mid USING (f) LEFT JOIN top USING (f) WHERE fine.lang IS NOT DISTINCT FROM mid.lang),
+n_all AS (SELECT f, b, count(*) AS n FROM buckets GROUP BY ALL),
+n_lang AS (SELECT lang, f, b, count(*) AS n FROM buckets GROUP BY ALL),
+n_fine AS (SELECT lang, source, f, b, count(*) AS n FROM buckets GROUP BY ALL),
+p_lang AS (SELECT lang, f, b, sum(n) AS n FROM (SELECT lang, f, b, n::DOUBLE AS n FROM n_lang UNION ALL SELECT lang, f, b, {prior} * n / sum(n) OVER (PARTITION BY lang, f) FROM (SELECT DISTINCT lang, f FROM n_lang) JOIN n_all USING (f)) GROUP BY ALL),
+p_fine AS (SELECT lang, source, f, b, sum(n) AS n FROM (SELECT lang, source, f, b, n::DOUBLE AS n FROM n_fine UNION ALL
+    SELECT g.lang, source, g.f, b, {prior} * n / sum(n) OVER (PARTITION BY g.lang, source, g.f) FROM (SELECT DISTINCT lang, source, f FROM n_fine) g JOIN p_lang p ON g.f = p.f AND g.lang IS NOT DISTINCT FROM p.lang) GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, f) AS total FROM p_fine),
+used AS (SELECT lang, source, f, min(b) FILTER (upto >= 0.25::DOUBLE * total - 1e-9 * total) AS b1, min(b) FILTER (upto >= 0.5::DOUBLE * total - 1e-9 * total) AS b2, min(b) FILTER (upto >= 0.75::DOUBLE * total - 1e-9 * total) AS b3 FROM upto GROUP BY ALL),
 quart AS (SELECT lang, source, f, {q("b1")} AS q1, {q("b2")} AS q2, {q("b3")} AS q3 FROM used, gamma),
 fence AS (SELECT lang, source, f, q2 + {k} * greatest(abs(q3 - q2), {least}) AS hi, CASE WHEN {two} THEN q2 - {k} * greatest(abs(q2 - q1), {least}) ELSE -1.0 END AS lo FROM quart),
 outside AS (SELECT DISTINCT v.doc_id FROM ({own}) v JOIN fence ON v.f = fence.f AND v.lang IS NOT DISTINCT FROM fence.lang AND v.source IS NOT DISTINCT FROM fence.source WHERE v.v > hi OR v.v < lo)

@@ -4,8 +4,10 @@ Each feature's distribution is sketched per language and source, by a
 log-bucket quantile sketch: a value's bucket is the integer power of GAMMA
 that bounds it, so a sketch is a set of counted buckets, two sketches merge by
 adding counts in any order, and every quantile is within REL of the true one.
-Thresholds are fences around the group's median; a group that is too small
-takes the merged sketch of its language, then that of all documents.
+Thresholds are fences around the group's median. Every group's sketch is
+topped up by PRIOR documents spread like its language's sketch, and that by as
+many spread like all documents: a small group leans on its parents, a large
+one on itself, and nothing switches at a size.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ REL = 0.01
 GAMMA = (1 + REL) / (1 - REL)
 #: Values up to this are one bucket.
 TINY = 1e-6
-#: A group with fewer scored documents takes its parent's sketch.
-LEAST = 100
+#: Documents' worth of its parent's sketch that each sketch is topped up by.
+PRIOR = 20
 #: feature -> (fence in spreads, least spread, two-sided). Spread: distance of the quartiles from the median.
 FENCES = {
     "mean_word_chars": (16.0, 0.15, True),
@@ -126,26 +128,30 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
+def topped_up(sketches: DataFrame, parents: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """(by, feature, bucket, n): the counts of each sketch and PRIOR documents, spread like the sketch of its parent, whose key is on."""
+    total = parents.groupBy(*on, "feature").agg(F.sum("n").alias("total"))
+    share = parents.join(total, [*on, "feature"]).select(*on, "feature", "bucket", (F.lit(float(PRIOR)) * F.col("n") / F.col("total")).alias("n"))
+    lent = sketches.select(*by, "feature").distinct().join(share, [*on, "feature"]).select(*by, "feature", "bucket", "n")
+    own = sketches.select(*by, "feature", "bucket", F.col("n").cast("double").alias("n"))
+    return merge(own.unionByName(lent), by)
+
+
 def quantiles(sketches: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """(by, feature, total, one column for each of probs)."""
+    """(by, feature, total, one column for each of probs); counts may be fractions, sums of which are equal to a billionth."""
     run = Window.partitionBy(*by, "feature").orderBy("bucket")
     whole = Window.partitionBy(*by, "feature")
     ranked = sketches.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(whole)})
-    least = [F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bucket"))).alias(k) for k, p in probs.items()]
-    found = ranked.groupBy(*by, "feature", "total").agg(*least)
+    least = [F.min(F.when(F.col("upto") >= p * F.col("total") - 1e-9 * F.col("total"), F.col("bucket"))).alias(k) for k, p in probs.items()]
+    found = ranked.groupBy(*by, "feature").agg(F.max("total").alias("total"), *least)
     return found.withColumns({k: bucket_value(F.col(k)) for k in probs})
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(g_lang, g_source, lo_<feature>, hi_<feature>): the fences of every group."""
     probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    fine = quantiles(sketches, ["g_lang", "g_source"], probs)
-    lang = quantiles(merge(sketches, ["g_lang"]), ["g_lang"], probs)
-    every = quantiles(merge(sketches, []), [], probs)
-    stat = lambda d, tag: d.select(*[c for c in d.columns if c not in ("total", *probs)], F.struct("total", *probs).alias(tag))
-    both = stat(fine, "fine").join(stat(lang, "by_lang"), ["g_lang", "feature"], "left").join(stat(every, "by_all"), "feature", "left")
-    use = F.when(F.col("fine.total") >= LEAST, F.col("fine")).when(F.col("by_lang.total") >= LEAST, F.col("by_lang")).otherwise(F.col("by_all"))
-    both = both.withColumn("use", use).select("g_lang", "g_source", "feature", "use.*")
+    of_lang = topped_up(merge(sketches, ["g_lang"]), merge(sketches, []), [], ["g_lang"])
+    both = quantiles(topped_up(sketches, of_lang, ["g_lang"], ["g_lang", "g_source"]), ["g_lang", "g_source"], probs)
     name = F.col("feature")
     reach = lambda a, b, k, least: k * F.greatest(F.abs(F.col(b) - F.col(a)), F.lit(least))
     hi = lo = F.lit(None).cast("double")

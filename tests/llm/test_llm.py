@@ -132,7 +132,7 @@ def test_similar_documents_keep_one(spark):
 
 
 def test_similar_documents_of_a_crowded_key(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "prefix_table", lambda sets, similarity: sets.select("at", "n", F.lit(0).alias("key")))
+    monkeypatch.setattr(simhash, "prefix_table", lambda named, nodes, similarity, counts: nodes.select("at", "n", F.lit(0).alias("key")))
     base = [prose(120) for _ in range(40)]
     df = documents(spark, [*base, *(t + " x" for t in base)])
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(40))
@@ -383,6 +383,15 @@ def test_quality_rules(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_thresholds_differ_by_source(spark):
+    plain = [(i, prose(60) + " # # #", "en", "plain") for i in range(30)]
+    marked = [(100 + i, " ".join(w + "#" if k % 3 else w for k, w in enumerate(prose(60).split())), "en", "marked") for i in range(30)]
+    same = marked[0][1]
+    rows = [*plain, *marked, (1000, same, "en", "plain"), (1001, same, "en", "marked")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000] and got[1001] and all(got[r[0]] for r in plain + marked)
+
+
 def test_sketches_merge(spark):
     rows = spark.range(1000).select(F.lit("a").alias("g_lang"), F.when(F.col("id") < 700, "x").otherwise("y").alias("g_source"), F.lit("f").alias("feature"), quality.bucket(F.col("id").cast("double")).alias("bucket"))
     s = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
