@@ -18,11 +18,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, local mode) a temporary folder is made once and
-    set for the session.
+    Where it is unset a temporary folder is made once and set for the session,
+    in local mode (tests); on a cluster executors would not see it: an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quern.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("quern.shared.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -83,6 +85,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(start)
 
 
+def without(docs: DataFrame, added: list[str], *needed: str) -> DataFrame:
+    """docs without columns that an operator adds under the same name; ValueError if it reads one of them."""
+    if clash := {*added} & {*needed}:
+        raise ValueError(f"the operator adds {sorted(clash)}, which it can't read too")
+    return docs.drop(*added)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

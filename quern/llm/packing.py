@@ -182,26 +182,28 @@ def pack(cut: DataFrame, capacity: int = 4096, id_col: str = "doc_id", group_pie
     """Add sequence_id and offset to pieces; offsets of a sequence are gapless from 0.
 
     Full windows are sequences of their own. Rests are dealt by a hash of
-    their key and row number into groups of about group_pieces and packed best
-    fit, longest first. Rows of any kind may repeat: each is packed. An empty
-    table gives an empty result.
+    their row number into groups of about group_pieces and packed best
+    fit, longest first. Rows of any kind may repeat: each is packed. Columns
+    of cut that have a name of these two are replaced. An empty table gives an
+    empty result.
     """
-    held = written(cut, "pieces")
+    cut = cut.drop("sequence_id", "offset")
+    held = written(cut.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     n = held.where(F.col("length") < capacity).count()
     groups = max(1, -(-n // group_pieces))
-    dealt = held.withColumn("pack_group", F.when(F.col("length") < capacity, F.pmod(F.xxhash64(id_col, "start"), F.lit(groups))).otherwise(F.lit(-1)).cast("long"))
-    rests = dealt.where("pack_group >= 0")
+    dealt = held.withColumn("__group", F.when(F.col("length") < capacity, F.pmod(F.xxhash64("__row"), F.lit(groups))).otherwise(F.lit(-1)).cast("long"))
+    rests = dealt.where("__group >= 0")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rests.schema)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", id_col, "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         window, offset = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=window + pdf["pack_group"] * (1 << 32), offset=offset)
+        return pdf.assign(sequence_id=window + pdf["__group"] * (1 << 32), offset=offset)
 
-    packed = rests.groupBy("pack_group").applyInPandas(fill, fields + ", sequence_id long, offset long")
+    packed = rests.groupBy("__group").applyInPandas(fill, fields + ", sequence_id long, offset long")
     # full windows: numbered by task and row, from where no packed window's number reaches
-    whole = dealt.where("pack_group < 0").withColumns({"sequence_id": F.lit(1 << 62).cast("long") + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(whole).drop("pack_group")
+    whole = dealt.where("__group < 0").withColumns({"sequence_id": F.lit(1 << 62).cast("long") + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return packed.unionByName(whole).drop("__group", "__row")
 
 
 def pack_digest(docs: DataFrame, tokenizer_json: str) -> DataFrame:

@@ -79,11 +79,15 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_col: str = "
     share, or as near as one row allows. Equal texts share a shard unless both
     ends of their group miss a boundary's place by more than
     `group_tolerance` of a share; then the group is cut by a hash of id_col. All columns of docs are kept; k1, k2, size, shard
-    and slot are added (docs must not hold those names; the query renames).
-    Null texts count 16 bytes; null ids hash like any value; equal rows are
-    told apart by nothing and may stand in any order, each with its own slot.
-    An empty table gives an empty result.
+    and slot are added, and replace columns of docs of these names (not the
+    text's or the id's: ValueError). Null texts count 16 bytes; null ids hash
+    like any value; equal rows are told apart by nothing and may stand in any
+    order, each with its own slot. An empty table gives an empty result.
     """
+    added = ["k1", "k2", "size", "shard", "slot"]
+    if {text, id_col} & {*added}:
+        raise ValueError(f"the text and the id can't be named one of {added}")
+    docs = docs.drop(*added)
     keyed = docs.withColumns({
         "k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
         "k2": F.xxhash64(F.col(id_col)),
@@ -106,7 +110,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_col: str = "
     placed = keyed.withColumn("shard", index)
     # slots: rows of a shard are numbered in salted runs, whose starts come from exact counts
     salts = max(1, min(4096, -(-n_rows // (shards * salt_rows))))
-    salt = F.pmod(F.col("k2"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("k1", "k2"), F.lit(salts)).cast("int")  # of text and id: one id, or one text, is no hot run
     counts = rows.withColumn("shard", index).groupBy("shard", salt.alias("salt")).agg(F.count("*").alias("n")).collect()
     starts: dict[tuple[int, int], int] = {}
     at: dict[int, int] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, text_blocks
+from .common import split_words, text_blocks, without
 from .windows import Runs, Spec, merged, repeated_spans, with_spans
 
 SPEC = Spec("word", 50, 16)
@@ -60,8 +60,10 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", spec: Spe
     kept_text joins the kept words by one space; where nothing was removed
     too. Null texts have no words and an empty kept_text. Rows of one id never
     remove each other; null ids count as the largest. An empty table gives an
-    empty result. Columns of docs stay (the three names must be free).
+    empty result. Columns of docs stay, but for those of one of the three
+    names, which are replaced (ValueError if it is the text's or the id's).
     """
+    docs = without(docs, ["n_words", "n_removed", "kept_text"], text, id_col)
     spans = repeated_spans(docs, spec, sort_windows(spec.length), across=True, text=text, id_col=id_col)
     joined = with_spans(docs, spans, text, id_col, "__spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

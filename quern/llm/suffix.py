@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import text_blocks, without
 from .windows import Runs, Spec, merged, repeated_spans, with_spans
 
 SPEC = Spec("byte", 200, 64)
@@ -210,8 +210,10 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", spec: Spe
     kept is binary, the remaining bytes in order (a cut may split a
     character). Null texts have no bytes. Two equal rows repeat each other and
     lose all that is long enough. An empty table gives an empty result.
-    Columns of docs stay (the four names must be free).
+    Columns of docs stay, but for those of one of the four names, which are
+    replaced (ValueError if it is the text's or the id's).
     """
+    docs = without(docs, ["n_bytes", "n_removed", "n_spans", "kept"], text, id_col)
     spans = repeated_spans(docs, spec, suffix_windows(spec.length), across=False, text=text, id_col=id_col)
     joined = with_spans(docs, spans, text, id_col, "__spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
