@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks
@@ -21,8 +21,10 @@ from .common import text_blocks
 BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3, 4)
-#: Bound of the fitted sample: labelled rows of each language that reach the driver.
+#: Bounds of the fitted sample: labelled rows of each language, rows of all, and the commonest languages, which alone can be predicted.
 ROWS_PER_LANGUAGE = 1000
+MOST_ROWS = 20_000
+MOST_LANGUAGES = 200
 
 
 @dataclass
@@ -77,8 +79,8 @@ def _learnable(docs: DataFrame, text: str, lang: str, id_col: str) -> DataFrame:
     return docs.where(ok).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id_col)).alias("pick"))
 
 
-def document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many learnable texts each hashed n-gram occurs, and how many texts there are; counts cover all rows."""
+def document_frequencies(learn: DataFrame) -> DataFrame:
+    """(gram, n): in how many learnable texts each hashed n-gram occurs; gram -1 has the number of texts. Counts cover all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen, n = Grams(), np.zeros(DIM, np.int64), 0
@@ -90,49 +92,30 @@ def document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
                     n += 1
         yield pa.RecordBatch.from_pydict({"gram": pa.array([-1, *range(DIM)], pa.int32()), "n": pa.array([n, *seen.tolist()], pa.int64())})
 
-    rows = learn.select("text").mapInArrow(count, "gram int, n long").where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(DIM, np.int64)
-    docs = 0
-    for r in rows:  # DIM + 1 rows at most
-        if r["gram"] < 0:
-            docs = r["n"]
-        else:
-            found[r["gram"]] = r["n"]
-    return found, docs
-
-
-def sample(learn: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, grams, counts) of at most per_language rows of each language, those of least hash; in hash order."""
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        part = min(1.0, 1.3 * per_language / n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("pick", F.lit(1 << 20)) < int(part * (1 << 20)) + 1))
+    return learn.select("text").mapInArrow(count, "gram int, n long").where("n > 0").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def sample(learn: DataFrame, per_language: int) -> DataFrame:
+    """(lang, pick, grams, counts) of rows of least hash of the MOST_LANGUAGES commonest languages, with a surplus that train() cuts to per_language rows each, or less where many languages share MOST_ROWS."""
+    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = sizes.withColumn("most", F.least(F.lit(per_language), F.floor(F.lit(MOST_ROWS) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    part = F.least(F.lit(1.0), 1.3 * F.col("most") / F.col("count"))
+    kept = learn.join(F.broadcast(sizes), "lang").where(F.pmod("pick", F.lit(1 << 20)) < F.floor(part * (1 << 20)) + 1)  # MOST_LANGUAGES rows
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for b in batches:
-            texts, langs, picks = (b.column(i).to_pylist() for i in range(3))
-            out = {"lang": [], "pick": [], "grams": [], "counts": []}
-            for t, lang, pick in zip(texts, langs, picks, strict=True):
+        for b in text_blocks(batches, "text"):
+            texts, langs, picks, most = (b.column(i).to_pylist() for i in range(4))
+            out = {"lang": [], "pick": [], "most": [], "grams": [], "counts": []}
+            for t, *row in zip(texts, langs, picks, most, strict=True):
                 c = grams.counts(t)
                 if c is not None:
                     at = np.flatnonzero(c)
-                    out["lang"].append(lang)
-                    out["pick"].append(pick)
-                    out["grams"].append(at.astype(np.uint16).tobytes())
-                    out["counts"].append(c[at].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"lang": pa.string(), "pick": pa.int64()}.get(k, pa.binary())) for k, v in out.items()})
-
-    rows = learn.where(keep).mapInArrow(featurise, "lang string, pick long, grams binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["pick"], r["lang"], r["grams"], r["counts"]))
-    took: dict[str, int] = {}
-    found = []
-    for r in rows:
-        took[r["lang"]] = took.get(r["lang"], 0) + 1
-        if took[r["lang"]] <= per_language:
-            found.append((r["lang"], np.frombuffer(r["grams"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.float32)))
-    return found
+                    for name, value in zip(out, [*row, at.astype(np.uint16).tobytes(), c[at].astype(np.float32).tobytes()], strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"lang": pa.string(), "pick": pa.int64(), "most": pa.int64()}.get(k, pa.binary())) for k, v in out.items()})
+
+    return kept.select("text", "lang", "pick", F.col("most").cast("long").alias("most")).mapInArrow(featurise, "lang string, pick long, most long, grams binary, counts binary")
 
 
 def _weigh(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -185,10 +168,39 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_docs
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from rows that are not held out. Document frequencies cover all of them, weights a bounded sample."""
+    """Learn from rows that are not held out. Document frequencies cover all of them, weights a bounded sample.
+
+    One task trains, on the sample and the frequencies; the driver gets the model alone.
+    """
     learn = _learnable(docs, text, lang, id_col)
-    df, n = document_frequencies(learn)
-    return train(sample(learn, per_language), df, n)
+    kinds = "lang string, pick long, most long, grams binary, counts binary, gram int, n long"
+    rows = sample(learn, per_language).unionByName(document_frequencies(learn), allowMissingColumns=True).select(*(c.split()[0] for c in kinds.split(", ")))
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, df, n_docs = [], np.zeros(DIM, np.int64), 0
+        for b in batches:
+            for language, pick, most, grams, counts, gram, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if gram is None:
+                    held.append((pick, language, grams, counts, most))
+                elif gram < 0:
+                    n_docs = n
+                else:
+                    df[gram] = n
+        held.sort(key=lambda r: r[:4])
+        took: dict[str, int] = {}
+        found = []
+        for _, language, grams, counts, most in held:
+            took[language] = took.get(language, 0) + 1
+            if took[language] <= most:
+                found.append((language, np.frombuffer(grams, np.uint16).astype(np.int32), np.frombuffer(counts, np.float32)))
+        m = train(found, df, n_docs)
+        yield pa.RecordBatch.from_pydict({
+            "langs": pa.array([m.langs], pa.list_(pa.string())), "weights": pa.array([m.weights.astype(np.float64).tobytes()], pa.binary()), "bias": pa.array([m.bias.astype(np.float64).tobytes()], pa.binary()),
+            "idf": pa.array([m.idf.astype(np.float64).tobytes()], pa.binary()), "temperature": pa.array([m.temperature], pa.float64()),
+        })
+
+    r = rows.repartition(1).mapInArrow(learned, "langs array<string>, weights binary, bias binary, idf binary, temperature double").first()
+    return Model(list(r["langs"]), np.frombuffer(r["weights"], np.float64).reshape(-1, DIM), np.frombuffer(r["bias"], np.float64), np.frombuffer(r["idf"], np.float64), r["temperature"])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
