@@ -19,8 +19,9 @@ Every case is an equality of a key of 30 bits or more.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     """64-bit SimHash: a bit is set if it is in over half the hashes; no words: zero."""
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, seed) for s in shingles(text, width)), np.uint64)
-    if not len(h):
-        return 0
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each set if it is in over half of the hashes; none: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -145,6 +149,20 @@ def _close(x: str, y: str, most: int) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
 
 
+def shared_keys(distinct: DataFrame) -> DataFrame:
+    """(fp, key, least, prev): the keys that several fingerprints share, with the least one and the one before; a written table."""
+    by_key = Window.partitionBy("key")
+    marked = key_table(distinct).withColumns({"n": F.count("*").over(by_key), "least": F.min("fp").over(by_key), "prev": F.lag("fp").over(by_key.orderBy("fp"))})
+    return written(marked.where("n > 1").select("fp", "key", "least", "prev"), "simhash-keys")
+
+
+def side_by_side(shared: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints at `most` bits or fewer: each with the least one and with the one before of its keys."""
+    stars = shared.where(_close("fp", "least", most)).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    chain = shared.where(F.col("prev").isNotNull() & _close("fp", "prev", most)).select(F.col("fp").alias("a"), F.col("prev").alias("b"))
+    return stars.unionByName(chain).where("a <> b")
+
+
 def link_components(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
     """(fp, component): least fingerprint reachable over links of at most `most` (3 or fewer) differing bits.
 
@@ -156,13 +174,9 @@ def link_components(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
     """
     if not 0 <= most <= DISTANCE:
         raise ValueError("the codes cover up to three differing bits")
-    table = key_table(distinct)
     by_key = Window.partitionBy("key")
-    marked = table.withColumns({"n": F.count("*").over(by_key), "least": F.min("fp").over(by_key), "prev": F.lag("fp").over(by_key.orderBy("fp"))})
-    shared = written(marked.where("n > 1").select("fp", "key", "least", "prev"), "simhash-keys")
-    stars = shared.where(_close("fp", "least", most)).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    chain = shared.where(F.col("prev").isNotNull() & _close("fp", "prev", most)).select(F.col("fp").alias("a"), F.col("prev").alias("b"))
-    first = written(stars.unionByName(chain).where("a <> b").distinct(), "simhash-links")
+    shared = shared_keys(distinct)
+    first = written(side_by_side(shared, most).distinct(), "simhash-links")
     groups = components(first)
     named = shared.select("fp", "key").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     mixed = written(named.withColumns({"lo": F.min("component").over(by_key), "hi": F.max("component").over(by_key)}).where("lo <> hi").select("fp", "key", "component"), "simhash-mixed")
@@ -199,159 +213,273 @@ def digest(docs: DataFrame) -> DataFrame:
 
 #: similar_documents() compares sets of shingles of this many words.
 JUDGE_WIDTH = 5
-#: 64-bit words of a set's parities, which bound the difference of two sets from below.
-PARITY_WORDS = 32
+#: Share of a set that its prefix holds beyond what the similarity asks for: pairs then have several keys in common, not one.
+SPARE = 0.1
 #: Keys of a text by which neighbours are compared first; all keys count in the pass after it.
 NEAR_KEYS = 3
 #: Buckets of each of the two count tables that tell common shingles.
-SKETCH = 1 << 18
-
+SKETCH = 1 << 16
+#: Bits of the map by which tasks pass over texts that are no candidates, whatever the input.
+MARKS = 1 << 23
+_NO_ID = (1 << 63) - 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingle_sets(texts: list[str | None], width: int = JUDGE_WIDTH) -> list[np.ndarray]:
+    """Of each text the ascending 64-bit hashes of its different shingles, made of its words' hashes; no words: none."""
+    out = []
+    for t in texts:
+        words = t.encode().translate(_LOWER).split() if t else []
+        v = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        take = min(width, len(v))
+        h = np.full(len(v) - take + 1 if take else 0, take, np.uint64)
+        for k in range(take):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + v[k : len(v) - take + 1 + k]
+        out.append(np.unique(_mixed(h)))
+    return out
 
-def link_by_keys(table: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) over the links that judge keeps of all pairs (a, b) that share a key of table (at, n, key).
 
-    n: size of a text; pairs whose sizes alone forbid the similarity are not
-    judged. The texts of a key are first compared with their neighbours in an
-    order that differs from key to key, by NEAR_KEYS keys a text, which joins
-    large groups of near copies without comparing all pairs; then, by all keys, all pairs of a key that still lie
-    in different components are compared, so that no link between components
-    is lost. Of the keys that the same texts share, the second pass reads one.
-    """
-    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
-    sizes_allow = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    beside = table.withColumns({"prev": F.lag("at").over(mixed), "next": F.lead("at").over(mixed)})
-    shared = written(beside.where("prev is not null or next is not null").select("at", "n", "key"), "shared-keys")
-    few = shared.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("key"), "key"))).where(f"r <= {NEAR_KEYS}")
-    beside = few.withColumns({"prev": F.lag("at").over(mixed), "np": F.lag("n").over(mixed)})
-    near = beside.where("prev is not null").select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
-    first = judge(near.where(sizes_allow).select("a", "b").distinct())
-    groups = components(first)
-    named = shared.select("at", "n", "key").join(groups.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
-    texts_of = [F.count("*"), F.min("at"), F.max("at"), F.bit_xor(F.xxhash64("at")), F.bit_xor(F.xxhash64("at", F.lit(1)))]
-    crowds = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(c.alias(f"t{i}") for i, c in enumerate(texts_of))).where("lo <> hi")
-    crowds = crowds.groupBy(*(f"t{i}" for i in range(len(texts_of)))).agg(F.min("key").alias("key"))
-    apart = written(named.join(crowds.select("key"), "key", "left_semi"), "apart")
-    x, y = (apart.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = judge(pairs)
-    found = groups if late.isEmpty() else components(first.unionByName(late))
-    for t in (shared, apart):
-        drop_written(t)
-    return found
+def _named(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(doc, th, text): id and text hash name a row; null ids count as the largest."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
 
 
-def shingle_sets(docs: DataFrame, text: str, id_col: str, width: int = JUDGE_WIDTH) -> DataFrame:
-    """(row, doc, th, n, digest, parity, grams): ascending 64-bit hashes of the different shingles of each text, their number, digest and parities.
+def signatures(named: DataFrame) -> DataFrame:
+    """(row, doc, th, n, digest, fp, counts): size, digest and SimHash of each text's set of shingles.
 
-    A parity bit is set if an odd number of the hashes fall on it.
+    One more row of each task, with nothing but counts, holds how often each
+    bucket of a count sketch was met by its sets: two tables of SKETCH counts.
     """
-    bits = 64 * PARITY_WORDS
-    none = (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, names = np.zeros((2, SKETCH), np.int32), ["row", "doc", "th", "n", "digest", "fp", "counts"]
         for b in text_blocks(batches, "text"):
-            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)), np.uint64)).view(np.int64) for t in b.column(3).to_pylist()]
-            sizes = np.array([len(g) for g in sets], np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets)))
-            odd = [np.packbits((np.bincount(g & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64) for g in sets]
-            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate(odd)))
-            cols = [*(b.column(i) for i in range(3)), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), parity, grams]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "th", "n", "digest", "parity", "grams"])
+            sets = shingle_sets(b.column(3).to_pylist())
+            for table, at in zip(seen, _buckets(np.concatenate(sets)), strict=True):
+                table += np.bincount(at, minlength=SKETCH).astype(np.int32)
+            cols = [
+                *(b.column(i) for i in range(3)), pa.array([len(g) for g in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()),
+                pa.array(np.array([majority(g) for g in sets], np.uint64).view(np.int64)), pa.nulls(b.num_rows, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())), pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], names=names)
 
-    whole = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
-    return slim.mapInArrow(run, "row long, doc long, th long, n int, digest binary, parity array<long>, grams array<long>")
+    return named.select(F.monotonically_increasing_id().alias("row"), "doc", "th", "text").mapInArrow(run, "row long, doc long, th long, n int, digest binary, fp long, counts binary")
 
 
-def common_shingles(sets: DataFrame) -> np.ndarray:
+def common_shingles(counts: DataFrame) -> np.ndarray:
     """2 x SKETCH counts of texts: a bucket's count where it stands out, else zero. The driver gets only those that do."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SKETCH), np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(2 * SKETCH, np.int64)
         for b in batches:
-            for row, at in enumerate(_buckets(b.column(0).flatten().to_numpy())):
-                seen[row] += np.bincount(at, minlength=SKETCH)
-        row, bucket = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[row, bucket])], names=["row", "bucket", "n"])
+            for packed in b.column(0).to_pylist():
+                seen += np.frombuffer(zlib.decompress(packed), np.int32)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "n"])
 
-    merged = written(sets.select("grams").mapInArrow(count, "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")), "sketch")
+    merged = written(counts.mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sketch")
     mean = (merged.agg(F.sum("n")).first()[0] or 0) / (2 * SKETCH)
-    out = np.zeros((2, SKETCH), np.int64)
-    for r in merged.where(F.col("n") > mean + 8 * mean**0.5 + 8).collect():  # 2 x SKETCH at most, whatever the input
-        out[r["row"], r["bucket"]] = r["n"]
+    found = merged.where(F.col("n") > mean + 8 * mean**0.5 + 8).toArrow()  # 2 x SKETCH rows at most, whatever the input
+    out = np.zeros(2 * SKETCH, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     drop_written(merged)
-    return out
+    return out.reshape(2, SKETCH)
 
 
 def _buckets(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return grams & (SKETCH - 1), grams >> 24 & (SKETCH - 1)
+    return (grams & np.uint64(SKETCH - 1)).astype(np.int64), (grams >> np.uint64(24) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def prefix_table(sets: DataFrame, similarity: float) -> DataFrame:
-    """(at, n, key): the first n - ceil(similarity * n) + 1 of each set's n shingles, in one order for all sets.
+def prefix_keys(named: DataFrame, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(doc, th, keys): the first shingles of each set in one order for all sets, as many as a similar set can lack, one, and SPARE of the set.
 
-    Sets at the similarity have at least ceil(similarity * n) shingles in
-    common and so, whatever the order, one among these of both: no pair is
-    lost. Common shingles come last, which keeps passages that many texts
-    quote from making candidates.
+    Common shingles come last, which keeps one that most texts have out of nearly all prefixes.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+    sent = named.sparkSession.sparkContext.broadcast(counts)  # 2 x SKETCH numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                size = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                grams, text = part.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
-                first, second = _buckets(grams)
-                order = np.lexsort((grams, np.minimum(counts.value[0, first], counts.value[1, second]), text))
-                place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-                long = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-                taken = place < long[text]
-                rows = pa.array(text[taken])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(grams[order][taken])], names=["at", "n", "key"])
+        for b in text_blocks(batches, "text"):
+            keys = []
+            for g in shingle_sets(b.column(2).to_pylist()):
+                first, second = _buckets(g)
+                order = np.lexsort((g, np.minimum(sent.value[0, first], sent.value[1, second])))
+                keys.append(g[order[: len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1 + int(SPARE * len(g))]].view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc", "th", "keys"])
+
+    return named.mapInArrow(run, "doc long, th long, keys array<long>")
+
+
+def prefix_table(named: DataFrame, nodes: DataFrame, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(at, n, key): keys of nodes (at, doc, th, n) such that two sets at the similarity have one in common.
+
+    In the common order of prefix_keys(), the prefix whose last shingle comes
+    first lies, but for what the other set lacks, in the other's prefix. A set
+    A of n shingles lacks at most n - ceil(similarity * n) of them, so the two
+    prefixes share 1 + SPARE * |A| keys or more, and |A| is at least similarity
+    times the size of either. Keys that only one text has are left out, and of
+    a text's other keys, rarest first, all but the last ones that are fewer
+    than the shared ones: the rarest shared key stays in both.
+    """
+    arrays = prefix_keys(named, similarity, counts).dropDuplicates(["doc", "th"])
+    rows = arrays.join(nodes.select("doc", "th", "at"), ["doc", "th"]).select("at", F.explode("keys").alias("key"))
+    often = rows.withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1")
+    of_text = Window.partitionBy("at")
+    held = often.join(nodes.select("at", "n"), "at").withColumns({"r": F.row_number().over(of_text.orderBy("texts", "key")), "all": F.count("*").over(of_text)})
+    smaller = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    shared = F.least(1 + F.floor(F.lit(SPARE) * smaller), F.ceil(F.lit(similarity) * smaller - 1e-9))
+    return held.where(F.col("r") <= F.col("all") - shared + 1).select("at", "n", "key")
+
+
+def marks(table: DataFrame) -> np.ndarray:
+    """Bits, MARKS in all, that the names (doc, th) of a table fall on."""
+    bit = F.pmod(F.xxhash64("doc", "th"), F.lit(MARKS))
+    words = table.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    found = words.toArrow()  # MARKS / 64 rows at most
+    out = np.zeros(MARKS // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
 
-    return sets.select("at", "n", "grams").mapInArrow(run, "at long, n int, key long")
+def candidate_sets(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """(at, n, parity, grams) of the texts asked for (at, doc, th): the set and its parities, which bound the difference of two sets from below.
+
+    Tasks pass over texts whose name is not among the marks; of the rest only
+    those that are asked for stay. A parity bit is set if an odd number of
+    hashes fall on it; there are at least four bits for each of them.
+    """
+    sent = named.sparkSession.sparkContext.broadcast(marks(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_blocks(batches, "text"):
+            bit = b.column(3).to_numpy()
+            b = b.filter(pa.array((sent.value[bit >> 6] >> (bit & 63) & 1) == 1))
+            if not b.num_rows:
+                continue
+            sets = shingle_sets(b.column(2).to_pylist())
+            sizes = [len(g) for g in sets]
+            odd = []
+            for g in sets:
+                bits = 1 << max(6, (4 * len(g)).bit_length())
+                odd.append(np.packbits((np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+            grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), grams], names=["doc", "th", "n", "parity", "grams"])
+
+    marked = named.select("doc", "th", "text", F.pmod(F.xxhash64("doc", "th"), F.lit(MARKS)).alias("bit"))
+    return marked.mapInArrow(run, "doc long, th long, n int, parity binary, grams array<long>").join(asked.select("at", "doc", "th"), ["doc", "th"]).dropDuplicates(["at"]).select("at", "n", "parity", "grams")
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded: at most the number of elements that one set has and the other lacks."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, in sets (at, n, parity, grams), have at least this Jaccard similarity.
+    """The pairs (a, b) whose sets, in sets (at, n, parity, grams), have at least this Jaccard similarity.
 
-    Every odd difference of parities is an element of one set only, so pairs
-    with too many of them are surely less similar; the sets themselves judge
-    the rest.
+    Pairs whose parities differ in more bits than the similarity allows are
+    surely less similar; the sets themselves judge the rest.
     """
     px, py = (sets.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("parity").alias(f"p{i}")) for i in "ab")
-    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
-    may = (1 + similarity) * differ <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
-    pairs = written(pairs.join(px, "a").join(py, "b").where(may).select("a", "b"), "pairs")
-    asked = written(pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct(), "asked")
-    own = written(sets.drop("parity").join(asked, "at", "left_semi"), "asked-sets")  # only sets of candidates travel
-    x, y = (own.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("grams").alias(f"g{i}")) for i in "ab")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - similarity) * (b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()) + 1e-6
+            far = [(1 + similarity) * parity_distance(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.array(far) <= most))
+
+    pairs = written(pairs.join(px, "a").join(py, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may, "a long, b long"), "pairs")
+    x, y = (sets.select(F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("grams").alias(f"g{i}")) for i in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     links = written(pairs.join(x, "a").join(y, "b").where((1 + similarity) * both >= similarity * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"), "judged")
-    for t in (pairs, asked, own):
-        drop_written(t)
+    drop_written(pairs)
     return links
 
 
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (at, fp) that Golay keys put side by side: texts of one fingerprint, and fingerprints of a key at three bits or fewer from its least or its next one."""
+    reps = nodes.groupBy("fp").agg(F.min("at").alias("rep"))
+    same = nodes.join(reps, "fp").where("at <> rep").select(F.col("at").alias("a"), F.col("rep").alias("b"))
+    shared = shared_keys(reps)
+    pairs = side_by_side(shared, DISTANCE).distinct()
+    x, y = (reps.select(F.col("fp").alias(i), F.col("rep").alias(f"r{i}")) for i in "ab")
+    out = written(pairs.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same), "near-fingerprints")
+    drop_written(shared)
+    return out
+
+
+def link_by_keys(shared: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
+    """(node, component) over the links that judge keeps of all pairs (a, b) that share a key of a written table (at, n, key).
+
+    n: size of a text; pairs whose sizes alone forbid the similarity are not
+    judged. The pairs `near`, and the texts of a key with their neighbours in
+    an order that differs from key to key, by NEAR_KEYS keys a text, are
+    compared first, which joins large groups of near copies without comparing
+    all pairs; then, by all keys, all pairs of a key that still lie in
+    different components are compared, so that no link between components is
+    lost. Of the keys that the same texts share, the second pass reads one.
+    """
+    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
+    sizes_allow = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    few = shared.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("key"), "key"))).where(f"r <= {NEAR_KEYS}")
+    beside = few.withColumns({"prev": F.lag("at").over(mixed), "np": F.lag("n").over(mixed)}).where("prev is not null")
+    first = beside.select(F.least("at", "prev").alias("a"), F.greatest("at", "prev").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb")).where(sizes_allow).select("a", "b")
+    if near is not None:
+        first = first.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    first = judge(first.distinct())
+    groups = components(first)
+    named = shared.select("at", "n", "key").join(groups.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+    texts_of = [F.count("*"), F.min("at"), F.max("at"), F.bit_xor(F.xxhash64("at")), F.bit_xor(F.xxhash64("at", F.lit(1)))]
+    crowds = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(c.alias(f"t{i}") for i, c in enumerate(texts_of))).where("lo <> hi")
+    crowds = crowds.groupBy(*(f"t{i}" for i in range(len(texts_of)))).agg(F.min("key").alias("key"))
+    apart = written(named.join(crowds.select("key"), "key", "left_semi"), "apart")
+    x, y = (apart.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
+    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = judge(pairs)
+    found = groups if late.isEmpty() else components(first.unionByName(late))
+    drop_written(apart)
+    return found
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc, th, component): id, text hash and least id of the group of every distinct (id, text).
 
     Texts are linked if the Jaccard similarity of their sets of five-word
-    shingles is at least `similarity`; equal sets are one node. Candidates
-    share a shingle of their sets' prefixes, which every such pair does, see
-    prefix_table() and link_by_keys(). Null ids count as the largest.
+    shingles is at least `similarity`; equal sets are one node, texts without
+    a word among them. SimHash fingerprints of the sets that Golay keys bring
+    together are compared first. At 0.8 most pairs differ in more bits than
+    the keys cover, so all pairs that share a key of prefix_table(), which
+    every such pair does, follow: see link_by_keys(). Null ids count as the
+    largest; an empty table gives an empty result.
     """
-    held = written(shingle_sets(docs, text, id_col), "shingles")
-    nodes = written(held.groupBy("digest").agg(F.min("row").alias("at"), F.min("doc").alias("least_doc")), "texts")
-    sets = held.select(F.col("row").alias("at"), "n", "parity", "grams")
-    table = prefix_table(sets, similarity).join(nodes.select("at"), "at", "left_semi")
-    found = link_by_keys(table, similarity, lambda pairs: jaccard_links(pairs, sets, similarity))
-    named = nodes.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
-    least = named.groupBy("component").agg(F.min("least_doc").alias("least"))
-    group = named.join(least, "component").select("digest", F.col("least").alias("component"))
-    return held.select("doc", "th", "digest").join(group, "digest").select("doc", "th", "component").distinct()
+    named = _named(docs, text, id_col)
+    held = written(signatures(named), "signatures")
+    counts = common_shingles(held.where("counts is not null").select("counts"))
+    rows = held.where("counts is null").drop("counts")
+    nodes = written(rows.groupBy("digest").agg(F.min(F.struct("doc", "th", "row", "n", "fp")).alias("least")).select("digest", F.col("least.row").alias("at"), "least.doc", "least.th", "least.n", "least.fp"), "texts")
+    shared = written(prefix_table(named, nodes, similarity, counts), "shared-keys")
+    asked = written(nodes.join(shared.select("at").distinct(), "at", "left_semi").select("at", "doc", "th", "fp"), "asked")
+    sets = written(candidate_sets(named, asked), "sets")
+    found = link_by_keys(shared, similarity, lambda pairs: jaccard_links(pairs, sets, similarity), near_fingerprints(nodes.select("at", "fp")))
+    group = nodes.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+    least = group.groupBy("component").agg(F.min("doc").alias("least"))
+    of_set = group.join(least, "component").select("digest", F.col("least").alias("component"))
+    out = written(rows.select("doc", "th", "digest").join(of_set, "digest").select("doc", "th", "component").distinct(), "groups")
+    for t in (shared, asked, sets, nodes, held):
+        drop_written(t)
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -360,5 +488,5 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, text: str = "text", id_co
     Columns and an empty table stay as they are.
     """
     best = similar_documents(docs, similarity, text, id_col).groupBy("component").agg(F.min(F.struct("doc", "th")).alias("best")).select(F.col("best.doc").alias("__doc"), F.col("best.th").alias("__th"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     return keyed.join(best, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"]).select(docs.columns)
