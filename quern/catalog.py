@@ -13,6 +13,7 @@ from .operators import chunking, context, graph, metrics, search, sparse, store
 from .operators import understanding as U
 from .plans import evaluation
 from .plans import pipelines as P
+from .plans.tables import spread, written
 from .sources import parsers
 from .streaming import ingest as streaming
 
@@ -24,6 +25,7 @@ _WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
 _BUCKET = "(('0x' || substr(sha1({t}), 1, 8))::UBIGINT % {n})::INTEGER"
 _SIGN = "(CASE WHEN ('0x' || substr(sha1({t}), 9, 2))::UBIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
 _CHUNKS = "chunks AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, text FROM documents WHERE text IS NOT NULL)"
+_CUES = ", ".join(f"'{c}'" for c in U.CUES)
 _ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
@@ -41,9 +43,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a text, over all cores."""
+    return spread(table(spark, sf, "documents").where("text is not null"))
+
+
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as one chunk."""
-    return table(spark, sf, "documents").where("text is not null").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), "text")
+    """Every document with a text as one chunk."""
+    return spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "text")).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), "text")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +72,7 @@ def r6(c: str) -> F.Column:
 )
 def prj_text(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").where("text is not null").select(
+    return texts(spark, sf).select(
         "doc_id", F.size(T.words(t)).cast("long").alias("n_words"), T.count_tokens(t).cast("long").alias("n_tokens"),
         T.stable_id(F.lit("doc"), F.col("doc_id"), F.col("lang")).alias("stable_id"), T.snippet(t).alias("snippet"),
     )
@@ -78,12 +85,12 @@ def prj_text(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents WHERE text IS NOT NULL)"""
 )
 def prj_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"), T.metric_sentences(F.col("text")).alias("m"))
+    d = texts(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("s"), T.metric_sentences(F.col("text")).alias("m"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first_sentence"), F.size("m").cast("long").alias("n_metric_sentences"))
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN list_bool_or(list_transform(['compare','comparison','difference between','differences between','relationship','relation between','how does','how do','both','and how','versus','vs.','vs ','contrast','similarities','similarity between','distinguish','while also','as well as'], lambda c: contains(lower(trim(text)), c))) THEN 'multi_step'
+    f"""SELECT conv_id, turn, CASE WHEN list_bool_or(list_transform([{_CUES}], lambda c: contains(lower(trim(text)), c))) THEN 'multi_step'
     WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) <= 4 OR regexp_matches(trim(text), '^[\\d\\s\\+\\-\\*\\/\\^\\(\\)\\.%±×÷]+$') THEN 'no_retrieval' ELSE 'single_step' END AS route
     FROM conversations WHERE text IS NOT NULL"""
 )
@@ -91,16 +98,43 @@ def qry_route(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", U.route(F.col("text")).alias("route"))
 
 
-@query()
+_STRIPPED = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+
+
+def _numbered(name: str, value: str) -> str:
+    return f"SELECT conv_id, turn, i - 1 AS {name}, {value} FROM (SELECT conv_id, turn, unnest(l) AS {value}, generate_subscripts(l, 1) AS i FROM lists)"
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, text, {_STRIPPED.format(t='text')} AS q FROM conversations WHERE text IS NOT NULL),
+    p AS (SELECT *, list_transform(flatten(list_transform(regexp_split_to_array(q, '{U.ENGLISH_JOINTS}'), lambda x: regexp_split_to_array(x, '{U.KOREAN_JOINTS}'))), lambda x: {_STRIPPED.format(t='x')}) AS parts FROM t),
+    a AS (SELECT *, CASE WHEN q = '' THEN [text] WHEN len(parts) > 1 THEN list_concat([q], list_filter(parts, lambda x: length(x) >= 3)) ELSE [q] END AS l0 FROM p),
+    lists AS (SELECT conv_id, turn, list_filter(l0, lambda x, i: list_position(l0, x) = i) AS l FROM a) {_numbered('variant', 'query')}"""
+)
 def qry_expand(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "conversations").where("text is not null")
-    return d.select("conv_id", "turn", F.posexplode(U.expand(F.col("text"))).alias("variant", "query"))
+    return d.select("conv_id", "turn", F.posexplode(U.expand(F.col("text"))).alias("variant", "query")).withColumn("variant", F.col("variant").cast("long"))
 
 
-@query()
+def _decompose_sql() -> str:
+    """The five forms in their order; a form fits if both of its parts are long enough."""
+    strip = _STRIPPED.format
+    bare = lambda c: rf"regexp_replace({strip(t=c)}, '\?+$', '')"
+    ended = lambda c: f"CASE WHEN {strip(t=bare(c))} = '' THEN '' ELSE {strip(t=bare(c))} || '?' END"
+    noun = lambda c: f"CASE WHEN regexp_matches({bare(c)}, '{U.ASKS}') THEN {ended(bare(c))} ELSE 'What is ' || {bare(c)} || '?' END"
+    forms = {"c": U.COMPARED, "e": U.CAUSED, "b": U.BOTH, "t": U.TWO, "m": U.COMMA}
+    parts = ", ".join(f"{strip(t=f"regexp_extract(q, '{p}', {i})")} AS {k}{i}" for k, p in forms.items() for i in (1, 2))
+    fits = lambda k: f"length({k}1) >= {U.LEAST_CLAUSE} AND length({k}2) >= {U.LEAST_CLAUSE}"
+    return rf"""WITH f AS (SELECT *, {parts} FROM (SELECT conv_id, turn, text, {strip(t='text')} AS q FROM conversations WHERE text IS NOT NULL)),
+    lists AS (SELECT conv_id, turn, CASE WHEN q = '' THEN [text] WHEN {fits('c')} THEN [{noun('c1')}, {noun('c2')}] WHEN {fits('e')} THEN [{noun('e1')}, {ended('q')}] WHEN {fits('b')} THEN [{noun('b1')}, {noun('b2')}]
+    WHEN {fits('t')} THEN CASE WHEN regexp_matches(t2, '{U.VERB}') THEN [{ended('t1')}, {ended('t2')}] ELSE [{noun('t1')}, {noun('t2')}] END WHEN {fits('m')} THEN [{ended('m1')}, {ended('m2')}] ELSE [text] END AS l FROM f)
+    {_numbered('hop', 'question')}"""
+
+
+@query(_decompose_sql())
 def qry_decompose(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "conversations").where("text is not null")
-    return d.select("conv_id", "turn", F.posexplode(U.decompose(F.col("text"))).alias("hop", "question"))
+    return d.select("conv_id", "turn", F.posexplode(U.decompose(F.col("text"))).alias("hop", "question")).withColumn("hop", F.col("hop").cast("long"))
 
 
 # --- sources and chunking --------------------------------------------------
@@ -111,10 +145,58 @@ def qry_decompose(spark: SparkSession, sf: str) -> DataFrame:
     list_filter(list_transform(regexp_split_to_array(text, '\n(?:[^\S\n]*\n)+'), lambda b: trim(replace(b, chr(10), ' '))), lambda b: b <> '') AS ps FROM documents WHERE text IS NOT NULL))"""
 )
 def src_plain(spark: SparkSession, sf: str) -> DataFrame:
-    e = parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id")
+    e = parsers.plain_elements(texts(spark, sf), "doc_id")
     return e.select(F.col("source_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "text")
 
 
+@query(
+    """SELECT page_id, has_text AS has_text_layer, round(ratio, 6) AS image_area_ratio, length(t) AS char_count, CASE WHEN NOT has_text AND ratio > 0.5 THEN 'OCR' WHEN has_text THEN 'TEXT' ELSE 'OCR' END AS route FROM (
+    SELECT page_id, t, length(trim(t)) > 0 AS has_text, least(1.0::DOUBLE, (page_id % 7) * 20000.0::DOUBLE / 100000.0::DOUBLE) AS ratio FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END AS t FROM pages WHERE url IS NOT NULL))"""
+)
+def src_page_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls, or blanks, as the text layer of pages with one image."""
+    p = table(spark, sf, "pages").where("url is not null")
+    image = F.array(F.struct((F.col("page_id") % 7 * 100.0).alias("w"), F.lit(200.0).alias("h")))
+    pages = p.select("page_id", F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.col("url")).alias("text"), image.alias("images"), F.lit(500.0).alias("width"), F.lit(200.0).alias("height"))
+    f = parsers.page_features(pages).withColumn("route", parsers.page_route(F.col("has_text_layer"), F.col("image_area_ratio")))
+    return f.select("page_id", "has_text_layer", r6("image_area_ratio"), F.col("char_count").cast("long").alias("char_count"), "route")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'unrecorded' WHEN doc_id % 5 = 2 THEN 'mismatch' ELSE 'ok' END AS state FROM documents WHERE text IS NOT NULL")
+def src_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of the documents of which some files are lost, changed or were never recorded."""
+    d = texts(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("filename"), "text")
+    sha = F.when(F.col("doc_id") % 5 == 1, "").when(F.col("doc_id") % 5 == 2, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    files = d.where("doc_id % 5 <> 0").select("filename", F.col("text").cast("binary").alias("content"))
+    return parsers.manifest_check(d.select("doc_id", "filename", sha.alias("sha256")), files).select("doc_id", "state")
+
+
+@query(
+    """WITH alone AS (SELECT * FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_id % 3, floor(value), event_id % 10, event_type) = 1)
+    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, floor(value), event_id % 10, event_type) - 1 AS ord, CASE WHEN floor(value) < 25 THEN 'Title' ELSE 'NarrativeText' END AS type FROM alone"""
+)
+def src_block_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as text blocks of a user's document: page, height and place come from id and value. Blocks that nothing tells apart are left out."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("user_id").cast("string").alias("document_id"), (F.col("event_id") % 3).alias("page"), (F.col("event_id") % 10).cast("double").alias("x"), F.floor("value").cast("double").alias("y"), F.lit(100.0).alias("page_height"), F.col("event_type").alias("text"))
+    alone = e.groupBy("user_id", "page", F.round("y", 1).alias("__y"), "x", "text").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")).where("n = 1").select("user_id", "event_id")
+    return parsers.block_order(e.join(alone, ["user_id", "event_id"])).select("user_id", "event_id", F.col("ord").cast("long").alias("ord"), "type")
+
+
+@query(
+    """WITH i AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'heading' WHEN turn % 3 = 1 THEN 'list' ELSE 'chart' END AS kind, substr(trim(text), 1, 20) AS t FROM conversations WHERE trim(text) <> ''),
+    h AS (SELECT *, max(CASE WHEN kind = 'heading' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM i)
+    SELECT h.conv_id, h.turn, CASE h.kind WHEN 'heading' THEN 'Title' WHEN 'list' THEN 'ListItem' ELSE 'Figure' END AS type, CASE WHEN h.kind = 'heading' THEN '' ELSE coalesce(trim(o.t), '') END AS section
+    FROM h LEFT JOIN i o ON o.conv_id = h.conv_id AND o.turn = h.at"""
+)
+def src_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as layout items: every third one is a heading of one level."""
+    c = table(spark, sf, "conversations").where("trim(text) <> ''")
+    kind = F.when(F.col("turn") % 3 == 0, "heading").when(F.col("turn") % 3 == 1, "list").otherwise("chart")
+    item = F.to_json(F.struct(kind.alias("type"), F.substring(F.trim("text"), 1, 20).alias("content"), F.lit(1).alias("heading_level")))
+    e = parsers.layout_elements(c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("source_id"), F.col("turn").alias("ord"), item.alias("json")))
+    return e.select(F.col("document_id").cast("long").alias("conv_id"), F.col("source_id").cast("long").alias("turn"), "type", F.array_join("section_path", " > ").alias("section"))
+
+
 @query()
 def src_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("text/html").alias("media_type"), F.col("html").alias("text"))
@@ -128,25 +210,25 @@ def src_html(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, w AS window_idx, len(tok[w * 140 + 1 : w * 140 + 180])::BIGINT AS token_count, md5(array_to_string(tok[w * 140 + 1 : w * 140 + 180], ' ')) AS token_md5 FROM w"""
 )
 def chk_heading_aware(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunking.heading_aware(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    c = chunking.heading_aware(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return c.select(F.col("source_id").cast("long").alias("doc_id"), F.col("chunk_ord").cast("long").alias("window_idx"), F.col("token_count").cast("long").alias("token_count"), F.md5(T.collapse(F.col("text")).cast("binary")).alias("token_md5"))
 
 
 @query()
 def chk_proposition(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunking.propositions(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    c = chunking.propositions(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")
 
 
 @query()
 def chk_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunking.semantic(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    c = chunking.semantic(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")
 
 
 @query()
 def chk_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
-    leaves = chunking.heading_aware(parsers.plain_elements(table(spark, sf, "documents").where("text is not null"), "doc_id"))
+    leaves = chunking.heading_aware(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return chunking.hierarchical(leaves).select("chunk_id", "source_id", "parent_chunk_id", "token_count")
 
 
@@ -203,6 +285,23 @@ def emb_late_chunking(spark: SparkSession, sf: str) -> DataFrame:
     return late.select("label", "vec_id", F.round(F.aggregate("late", F.lit(0.0), lambda a, x: a + x), 6).alias("late_sum"))
 
 
+@query("SELECT conv_id, turn, 'Instruct: find' || chr(10) || 'Query: ' || text AS asked FROM conversations WHERE text IS NOT NULL")
+def emb_instructed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", V.instructed(F.col("text"), "find").alias("asked"))
+
+
+@query(
+    """WITH t AS (SELECT item_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS l FROM benchmark)),
+    c AS (SELECT item_id, pos, ('0x' || substr(sha1(token), 1 + 10 * i, 8))::UBIGINT % 64 AS bucket, CASE WHEN ('0x' || substr(sha1(token), 9 + 10 * i, 2))::UBIGINT % 2 = 1 THEN 16.0::DOUBLE ELSE -16.0::DOUBLE END AS v FROM t, range(4) r(i)),
+    s AS (SELECT item_id, pos, bucket, sum(v) AS v FROM c GROUP BY ALL)
+    SELECT item_id, pos, bucket::INTEGER AS bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id, pos)), 6) AS w FROM s WHERE v <> 0
+    UNION ALL SELECT item_id, pos, 0, 1.0::DOUBLE FROM s GROUP BY ALL HAVING max(abs(v)) = 0"""
+)
+def emb_multi_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    m = search.multi_vectors(table(spark, sf, "benchmark").where("text is not null"), "item_id", "text")
+    return m.select("item_id", F.col("pos").cast("long").alias("pos"), "bucket", r6("w"))
+
+
 # --- search -----------------------------------------------------------------
 
 
@@ -230,7 +329,7 @@ def _sparse_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dense_hits(spark: SparkSession, sf: str) -> DataFrame:
     c = doc_chunks(spark, sf)
-    return search.hashed_dense_search(V.hash_embedding(asked(spark, sf), "query_id", "query"), V.hash_embedding(c, "chunk_id", "text"), c)
+    return search.dense_search(V.hashed_vectors(asked(spark, sf), "query_id", "query"), V.hashed_vectors(c, "chunk_id", "text"), search.PREFETCH, "dot")
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM s")
@@ -296,7 +395,15 @@ def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     return search.attach(search.ranked(_sparse_hits(spark, sf), 10), c).join(asked(spark, sf), "query_id")
 
 
-@query()
+@query(
+    f"""WITH {_SPARSE}, top AS (SELECT query_id, chunk_id, score FROM s WHERE rank <= 10),
+    q2 AS (SELECT DISTINCT query_id, unnest(list_filter({_WORDS.format(t='query')}, lambda w: length(w) > 1)) AS w FROM asked),
+    c2 AS (SELECT DISTINCT query_id, chunk_id, unnest(list_filter({_WORDS.format(t='text')}, lambda w: length(w) > 1)) AS w FROM top JOIN chunks USING (chunk_id)),
+    wt AS (SELECT query_id, w, 1.0::DOUBLE / greatest(count(chunk_id), 1) AS x FROM q2 LEFT JOIN c2 USING (query_id, w) GROUP BY ALL),
+    total AS (SELECT query_id, sum(x) AS t FROM wt GROUP BY ALL), cov AS (SELECT query_id, chunk_id, sum(x) AS c FROM c2 JOIN wt USING (query_id, w) GROUP BY ALL),
+    l AS (SELECT query_id, chunk_id, score, CASE WHEN t IS NULL THEN score ELSE coalesce(c, 0) / t END AS listwise FROM top LEFT JOIN total USING (query_id) LEFT JOIN cov USING (query_id, chunk_id))
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(listwise, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM l"""
+)
 def rrk_listwise(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(search.listwise_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10))
 
@@ -383,6 +490,59 @@ def met_faithfulness(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.faithfulness(F.col("said"), F.array("reply")), 6).alias("faithfulness"))
 
 
+@query(
+    f"""WITH {_PAIRS}, g AS (SELECT conv_id, turn, len({_WORDS.format(t='said')}) AS n, {_grounded_sql('reply', 'src')} AS c FROM (SELECT *, list_distinct({_WORDS.format(t='said')}) AS src FROM pairs))
+    SELECT conv_id, turn, round(CASE WHEN len(c) = 0 THEN 1.0::DOUBLE WHEN n = 0 THEN 0.0 ELSE len(list_filter(c, lambda x: x >= 0.6)) / len(c)::DOUBLE END, 6) AS claim_recall FROM g"""
+)
+def met_claim_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.claim_recall(F.col("said"), F.col("reply")), 6).alias("claim_recall"))
+
+
+@query(
+    f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_WORDS.format(t='said')} AS a, {_WORDS.format(t='reply')} AS r FROM pairs), n AS (SELECT *, len(list_intersect(a, r)) AS same, len(list_distinct(a)) + len(list_distinct(r)) AS both_ FROM w)
+    SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(r, x))) / len(a)::DOUBLE END, 6) AS cited,
+    round(CASE WHEN both_ = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * same / both_ END, 6) AS set_f1 FROM n"""
+)
+def met_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a turn taken as cited ids, those of the reply as what was retrieved."""
+    a, r = T.words(F.col("said")), T.words(F.col("reply"))
+    return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.citation_faithfulness(a, r), 6).alias("cited"), F.round(metrics.set_f1(a, r), 6).alias("set_f1"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN abs(round(o_totalprice, -2) - o_totalprice) <= 0.001::DOUBLE * greatest(abs(o_totalprice), 1.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM orders"""
+)
+def met_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices rounded to hundreds as answers, the prices as what was expected."""
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", metrics.numeric_accuracy(F.round("o_totalprice", -2), F.col("o_totalprice")).alias("accuracy"))
+
+
+@query("SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type")
+def met_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.spread(table(spark, sf, "events"), "event_type", "value").select("event_type", r6("spread"))
+
+
+@query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(value, 9) DESC, event_id) = 1")
+def met_winners(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.winners(table(spark, sf, "events"), "value", "event_id", ["event_type"]).select("event_type", "event_id")
+
+
+_PRICES = [("m-", 1.0, 2.0), ("m-1", 10.0, 20.0), ("hash-emb", 5.0, 5.0)]
+_MODELS = "CASE turn % 5 WHEN 0 THEN 'm-0' WHEN 1 THEN 'm-1-large' WHEN 2 THEN 'hash-emb-v1' WHEN 3 THEN 'local/m-1' ELSE 'unknown' END"
+
+
+@query(
+    f"""SELECT conv_id, turn, round(CASE turn % 5 WHEN 0 THEN (n * 1.0::DOUBLE + 100 * 2.0::DOUBLE) / 4e6 WHEN 1 THEN (n * 10.0::DOUBLE + 100 * 20.0::DOUBLE) / 4e6 ELSE 0.0::DOUBLE END, 9) AS usd
+    FROM (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL)"""
+)
+def gen_cost(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").where("text is not null")
+    usage = c.select("conv_id", "turn", F.expr(_MODELS).alias("model_id"), F.length("text").alias("input_chars"), F.lit(100).alias("output_chars"))
+    priced = context.cost(usage, spark.createDataFrame(_PRICES, "prefix string, usd_in double, usd_out double"))
+    return priced.select("conv_id", "turn", F.round("estimated_cost_usd", 9).alias("usd"))
+
+
 @query(
     r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(\b(i don''?t know|i do not know|cannot determine|can''?t determine|not enough information|don''?t have enough|do not have enough|insufficient(\s+(context|information))?|unable to (answer|determine|find)|no information|unclear from|not specified|no relevant|cannot answer|can''?t answer)\b|모르겠|알 수 없|정보가 없|확인할 수 없)') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS abstention
     FROM conversations WHERE text IS NOT NULL"""
@@ -403,7 +563,7 @@ def grf_edges(spark: SparkSession, sf: str) -> DataFrame:
 def grf_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     mentions, edges = graph.build(doc_chunks(spark, sf))
     q = table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    return _hits(graph.retrieve(q, mentions, edges, 5, iterations=20))
+    return _hits(graph.retrieve(q, mentions, edges, 5))
 
 
 @query("SELECT c_custkey AS document_id, count(o_orderkey) AS chunk_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -429,6 +589,17 @@ def sto_delete(spark: SparkSession, sf: str) -> DataFrame:
     return store.delete_where(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id"), ["doc_id"])
 
 
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+def sto_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return store.latest(table(spark, sf, "events").select("event_id", "ts"), "ts", "event_id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 7, 42)")
+def sto_pick(spark: SparkSession, sf: str) -> DataFrame:
+    named = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), "c_custkey", "c_name")
+    return store.pick(named, ["7", "none", "1", "42"]).drop("chunk_id")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.event_windows(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
@@ -438,7 +609,7 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> P.Index:
-    return P.ingest_plain(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
+    return P.ingest_plain(texts(spark, sf), "doc_id", "text")
 
 
 def _answers(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import stable_id
+from .operators import context as C
 from .operators import store as S
 from .plans import pipelines as P
 
@@ -22,31 +23,32 @@ class UnknownId(KeyError):
 class Engine:
     """Facade over a store of ingested tables."""
 
-    def __init__(self, spark: SparkSession, path: str, settings: P.Settings | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, settings: P.Settings | None = None, prices: DataFrame | None = None, models: tuple[str, str] = ("hash-emb-v1", "extractive-v1")) -> None:
+        """prices: (prefix, usd_in, usd_out) a million tokens, by which model ids are priced; models: ids of the embedder and the generator."""
         self.spark, self.settings, self.store = spark, settings or P.Settings(), S.Store(spark, path)
+        self.prices, self.models = prices, models
 
     def ingest(self, sources: DataFrame) -> list[dict]:
-        """Index a batch; documents that were there before are replaced. One job for each source, failed ones included."""
+        """Index a batch; documents that were there before are replaced. One job for each source, failed ones included, in the input's order."""
         index = P.ingest(sources, self.settings)
-        again = index.chunks.select("document_id").distinct()
-        if (old := self.store.read("chunks")) is not None:
-            gone = old.join(again, "document_id", "left_semi").select("chunk_id")
-            for name in ("postings", "dense"):
-                self.store.delete(name, gone, ["chunk_id"])
-            self.store.delete("chunks", again, ["document_id"])
-        docs = index.chunks.groupBy("document_id", "source_id").agg(F.first("chunk_strategy").alias("chunk_strategy"))
-        self.store.upsert("documents", docs, ["document_id"])
-        self.store.upsert("chunks", index.chunks, ["chunk_id"])
-        self.store.upsert("postings", index.postings, ["chunk_id", "idx"])
-        self.store.upsert("dense", index.vectors, ["chunk_id", "bucket"])
-        jobs = self.store.upsert("jobs", index.jobs.withColumn("updated_at", F.current_timestamp()), ["job_id"])
-        return [r.asDict() for r in jobs.join(sources.select("source_id").distinct(), "source_id", "left_semi").orderBy("source_id").collect()]
+        docs = index.documents.withColumn("chunk_strategy", F.lit(self.settings.chunk_strategy))
+        jobs = index.jobs.withColumn("updated_at", F.current_timestamp())
+        self.store.replace_documents(docs, index.chunks, index.postings, index.vectors, jobs.drop("ord"))
+        return [r.asDict() for r in jobs.orderBy("ord").drop("ord").collect()]
 
     def _index(self) -> P.Index:
-        t = {n: self.store.read(n) for n in ("chunks", "postings", "dense", "jobs")}
-        if t["chunks"] is None:
+        t = [self.store.read(n) for n in ("chunks", "postings", "dense", "jobs", "documents")]
+        if t[0] is None:
             raise LookupError("nothing is ingested")
-        return P.Index(t["chunks"], t["postings"], t["dense"], t["jobs"])
+        return P.Index(*t)
+
+    def cost(self, query: str, contexts: list[str], answer: str) -> float:
+        """Estimated USD of one answer: four characters a token, the query embedded once, query and contexts read, the answer written."""
+        if self.prices is None:
+            return 0.0
+        usage = [(self.models[0], len(query), 0), (self.models[1], len(query) + sum(map(len, contexts)), len(answer))]
+        rows = C.cost(self.spark.createDataFrame(usage, "model_id string, input_chars long, output_chars long"), self.prices)
+        return float(rows.agg(F.sum("estimated_cost_usd")).first()[0])
 
     def query(self, text: str, top_k: int = 5, mode: str = "hybrid", fusion: str = "rrf") -> dict:
         """Answer, citations and time of one question; nothing ingested: an empty answer."""
@@ -54,20 +56,28 @@ class Engine:
         asked = self.spark.createDataFrame([(0, text)], "query_id int, query string")
         try:
             row = P.answer(asked, self._index(), replace(self.settings, top_k=top_k, mode=mode, fusion=fusion)).first()
-            out = {"answer": row["answer"], "citations": [c.asDict(True) for c in row["citations"]]}
+            out = {"answer": row["answer"], "citations": [c.asDict(True) for c in row["citations"]], "retrieved_ids": row["retrieved_ids"] or []}
+            contexts = row["contexts"] or []
         except LookupError:
-            out = {"answer": "", "citations": []}
-        return out | {"timings_ms": {"total": (time.perf_counter() - began) * 1000}, "estimated_cost_usd": 0.0}
+            out, contexts = {"answer": "", "citations": [], "retrieved_ids": []}, []
+        return out | {"timings_ms": {"total": (time.perf_counter() - began) * 1000}, "estimated_cost_usd": self.cost(text, contexts, out["answer"])}
 
     def documents(self) -> list[dict]:
         docs, chunks = self.store.read("documents"), self.store.read("chunks")
         return [] if docs is None else [r.asDict() for r in S.document_list(docs, chunks).collect()]
 
     def document(self, document_id: str) -> dict:
-        found = [d for d in self.documents() if d["document_id"] == document_id]
-        if not found:
+        docs = self.store.find("documents", "document_id", document_id)
+        row = None if docs is None else S.document_list(docs, self.store.find("chunks", "document_id", document_id)).first()
+        if row is None:
             raise UnknownId(document_id)
-        return found[0]
+        return row.asDict()
+
+    def document_id_of(self, source_id: str) -> str | None:
+        """Id of the document that a source gave."""
+        docs = self.store.find("documents", "source_id", source_id)
+        row = None if docs is None else docs.first()
+        return row and row["document_id"]
 
     def delete(self, document_id: str) -> list[str]:
         """Remove a document, its chunks and vectors; ids of the chunks."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_tokens, compressor_sentences, count_tokens, jaccard, snippet, word_set
 
-#: List price in USD per million tokens by model id prefix: (prefix, input, output); local models are free.
-FREE = ("hash", "bm25", "identity", "mmr", "extractive", "listwise", "multivec")
+#: Prefixes of the ids of local models, which are free, as are ids with a slash (fixed).
+FREE = ("hash-emb", "bm25-local", "extractive", "identity-rerank", "mmr-rerank", "fake-")
 
 
 def curate(contexts: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -93,10 +93,10 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """estimated_cost_usd of rows (model_id, input_chars, output_chars): longest price prefix, free and unknown models 0."""
-    priced = usage.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(prices), F.startswith(F.col("model_id"), F.col("prefix")), "left")
+    """estimated_cost_usd of rows (model_id, input_chars, output_chars) at four characters a token: longest price prefix, free and unknown models 0."""
+    priced = usage.withColumn("__row", F.monotonically_increasing_id()).join(prices, F.startswith(F.col("model_id"), F.col("prefix")), "left")
     best = priced.groupBy(*usage.columns, "__row").agg(F.max_by(F.struct("usd_in", "usd_out"), F.length("prefix")).alias("p"))
-    tokens = lambda c: F.ceil(F.col(c) / 4)
-    free = F.array_contains(F.transform(F.array(*map(F.lit, FREE)), lambda p: F.startswith(F.col("model_id"), p)), True)
+    tokens = lambda c: F.col(c) / 4
+    free = F.array_contains(F.transform(F.array(*map(F.lit, FREE)), lambda p: F.startswith(F.col("model_id"), p)), True) | F.contains(F.col("model_id"), F.lit("/"))
     usd = (tokens("input_chars") * F.col("p.usd_in") + tokens("output_chars") * F.col("p.usd_out")) / 1e6
     return best.withColumn("estimated_cost_usd", F.when(free, 0.0).otherwise(F.coalesce(usd, F.lit(0.0)))).drop("p", "__row")

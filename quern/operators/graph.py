@@ -34,7 +34,7 @@ def entities(text: Column, include_single: bool = True, least: int = 2) -> Colum
 def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(mentions, edges): entity rows (entity, chunk_id) and weighted edges (src, dst, w), both ways.
 
-    Pairs are made inside a chunk, whose entities a chunk's length bounds.
+    Pairs are made inside a chunk, whose entities a chunk's length bounds: give chunks, not whole documents.
     """
     listed = chunks.dropDuplicates([key]).select(F.col(key).alias("chunk_id"), entities(F.col(text)).alias("e"))
     mentions = listed.select(F.explode("e").alias("entity"), "chunk_id")
@@ -42,6 +42,12 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple
     return mentions, pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
+def merged(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(mentions, edges) of two batches of chunks: weights add up, also where a chunk comes again."""
+    edges = old[1].unionByName(new[1]).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return old[0].unionByName(new[0]).distinct(), edges
+
+
 def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 50, cut_every: int = 2) -> DataFrame:
     """(query_id, node, rank): walks that restart at the query's seeds with probability alpha.
 
@@ -62,6 +68,7 @@ def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float
         walk = rank.withColumnRenamed("node", "src").join(step, "src").select("query_id", "node", ((1 - alpha) * F.col("rank") * F.col("share")).alias("r"))
         rows = walk.unionByName(restart.select("query_id", "node", (alpha * F.col("p")).alias("r")))
         if has_lone:
+            # only queries with a seed among the lone nodes have such a rank, and give it to every node
             lost = rank.join(lone, "node").groupBy("query_id").agg((F.sum("rank") * (1 - alpha) / n).alias("r"))
             rows = rows.unionByName(lost.crossJoin(nodes).select("query_id", "node", "r"))
         rank = rows.groupBy("query_id", "node").agg(F.sum("r").alias("rank"))
@@ -81,7 +88,7 @@ def retrieve(queries: DataFrame, mentions: DataFrame, edges: DataFrame, k: int,
 
 
 def entities_of(text: str) -> list[str]:
-    """The same entities for one text, used by tests and by the single-query facade."""
+    """The same entities for one text, for tests."""
     out: list[str] = []
     for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
         run: list[str] = []

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -167,8 +167,10 @@ def number_variants(value: float) -> list[str]:
 
 @column_function("boolean")
 def operand_found(value: pd.Series, text: pd.Series) -> pd.Series:
-    """Whether a text holds the number in any of its forms, rounded to up to three digits too."""
-    def of(v: float, t: str) -> bool:
+    """Whether a text holds the number in any of its forms, rounded to up to three digits too; no number or no text: false."""
+    def of(v: float | None, t: str | None) -> bool:
+        if t is None or v is None or not math.isfinite(v):
+            return False
         hay = normalised_number_text(t)
         return any(form in hay for x in (v, *(round(v, d) for d in range(4))) for form in number_variants(x))
 
@@ -195,8 +197,3 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
     show = lambda v: f"{v:.3f}" if isinstance(v, float) else "" if v is None else str(v)
     lines = [columns, ["---"] * len(columns), *[[show(r.get(c)) for c in columns] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
-
-
-def kendall_pairs(order: list[int]) -> int:
-    """Neighbours in order, a quick reading-order summary of one list."""
-    return sum(b > a for a, b in pairwise(order))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors as V
-from ..functions.text import blank_tokens
 from ..plans.tables import written
 
 PREFETCH, RRF_K, RESCORE = 100, 60, 4
 #: Scores are compared by this many decimals, so that sums in another order tie alike.
 DECIMALS = 9
+#: Queries that travel to the tasks at once.
+QUERY_BLOCK = 2048
 
 
 def ranked(hits: DataFrame, k: int | Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -26,20 +31,20 @@ def ranked(hits: DataFrame, k: int | Column | None = None, by: list[str] | None
 
 
 def best_with_zeros(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Best k of each query over all chunks, those that share nothing with it included with score 0.
+    """Best k of each query over all chunks, those that share nothing with it included with score 0. Scores of hits are positive.
 
-    Only queries with fewer than k positive scores have room for zeros, and
-    those take the lowest ids among what they did not match. The best k are
-    written, so the join behind hits runs once.
+    Only queries with fewer than k hits have room for zeros. All their hits
+    are among their best k, so of the 2k lowest chunk ids at least k are none
+    of them: those are enough to fill up with.
     """
     top = written(ranked(hits.select("query_id", "chunk_id", "score"), k), "top")
-    full = top.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    full = top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     needy = queries.select("query_id").distinct().join(full, "query_id", "left_anti")
-    if needy.isEmpty():
+    lowest = [r["chunk_id"] for r in chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k).collect()]
+    if not lowest or needy.isEmpty():
         return top
-    own = hits.join(F.broadcast(needy), "query_id", "left_semi").select("query_id", "chunk_id")
-    zero = needy.crossJoin(chunks.select("chunk_id")).join(own, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(top.drop("rank").unionByName(ranked(zero, k).drop("rank")), k)
+    zero = needy.withColumn("chunk_id", F.explode(F.array(*map(F.lit, lowest)))).join(top, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(top.drop("rank").unionByName(zero), k)
 
 
 def sparse_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = PREFETCH) -> DataFrame:
@@ -48,47 +53,81 @@ def sparse_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k:
     return best_with_zeros(hits, queries, chunks, k)
 
 
-def hashed_dense_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = PREFETCH) -> DataFrame:
-    """Cosine of hashed embeddings (bucket, w rows, unit length), joined on buckets; negative scores rank below 0."""
-    q = queries.select("query_id", "bucket", F.col("w").alias("qw"))
-    hits = q.join(vectors, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return best_with_zeros(hits, queries, chunks, k)
+class Best:
+    """The best k (score, id) of each of a number of queries, over blocks of scores. Order: rounded score down, id up."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.held, self.floor = k, [[] for _ in range(queries)], np.full(queries, -np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each id, a column for each query."""
+        k, rounded = self.k, np.round(scores, DECIMALS) + 0.0
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        for j in range(scores.shape[1]):
+            column = rounded[:, j]
+            at = np.flatnonzero(column >= self.floor[j])
+            if len(at) > k:
+                at = at[column[at] >= np.partition(column[at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((place[at], -column[at]))[:k]]
+            if len(at):
+                self.held[j] = sorted([*self.held[j], *zip((-column[at]).tolist(), ids[at].tolist(), scores[at, j].tolist(), strict=True)])[:k]
+                if len(self.held[j]) == k:
+                    self.floor[j] = -self.held[j][-1][0]
+
+    def rows(self, names: list) -> pd.DataFrame:
+        found = [(name, i, score + 0.0) for name, held in zip(names, self.held, strict=True) for _, i, score in held]
+        return pd.DataFrame(found, columns=["query_id", "chunk_id", "score"])
+
+
+def in_blocks(queries: DataFrame, scan: Callable[[list], DataFrame]) -> DataFrame:
+    """scan() of a query set in blocks of about QUERY_BLOCK rows, of which the driver holds one at a time."""
+    few = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        return scan(few)
+    held = written(queries, "queries")
+    blocks = -(-2 * held.count() // QUERY_BLOCK)
+    dealt = written(held.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "queries")
+    return reduce(DataFrame.unionByName, [written(scan(dealt.where(F.col("__block") == b).drop("__block").collect()), "hits") for b in range(blocks)])
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH, distance: str = "cosine") -> DataFrame:
-    """Exact scan: query_id, vec against chunk_id, vec. The query set is sent to every task in blocks, the vectors stay where they are.
+    """Exact scan: query_id, vec against chunk_id, vec. The query set goes to every task in blocks, the vectors stay where they are.
 
     Each task keeps its best k of each query, so the exchange holds k rows a
     query and task. Vectors of another length than the query raise an error.
     """
-    asked = queries.select("query_id", "vec").collect()  # a batch of queries, not a table of vectors
-    names = [r["query_id"] for r in asked]
-    matrix = np.array([r["vec"] for r in asked], np.float64).reshape(len(asked), -1)
     kind = queries.schema["query_id"].dataType.simpleString()
     chunk_kind = vectors.schema["chunk_id"].dataType.simpleString()
-
-    def best(batches):  # noqa: ANN001, ANN202
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            pdf = pdf[pdf["vec"].notna()]
-            if not len(pdf) or not names:
-                continue
-            x = np.array(pdf["vec"].tolist(), np.float64)
-            if x.shape[1] != matrix.shape[1]:
-                raise ValueError(f"dimension {matrix.shape[1]} of the query is not {x.shape[1]} of the collection")
-            score = x @ matrix.T
-            if distance == "cosine":
-                size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
-                score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-            ids = pdf["chunk_id"].to_numpy()
-            held.append(pd.DataFrame({"query_id": np.repeat(names, len(ids)), "chunk_id": np.tile(ids, len(names)), "score": score.T.reshape(-1)}))
-            one = pd.concat(held)
-            one["__r"] = one["score"].round(DECIMALS)
-            held = [one.sort_values(["__r", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k).drop(columns="__r")]
-        yield from held
-
-    hits = vectors.select("chunk_id", "vec").mapInPandas(best, f"query_id {kind}, chunk_id {chunk_kind}, score double")
-    return ranked(hits, k)
+    found = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("chunk_id", to_arrow_type(vectors.schema["chunk_id"].dataType)), ("score", pa.float64())])
+
+    def scan(asked: list) -> DataFrame:
+        names = [r["query_id"] for r in asked]
+        matrix = np.array([r["vec"] for r in asked], np.float64).reshape(len(asked), len(asked[0]["vec"]) if asked else 0)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = Best(len(names), k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    b = batch.slice(at, 4096)
+                    b = b.filter(b.column(1).is_valid())
+                    if not b.num_rows or not names:
+                        continue
+                    lists = b.column(1)
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    if (sizes != matrix.shape[1]).any():
+                        raise ValueError(f"dimension {matrix.shape[1]} of the query is not {sizes[sizes != matrix.shape[1]][0]} of the collection")
+                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    score = x @ matrix.T
+                    if distance == "cosine":
+                        size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
+                        score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
+                    top.add(np.array(b.column(0).to_pylist(), object), score)
+            yield pa.RecordBatch.from_pandas(top.rows(names), preserve_index=False, schema=found)
+
+        return vectors.select("chunk_id", "vec").mapInArrow(best, f"query_id {kind}, chunk_id {chunk_kind}, score double")
+
+    return ranked(in_blocks(queries.select("query_id", "vec"), scan), k)
 
 
 def quantised_search(queries: DataFrame, vectors: DataFrame, k: int, rescore: int = RESCORE) -> DataFrame:
@@ -98,7 +137,7 @@ def quantised_search(queries: DataFrame, vectors: DataFrame, k: int, rescore: in
     q8 = queries.select("query_id", V.int8(F.col("vec")).cast("array<double>").alias("vec"))
     v8 = vectors.select("chunk_id", V.int8(F.col("vec")).cast("array<double>").alias("vec"))
     first = dense_search(q8, v8, k * rescore, "dot").select("query_id", "chunk_id")
-    pairs = first.join(F.broadcast(queries.select("query_id", F.col("vec").alias("qv"))), "query_id").join(vectors.select("chunk_id", "vec"), "chunk_id")
+    pairs = first.join(queries.select("query_id", F.col("vec").alias("qv")), "query_id").join(vectors.select("chunk_id", "vec"), "chunk_id")
     return ranked(pairs.select("query_id", "chunk_id", V.cosine(F.col("qv"), F.col("vec")).alias("score")), k)
 
 
@@ -110,63 +149,52 @@ def multi_vectors(df: DataFrame, key: str, text: str, dim: int = V.TOKEN_DIM) ->
 
 def token_matrix(tokens: list[str], dim: int = V.TOKEN_DIM) -> np.ndarray:
     """Unit vectors of tokens, as token_coordinates() gives them."""
-    import hashlib
-
-    out = np.zeros((len(tokens), dim))
-    times = [len(range(i, dim, 4)) for i in range(4)]
-    for row, token in zip(out, tokens, strict=True):
-        d = hashlib.sha1(token.encode()).digest()
-        for i in range(4):
-            row[int.from_bytes(d[5 * i : 5 * i + 4], "big") % dim] += times[i] * (1 if d[5 * i + 4] & 1 else -1)
-        size = np.sqrt((row * row).sum())
-        if size:
-            row /= size
-        else:
-            row[0] = 1.0
-    return out
+    d = np.frombuffer(b"".join(hashlib.sha1(t.encode()).digest() for t in tokens), np.uint8).reshape(len(tokens), 20).astype(np.int64)
+    out, rows = np.zeros((len(tokens), dim)), np.arange(len(tokens))
+    for i in range(4):
+        bucket = (d[:, 5 * i] << 24 | d[:, 5 * i + 1] << 16 | d[:, 5 * i + 2] << 8 | d[:, 5 * i + 3]) % dim
+        out[rows, bucket] += len(range(i, dim, 4)) * np.where(d[:, 5 * i + 4] & 1, 1, -1)
+    size = np.sqrt((out * out).sum(axis=1))
+    out[size == 0, 0] = 1.0
+    return out / np.where(size == 0, 1.0, size)[:, None]
 
 
 def max_sim(queries: DataFrame, docs: DataFrame, k: int, dim: int = V.TOKEN_DIM) -> DataFrame:
     """Sum over query tokens of the best cosine of a document's tokens.
 
-    queries: query_id, query; docs: chunk_id, text. The batch of queries goes
-    to every task as one matrix, documents stay where they are, and each task
-    keeps its best k of each query. Different tokens of a document are
-    compared once each.
+    queries: query_id, query; docs: chunk_id, text. The query set goes to
+    every task in blocks, documents stay where they are, and each task keeps
+    its best k of each query. Different tokens of a block of documents are
+    hashed once and compared once with the different tokens of the queries.
     """
-    asked = queries.select("query_id", V.text_tokens(F.col("query")).alias("t")).collect()  # a batch of queries
-    kind, chunk_kind = queries.schema["query_id"].dataType.simpleString(), docs.schema["chunk_id"].dataType.simpleString()
-    names = [r["query_id"] for r in asked]
-    kinds = list(dict.fromkeys(t for r in asked for t in r["t"]))
-    number = {t: i for i, t in enumerate(kinds)}
-    matrix = token_matrix(kinds, dim)
-    counts = np.zeros((len(kinds), len(asked)))  # how often each query has each token
-    for j, r in enumerate(asked):
-        for t in r["t"]:
-            counts[number[t], j] += 1
-
-    def best(batches):  # noqa: ANN001, ANN202
-        held = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        for pdf in batches:
-            scores = np.zeros((len(pdf), len(names)))
-            known: dict[str, int] = {}
-            lists = [list(dict.fromkeys(t)) for t in pdf["tokens"]]
-            for t in {t for own in lists for t in own}:
-                known[t] = len(known)
-            vectors = token_matrix(list(known), dim)
-            for i, own in enumerate(lists):
-                scores[i] = (vectors[[known[t] for t in own]] @ matrix.T).max(axis=0) @ counts
-            part = pd.DataFrame({"query_id": np.repeat(names, len(pdf)), "chunk_id": np.tile(pdf["chunk_id"].to_numpy(), len(names)), "score": scores.T.reshape(-1)})
-            held = pd.concat([held, part]) if len(held) else part
-            held["__r"] = held["score"].round(DECIMALS)
-            held = held.sort_values(["__r", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k).drop(columns="__r")
-        if len(held):
-            yield held
-
-    if not names:
-        return ranked(docs.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id {chunk_kind}, score double"), k)
+    kind, chunk_kind = queries.schema["query_id"].dataType, docs.schema["chunk_id"].dataType
     rows = docs.select("chunk_id", V.text_tokens(F.col("text")).alias("tokens"))
-    return ranked(rows.mapInPandas(best, f"query_id {kind}, chunk_id {chunk_kind}, score double"), k)
+    found = pa.schema([("query_id", to_arrow_type(kind)), ("chunk_id", to_arrow_type(chunk_kind)), ("score", pa.float64())])
+
+    def scan(asked: list) -> DataFrame:
+        names = [r["query_id"] for r in asked]
+        kinds = list(dict.fromkeys(t for r in asked for t in r["t"]))
+        number = {t: i for i, t in enumerate(kinds)}
+        counts = np.zeros((len(kinds), len(asked)))  # how often each query has each token
+        for j, r in enumerate(asked):
+            for t in r["t"]:
+                counts[number[t], j] += 1
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top, matrix = Best(len(names), k), token_matrix(kinds, dim).T
+            for batch in batches:
+                for at in range(0, batch.num_rows, 128):
+                    b = batch.slice(at, 128)
+                    lists = [list(set(t)) for t in b.column(1).to_pylist()]
+                    known = {t: i for i, t in enumerate(set().union(*lists))}
+                    sims = token_matrix(list(known), dim) @ matrix
+                    near = np.array([sims[[known[t] for t in own]].max(axis=0) for own in lists])
+                    top.add(np.array(b.column(0).to_pylist(), object), near @ counts)
+            yield pa.RecordBatch.from_pandas(top.rows(names), preserve_index=False, schema=found)
+
+        return rows.where(F.lit(bool(names))).mapInArrow(best, f"query_id {kind.simpleString()}, chunk_id {chunk_kind.simpleString()}, score double")
+
+    return ranked(in_blocks(queries.select("query_id", V.text_tokens(F.col("query")).alias("t")), scan), k)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -214,7 +242,10 @@ def first_seen(hits: DataFrame, order: list[str], cap: int | None = None) -> Dat
 
 
 def identity_rerank(hits: DataFrame, k: int) -> DataFrame:
-    return ranked(hits, k).withColumn("components", F.create_map(F.lit("rerank"), F.col("score")))
+    """Order by score; the components that hits have stay, and `rerank` is added."""
+    old = F.col("components") if "components" in hits.columns else F.lit(None).cast("map<string,double>")
+    kept = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,double>")), lambda name, _: name != "rerank")
+    return ranked(hits, k).withColumn("components", F.map_concat(kept, F.create_map(F.lit("rerank"), F.col("score").cast("double"))))
 
 
 def listwise_rerank(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -289,7 +320,3 @@ def model_rerank(hits: DataFrame, queries: DataFrame, k: int, order: Callable[[s
 
     rows = hits.join(queries.select("query_id", "query"), "query_id")
     return rows.groupBy("query_id").applyInPandas(run, rows.schema).drop("query")
-
-
-def token_count_of(text: Column) -> Column:
-    return F.size(blank_tokens(text))

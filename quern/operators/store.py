@@ -74,6 +74,34 @@ class Store:
         if (old := self.read(name)) is not None:
             self.write(name, delete_where(old, keys, on))
 
+    def replace_documents(self, documents: DataFrame, chunks: DataFrame, postings: DataFrame, dense: DataFrame, jobs: DataFrame) -> None:
+        """Put an ingested batch in place of what its documents had; a document that has no chunk now loses those it had."""
+        again = documents.select("document_id").distinct()
+        if (old := self.read("chunks")) is not None:
+            gone = old.join(again, "document_id", "left_semi").select("chunk_id")
+            for name in ("postings", "dense"):
+                self.delete(name, gone, ["chunk_id"])
+            self.delete("chunks", again, ["document_id"])
+        self.upsert("documents", documents, ["document_id"])
+        self.upsert("chunks", chunks, ["chunk_id"])
+        self.upsert("postings", postings, ["chunk_id", "idx"])
+        self.upsert("dense", dense, ["chunk_id"])
+        self.upsert("jobs", jobs, ["job_id"])
+
+    def find(self, name: str, column: str, value: str) -> DataFrame | None:
+        """Rows of one table with this value; None without the table."""
+        found = self.read(name)
+        return None if found is None else found.where(F.col(column) == value)
+
+    def drop(self, name: str) -> None:
+        """Delete a table and its versions; KeyError if there is none of this name."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            raise KeyError(name)
+        fs.delete(path, True)
+
     def delete_document(self, document_id: str) -> list[str]:
         """Remove a document from all tables; ids of its chunks, sorted (unknown document: none)."""
         chunks = self.read("chunks")

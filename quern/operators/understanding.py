@@ -17,6 +17,7 @@ CUES = [
     "compare", "comparison", "difference between", "differences between", "relationship", "relation between", "how does", "how do", "both",
     "and how", "versus", "vs.", "vs ", "contrast", "similarities", "similarity between", "distinguish", "while also", "as well as",
 ]
+#: A query of nothing but arithmetic, and the least length of a sub-question's subject (fixed).
 ARITHMETIC = r"^[\d\s\+\-\*\/\^\(\)\.%±×÷]+$"
 #: Question forms of the decomposer (fixed), in order of precedence.
 COMPARED = r"(?i)^\s*(?:compare|comparison of|difference between|differences between)\s+(.+?)\s+(?:with|and|vs\.?|versus)\s+(.+?)\s*\??\s*$"
@@ -121,8 +122,10 @@ def situate(title: Column, path: Column) -> Column:
 
 
 def hypothetical(query: Column, llm: Callable[[Column], Column]) -> Column:
-    """The query and a passage that a caller's column function writes for it."""
-    return F.array(query, llm(query))
+    """The query and the passage that a caller's column function writes for it, each once and without blanks at its ends; of an empty query the passage, if any."""
+    text, said = strip(query), strip(F.coalesce(llm(strip(query)), F.lit("")))
+    both = F.array_distinct(F.filter(F.array(text, said), lambda t: t != ""))
+    return F.when(F.size(both) > 0, both).otherwise(F.array(query))
 
 
 def vocabulary(query: Column) -> Column:

@@ -6,19 +6,53 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ignoring_case
+from ..functions.text import words
 from ..operators import metrics as M
 from . import pipelines as P
 from .tables import written
 
+#: Up to so many different words are given to the texts' scan as a list.
+MOST_WORDS = 1000
+
 
 def gold_by_substring(chunks: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, chunk_id, relevance): chunks that hold the case's `needle`, letter case aside; the cases go to every task."""
-    hit = chunks.select("chunk_id", "text").join(F.broadcast(cases.select("case_id", "needle")), contains_ignoring_case(F.col("text"), F.col("needle")))
-    return hit.select("case_id", "chunk_id", F.lit(1.0).alias("relevance")).distinct()
+    """(case_id, chunk_id, relevance): chunks that hold the case's `needle`, letter case aside.
+
+    A needle's words but the first and the last are whole words of every text
+    that holds it, so its longest inner word is joined with the texts' words
+    and the needle itself is looked for only there. Needles without an inner
+    word are looked for in every text.
+    """
+    low = cases.select("case_id", F.lower("needle").alias("needle")).where("needle is not null")
+    inner = F.slice(words(F.col("needle")), 2, F.greatest(F.size(words(F.col("needle"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = low.withColumn("word", longest)
+    texts = chunks.select("chunk_id", F.lower("text").alias("text"))
+    wanted = [r["word"] for r in keyed.where("word is not null").select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    own = F.array_distinct(words(F.col("text")))
+    if len(wanted) <= MOST_WORDS:  # texts give only the words that are asked for
+        own = F.array_intersect(own, F.lit(wanted).cast("array<string>"))
+    by_word = texts.withColumn("word", F.explode(own)).join(keyed.where("word is not null"), "word")
+    rest = texts.join(keyed.where("word is null"), F.contains(F.col("text"), F.col("needle")))
+    hit = by_word.where(F.contains("text", F.col("needle"))).select("case_id", "chunk_id").unionByName(rest.select("case_id", "chunk_id"))
+    return hit.distinct().withColumn("relevance", F.lit(1.0))
+
+
+def gold_dataset(chunks: DataFrame, cases: DataFrame) -> DataFrame:
+    """gold_by_substring(), written; ValueError if a case's needle is in no chunk."""
+    gold = written(gold_by_substring(chunks, cases), "gold")
+    lost = cases.join(gold, "case_id", "left_anti").select("case_id", "needle").first()
+    if lost is not None:
+        raise ValueError(f"case {lost['case_id']!r}: no chunk contains {lost['needle']!r}; the gold label is unsatisfiable")
+    return gold
+
+
+def generated_gold(chunks: DataFrame, write: Callable[[Column], Column]) -> DataFrame:
+    """Cases (case_id, query, needle) that a caller's model writes, one for each chunk; the chunk's text is the needle."""
+    return chunks.select(F.concat(F.lit("gen-"), "chunk_id").alias("case_id"), write(F.col("text")).alias("query"), F.col("text").alias("needle"))
 
 
 def run_modes(cases: DataFrame, index: P.Index, gold: DataFrame, k: int, modes: list[str], fusion: str = "rrf") -> DataFrame:
@@ -47,10 +81,17 @@ def generation_metrics(answers: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def run_matrix(sources: DataFrame, cases: DataFrame, k: int, strategies: list[str], modes: list[str]) -> DataFrame:
-    """Retrieval metrics of chunk strategies and modes; gold is found anew in each strategy's chunks."""
+    """Retrieval metrics of chunk strategies and modes, and each strategy's generation metrics (hybrid mode) beside them; gold is found anew in each strategy's chunks."""
+    if unknown := {*strategies} - {*P.CHUNKERS}:
+        raise ValueError(f"unknown chunk strategies: {sorted(unknown)}")
+
     def one(strategy: str) -> DataFrame:
-        index = P.ingest(sources, P.Settings(chunk_strategy=strategy))
-        return run_modes(cases, index, written(gold_by_substring(index.chunks, cases), "gold"), k, modes).withColumn("strategy", F.lit(strategy))
+        settings = P.Settings(chunk_strategy=strategy, top_k=k)
+        index = P.ingest(sources, settings)
+        found = run_modes(cases, index, written(gold_by_substring(index.chunks, cases), "gold"), k, modes)
+        said = generation_metrics(P.answer(cases.select(F.col("case_id").alias("query_id"), "query"), index, settings), cases)
+        means = said.agg(*[F.avg(c).alias(c) for c in said.columns if c != "case_id"])
+        return found.join(means, F.lit(True)).withColumn("strategy", F.lit(strategy))
 
     return reduce(DataFrame.unionByName, map(one, strategies))
 

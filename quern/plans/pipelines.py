@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, embedding_text, stable_id
-from ..functions.vectors import hash_embedding
+from ..functions.vectors import hashed_vectors
 from ..operators import chunking, context, search, sparse
 from ..operators import understanding as U
 from ..sources import parsers
@@ -19,7 +20,13 @@ CHUNKERS = {"heading_aware": chunking.heading_aware, "semantic": chunking.semant
 
 @dataclass(frozen=True)
 class Settings:
-    """What changes results. Names and defaults are those of the engine's users."""
+    """What changes results. Names and defaults are those of the engine's users.
+
+    The last four are a caller's models, None for the built-in steps: an
+    embedder of a text column, a writer of a hypothetical passage for a query
+    column, an order of a query's texts, and an answer to the columns query
+    and contexts.
+    """
 
     chunk_strategy: str = "heading_aware"
     max_tokens: int = 180
@@ -33,16 +40,28 @@ class Settings:
     mmr_lambda: float = 0.7
     process_contexts: bool = False
     dim: int = 256
+    embedder: Callable[[Column], Column] | None = None
+    hypothesis: Callable[[Column], Column] | None = None
+    order: Callable[[str, list[str]], list[int]] | None = None
+    generator: Callable[[Column, Column], Column] | None = None
 
 
 @dataclass
 class Index:
-    """Tables of one ingested batch."""
+    """Tables of one ingested batch: documents are all that could be parsed, jobs has the input's order in `ord`."""
 
     chunks: DataFrame
     postings: DataFrame
     vectors: DataFrame
     jobs: DataFrame
+    documents: DataFrame
+
+
+def vectors_of(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """(key, vec) by the settings' embedder."""
+    if settings.embedder is None:
+        return hashed_vectors(df, key, text, settings.dim)
+    return df.select(key, settings.embedder(F.col(text)).alias("vec"))
 
 
 def chunk(elements: DataFrame, settings: Settings) -> DataFrame:
@@ -58,28 +77,35 @@ def chunk(elements: DataFrame, settings: Settings) -> DataFrame:
     return out
 
 
-def index_chunks(chunks: DataFrame, settings: Settings, failures: DataFrame | None = None) -> Index:
-    """Statistics are those of this batch; its chunks are written once and read by both encoders."""
+def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> Index:
+    """Encode chunks; sources (source_id, document_id, ord, error) gives the jobs. Statistics are those of this batch; its chunks are written once and read by both encoders."""
     held = written(chunks.withColumn("indexed", embedding_text(F.col("context"), F.col("text"))), "chunks")
     model = sparse.fit(held, text="indexed")
     postings = sparse.encode(held, model, text="indexed")
-    vectors = hash_embedding(held, "chunk_id", "indexed", settings.dim)
-    good = held.groupBy("source_id", "document_id").agg(F.count("*").alias("chunk_count")).select("source_id", F.lit("succeeded").alias("status"), "document_id", "chunk_count", F.lit(None).cast("string").alias("error"))
-    jobs = good if failures is None else good.unionByName(failures.select("source_id", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("document_id"), F.lit(0).cast("long").alias("chunk_count"), "error"))
-    return Index(held, postings, vectors, jobs.withColumn("job_id", stable_id(F.col("source_id"), F.col("status"))))
+    vectors = vectors_of(held, "chunk_id", "indexed", settings)
+    sizes = held.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    good = F.col("error").isNull()
+    jobs = sources.join(sizes, "document_id", "left").select(
+        stable_id(F.col("source_id"), F.lit("job")).alias("job_id"), "source_id", F.when(good, "succeeded").otherwise("failed").alias("status"),
+        F.when(good, F.col("document_id")).alias("document_id"), F.when(good, F.coalesce("chunk_count", F.lit(0))).otherwise(0).cast("long").alias("chunk_count"), "error", "ord",
+    )
+    documents = sources.where(good).select("document_id", "source_id").distinct()
+    return Index(held, postings, vectors, jobs, documents)
 
 
 def ingest(sources: DataFrame, settings: Settings | None = None) -> Index:
     """Parse, chunk, encode. Sources that can't be parsed give failed jobs and the rest goes on."""
     settings = settings or Settings()
-    elements, failures = parsers.parse(sources)
-    return index_chunks(chunk(elements, settings), settings, failures)
+    done = written(parsers.outlines(sources), "outlines")
+    return index_chunks(chunk(parsers.elements_of(done), settings), settings, done.drop("parts"))
 
 
 def ingest_plain(texts: DataFrame, id_col: str, text: str, settings: Settings | None = None) -> Index:
     """The same for plain texts, parsed by expressions."""
     settings = settings or Settings()
-    return index_chunks(chunk(parsers.plain_elements(texts, id_col, text), settings), settings)
+    doc = parsers.document_id(F.col(id_col), F.lit("text/plain"), F.lit("markdown"))
+    sources = texts.select(F.col(id_col).cast("string").alias("source_id"), doc.alias("document_id"), F.monotonically_increasing_id().alias("ord"), F.lit(None).cast("string").alias("error"))
+    return index_chunks(chunk(parsers.plain_elements(texts, id_col, text), settings), settings, sources)
 
 
 def search_once(queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
@@ -93,25 +119,35 @@ def search_once(queries: DataFrame, index: Index, settings: Settings) -> DataFra
     if settings.mode != "dense":
         s = search.sparse_search(sparse.encode_query(q, "query_id", "query"), index.postings, index.chunks, k)
     if settings.mode != "sparse":
-        d = search.hashed_dense_search(hash_embedding(q, "query_id", "query", settings.dim), index.vectors, index.chunks, k)
+        d = search.dense_search(vectors_of(q, "query_id", "query", settings), index.vectors, k)
     if both:
         return search.hybrid(d, s, settings.top_k, settings.fusion)
     one = s if d is None else d
     return one.withColumn("components", F.create_map(F.lit(settings.mode), F.col("score")))
 
 
+def variants_of(query: Column, settings: Settings) -> Column:
+    """The query and what else is asked in its place: its clauses, or a passage that a caller's model writes for it."""
+    return U.expand(query) if settings.hypothesis is None else U.hypothetical(query, settings.hypothesis)
+
+
 def retrieve(queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
-    """Search, over the variants of each query if asked for, fused by reciprocal rank."""
+    """Search, over the variants of each query if asked for, fused by reciprocal rank; a query with one variant has its plain hits."""
     if not settings.expand:
         return search_once(queries, index, settings)
-    listed = queries.select("query_id", F.posexplode(U.expand(F.col("query"))).alias("variant", "query"))
-    named = listed.withColumn("key", F.struct("query_id", "variant"))
-    hits = search_once(named.select(F.to_json("key").alias("query_id"), "query"), index, settings).join(named.select(F.to_json("key").alias("query_id"), F.col("query_id").alias("whole"), "variant"), "query_id")
-    return search.fuse_variants(hits.select(F.col("whole").alias("query_id"), "variant", "chunk_id", "rank"), settings.top_k).withColumn("components", F.create_map().cast("map<string,double>"))
+    listed = queries.withColumn("variants", variants_of(F.col("query"), settings)).select("query_id", F.size("variants").alias("n"), F.posexplode("variants").alias("variant", "query"))
+    named = listed.withColumn("key", F.to_json(F.struct("query_id", "variant")))
+    hits = search_once(named.select(F.col("key").alias("query_id"), "query"), index, settings).withColumnRenamed("query_id", "key")
+    hits = written(hits.join(named.select("key", "query_id", "variant", "n"), "key").drop("key"), "variant-hits")
+    plain = hits.where("n = 1").select("query_id", "chunk_id", "score", "rank", "components")
+    fused = search.fuse_variants(hits.where("n > 1").select("query_id", "variant", "chunk_id", "rank"), settings.top_k).withColumn("components", F.create_map().cast("map<string,double>"))
+    return plain.unionByName(fused.select(plain.columns))
 
 
 def rerank(hits: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame:
     """hits with chunk columns, reordered."""
+    if settings.order is not None:
+        return search.model_rerank(hits, queries, settings.top_k, settings.order)
     if settings.reranker == "identity":
         return search.identity_rerank(hits, settings.top_k)
     if settings.reranker == "listwise":
@@ -122,22 +158,25 @@ def rerank(hits: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame
     raise ValueError(f"unknown reranker {settings.reranker}")
 
 
-def generate(hits: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame:
-    """Answers from hits that carry chunk columns and a rank."""
+def generate(hits: DataFrame, queries: DataFrame, settings: Settings, retrieved: DataFrame | None = None) -> DataFrame:
+    """Answers from hits that carry chunk columns and a rank; retrieved_ids are those of `retrieved`, the ranking before a reranker."""
     contexts = hits.withColumn("position", F.col("rank")).join(queries.select("query_id", "query"), "query_id")
     if settings.process_contexts:
         contexts = context.process(contexts)
     answers = context.extractive_answers(queries, contexts)
-    ids = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda e: e["chunk_id"]).alias("retrieved_ids"))
+    ids = (hits if retrieved is None else retrieved).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda e: e["chunk_id"]).alias("retrieved_ids"))
     texts = contexts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda e: e["text"]).alias("contexts"))
-    return queries.select("query_id", "query").join(answers, "query_id").join(ids, "query_id", "left").join(texts, "query_id", "left")
+    out = queries.select("query_id", "query").join(answers, "query_id").join(ids, "query_id", "left").join(texts, "query_id", "left")
+    if settings.generator is None:
+        return out
+    return out.withColumn("answer", settings.generator(F.col("query"), F.coalesce("contexts", F.array().cast("array<string>"))))
 
 
 def answer(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:
-    """(query_id, query, answer, citations, retrieved_ids, contexts)."""
+    """(query_id, query, answer, citations, retrieved_ids, contexts); retrieved_ids in the order before reranking."""
     settings = settings or Settings()
-    hits = search.attach(retrieve(queries, index, settings), index.chunks)
-    return generate(rerank(hits, queries, settings), queries, settings)
+    hits = written(retrieve(queries, index, settings), "hits")
+    return generate(rerank(search.attach(hits, index.chunks), queries, settings), queries, settings, hits)
 
 
 def adaptive(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:
@@ -157,7 +196,7 @@ def corrective(queries: DataFrame, index: Index, settings: Settings | None = Non
     second = search.attach(retrieve(again, index, replace(settings, expand=True)), index.chunks)
     good = first.join(grades.where("grade = 'correct'"), "query_id", "left_semi")
     hits = good.unionByName(second, allowMissingColumns=True)
-    return generate(rerank(hits, queries, settings), queries, settings).join(grades, "query_id").withColumn("corrected", F.col("grade") != "correct")
+    return generate(rerank(hits, queries, settings), queries, settings, hits).join(grades, "query_id").withColumn("corrected", F.col("grade") != "correct")
 
 
 def decomposed(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, stable_id
@@ -237,11 +237,11 @@ def _walk_hwpx(node: ElementTree.Element, out: Outline) -> None:
 OUTLINES: dict[str, Callable] = {"text/markdown": markdown_outline, "text/html": html_outline, "application/x-hwp": lambda t: lines_outline(t.splitlines())}
 
 
-def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, failures) of sources of any supported type.
+def outlines(sources: DataFrame) -> DataFrame:
+    """(source_id, document_id, ord, parts, error): what each source of any supported type holds, ord in the order of the rows.
 
-    A source that no parser takes, or that its parser can't read, becomes a
-    failure row (source_id, error); the batch goes on.
+    A source that no parser takes, or that its parser can't read, has an error
+    and no parts; the batch goes on.
     """
 
     @F.pandas_udf(f"struct<parts:{PARTS},error:string>")
@@ -259,11 +259,21 @@ def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame(rows, columns=["parts", "error"])
 
     base = sources.withColumns({"__text": read_text(F.col("content"), F.col("text")) if "content" in sources.columns else F.col("text"), "__bytes": F.col("content") if "content" in sources.columns else F.lit(None).cast("binary")})
-    done = base.select("source_id", "media_type", outline("media_type", "__text", "__bytes").alias("r"))
+    done = base.select("source_id", "media_type", F.monotonically_increasing_id().alias("ord"), outline("media_type", "__text", "__bytes").alias("r"))
     doc = document_id(F.col("source_id"), F.col("media_type"), parser_of(F.col("media_type")))
-    rows = done.where("r.error is null").select(doc.alias("document_id"), F.col("source_id").cast("string").alias("source_id"), F.posexplode("r.parts").alias("ord", "p"))
-    elements = rows.select("document_id", "source_id", "ord", "p.*").withColumns({"element_id": stable_id(F.col("document_id"), F.col("ord"), F.col("type")), "start_page": F.lit(1), "end_page": F.lit(1)})
-    return elements, done.where("r.error is not null").select("source_id", F.col("r.error").alias("error"))
+    return done.select(F.col("source_id").cast("string").alias("source_id"), doc.alias("document_id"), "ord", "r.parts", "r.error")
+
+
+def elements_of(done: DataFrame) -> DataFrame:
+    """Elements of outlines()."""
+    rows = done.where("error is null").select("document_id", "source_id", F.posexplode("parts").alias("ord", "p"))
+    return rows.select("document_id", "source_id", "ord", "p.*").withColumns({"element_id": stable_id(F.col("document_id"), F.col("ord"), F.col("type")), "start_page": F.lit(1), "end_page": F.lit(1)})
+
+
+def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, failures) of sources of any supported type; failures: source_id, error."""
+    done = outlines(sources)
+    return elements_of(done), done.where("error is not null").select("source_id", "error")
 
 
 def _paragraphs(text: str) -> Iterator[list[str]]:
@@ -283,8 +293,6 @@ def titles(elements: DataFrame) -> DataFrame:
 
 def block_order(blocks: DataFrame) -> DataFrame:
     """Reading order of page blocks (document_id, page, x, y, page_height, text): by page, rounded y and x; short top blocks are titles."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document_id").orderBy("page", F.round("y", 1), F.round("x", 1), "text")
     title = (F.length(F.trim("text")) <= 80) & ~F.trim("text").contains("\n") & (F.col("y") < F.col("page_height") * 0.25)
     return blocks.where(F.trim("text") != "").withColumns({"ord": F.row_number().over(order) - 1, "type": F.when(title, "Title").otherwise("NarrativeText"), "section_path": F.array().cast("array<string>")})
@@ -319,19 +327,44 @@ def ocr_confidence(scores: Column) -> Column:
     return F.when(F.size(good) == 0, 0.0).otherwise(F.aggregate(good, F.lit(0.0), lambda a, s: a + s) / F.size(good) / 100.0)
 
 
-#: Labels of layout models and what they become (fixed).
-LAYOUT_TYPES = {
-    "title": "Title", "section_header": "Title", "heading": "Title", "text": "NarrativeText", "paragraph": "NarrativeText", "caption": "NarrativeText", "footnote": "NarrativeText",
-    "list_item": "ListItem", "table": "Table", "picture": "Figure", "image": "Figure", "code": "Code", "formula": "Formula", "page_header": "PageHeader", "page_footer": "PageFooter",
+#: Labels of two layout models and what they become (fixed); others are narrative text.
+DOCLING_TYPES = {
+    "title": "Title", "section_header": "Title", "text": "NarrativeText", "paragraph": "NarrativeText", "caption": "NarrativeText", "footnote": "NarrativeText", "list_item": "ListItem",
+    "table": "Table", "picture": "Figure", "chart": "Figure", "code": "Code", "formula": "Formula", "page_header": "PageHeader", "page_footer": "PageFooter",
+}
+OPENDATALOADER_TYPES = {
+    "heading": "Title", "paragraph": "NarrativeText", "table": "Table", "image": "Figure", "picture": "Figure", "chart": "Figure", "formula": "Formula", "list": "ListItem",
+    "caption": "NarrativeText", "footnote": "NarrativeText", "page_header": "PageHeader", "page_footer": "PageFooter",
 }
+LAYOUTS = {"docling": (DOCLING_TYPES, ["title", "section_header"]), "opendataloader": (OPENDATALOADER_TYPES, ["heading"])}
 
 
-def layout_elements(items: DataFrame) -> DataFrame:
-    """Elements of layout JSON rows (document_id, source_id, ord, json with type, content, page number)."""
-    j = F.from_json("json", "type string, content string, `page number` int, `heading level` int")
-    table = F.create_map(*[F.lit(x) for kv in LAYOUT_TYPES.items() for x in kv])
-    rows = items.withColumn("j", j)
-    return rows.select("document_id", "source_id", "ord", F.coalesce(F.try_element_at(table, F.replace(F.lower("j.type"), F.lit(" "), F.lit("_"))), F.lit("NarrativeText")).alias("type"), F.col("j.content").alias("text"), F.coalesce("j.`page number`", F.lit(1)).alias("start_page"), F.coalesce("j.`page number`", F.lit(1)).alias("end_page"))
+def layout_elements(items: DataFrame, layout: str = "opendataloader") -> DataFrame:
+    """Elements of layout JSON rows (document_id, source_id, ord, json) with section paths.
+
+    json: type, content, page_number, heading_level, bounding_box, ocr_engine.
+    Items without content are left out. A heading closes the open headings of
+    its level and deeper ones; the section path of an item is the headings
+    that are open before it. route: ocr with an OCR engine, vlm for images,
+    else text.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout}")
+    types, headings = LAYOUTS[layout]
+    j = F.from_json("json", "type string, content string, page_number int, heading_level int, bounding_box string, ocr_engine string")
+    kind = F.lower(F.coalesce("j.type", F.lit("paragraph")))
+    level = F.when(F.coalesce("j.heading_level", F.lit(0)) == 0, 1).otherwise(F.col("j.heading_level"))
+    rows = items.withColumn("j", j).select("document_id", "source_id", "ord", kind.alias("kind"), F.trim(F.coalesce("j.content", F.lit(""))).alias("text"), F.coalesce("j.page_number", F.lit(1)).alias("page"), level.alias("level"), "j.bounding_box", "j.ocr_engine")
+    rows = rows.where("text <> ''").withColumn("heads", F.col("kind").isin(headings))
+    # of the headings before an item the last of each level counts, and of those the ones that no later heading of a lower level closes
+    before = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.collect_list(F.when(F.col("heads"), F.struct("ord", "level", "text"))).over(before)
+    own = F.when(F.col("heads"), F.col("level")).otherwise(F.lit(1 << 30))
+    opened = F.filter(F.col("seen"), lambda h: (h["level"] < F.col("own")) & ~F.exists(F.col("seen"), lambda later: (later["ord"] > h["ord"]) & (later["level"] <= h["level"])))
+    table = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
+    named = rows.withColumns({"seen": seen, "own": own}).withColumns({"section_path": F.transform(opened, lambda h: h["text"]), "type": F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("NarrativeText")), "n": F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1})
+    route = F.when(F.coalesce("ocr_engine", F.lit("")) != "", "ocr").when(F.col("kind") == "image", "vlm").otherwise("text")
+    return named.select("document_id", "source_id", F.col("n").alias("ord"), "type", "text", "section_path", "level", stable_id(F.col("document_id"), F.col("n"), F.col("type")).alias("element_id"), F.col("page").alias("start_page"), F.col("page").alias("end_page"), "bounding_box", route.alias("route"))
 
 
 def pipe_table(header: Column, rows: Column) -> Column:

@@ -11,19 +11,12 @@ from ..plans import pipelines as P
 
 
 def ingest_stream(sources: DataFrame, store: Store, checkpoint: str, settings: P.Settings | None = None) -> StreamingQuery:
-    """Write chunks, postings and jobs of each micro-batch; documents that come again replace their chunks."""
+    """Write documents, chunks, postings, vectors and jobs of each micro-batch; documents that come again replace what they had."""
     def batch(df: DataFrame, _: int) -> None:
         if df.isEmpty():
             return
         index = P.ingest(df, settings)
-        stale = index.chunks.select("document_id").distinct()
-        if (old := store.read("chunks")) is not None:
-            gone = old.join(stale, "document_id", "left_semi").select("chunk_id")
-            store.delete("postings", gone, ["chunk_id"])
-            store.delete("chunks", stale, ["document_id"])
-        store.upsert("chunks", index.chunks, ["chunk_id"])
-        store.upsert("postings", index.postings, ["chunk_id", "idx"])
-        store.upsert("jobs", index.jobs, ["job_id"])
+        store.replace_documents(index.documents, index.chunks, index.postings, index.vectors, index.jobs.drop("ord"))
 
     return sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -156,12 +156,17 @@ def test_metrics(spark):
     assert one(spark, metrics.noise_sensitivity(F.lit("red green. blue sky."), arr("red green car"), F.lit("blue sky"))) == 0.5
     assert one(spark, metrics.operand_found(F.lit(120000000.0), F.lit("매출 1억 2천"))) is False
     assert one(spark, metrics.operand_found(F.lit(1234.0), F.lit("total 1,234 won"))) is True
+    null, nan = F.lit(None), F.lit(float("nan"))
+    assert [one(spark, metrics.operand_found(v.cast("double"), t.cast("string"))) for v, t in ((null, F.lit("1")), (F.lit(1.0), null), (nan, F.lit("nan")))] == [False] * 3
     cells = one(spark, metrics.table_cells(F.lit("| a | b |\n| c |  |")))
     assert [(c["row"], c["col"], c["text"]) for c in cells] == [(0, 1, "a"), (0, 2, "b"), (1, 1, "c")]
 
 
 def test_calculator():
-    assert tools.calculate("2 + 3 * 4") == "14.0" and tools.calculate("1/0").startswith("error") and tools.calculate("__import__('os')").startswith("error")
+    values = {"2 + 3 * 4": 14.0, "10 / 4": 2.5, "2 ** 8": 256.0, "-3 + 5": 2.0, "(3 + 4) * 2 / 7": 2.0, "17 % 5": 2.0, "-2 ** 2": -4.0, "2 ** -3 ** 2": 2.0**-9, "- - 1_000": 1000.0, ".5e1": 5.0}
+    assert {e: float(tools.calculate(e)) for e in values} == pytest.approx(values)
+    for wrong in ("", "1/0", "1 % 0", "__import__('os')", "x + 1", "'hello'", "3 +* 2", "1 2", "(", ")(", "7 // 2", "9**9**9", "(-8) ** .5", "(" * 5000, "1" * 20_000):
+        assert tools.calculate(wrong).startswith("Error")
     turns = iter([tools.Turn(calls=[("1", "calculator", {"expression": "10/4"})]), tools.Turn(text="done")])
     run = tools.run_tools("?", lambda m: next(turns))
     assert run.final_value == 2.5 and run.text == "done" and run.rounds == 2
@@ -208,6 +213,65 @@ def test_evaluation(spark):
     assert {r["mode"] for r in m.collect()} == {"sparse", "hybrid"}
 
 
+def test_gold_must_be_satisfiable(spark):
+    chunks = P.ingest(sources(spark)).chunks
+    cases = spark.createDataFrame([("a", "the BORG backup tool saves"), ("b", "soil"), ("c", "paris")], "case_id string, needle string")
+    assert sorted(r["case_id"] for r in evaluation.gold_dataset(chunks, cases).collect()) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="unsatisfiable"):
+        evaluation.gold_dataset(chunks, cases.unionByName(spark.createDataFrame([("d", "borg backup widgets")], "case_id string, needle string")))
+    with pytest.raises(ValueError):
+        evaluation.run_matrix(sources(spark), cases, 3, ["nothing"], ["sparse"])
+
+
+def test_variants_models_and_rankings(spark):
+    index = P.ingest(sources(spark))
+    q = spark.createDataFrame([(1, "backup tool"), (2, "widgets and gardening soil")], "query_id int, query string")
+    plain = {(r["query_id"], r["chunk_id"]): r["score"] for r in P.retrieve(q, index, P.Settings(top_k=3)).collect()}
+    more = {(r["query_id"], r["chunk_id"]): (r["score"], r["components"]) for r in P.retrieve(q, index, P.Settings(top_k=3, expand=True)).collect()}
+    assert {k: v for k, v in plain.items() if k[0] == 1} == {k: v[0] for k, v in more.items() if k[0] == 1}  # one variant: plain hits
+    assert all(v[1] for k, v in more.items() if k[0] == 1) and not any(v[1] for k, v in more.items() if k[0] == 2)
+    hyde = P.retrieve(q.where("query_id = 1"), index, P.Settings(top_k=1, expand=True, mode="sparse", hypothesis=lambda c: F.lit("zetacorp makes widgets"))).collect()
+    assert len(hyde) == 1 and hyde[0]["score"] == pytest.approx(1 / 61)
+    said = P.answer(q, index, P.Settings(top_k=2, mode="sparse", order=lambda query, texts: [1, 0], generator=lambda query, contexts: F.concat(query, F.lit(" / "), F.size(contexts).cast("string")))).collect()
+    first = {r["query_id"]: r["chunk_id"] for r in P.retrieve(q, index, P.Settings(top_k=2, mode="sparse")).where("rank = 1").collect()}
+    for r in said:
+        assert r["answer"] == r["query"] + " / 2" and r["retrieved_ids"][0] == first[r["query_id"]] == r["citations"][1]["chunk_id"]
+    hits = search.identity_rerank(P.retrieve(q, index, P.Settings(top_k=2)), 2).first()
+    assert set(hits["components"]) == {"dense", "sparse", "rerank"}
+    embedded = P.ingest(sources(spark), P.Settings(embedder=lambda t: F.array(F.contains(F.lower(t), F.lit("borg")).cast("double"), F.lit(0.1).cast("double"))))
+    best = P.retrieve(spark.createDataFrame([(1, "borg")], "query_id int, query string"), embedded, P.Settings(mode="dense", top_k=1, embedder=lambda t: F.array(F.lit(1.0), F.lit(0.0)))).join(embedded.chunks, "chunk_id").first()
+    assert "Borg" in best["text"]
+
+
+def test_search_of_many_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    v = spark.createDataFrame([(f"c{i}", [float(i), 1.0]) for i in range(20)], "chunk_id string, vec array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(10)], "query_id int, vec array<double>")
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in search.dense_search(q, v, 2, "dot").collect()}
+    assert len(got) == 20 and all(got[i, 1] == "c19" and got[i, 2] == "c18" for i in range(10))
+
+
+def test_layout_headings(spark):
+    rows = [("heading", "A", 1), ("paragraph", "one", None), ("heading", "B", 2), ("list", "two", None), ("chart", "three", None), ("heading", "C", 2), ("table", "four", None), ("heading", "D", 1), ("odd", "five", None), ("paragraph", "  ", None)]
+    items = spark.createDataFrame([("d", "s", i, t, c, h) for i, (t, c, h) in enumerate(rows)], "document_id string, source_id string, ord int, type string, content string, heading_level int")
+    items = items.select("document_id", "source_id", "ord", F.to_json(F.struct("type", "content", "heading_level", F.lit(2).alias("page_number"))).alias("json"))
+    got = [(r["type"], r["text"], r["section_path"], r["start_page"]) for r in parsers.layout_elements(items).orderBy("ord").collect()]
+    assert got == [
+        ("Title", "A", [], 2), ("NarrativeText", "one", ["A"], 2), ("Title", "B", ["A"], 2), ("ListItem", "two", ["A", "B"], 2), ("Figure", "three", ["A", "B"], 2),
+        ("Title", "C", ["A"], 2), ("Table", "four", ["A", "C"], 2), ("Title", "D", [], 2), ("NarrativeText", "five", ["D"], 2),
+    ]
+    with pytest.raises(ValueError):
+        parsers.layout_elements(items, "other")
+
+
+def test_graph_batches_add_up(spark):
+    a = spark.createDataFrame([("c1", "Today Alice works at Acme now.")], "chunk_id string, text string")
+    b = spark.createDataFrame([("c2", "Here Alice left Acme and Paris.")], "chunk_id string, text string")
+    mentions, edges = graph.merged(graph.build(a), graph.build(b))
+    whole = graph.build(a.unionByName(b))
+    assert sorted(map(tuple, mentions.collect())) == sorted(map(tuple, whole[0].collect())) and sorted(map(tuple, edges.collect())) == sorted(map(tuple, whole[1].collect()))
+
+
 def test_bm25_of_nothing(spark):
     empty = spark.createDataFrame([], "chunk_id string, text string")
     assert sparse.encode(empty, sparse.fit(empty)).count() == 0
