@@ -203,43 +203,45 @@ def clusters(vectors: list[dict[int, float]], threshold: float) -> list[int]:
     return out
 
 
+@column_function("array<int>")
+def _labels(texts: pd.Series, threshold: pd.Series) -> pd.Series:
+    return pd.Series([clusters([hashed(t) for t in ts], x) for ts, x in zip(texts, threshold, strict=True)])
+
+
+def common_path(paths: Column) -> Column:
+    """Longest common prefix of paths; the first path if they share none."""
+    first = F.element_at(paths, 1)
+    same = F.filter(F.sequence(F.lit(0), F.size(first)), lambda n: F.forall(paths, lambda p: F.slice(p, 1, n) == F.slice(first, 1, n)))
+    return F.when(F.array_max(same) == 0, first).otherwise(F.slice(first, 1, F.array_max(same)))
+
+
 def hierarchical(leaves: DataFrame, threshold: float = 0.5, summary_max_tokens: int = 120) -> DataFrame:
     """Parents over clusters of a document's leaves, and the leaves under them.
 
     A parent's text is the first sentence of each of its leaves, cut to
     summary_max_tokens words; its path is the longest common prefix. A single
-    leaf has no parent. Clustering is sequential within one document.
+    leaf has no parent. Only the labels are found sequentially, within one
+    document; parents are groups of labels.
     """
-    keep = leaves.schema
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        name = lambda *parts: hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:16]
-        pdf = pdf.sort_values(["section_ord", "chunk_ord"], ignore_index=True)
-        kids = pdf.assign(chunk_id=[name(c, "hierarchical", "leaf") for c in pdf["chunk_id"]], chunk_strategy="hierarchical", chunk_version=VERSION)
-        if len(pdf) == 1:
-            return kids
-        label = clusters([hashed(t) for t in pdf["text"]], threshold)
-        out = []
-        for c in range(max(label) + 1):
-            own = kids[[x == c for x in label]]
-            doc = own["document_id"].iloc[0]
-            parent = name(doc, "hierarchical", VERSION, "parent", str(c))
-            firsts = [s[0][0] if (s := sentence_spans(t)) else t.strip() for t in own["text"]]
-            summary = " ".join(firsts)
-            if len(summary.split()) > summary_max_tokens:
-                summary = " ".join(summary.split()[:summary_max_tokens])
-            paths = [list(p) for p in own["section_path"]]
-            same = 0
-            while all(same < len(p) for p in paths) and len({p[same] for p in paths}) == 1:
-                same += 1
-            row = own.iloc[0].to_dict() | {
-                "chunk_id": parent, "text": summary, "section_path": paths[0][:same] or paths[0], "char_start": 0, "char_end": len(summary), "token_count": len(summary.split()), "parent_chunk_id": None,
-                "element_ids": list(dict.fromkeys(e for ids in own["element_ids"] for e in ids)),
-                "page_span": {"start_page": min(p["start_page"] for p in own["page_span"]), "end_page": max(p["end_page"] for p in own["page_span"])},
-            }
-            out += [pd.DataFrame([row]), own.assign(parent_chunk_id=parent)]
-        return pd.concat(out, ignore_index=True)[keep.names]
-
-    return leaves.groupBy("document_id").applyInPandas(build, keep)
+    in_doc = Window.partitionBy("document_id").orderBy("section_ord", "chunk_ord")
+    kids = leaves.withColumns({"at": F.row_number().over(in_doc) - 1, "n": F.count("*").over(Window.partitionBy("document_id"))}).withColumns({
+        "chunk_id": stable_id(F.col("chunk_id"), F.lit("hierarchical"), F.lit("leaf")), "chunk_strategy": F.lit("hierarchical"), "chunk_version": F.lit(VERSION),
+    })
+    listed = kids.where("n > 1").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda e: e["text"]).alias("texts"))
+    labels = listed.select("document_id", F.posexplode(_labels("texts", F.lit(threshold))).alias("at", "label"))
+    parent = stable_id(F.col("document_id"), F.lit("hierarchical"), F.lit(VERSION), F.lit("parent"), F.col("label"))
+    named = kids.join(labels, ["document_id", "at"], "left").withColumn("parent_chunk_id", F.when(F.col("label").isNotNull(), parent))
+    lead = F.coalesce(F.try_element_at(sentences(F.col("text")), F.lit(1)), F.trim("text"))
+    member = F.struct("at", lead.alias("lead"), "section_path", "element_ids", "page_span")
+    groups = named.where("label is not null").groupBy("document_id", "parent_chunk_id").agg(F.array_sort(F.collect_list(member)).alias("own"), F.min_by(F.struct("source_id", "context", "section_ord", "chunk_ord"), "at").alias("first"))
+    tokens = blank_tokens(F.array_join(F.transform("own", lambda m: m["lead"]), " "))
+    whole = F.array_join(F.transform("own", lambda m: m["lead"]), " ")
+    tops = groups.withColumn("text", F.when(F.size(tokens) > summary_max_tokens, F.array_join(F.slice(tokens, 1, summary_max_tokens), " ")).otherwise(whole))
+    tops = tops.select(
+        F.col("parent_chunk_id").alias("chunk_id"), "document_id", "first.*", "text", common_path(F.transform("own", lambda m: m["section_path"])).alias("section_path"),
+        F.lit(0).alias("char_start"), F.length("text").alias("char_end"), count_tokens(F.col("text")).alias("token_count"),
+        F.lit("hierarchical").alias("chunk_strategy"), F.lit(VERSION).alias("chunk_version"), F.lit(None).cast("string").alias("parent_chunk_id"),
+        F.array_distinct(F.flatten(F.transform("own", lambda m: m["element_ids"]))).alias("element_ids"),
+        F.struct(F.array_min(F.transform("own", lambda m: m["page_span"]["start_page"])).alias("start_page"), F.array_max(F.transform("own", lambda m: m["page_span"]["end_page"])).alias("end_page")).alias("page_span"),
+    )
+    return named.select(leaves.columns).unionByName(tops.select(leaves.columns))
