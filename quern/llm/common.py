@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,8 +93,51 @@ def without(docs: DataFrame, added: list[str], *needed: str) -> DataFrame:
     return docs.drop(*added)
 
 
+def grouped(rows: DataFrame, key: str, columns: list[str], work: Callable[[int, dict[str, list]], Iterator[tuple]], schema: str, names: list[str]) -> DataFrame:
+    """Run work on the rows of each key, streamed in key order; work yields result rows as tuples of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in columns}
+        current: int | None = None
+        out: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(np.concatenate([o[i] for o in out])) for i in range(len(names))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            data = {c: b.column(i + 1).to_pylist() for i, c in enumerate(columns)}
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if current is not None and keys[s] != current:
+                    for r in work(current, held):
+                        out.append(r)
+                        size += len(r[0])
+                    held = {c: [] for c in columns}
+                current = keys[s]
+                for c in columns:
+                    held[c] += data[c][s:e]
+            if size > 50_000:
+                yield flush()
+                size = 0
+        if current is not None:
+            out += work(current, held)
+        if out:
+            yield flush()
+
+    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents of a folder, spread over all cores where their files give fewer partitions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def text_crc32(column: str) -> "F.Column":

@@ -14,14 +14,14 @@ few: the result does not depend on how good the lists are.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, grouped, written
 from .components import components
 
 THRESHOLD = 0.9
@@ -61,46 +61,6 @@ def prepare(vectors: DataFrame, vec: str, id_col: str) -> DataFrame:
     return vectors.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInArrow(run, f"node long, id {kind}, dim int, v64 binary, v32 binary")
 
 
-def _grouped(rows: DataFrame, key: str, columns: list[str], work: Callable[[int, dict[str, list]], Iterator[tuple]], schema: str, names: list[str]) -> DataFrame:
-    """Run work on the rows of each key, streamed in key order; work yields result rows as tuples of arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in columns}
-        current: int | None = None
-        out: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            cols = [pa.array(np.concatenate([o[i] for o in out])) for i in range(len(names))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=names)
-
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            data = {c: b.column(i + 1).to_pylist() for i, c in enumerate(columns)}
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if current is not None and keys[s] != current:
-                    for r in work(current, held):
-                        out.append(r)
-                        size += len(r[0])
-                    held = {c: [] for c in columns}
-                current = keys[s]
-                for c in columns:
-                    held[c] += data[c][s:e]
-            if size > 50_000:
-                yield flush()
-                size = 0
-        if current is not None:
-            out += work(current, held)
-        if out:
-            yield flush()
-
-    return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 def _matrix(packed: list[bytes], dtype: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype).reshape(len(packed), -1)
 
@@ -139,7 +99,7 @@ def leaf_lists(nodes: DataFrame, n: int, k: int) -> DataFrame:
             top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
             yield np.repeat(part, m), part[top].reshape(-1), np.take_along_axis(sims, top, axis=1).reshape(-1)
 
-    return _grouped(dealt.join(nodes.select("node", "v32"), "node"), "part", ["node", "v32"], best, "node long, nbr long, sim float", ["node", "nbr", "sim"])
+    return grouped(dealt.join(nodes.select("node", "v32"), "node"), "part", ["node", "v32"], best, "node long, nbr long, sim float", ["node", "nbr", "sim"])
 
 
 def top_lists(candidates: DataFrame, k: int) -> DataFrame:
@@ -172,7 +132,7 @@ def refine(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
         i, j = np.nonzero(sims > least[:, None] + 1e-6)
         yield member[i], member[j], sims[i, j]
 
-    return _grouped(rows, "hub", ["member", "v32", "least"], local, "node long, nbr long, sim float", ["node", "nbr", "sim"])
+    return grouped(rows, "hub", ["member", "v32", "least"], local, "node long, nbr long, sim float", ["node", "nbr", "sim"])
 
 
 def links_of(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
@@ -235,7 +195,7 @@ def exact_links(nodes: DataFrame, found: DataFrame, n: int, threshold: float) ->
             if p != q:
                 yield node[right], back, np.full(len(right), -1, np.int64)
 
-    return _grouped(rows, "grp", [*columns, "v64"], compare, "node long, n_links long, other long", ["node", "n_links", "other"])
+    return grouped(rows, "grp", [*columns, "v64"], compare, "node long, n_links long, other long", ["node", "n_links", "other"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec: str = "embedding", id_col: str = "vec_id", k: int = NEIGHBOURS) -> DataFrame:

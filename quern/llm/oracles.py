@@ -66,4 +66,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUALITY_RULES = _quality()
 
-ORACLE_SQL = {"op7_url_filters": URL_FILTERS, "op8_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP}
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) >= 0.9::DOUBLE * a.size * b.size),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+ORACLE_SQL = {"op5_embedding_dedup": EMBEDDING_DEDUP, "op7_url_filters": URL_FILTERS, "op8_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP}

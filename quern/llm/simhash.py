@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, split_words, text_blocks, written
+from .common import drop_written, grouped, split_words, text_blocks, written
 from .components import components
 
 SEED = 42
@@ -217,6 +217,8 @@ JUDGE_WIDTH = 5
 SPARE = 0.1
 #: Keys of a text by which neighbours are compared first; all keys count in the pass after it.
 NEAR_KEYS = 3
+#: Keys of more texts are compared tile against tile, in blocks of about so many texts.
+PAIR_TEXTS, BLOCK = 32, 512
 #: Buckets of each of the two count tables that tell common shingles.
 SKETCH = 1 << 16
 #: Bits of the map by which tasks pass over texts that are no candidates, whatever the input.
@@ -408,6 +410,41 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return links
 
 
+def crowd_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share a key of apart (key, at, n, texts, component), lie in different components and may be similar by their parities.
+
+    The texts of a key are dealt into blocks of about BLOCK, every block is
+    compared with every other in a task of its own, and only pairs that may be
+    similar come out.
+    """
+    blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
+    dealt = apart.withColumns({"block": F.pmod(F.xxhash64("at", "key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    tiles = dealt.select("at", "component", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    columns = ["at", "component", "block", "i", "j", "n", "parity"]
+
+    def compare(_: int, rows: dict[str, list]) -> Iterator[tuple]:
+        at, component, block, i, j, n = (np.array(rows[c], np.int64) for c in columns[:-1])
+        parity = [np.frombuffer(p, np.uint64) for p in rows["parity"]]
+        width = np.array(list(map(len, parity)))
+        for w in np.unique(width):  # sizes that the similarity allows have parities of one width, or of that and its double
+            near = np.flatnonzero((width == w) | (width == 2 * w))
+            bits = np.stack([p if len(p) == w else p[:w] ^ p[w:] for p in (parity[r] for r in near)])
+            for r in range(len(near)):
+                if width[near[r]] != w:
+                    continue
+                rest = np.flatnonzero((width[near] > w) | (np.arange(len(near)) > r))
+                x, y = near[r], near[rest]
+                ok = (component[y] != component[x]) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9)
+                ok &= (i[x] == j[x]) | (block[y] != block[x])
+                rest, y = rest[ok], y[ok]
+                far = np.bitwise_count(bits[rest] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                y = y[(1 + similarity) * far <= (1 - similarity) * (n[x] + n[y]) + 1e-6]
+                if len(y):
+                    yield np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+
+    return grouped(tiles.join(sets.select("at", "n", "parity"), "at"), "tile", columns, compare, "a long, b long", ["a", "b"])
+
+
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes (at, fp) that Golay keys put side by side: texts of one fingerprint, and fingerprints of a key at three bits or fewer from its least or its next one."""
     reps = nodes.groupBy("fp").agg(F.min("at").alias("rep"))
@@ -420,7 +457,7 @@ def near_fingerprints(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def link_by_keys(shared: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
+def link_by_keys(shared: DataFrame, sets: DataFrame, similarity: float, judge: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
     """(node, component) over the links that judge keeps of all pairs (a, b) that share a key of a written table (at, n, key).
 
     n: size of a text; pairs whose sizes alone forbid the similarity are not
@@ -430,6 +467,8 @@ def link_by_keys(shared: DataFrame, similarity: float, judge: Callable[[DataFram
     all pairs; then, by all keys, all pairs of a key that still lie in
     different components are compared, so that no link between components is
     lost. Of the keys that the same texts share, the second pass reads one.
+    Keys of more than PAIR_TEXTS texts are compared tile against tile by the
+    parities of sets (at, n, parity, grams), see crowd_pairs().
     """
     mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "at"), "at")
     sizes_allow = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
@@ -444,12 +483,15 @@ def link_by_keys(shared: DataFrame, similarity: float, judge: Callable[[DataFram
     texts_of = [F.count("*"), F.min("at"), F.max("at"), F.bit_xor(F.xxhash64("at")), F.bit_xor(F.xxhash64("at", F.lit(1)))]
     crowds = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(c.alias(f"t{i}") for i, c in enumerate(texts_of))).where("lo <> hi")
     crowds = crowds.groupBy(*(f"t{i}" for i in range(len(texts_of)))).agg(F.min("key").alias("key"))
-    apart = written(named.join(crowds.select("key"), "key", "left_semi"), "apart")
-    x, y = (apart.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = judge(pairs)
+    crowds = written(crowds.select("key", F.col("t0").alias("texts")), "crowds")
+    apart = written(named.join(crowds, "key"), "apart")
+    few_texts = apart.where(F.col("texts") <= PAIR_TEXTS)
+    x, y = (few_texts.select("key", F.col("at").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
+    pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & sizes_allow).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = judge(pairs.unionByName(crowd_pairs(apart.where(F.col("texts") > PAIR_TEXTS), sets, similarity)).distinct())
     found = groups if late.isEmpty() else components(first.unionByName(late))
-    drop_written(apart)
+    for t in (crowds, apart):
+        drop_written(t)
     return found
 
 
@@ -472,7 +514,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, text: str = "tex
     shared = written(prefix_table(named, nodes, similarity, counts), "shared-keys")
     asked = written(nodes.join(shared.select("at").distinct(), "at", "left_semi").select("at", "doc", "th", "fp"), "asked")
     sets = written(candidate_sets(named, asked), "sets")
-    found = link_by_keys(shared, similarity, lambda pairs: jaccard_links(pairs, sets, similarity), near_fingerprints(nodes.select("at", "fp")))
+    found = link_by_keys(shared, sets, similarity, lambda pairs: jaccard_links(pairs, sets, similarity), near_fingerprints(nodes.select("at", "fp")))
     group = nodes.join(found.withColumnRenamed("node", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
     least = group.groupBy("component").agg(F.min("doc").alias("least"))
     of_set = group.join(least, "component").select("digest", F.col("least").alias("component"))
