@@ -15,9 +15,8 @@ import os
 import re
 import tempfile
 import uuid
-from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache, cached_property
 
 import numpy as np
@@ -97,13 +96,68 @@ class Vocabulary:
             out += [part] if i % 2 else self.split.findall(part)
         return out
 
-    def merger(self) -> Callable[[bytes], bytes]:
-        """Packed ids of a word, merged by the tokenizers library's model over the same ranks."""
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(self.content).model
-        shown = {b: c for c, b in byte_alphabet().items()}
-        return lambda word: array("I", [t.id for t in model.tokenize("".join(map(shown.__getitem__, word)))]).tobytes()
+    @cached_property
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs of ids, their ranks, the ids they merge to, and the ids of the 256 bytes."""
+        ids = self.ids
+        rows = sorted((ids[a] << 32 | ids[b], r, ids[a + b]) for (a, b), r in self.ranks.items())
+        pair, rank, merged = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        return pair, rank, merged, np.array([ids[bytes([b])] for b in range(256)], np.int64)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed exact ids of many words at once: in each round, every word merges all places of its pair of least rank, leftmost first."""
+        out: list[bytes] = [b""] * len(words)
+        few = []
+        for i, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+            elif w:
+                few.append(i)
+        pair, rank, merged, octets = self.pair_table
+        none = np.int64(1) << 40
+        sizes = np.fromiter((len(words[i]) for i in few), np.int64, len(few))
+        symbol = octets[np.frombuffer(b"".join(words[i] for i in few), np.uint8)]
+        owner = np.repeat(np.array(few, np.int64), sizes)
+
+        def ranked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank of the pair that begins at each place, and what it merges to."""
+            key = symbol[at] << 32 | symbol[at + 1]
+            where = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+            ok = (pair[where] == key) & (owner[at] == owner[at + 1])
+            return np.where(ok, rank[where], none), merged[where]
+
+        ranks, to = np.full(len(symbol), none), np.zeros(len(symbol), np.int64)
+        if len(symbol) > 1:
+            ranks[:-1], to[:-1] = ranked(np.arange(len(symbol) - 1))
+        while len(symbol):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sizes = np.diff(np.append(starts, len(owner)))
+            least = np.minimum.reduceat(ranks, starts)
+            done = least == none
+            if done.any():
+                packed = symbol.astype("<u4").tobytes()
+                for i, s, n in zip(owner[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[i] = packed[4 * s : 4 * (s + n)]
+                stay = np.repeat(~done, sizes)
+                symbol, owner, ranks, to = symbol[stay], owner[stay], ranks[stay], to[stay]
+                least, sizes = least[~done], sizes[~done]
+                if not len(symbol):
+                    break
+            hit = ranks == np.repeat(least, sizes)
+            at = np.flatnonzero(hit)
+            begins = np.concatenate(([True], at[1:] != at[:-1] + 1))  # of places side by side, every other one merges
+            run = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+            at = at[(at - run) % 2 == 0]
+            symbol[at] = to[at]
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            at = np.cumsum(stay)[at] - 1
+            symbol, owner, ranks, to = symbol[stay], owner[stay], ranks[stay], to[stay]
+            near = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            ranks[near[near == len(symbol) - 1]] = none
+            near = near[near < len(symbol) - 1]
+            ranks[near], to[near] = ranked(near)
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact ids of a word by the definition: always merge the pair of least rank, leftmost first."""
@@ -254,6 +308,11 @@ class Lexicon:
         known[known] = self.finals[state[known]] == 1
         return np.where(known, out, -1)
 
+    def all_ids(self) -> list[bytes]:
+        """Packed ids of every word, by number."""
+        whole, starts = self.ids.tobytes(), (4 * self.starts.astype(np.int64)).tolist()
+        return [whole[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+
     def ids_of(self, number: int) -> bytes:
         return self.ids[self.starts[number] : self.starts[number + 1]].tobytes()
 
@@ -318,21 +377,24 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lex = Vocabulary(tokenizer_json), Lexicon.mapped(SparkFiles.get(lexicon))
         memo = {s: np.array([i], "<u4").tobytes() for s, i in vocab.special.items()}
-        merge = vocab.merger()
+        compiled = lex.all_ids()
         for b in text_blocks(batches, "text", 2 << 20):
             split = [vocab.words(t) if t else [] for t in b.column(1).to_pylist()]
             distinct = list(set().union(*split))
             raw = [w.encode() for w in distinct]
             packed: dict[str, bytes] = {}
-            for word, octets, number in zip(distinct, raw, lex.numbers(raw).tolist(), strict=True):
+            unseen: list[int] = []
+            for i, (word, number) in enumerate(zip(distinct, lex.numbers(raw).tolist(), strict=True)):
                 if number >= 0:
-                    packed[word] = lex.ids_of(number)
+                    packed[word] = compiled[number]
                 elif (ids := memo.get(word)) is not None:
                     packed[word] = ids
                 else:
-                    packed[word] = ids = merge(octets)
-                    if len(memo) < MEMO_WORDS:
-                        memo[word] = ids
+                    unseen.append(i)
+            for i, ids in zip(unseen, vocab.merge_all([raw[i] for i in unseen]), strict=True):
+                packed[distinct[i]] = ids
+                if len(memo) < MEMO_WORDS:
+                    memo[distinct[i]] = ids
             get = packed.__getitem__
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(map(get, ws)) for ws in split], pa.binary())], names=[id_col, "ids"])
 
@@ -340,7 +402,8 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: str, text: str = "text
 
 
 def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Add decoded, the text of ids (special tokens included; bytes that are no UTF-8 become U+FFFD). Null ids: null."""
+    """Add decoded, the text of ids (special tokens included; bytes that are no UTF-8 become U+FFFD). Null ids: null. A column of that name is replaced."""
+    encoded = encoded.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
