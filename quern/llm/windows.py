@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, split_words, text_blocks, written
@@ -64,9 +64,7 @@ class Block:
             words = [split_words(t) for t in texts]
             self.sizes = np.fromiter(map(len, words), np.int64, len(words))
             flat = [w for ws in words for w in ws]
-            digest = xxhash.xxh3_64_intdigest
-            table = {w: digest(w) for w in set(flat)}
-            self.values = np.fromiter(map(table.__getitem__, flat), np.uint64, len(flat))
+            self.values = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
             self.buffer = b" ".join(flat)
             ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
             self.end = ends - 1
@@ -233,11 +231,15 @@ def repeated_spans(docs: DataFrame, spec: Spec, resolve: Resolve, across: bool,
         shared = cut.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h")
     else:
         shared = cut.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # counts are written before they are joined: with a plain exchange on either side Spark can split a hot anchor's rows
+    shared = written(shared, "shared-anchors")
     again = written(cut.join(shared, "h", "left_semi"), "shared-super-windows")
     drop_written(cut)
-    contents = again.groupBy("h", "c").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "th", "first", "n")).alias("rep"))
-    contents = contents.withColumn("different", F.count("*").over(Window.partitionBy("h")))
-    contents = written(contents.select("h", "c", "cnt", "different", "rep.*").withColumn("least", F.col("doc")), "contents")
+    strings = written(again.groupBy("h", "c").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "th", "first", "n")).alias("rep")), "strings")
+    sizes = written(strings.groupBy("h").agg(F.count("*").alias("different")), "anchor-sizes")
+    contents = written(strings.join(sizes, "h").select("h", "c", "cnt", "different", "rep.*").withColumn("least", F.col("doc")), "contents")
+    for t in (shared, strings, sizes):
+        drop_written(t)
     one_run = F.array(F.struct(F.lit(0).alias("off"), F.col("n").cast("int").alias("len"), F.col("least")))
     alone = contents.where("different = 1")
     alone = (alone if across else alone.where("cnt > 1")).select("h", "c", one_run.alias("runs"))
