@@ -48,7 +48,9 @@ def words(t):
     return WORD.findall(t or "")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "PARTITION_EDGES", few)
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 7), (1, 5), (5, 1), (4, 5), (20, 21)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.components(edges).collect()} == {7: 7, 8: 7, 9: 7, 1: 1, 4: 1, 5: 1, 20: 20, 21: 20}
     assert components.components(edges.where("false")).count() == 0
@@ -131,7 +133,10 @@ def test_similar_documents_keep_one(spark):
     assert left == list(range(12)) and simhash.keep_one(df).columns == df.columns
 
 
-def test_similar_documents_of_a_crowded_key(spark, monkeypatch):
+@pytest.mark.parametrize(("few", "block"), [(1000, 512), (0, 512), (0, 9)])
+def test_similar_documents_of_a_crowded_key(spark, monkeypatch, few, block):
+    monkeypatch.setattr(simhash, "PAIR_TEXTS", few)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "prefix_table", lambda named, nodes, similarity, counts: nodes.select("at", "n", F.lit(0).alias("key")))
     base = [prose(120) for _ in range(40)]
     df = documents(spark, [*base, *(t + " x" for t in base)])
@@ -413,6 +418,56 @@ def test_sharding(spark):
     assert sharding.shard_digest(empty(spark)).count() == 0
 
 
+def test_columns_with_clashing_names(spark):
+    df = documents(spark, TEXTS[:12]).withColumns({c: F.lit("old") for c in ("kept", "n_words", "kept_text", "n_removed", "k1", "shard", "slot", "size", "n_bytes", "n_spans")})
+    by = substrings.dedup(df)
+    assert len(by.columns) == len(set(by.columns)) and {r["n_words"] for r in by.collect()} >= {0, 300} and by.first()["kept"] == "old"
+    out = suffix.dedup(df)
+    assert len(out.columns) == len(set(out.columns)) and max(r["n_bytes"] for r in out.collect()) == max(len((t or "").encode()) for t in TEXTS[:12])
+    sharded = sharding.shard(df, 3)
+    assert len(sharded.columns) == len(set(sharded.columns)) and {r["shard"] for r in sharded.collect()} <= {0, 1, 2}
+    for call in (lambda: substrings.dedup(df, text="kept_text"), lambda: suffix.dedup(df, text="kept"), lambda: sharding.shard(df, 3, text="k1")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_null_and_repeated_ids(spark):
+    texts = [prose(12) for _ in range(300)]
+    df = documents(spark, texts, [None] * 150 + [7] * 150)
+    rows = sharding.shard_digest(df, 4).collect()
+    assert len(rows) == 300 and all(sorted(r["slot"] for r in g) == list(range(len(g))) for _, g in groupby(rows, lambda r: r["shard"]))
+    held = packing.pack(packing.pieces(df, vocabulary("word_bpe_49k.json")), group_pieces=40).collect()
+    assert len(held) == 300 and len({r["sequence_id"] >> 32 for r in held}) >= 6  # rests of one id are dealt over groups
+    for _, g in groupby(held, lambda r: r["sequence_id"]):
+        at = 0
+        for r in sorted(g, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+    said = langid.identify(df).collect()
+    assert len(said) == 300 and not any(r["held_out"] for r in said if r["doc_id"] is None)
+
+
+def test_language_id_of_many_dirty_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, (f"été où {w} là" if i % 2 else f"the {w} with that"), "fr" if i % 2 else "en") for i, w in enumerate(prose(80).split())]
+    rows += [(1000 + i, prose(4), f"odd{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=25)
+    assert model.langs == ["en", "fr"]
+    got = langid.predict(df, model).where("doc_id < 1000").collect()
+    assert np.mean([r["lang_pred"] == ("fr" if r["doc_id"] % 2 else "en") for r in got]) > 0.95
+
+
+def test_merges_of_many_words_at_once():
+    vocab = bpe.Vocabulary(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    words_ = [w.encode() for w in (prose(300) + " " + " ".join(TEXTS[14].split())).split()] + [b"", b"a", b"aaaaaaaaa", b" aaa aaaa", b"x" * 200, bytes(range(256)), b"\xff\xfe" * 20]
+    words_ += [bytes(rng.choice(b"abe \n\xc3\xa9") for _ in range(rng.randint(1, 70))) for _ in range(500)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in vocab.merge_all(words_)] == [vocab.merge(w) for w in words_]
+    assert vocab.merge_all([]) == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
