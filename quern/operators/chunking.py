@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lazy import column_function
-from ..functions.text import BLANK, blank_tokens, count_tokens, sentences, stable_id
+from ..functions.text import blank_tokens, count_tokens, sentences, stable_id
 
 VERSION = "1.0.0"
 
@@ -53,20 +53,6 @@ def _finish(rows: DataFrame, strategy: str) -> DataFrame:
     )
 
 
-def token_offsets(text: Column) -> Column:
-    """array<struct<start, end>>: 0-based ranges of the tokens between white space.
-
-    Lengths of tokens and gaps are summed once; no position is searched.
-    """
-    tokens, gaps = blank_tokens(text), F.split(text, f"[^\\s\\x1c-\\x1f\\x85\\p{{Z}}]+")
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(tokens, i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(gaps, i))).alias("start"), (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(tokens, i))).alias("end")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.when(F.size(tokens) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(tokens)), zero, step)["out"])
-
-
 @column_function("array<struct<start:int,end:int>>")
 def _offsets(text: pd.Series) -> pd.Series:
     import re

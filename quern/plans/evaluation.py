@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import contains_ignoring_case, words
 from ..operators import metrics as M
 from . import pipelines as P
 from .tables import written
@@ -36,7 +36,7 @@ def gold_by_substring(chunks: DataFrame, cases: DataFrame) -> DataFrame:
     if len(wanted) <= MOST_WORDS:  # texts give only the words that are asked for
         own = F.array_intersect(own, F.lit(wanted).cast("array<string>"))
     by_word = texts.withColumn("word", F.explode(own)).join(keyed.where("word is not null"), "word")
-    rest = texts.join(keyed.where("word is null"), F.contains(F.col("text"), F.col("needle")))
+    rest = chunks.select("chunk_id", "text").join(keyed.where("word is null"), contains_ignoring_case(F.col("text"), F.col("needle")))
     hit = by_word.where(F.contains("text", F.col("needle"))).select("case_id", "chunk_id").unionByName(rest.select("case_id", "chunk_id"))
     return hit.distinct().withColumn("relevance", F.lit(1.0))
 
