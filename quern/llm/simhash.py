@@ -415,15 +415,17 @@ def crowd_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     The texts of a key are dealt into blocks of about BLOCK, every block is
     compared with every other in a task of its own, and only pairs that may be
-    similar come out.
+    similar come out, each under the least of the keys that both texts have.
     """
+    keys_of = apart.groupBy("at").agg(F.collect_set("key").alias("keys"))  # fewer than a text's prefix has
     blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
     dealt = apart.withColumns({"block": F.pmod(F.xxhash64("at", "key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    tiles = dealt.select("at", "component", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    columns = ["at", "component", "block", "i", "j", "n", "parity"]
+    tiles = dealt.select("at", "component", "key", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    columns = ["at", "component", "key", "block", "i", "j", "n", "parity", "keys"]
 
     def compare(_: int, rows: dict[str, list]) -> Iterator[tuple]:
-        at, component, block, i, j, n = (np.array(rows[c], np.int64) for c in columns[:-1])
+        at, component, key, block, i, j, n = (np.array(rows[c], np.int64) for c in columns[:-2])
+        keys = list(map(set, rows["keys"]))
         parity = [np.frombuffer(p, np.uint64) for p in rows["parity"]]
         width = np.array(list(map(len, parity)))
         for w in np.unique(width):  # sizes that the similarity allows have parities of one width, or of that and its double
@@ -439,10 +441,11 @@ def crowd_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFra
                 rest, y = rest[ok], y[ok]
                 far = np.bitwise_count(bits[rest] ^ bits[r]).sum(axis=1, dtype=np.int64)
                 y = y[(1 + similarity) * far <= (1 - similarity) * (n[x] + n[y]) + 1e-6]
+                y = y[np.array([min(keys[x] & keys[other]) == key[x] for other in y], bool)]
                 if len(y):
                     yield np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
 
-    return grouped(tiles.join(sets.select("at", "n", "parity"), "at"), "tile", columns, compare, "a long, b long", ["a", "b"])
+    return grouped(tiles.join(sets.select("at", "n", "parity"), "at").join(keys_of, "at"), "tile", columns, compare, "a long, b long", ["a", "b"])
 
 
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
