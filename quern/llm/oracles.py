@@ -75,4 +75,42 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counts AS (SE
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
 """
 
-ORACLE_SQL = {"op5_embedding_dedup": EMBEDDING_DEDUP, "op7_url_filters": URL_FILTERS, "op8_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP}
+MERKLE_MANIFEST = """
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, source, text, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END) AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END AS tail FROM documents),
+shown AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other FROM f),
+bits AS (SELECT b, CASE WHEN b % 2 = 1 THEN xor(3988292384::UBIGINT, b >> 1) ELSE b >> 1 END AS c FROM (SELECT unnest(range(256))::UBIGINT AS b)),
+table0 AS (SELECT 0 AS k, b, b AS c FROM bits UNION ALL SELECT k + 1, b, CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END FROM table0 WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM table0 WHERE k = 8),
+crc AS (SELECT DISTINCT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1])) AS c FROM shown, crc_table WHERE doc_id IS NOT NULL),
+leaves AS (SELECT s.doc_id, g, leaf, CASE WHEN xor(c, 4294967295::UBIGINT) % 7 = 0 THEN other ELSE leaf END AS shown, row_number() OVER (PARTITION BY g ORDER BY s.doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM shown s LEFT JOIN crc ON s.doc_id = crc.doc_id),
+tree AS (SELECT g, 0 AS level, pos, n, leaf AS h FROM leaves UNION ALL SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, level, pos // 2, n),
+subroots AS (SELECT g, h AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, pos, n, subroot AS h FROM subroots UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+whole AS (SELECT h AS root FROM top WHERE n = 1),
+nodes AS (SELECT g, level, pos, n, h FROM tree WHERE n > 1 UNION ALL SELECT s.g, s.height + t.level, t.pos, t.n, t.h FROM top t, subroots s WHERE t.n > 1),
+places AS (SELECT l.g, l.pos, height, s.pos AS top_pos, doc_id, leaf, shown, row_number() OVER () AS id FROM leaves l JOIN subroots s ON l.g = s.g),
+climb AS (SELECT id, g, 0 AS level, CASE WHEN height = 0 THEN top_pos ELSE pos END AS pos, height, top_pos, shown AS h, '' AS proof FROM places
+  UNION ALL SELECT c.id, c.g, c.level + 1, CASE WHEN c.level + 1 = height THEN top_pos ELSE c.pos // 2 END, height, top_pos, CASE WHEN s.h IS NULL THEN sha256(c.h) WHEN c.pos % 2 = 1 THEN sha256(s.h || c.h) ELSE sha256(c.h || s.h) END, proof || coalesce(s.h, '')
+  FROM climb c JOIN nodes o ON o.g = c.g AND o.level = c.level AND o.pos = c.pos LEFT JOIN nodes s ON s.g = c.g AND s.level = c.level AND s.pos = xor(c.pos, 1)),
+ends AS (SELECT id, h, proof FROM climb QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = root AS verified FROM places p JOIN ends e USING (id) JOIN subroots s ON s.g = p.g, whole
+"""
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+posts AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, sum(c)::HUGEINT AS n, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM groups LEFT JOIN posts USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(posts.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(posts.c, 0) + 1)) // (s.n + l.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS q
+  FROM sizes s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN posts ON posts.lang = s.lang AND posts.source = s.source AND posts.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {"op12_merkle_manifest": MERKLE_MANIFEST, "op13_source_divergence": SOURCE_DIVERGENCE, "op5_embedding_dedup": EMBEDDING_DEDUP, "op7_url_filters": URL_FILTERS, "op8_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP}
