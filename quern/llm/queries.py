@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, embedding, langid, merkle, packing, quality, sharding, simhash, substrings, suffix, urls
+from . import bpe, divergence, embedding, langid, merkle, packing, quality, sharding, simhash, substrings, suffix, toxicity, urls
 from .common import documents
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -59,6 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digest(documents(spark, sf_dir))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_source_divergence": op13_source_divergence,
 }
