@@ -14,13 +14,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, shared_folder, written
 
 #: Levels of a tier. A run is 2**LEVELS consecutive nodes of one group.
 LEVELS = 10
+_NODES = "g string, run long, n long, step int, nodes array<string>"
 _PATH = "array<struct<sibling:string,left:boolean>>"
 
 
@@ -89,6 +90,10 @@ class Forest:
     tiers: int
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(f"{_NODES}, tier int, level int").parquet(store)  # an empty store has no file to tell
+
+
 def build(rows: DataFrame, leaf: str, kept: list[str]) -> Forest:
     """Trees over rows of (g, pos, n, leaf), as numbered() gives them; the runs keep the columns `kept`.
 
@@ -109,13 +114,13 @@ def build(rows: DataFrame, leaf: str, kept: list[str]) -> Forest:
         out = bottom.select("g", "run", "n", F.posexplode(levels).alias("step", "nodes")).withColumn("level", F.col("step") + F.lit(tier * LEVELS))
         path = f"{store}/tier={tier}"
         out.write.option("compression", "zstd").partitionBy("level").parquet(path)
-        if spark.read.parquet(path).where(F.col("n") > (1 << LEVELS)).isEmpty():
+        if spark.read.schema(_NODES).parquet(path).where(F.col("n") > (1 << LEVELS)).isEmpty():
             break
-        above = spark.read.parquet(f"{path}/level={(tier + 1) * LEVELS}").where(F.col("n") > (1 << LEVELS))
+        above = spark.read.schema(_NODES).parquet(f"{path}/level={(tier + 1) * LEVELS}").where(F.col("n") > (1 << LEVELS))
         tops = above.select("g", F.col("run").alias("pos"), (F.shiftright(F.col("n") - 1, LEVELS) + 1).alias("n"), F.get("nodes", F.lit(0)).alias("node"))
         bottom = tops.groupBy("g", in_run, "n").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("rows")).select("g", "run", "n", F.col("rows.node").alias("nodes"))
         tier += 1
-    nodes = spark.read.parquet(store)
+    nodes = _stored(spark, store)
     roots = nodes.where((F.col("n") <= (1 << LEVELS)) & (F.col("step") == _steps(F.col("n")))).select("g", F.get("nodes", F.lit(0)).alias("root"), F.col("tier"))
     return Forest(store, runs, roots, tier + 1)
 
@@ -137,7 +142,7 @@ def paths(forest: Forest, above: DataFrame) -> DataFrame:
     of a run are merged by its coordinate and each node gets its place's path.
     """
     spark = above.sparkSession
-    store = spark.read.parquet(forest.store)
+    store = _stored(spark, forest.store)
     ends = written(forest.roots.join(above, "g").select("g", "tier", "path"), "merkle-ends")
     upper: DataFrame | None = None
     for tier in reversed(range(forest.tiers)):
