@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunking, context, graph, metrics, search, sparse, store
+from .operators import chunking, context, graph, intervals, metrics, search, sparse, store
 from .operators import understanding as U
 from .plans import evaluation
 from .plans import pipelines as P
@@ -172,14 +172,35 @@ def src_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH alone AS (SELECT * FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_id % 3, floor(value), event_id % 10, event_type) = 1)
-    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, floor(value), event_id % 10, event_type) - 1 AS ord, CASE WHEN floor(value) < 25 THEN 'Title' ELSE 'NarrativeText' END AS type FROM alone"""
+    """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, floor(value), event_id % 10, event_id, event_type) - 1 AS ord, CASE WHEN floor(value) < 25 THEN 'Title' ELSE 'NarrativeText' END AS type FROM events"""
 )
 def src_block_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as text blocks of a user's document: page, height and place come from id and value. Blocks that nothing tells apart are left out."""
+    """Events as text blocks of a user's document: page, height and place come from id and value; blocks of one place are read in the order of their ids."""
     e = table(spark, sf, "events").select("user_id", "event_id", F.col("user_id").cast("string").alias("document_id"), (F.col("event_id") % 3).alias("page"), (F.col("event_id") % 10).cast("double").alias("x"), F.floor("value").cast("double").alias("y"), F.lit(100.0).alias("page_height"), F.col("event_type").alias("text"))
-    alone = e.groupBy("user_id", "page", F.round("y", 1).alias("__y"), "x", "text").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")).where("n = 1").select("user_id", "event_id")
-    return parsers.block_order(e.join(alone, ["user_id", "event_id"])).select("user_id", "event_id", F.col("ord").cast("long").alias("ord"), "type")
+    return parsers.block_order(e, "event_id").select("user_id", "event_id", F.col("ord").cast("long").alias("ord"), "type")
+
+
+#: Lines of a document as markdown: headings, table rows, items, code fences and text by turns.
+_MARKED = "CASE (i + doc_id) % 11 WHEN 0 THEN concat('# ', line) WHEN 1 THEN concat('## ', line) WHEN 2 THEN concat('| ', line, ' |') WHEN 3 THEN concat('  |', line, '|') WHEN 4 THEN concat(' - ', line) WHEN 5 THEN '```' WHEN 7 THEN ' ```x' WHEN 8 THEN concat('### ', line) WHEN 9 THEN concat('1. ', line) ELSE line END"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, i, {_MARKED} AS line FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))),
+    f AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM l),
+    k AS (SELECT *, CASE WHEN fences % 2 = 1 THEN 'Code' WHEN fence THEN 'close' WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'Title' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'Table' WHEN regexp_matches(line, '^\s*([-*+]|\d+\.)\s+.') THEN 'ListItem' WHEN trim(line) = '' THEN 'blank' ELSE 'NarrativeText' END AS kind FROM f),
+    r AS (SELECT *, sum(CASE WHEN fence OR kind IN ('Title', 'ListItem', 'blank', 'close') OR kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)),
+    e AS (SELECT doc_id, run, kind AS type, max(CASE WHEN kind = 'Title' THEN length(regexp_extract(line, '^(#+)', 1)) END) AS level,
+        trim(coalesce(CASE kind WHEN 'Title' THEN max(regexp_extract(line, '^#+\s+(.*)$', 1)) WHEN 'ListItem' THEN max(regexp_extract(line, '^\s*(?:[-*+]|\d+\.)\s+(.+)$', 1)) WHEN 'NarrativeText' THEN string_agg(line, ' ' ORDER BY i) ELSE string_agg(line, chr(10) ORDER BY i) FILTER (NOT fence) END, ''), ' ' || chr(9) || chr(10)) AS text FROM r GROUP BY doc_id, run, kind),
+    h AS (SELECT *, lead(run, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY run) AS next FROM e WHERE type = 'Title'),
+    o AS (SELECT h.doc_id, h.run, h.level, h.text, coalesce(min(g.run), 1000000000) AS closed FROM h LEFT JOIN h g ON g.doc_id = h.doc_id AND g.run > h.run AND g.level <= h.level GROUP BY ALL),
+    p AS (SELECT e.doc_id, e.run, string_agg(o.text, ' > ' ORDER BY o.level) AS section FROM e JOIN o ON o.doc_id = e.doc_id AND o.run < e.run AND o.closed >= e.run AND o.level < coalesce(e.level, 7) GROUP BY ALL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS ord, type, text, coalesce(section, '') AS section FROM e LEFT JOIN p USING (doc_id, run) WHERE text <> '' AND type NOT IN ('blank', 'close')"""
+)
+def src_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose lines are made headings, table rows, items, fences and text by turns."""
+    cut = texts(spark, sf).select("doc_id", F.expr(rf"array_join(transform(split(text, '\n'), (line, i) -> {_MARKED}), '\n')").alias("text"))
+    e = parsers.markdown_elements(cut, "doc_id")
+    return e.select(F.col("source_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "type", "text", F.array_join("section_path", " > ").alias("section"))
 
 
 @query(
@@ -232,6 +253,37 @@ def chk_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.hierarchical(leaves).select("chunk_id", "source_id", "parent_chunk_id", "token_count")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS s, (max(l_shipdate)::DATE - DATE '1970-01-01')::BIGINT AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate)
+    SELECT a.o_custkey, a.o_orderkey AS first_order, b.o_orderkey AS second_order, least(a.e, b.e) - greatest(a.s, b.s) AS days FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e"""
+)
+def rng_open_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a customer's orders that were open on the same days, from the order to its last shipment."""
+    shipped = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"))
+    o = table(spark, sf, "orders").join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", F.unix_date(F.to_date("o_orderdate")).cast("long").alias("s"), F.unix_date(F.to_date("last")).cast("long").alias("e"))
+    met = intervals.overlapping(o, o, ["o_custkey"], ("s", "e"), ("s", "e")).where("left.o_orderkey < right.o_orderkey")
+    return met.select("left.o_custkey", F.col("left.o_orderkey").alias("first_order"), F.col("right.o_orderkey").alias("second_order"), (F.least("left.e", "right.e") - F.greatest("left.s", "right.s")).alias("days"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p0) AS n, p0 AS s, p1 AS e FROM (SELECT doc_id, (i - 1) * 160 AS p0, least((i - 1) * 160 + 200, length(text)) AS p1 FROM (SELECT doc_id, text, unnest(range(1, 2 + length(text) // 160)) AS i FROM documents WHERE length(text) > 0)) WHERE p0 < p1),
+    l AS (SELECT doc_id, n, s, s + length(line) AS e FROM (SELECT doc_id, i - 1 AS n, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))))
+    SELECT t.doc_id, t.s AS chunk_start, count(*) AS n_lines, min(l.n) AS first_line, max(l.n) AS last_line FROM t JOIN l ON t.doc_id = l.doc_id AND t.s < l.e AND l.s < t.e AND l.s < l.e GROUP BY ALL"""
+)
+def rng_chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Which lines of a document a chunk covers: windows of 200 characters, 160 apart, against the lines' ranges."""
+    d = texts(spark, sf).select("doc_id", "text")
+    chunks = d.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 160).cast("int"))).alias("i"))
+    chunks = chunks.select("doc_id", (F.col("i") * 160).alias("s"), F.least(F.col("i") * 160 + 200, F.col("n")).alias("e"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("s", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    lines = lines.select("doc_id", "at", "s", (F.col("s") + F.length("line")).alias("e"))
+    met = intervals.overlapping(chunks, lines, ["doc_id"], ("s", "e"), ("s", "e"))
+    return met.groupBy(F.col("left.doc_id").alias("doc_id"), F.col("left.s").cast("long").alias("chunk_start")).agg(
+        F.count("*").alias("n_lines"), F.min("right.at").cast("long").alias("first_line"), F.max("right.at").cast("long").alias("last_line"),
+    )
+
+
 # --- encodings --------------------------------------------------------------
 
 _TF = f"tf AS (SELECT chunk_id, {_BUCKET.format(t='w', n=1 << 20)} AS idx, count(*) AS tf FROM (SELECT chunk_id, unnest({_WORDS.format(t='text')}) AS w FROM chunks) GROUP BY ALL)"

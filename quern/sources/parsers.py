@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, stable_id
+from .markdown import LEVELS, markdown_parts, open_headings
 
 MEDIA = {"text/markdown": "markdown", "text/plain": "markdown", "text/html": "html", "application/hwp+zip": "hwpx", "application/x-hwp": "hwp", "application/pdf": "pdf"}
 VERSION = "1.0.0"
@@ -76,56 +77,6 @@ class Outline:
             self.stack.append((level, text))
 
 
-_MARKS = [("fence", re.compile(r"\s*```")), ("heading", re.compile(r"(#{1,6})\s+(.*)$")), ("table", re.compile(r"\s*\|.*\|\s*$")), ("item", re.compile(r"\s*(?:[-*+]|\d+\.)\s+(.+)$"))]
-
-
-def _kind(line: str) -> tuple[str, re.Match | None]:
-    for name, pattern in _MARKS:
-        if m := pattern.match(line):
-            return name, m
-    return ("blank" if not line.strip() else "text"), None
-
-
-def markdown_outline(text: str) -> list[dict]:
-    """Scan lines once; runs of table rows and of text lines are gathered until another kind of line comes."""
-    out = Outline()
-    held: list[str] = []
-    kind = ""
-    fenced = False
-
-    def flush() -> None:
-        if held and kind in ("table", "text"):
-            out.add("Table" if kind == "table" else "NarrativeText", ("\n" if kind == "table" else " ").join(held))
-        held.clear()
-
-    for line in text.splitlines():
-        now, m = _kind(line)
-        if fenced:
-            if now == "fence":
-                out.add("Code", "\n".join(held))
-                held.clear()
-                fenced, kind = False, ""
-            else:
-                held.append(line)
-            continue
-        if now != kind or now not in ("table", "text"):
-            flush()
-        kind = now
-        if now == "fence":
-            fenced = True
-        elif now == "heading":
-            out.add("Title", m[2], len(m[1]))
-        elif now == "item":
-            out.add("ListItem", m[1])
-        elif now in ("table", "text"):
-            held.append(line)
-    if fenced:
-        out.add("Code", "\n".join(held))
-    else:
-        flush()
-    return out.out
-
-
 class _Html(HTMLParser):
     BLOCKS = {"p": "NarrativeText", "li": "ListItem", "pre": "Code", "td": "", "th": "", "tr": "", "table": "Table", "figcaption": "Figure", "blockquote": "NarrativeText", "div": "NarrativeText", "body": "NarrativeText"}
     SKIP = ("script", "style", "nav", "noscript", "template", "head")
@@ -234,14 +185,16 @@ def _walk_hwpx(node: ElementTree.Element, out: Outline) -> None:
             _walk_hwpx(child, out)
 
 
-OUTLINES: dict[str, Callable] = {"text/markdown": markdown_outline, "text/html": html_outline, "application/x-hwp": lambda t: lines_outline(t.splitlines())}
+OUTLINES: dict[str, Callable] = {"text/html": html_outline, "application/x-hwp": lambda t: lines_outline(t.splitlines())}
 
 
 def outlines(sources: DataFrame) -> DataFrame:
     """(source_id, document_id, ord, parts, error): what each source of any supported type holds, ord in the order of the rows.
 
-    A source that no parser takes, or that its parser can't read, has an error
-    and no parts; the batch goes on.
+    Markdown is parsed by windows over its lines and plain text by expressions;
+    HTML and office files go through a Python function. A source that no parser
+    takes, or that its parser can't read, has an error and no parts; the batch
+    goes on.
     """
 
     @F.pandas_udf(f"struct<parts:{PARTS},error:string>")
@@ -249,19 +202,36 @@ def outlines(sources: DataFrame) -> DataFrame:
         rows = []
         for k, t, c in zip(kind, text, content, strict=True):
             try:
-                if k == "text/plain":
-                    parts = [{"type": "NarrativeText", "text": " ".join(b).strip(), "section_path": [], "level": 0} for b in _paragraphs(t)]
-                else:
-                    parts = hwpx_outline(bytes(c)) if k == "application/hwp+zip" else OUTLINES[k](t)
-                rows.append((parts, None))
+                rows.append((hwpx_outline(bytes(c)) if k == "application/hwp+zip" else OUTLINES[k](t), None))
             except (KeyError, ValueError, TypeError, zipfile.BadZipFile, ElementTree.ParseError, AttributeError) as e:
                 rows.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["parts", "error"])
 
-    base = sources.withColumns({"__text": read_text(F.col("content"), F.col("text")) if "content" in sources.columns else F.col("text"), "__bytes": F.col("content") if "content" in sources.columns else F.lit(None).cast("binary")})
-    done = base.select("source_id", "media_type", F.monotonically_increasing_id().alias("ord"), outline("media_type", "__text", "__bytes").alias("r"))
-    doc = document_id(F.col("source_id"), F.col("media_type"), parser_of(F.col("media_type")))
-    return done.select(F.col("source_id").cast("string").alias("source_id"), doc.alias("document_id"), "ord", "r.parts", "r.error")
+    content = F.col("content") if "content" in sources.columns else F.lit(None).cast("binary")
+    base = sources.select(
+        F.col("source_id").cast("string").alias("source_id"), "media_type", F.monotonically_increasing_id().alias("ord"),
+        (read_text(content, F.col("text")) if "content" in sources.columns else F.col("text")).alias("text"), content.alias("content"),
+    )
+    doc = document_id(F.col("source_id"), F.col("media_type"), parser_of(F.col("media_type"))).alias("document_id")
+    named = base.select("source_id", "media_type", doc, "ord", "text", "content")
+    out = ["source_id", "document_id", "ord", "parts", "error"]
+    written = F.coalesce("media_type", F.lit("")).isin("text/markdown", "text/plain")
+    other = named.where(~written).withColumn("r", outline("media_type", "text", "content")).select("source_id", "document_id", "ord", "r.parts", "r.error")
+    nothing = F.when(F.col("text").isNull(), "TypeError: no text").alias("error")
+    paragraph = lambda t: F.struct(F.lit("NarrativeText").alias("type"), t.alias("text"), F.array().cast("array<string>").alias("section_path"), F.lit(0).alias("level"))
+    plain = named.where("media_type = 'text/plain'").select("source_id", "document_id", "ord", F.transform(plain_paragraphs(F.col("text")), paragraph).cast(PARTS).alias("parts"), nothing)
+    marked = named.where("media_type = 'text/markdown'")
+    return other.select(out).unionByName(plain.select(out)).unionByName(_listed(marked).select(out))
+
+
+def _listed(marked: DataFrame) -> DataFrame:
+    """outlines() of markdown sources: the parts of each in one array."""
+    parts = markdown_parts(marked.select(F.col("ord").alias("row"), "text"), "row", "text")
+    one = F.struct("ord", "type", "text", "section_path", "level")
+    lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    whole = marked.select("source_id", "document_id", "ord", F.col("text").isNull().alias("none")).join(lists, F.col("ord") == F.col("row"), "left")
+    got = F.transform(F.coalesce("l", F.array().cast("array<struct<ord:int,type:string,text:string,section_path:array<string>,level:int>>")), lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), p["section_path"].alias("section_path"), p["level"].alias("level")))
+    return whole.select("source_id", "document_id", "ord", F.when(~F.col("none"), got).cast(PARTS).alias("parts"), F.when(F.col("none"), "TypeError: no text").alias("error"))
 
 
 def elements_of(done: DataFrame) -> DataFrame:
@@ -276,14 +246,13 @@ def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements_of(done), done.where("error is not null").select("source_id", "error")
 
 
-def _paragraphs(text: str) -> Iterator[list[str]]:
-    held: list[str] = []
-    for line in [*text.splitlines(), ""]:
-        if line.strip():
-            held.append(line)
-        elif held:
-            yield held
-            held = []
+def markdown_elements(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
+    """Elements of markdown texts, by windows alone; rows of one source_id are parsed one by one."""
+    named = sources.select(F.col(source_id).cast("string").alias("source_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    key = F.struct("source_id", "row").alias("of")
+    doc = document_id(F.col("of.source_id"), F.lit("text/markdown"), F.lit("markdown"))
+    rows = markdown_parts(named.select(key, "text"), "of", "text").select(doc.alias("document_id"), F.col("of.source_id").alias("source_id"), "ord", "type", "text", "section_path", "level")
+    return rows.withColumns({"element_id": stable_id(F.col("document_id"), F.col("ord"), F.col("type")), "start_page": F.lit(1), "end_page": F.lit(1)})
 
 
 def titles(elements: DataFrame) -> DataFrame:
@@ -291,9 +260,12 @@ def titles(elements: DataFrame) -> DataFrame:
     return elements.where("type = 'Title' and level = 1").groupBy("document_id").agg(F.min_by("text", "ord").alias("title"))
 
 
-def block_order(blocks: DataFrame) -> DataFrame:
-    """Reading order of page blocks (document_id, page, x, y, page_height, text): by page, rounded y and x; short top blocks are titles."""
-    order = Window.partitionBy("document_id").orderBy("page", F.round("y", 1), F.round("x", 1), "text")
+def block_order(blocks: DataFrame, ties: str | None = None) -> DataFrame:
+    """Reading order of page blocks (document_id, page, x, y, page_height, text): by page, rounded y and x; short top blocks are titles.
+
+    Blocks of one place keep the order of the column `ties`, then of their text.
+    """
+    order = Window.partitionBy("document_id").orderBy("page", F.round("y", 1), F.round("x", 1), *([ties] if ties else []), "text")
     title = (F.length(F.trim("text")) <= 80) & ~F.trim("text").contains("\n") & (F.col("y") < F.col("page_height") * 0.25)
     return blocks.where(F.trim("text") != "").withColumns({"ord": F.row_number().over(order) - 1, "type": F.when(title, "Title").otherwise("NarrativeText"), "section_path": F.array().cast("array<string>")})
 
@@ -345,7 +317,7 @@ def layout_elements(items: DataFrame, layout: str = "opendataloader") -> DataFra
     json: type, content, page_number, heading_level, bounding_box, ocr_engine.
     Items without content are left out. A heading closes the open headings of
     its level and deeper ones; the section path of an item is the headings
-    that are open before it. route: ocr with an OCR engine, vlm for images,
+    that are open before it. Levels beyond six count as six. route: ocr with an OCR engine, vlm for images,
     else text.
     """
     if layout not in LAYOUTS:
@@ -353,16 +325,11 @@ def layout_elements(items: DataFrame, layout: str = "opendataloader") -> DataFra
     types, headings = LAYOUTS[layout]
     j = F.from_json("json", "type string, content string, page_number int, heading_level int, bounding_box string, ocr_engine string")
     kind = F.lower(F.coalesce("j.type", F.lit("paragraph")))
-    level = F.when(F.coalesce("j.heading_level", F.lit(0)) == 0, 1).otherwise(F.col("j.heading_level"))
+    level = F.greatest(F.lit(1), F.least(F.lit(len(LEVELS)), F.coalesce("j.heading_level", F.lit(1))))
     rows = items.withColumn("j", j).select("document_id", "source_id", "ord", kind.alias("kind"), F.trim(F.coalesce("j.content", F.lit(""))).alias("text"), F.coalesce("j.page_number", F.lit(1)).alias("page"), level.alias("level"), "j.bounding_box", "j.ocr_engine")
     rows = rows.where("text <> ''").withColumn("heads", F.col("kind").isin(headings))
-    # of the headings before an item the last of each level counts, and of those the ones that no later heading of a lower level closes
-    before = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.when(F.col("heads"), F.struct("ord", "level", "text"))).over(before)
-    own = F.when(F.col("heads"), F.col("level")).otherwise(F.lit(1 << 30))
-    opened = F.filter(F.col("seen"), lambda h: (h["level"] < F.col("own")) & ~F.exists(F.col("seen"), lambda later: (later["ord"] > h["ord"]) & (later["level"] <= h["level"])))
     table = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
-    named = rows.withColumns({"seen": seen, "own": own}).withColumns({"section_path": F.transform(opened, lambda h: h["text"]), "type": F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("NarrativeText")), "n": F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1})
+    named = rows.withColumns({"section_path": open_headings(rows, "document_id", "ord", F.col("heads"), "level", "text"), "type": F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("NarrativeText")), "n": F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1})
     route = F.when(F.coalesce("ocr_engine", F.lit("")) != "", "ocr").when(F.col("kind") == "image", "vlm").otherwise("text")
     return named.select("document_id", "source_id", F.col("n").alias("ord"), "type", "text", "section_path", "level", stable_id(F.col("document_id"), F.col("n"), F.col("type")).alias("element_id"), F.col("page").alias("start_page"), F.col("page").alias("end_page"), "bounding_box", route.alias("route"))
 
