@@ -235,13 +235,32 @@ def chk_heading_aware(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("source_id").cast("long").alias("doc_id"), F.col("chunk_ord").cast("long").alias("window_idx"), F.col("token_count").cast("long").alias("token_count"), F.md5(T.collapse(F.col("text")).cast("binary")).alias("token_md5"))
 
 
-@query()
+#: Sentences of plain documents and their ranges in the paragraphs joined by blank lines.
+_SENTENCES = r"""sec AS (SELECT doc_id, substr(sha256(doc_id::VARCHAR || chr(31) || 'text/plain' || chr(31) || 'markdown'), 1, 16) AS document_id, array_to_string(ps, chr(10) || chr(10)) AS text FROM (SELECT doc_id,
+    list_filter(list_transform(regexp_split_to_array(text, '\n(?:[^\S\n]*\n)+'), lambda b: trim(replace(b, chr(10), ' '))), lambda b: b <> '') AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ps) > 0),
+    cut AS (SELECT doc_id, document_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, document_id, string_split(regexp_replace(text, '([.!?])(["'')\]]?\s+)|(\n+)', '\1' || chr(30) || '\2\3' || chr(31), 'g'), chr(31)) AS l FROM sec)),
+    piece AS (SELECT doc_id, document_id, i, split_part(x, chr(30), 1) AS p, coalesce(sum(length(x) - (contains(x, chr(30)))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM cut),
+    sent AS (SELECT doc_id, document_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(p, ' ' || chr(10) || chr(9)) AS text, s + length(p) - length(ltrim(p, ' ' || chr(10) || chr(9))) AS s FROM piece WHERE trim(p, ' ' || chr(10) || chr(9)) <> ''),
+    sized AS (SELECT *, s + length(text) AS e, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens FROM sent)"""
+_CHUNK_ID = "substr(sha256(concat_ws(chr(31), document_id, '{kind}', '1.0.0', '', {n}, s)), 1, 16) AS chunk_id"
+
+
+@query(f"WITH {_SENTENCES} SELECT {_CHUNK_ID.format(kind='proposition', n='pos')}, doc_id::VARCHAR AS source_id, pos::INTEGER AS chunk_ord, tokens::INTEGER AS token_count, s::INTEGER AS char_start, e::INTEGER AS char_end FROM sized WHERE tokens > 1")
 def chk_proposition(spark: SparkSession, sf: str) -> DataFrame:
     c = chunking.propositions(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SENTENCES}, w AS (SELECT doc_id, pos, {_BUCKET.format(t='t', n=256)} AS b, sum({_SIGN.format(t='t')}) AS v FROM (SELECT doc_id, pos, unnest({_WORDS.format(t='text')}) AS t FROM sized) GROUP BY ALL),
+    size AS (SELECT doc_id, pos, sum(v * v) AS n FROM w GROUP BY ALL), dot AS (SELECT a.doc_id, a.pos, sum(a.v * b.v) AS d FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.pos = b.pos + 1 AND a.b = b.b GROUP BY ALL),
+    gap AS (SELECT s.doc_id, s.pos, 1.0::DOUBLE - CASE WHEN a.n * b.n > 0 THEN coalesce(d, 0) / sqrt(a.n * b.n) ELSE 0.0::DOUBLE END AS gap FROM sized s LEFT JOIN size a ON a.doc_id = s.doc_id AND a.pos = s.pos LEFT JOIN size b ON b.doc_id = s.doc_id AND b.pos = s.pos - 1 LEFT JOIN dot ON dot.doc_id = s.doc_id AND dot.pos = s.pos WHERE s.pos > 0),
+    lim AS (SELECT doc_id, quantile_cont(gap, 0.9::DOUBLE) AS lim FROM gap GROUP BY doc_id),
+    far AS (SELECT s.doc_id, s.pos, s.tokens, coalesce(gap > lim, false) AS far FROM sized s LEFT JOIN gap USING (doc_id, pos) LEFT JOIN lim USING (doc_id)),
+    fold AS (SELECT doc_id, pos, tokens AS held, 0 AS chunk FROM far WHERE pos = 0 UNION ALL SELECT f.doc_id, f.pos, CASE WHEN f.far OR held + f.tokens > 180 THEN f.tokens ELSE held + f.tokens END, chunk + CASE WHEN f.far OR held + f.tokens > 180 THEN 1 ELSE 0 END FROM fold JOIN far f ON f.doc_id = fold.doc_id AND f.pos = fold.pos + 1),
+    c AS (SELECT doc_id, any_value(document_id) AS document_id, chunk, min(s) AS s, max(e) AS e, sum(tokens) AS tokens FROM fold JOIN sized USING (doc_id, pos) GROUP BY doc_id, chunk)
+    SELECT {_CHUNK_ID.format(kind='semantic', n='chunk')}, doc_id::VARCHAR AS source_id, chunk::INTEGER AS chunk_ord, tokens::INTEGER AS token_count, s::INTEGER AS char_start, e::INTEGER AS char_end FROM c"""
+)
 def chk_semantic(spark: SparkSession, sf: str) -> DataFrame:
     c = chunking.semantic(parsers.plain_elements(texts(spark, sf), "doc_id"))
     return c.select("chunk_id", "source_id", "chunk_ord", "token_count", "char_start", "char_end")

@@ -72,6 +72,13 @@ def compressor_sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), rf"(?<=[.!?]){BLANK}+"), lambda s: F.trim(s) != "")
 
 
+def grams(text: Column, n: int) -> Column:
+    """Different runs of n characters of a text, found in one pass; n 0: one empty run."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def snippet(text: Column, most: int = SNIPPET_CHARS) -> Column:
     """Collapsed text; over `most` characters its beginning and an ellipsis."""
     flat = collapse(text)

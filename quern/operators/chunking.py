@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lazy import column_function
-from ..functions.text import blank_tokens, count_tokens, sentences, stable_id
+from ..functions.text import BLANK, SENTENCE_END, blank_tokens, count_tokens, sentences, stable_id, words
+from ..functions.vectors import DENSE_DIM, hash_bucket, hash_sign
 
 VERSION = "1.0.0"
 
@@ -77,36 +76,97 @@ def heading_aware(elements: DataFrame, max_tokens: int = 180, overlap_tokens: in
     return _finish(cut.withColumns({"context": F.lit(None).cast("string"), "chunk_ord": F.col("window")}), "heading_aware")
 
 
+SECTION = ["document_id", "section_ord"]
+
+
+def sentence_rows(found: DataFrame) -> DataFrame:
+    """(document_id, section_ord, pos, text, char_start, char_end): stripped sentences of sections() and their ranges, pos without gaps.
+
+    Sentences and what parts them are cut by one pattern, so their lengths add
+    up to the ranges. Only the sentences travel, by section, not the section
+    with each of them.
+    """
+    cut = found.select(*SECTION, F.posexplode(F.arrays_zip(F.split("text", SENTENCE_END).alias("piece"), F.regexp_extract_all("text", F.lit(SENTENCE_END), F.lit(0)).alias("gap"))).alias("at", "x"))
+    before = Window.partitionBy(*SECTION).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.col("x.piece")
+    lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^{BLANK}+", ""))
+    start = F.coalesce(F.sum(F.length(piece) + F.coalesce(F.length("x.gap"), F.lit(0))).over(before), F.lit(0)) + lead
+    body = F.regexp_replace(piece, f"^{BLANK}+|{BLANK}+$", "")
+    rows = cut.select(*SECTION, "at", body.alias("text"), start.cast("int").alias("char_start")).where("text <> ''")
+    pos = F.row_number().over(Window.partitionBy(*SECTION).orderBy("at")) - 1
+    return rows.select(*SECTION, pos.alias("pos"), "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"))
+
+
+def _of_sections(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their section's source, path, text and parts; of the parts only what _finish() reads."""
+    part = lambda p: F.struct(*(p[c].alias(c) for c in ("element_id", "start", "end", "start_page", "end_page")))
+    return rows.join(found.select(*SECTION, "source_id", "section_path", F.col("text").alias("section"), F.transform("parts", part).alias("parts")), SECTION)
+
+
 def propositions(elements: DataFrame, skip_single_word: bool = True) -> DataFrame:
     """One sentence, one chunk; its context is the section's path. The index counts skipped sentences too."""
-    found = sections(elements).withColumn("sent", _sentence_offsets("text"))
-    rows = found.select("*", F.posexplode("sent").alias("pos", "s")).drop("sent")
-    rows = rows.withColumns({"text": F.col("s.text"), "char_start": F.col("s.start"), "char_end": F.col("s.end"), "chunk_ord": F.col("pos")})
+    found = sections(elements)
+    rows = sentence_rows(found)
     if skip_single_word:
         rows = rows.where(count_tokens(F.col("text")) > 1)
-    rows = rows.withColumn("context", F.when(F.size("section_path") > 0, F.array_join("section_path", " > ")))
+    rows = _of_sections(rows, found).withColumns({"chunk_ord": F.col("pos"), "context": F.when(F.size("section_path") > 0, F.array_join("section_path", " > "))})
     rows = rows.withColumn("chunk_id", stable_id(F.col("document_id"), F.lit("proposition"), F.lit(VERSION), F.array_join("section_path", "/"), F.col("pos"), F.col("char_start")))
     return _finish(rows, "proposition")
 
 
-def sentence_spans(text: str) -> list[tuple[str, int, int]]:
-    """Stripped sentences and their ranges."""
-    import re
+def neighbour_gaps(sents: DataFrame, dim: int = DENSE_DIM) -> DataFrame:
+    """(document_id, section_ord, pos, gap): cosine distance of each sentence's hashed embedding from the one before, 1 where either has no words.
 
-    out, at = [], 0
-    edges = [(m.start(), m.end()) for m in re.finditer(r"(?<=[.!?])[\"')\]]?\s+|\n+", text)] + [(len(text), len(text))]
-    for end, after in edges:
-        part = text[at:end]
-        if body := part.strip():
-            begin = at + part.index(body)
-            out.append((body, begin, begin + len(body)))
-        at = after
-    return out
+    Coordinates are counted as whole numbers; a coordinate's neighbour is the
+    row before it in the window of its bucket, so no vector is built.
+    """
+    tokens = sents.select(*SECTION, "pos", F.explode(words(F.col("text"))).alias("t"))
+    counts = tokens.groupBy(*SECTION, "pos", hash_bucket(F.col("t"), dim).alias("bucket")).agg(F.sum(hash_sign(F.col("t")).cast("long")).alias("v"))
+    by_bucket = Window.partitionBy(*SECTION, "bucket").orderBy("pos")
+    met = F.when(F.lag("pos").over(by_bucket) == F.col("pos") - 1, F.lag("v").over(by_bucket) * F.col("v")).otherwise(0)
+    sums = counts.withColumn("met", met).groupBy(*SECTION, "pos").agg(F.sum("met").alias("dot"), F.sum(F.col("v") * F.col("v")).alias("size"))
+    order = Window.partitionBy(*SECTION).orderBy("pos")
+    all_rows = sents.select(*SECTION, "pos").join(sums, [*SECTION, "pos"], "left").withColumn("before", F.lag("size").over(order))
+    scale = F.sqrt((F.col("size") * F.col("before")).cast("double"))
+    return all_rows.where("pos > 0").select(*SECTION, "pos", (1.0 - F.when(scale > 0, F.col("dot") / scale).otherwise(0.0)).alias("gap"))
 
 
-@column_function("array<struct<text:string,start:int,end:int>>")
-def _sentence_offsets(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"text": s, "start": a, "end": b} for s, a, b in sentence_spans(t or "")])
+def semantic(elements: DataFrame, percentile: float = 90.0, max_tokens: int = 180) -> DataFrame:
+    """Sentences of a section, cut where neighbours are farther apart than the percentile of all distances, or the token budget ends.
+
+    The percentile is exact, with linear interpolation. Cuts at distances part a
+    section into runs that the budget can't reach across; the budget is kept by
+    a fold over the sentences of such a run. All windows and groups share the
+    exchange by section.
+    """
+    if not 0 < percentile < 100:
+        raise ValueError("percentile must be between 0 and 100")
+    found = sections(elements)
+    sents = sentence_rows(found).withColumn("tokens", count_tokens(F.col("text")))
+    gaps = neighbour_gaps(sents)
+    limits = gaps.groupBy(*SECTION).agg(F.percentile("gap", percentile / 100).alias("limit"))
+    order = Window.partitionBy(*SECTION).orderBy("pos")
+    far = F.coalesce(F.col("gap") > F.col("limit"), F.lit(False))
+    placed = sents.join(gaps, [*SECTION, "pos"], "left").join(limits, SECTION, "left").withColumn("run", F.sum(far.cast("int")).over(order))
+    runs = placed.groupBy(*SECTION, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens", "char_start", "char_end"))).alias("l"))
+    # at: index of the sentence, held: tokens of the open chunk, starts: where chunks begin
+    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state: Column, x: Column) -> Column:
+        cut = (state["at"] == 0) | (state["held"] + x["tokens"] > max_tokens)
+        return F.struct(
+            (state["at"] + 1).alias("at"), (F.when(cut, 0).otherwise(state["held"]) + x["tokens"]).alias("held"),
+            F.when(cut, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"]).alias("starts"),
+        )
+
+    folded = runs.withColumn("starts", F.aggregate("l", nothing, step)["starts"])
+    last = lambda i: F.coalesce(F.get("starts", i + 1), F.size("l")) - 1
+    ranges = F.transform("starts", lambda s, i: F.struct(F.get("l", s)["char_start"].alias("char_start"), F.get("l", last(i))["char_end"].alias("char_end")))
+    rows = folded.select(*SECTION, F.explode(ranges).alias("c")).select(*SECTION, "c.*")
+    rows = rows.withColumn("chunk_ord", F.row_number().over(Window.partitionBy(*SECTION).orderBy("char_start")) - 1)
+    rows = _of_sections(rows, found).withColumns({"context": F.lit(None).cast("string"), "text": F.substring("section", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))})
+    rows = rows.withColumn("chunk_id", stable_id(F.col("document_id"), F.lit("semantic"), F.lit(VERSION), F.array_join("section_path", "/"), F.col("chunk_ord"), F.col("char_start")))
+    return _finish(rows, "semantic")
 
 
 def hashed(text: str, dim: int = 256) -> dict[int, float]:
@@ -131,46 +191,6 @@ def _cos(a: dict[int, float], b: dict[int, float]) -> float:
     return sum(v * b.get(k, 0.0) for k, v in a.items()) / (na * nb) if na and nb else 0.0
 
 
-def semantic_cuts(sents: list[str], percentile: float, max_tokens: int, embed: Callable[[str], dict[int, float]] = hashed) -> list[tuple[int, int]]:
-    """Ranges of sentences: a cut where neighbours are farther apart than the percentile of all distances, or the budget ends."""
-    import numpy as np
-
-    if not sents:
-        return []
-    vectors = [embed(s) for s in sents]
-    gaps = [1.0 - _cos(a, b) for a, b in zip(vectors, vectors[1:], strict=False)]
-    limit = float(np.percentile(gaps, percentile)) if gaps else 0.0
-    sizes = [len(s.split()) for s in sents]
-    out, start, held = [], 0, sizes[0]
-    for i, gap in enumerate(gaps, 1):
-        if held + sizes[i] > max_tokens or gap > limit:
-            out.append((start, i))
-            start, held = i, 0
-        held += sizes[i]
-    return [*out, (start, len(sents))]
-
-
-def semantic(elements: DataFrame, percentile: float = 90.0, max_tokens: int = 180) -> DataFrame:
-    """Sentences of a section, cut at semantic breakpoints; the budget makes it sequential within a section."""
-    if not 0 < percentile < 100:
-        raise ValueError("percentile must be between 0 and 100")
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def cuts(text: pd.Series) -> pd.Series:
-        def of(t: str) -> list[dict]:
-            spans = sentence_spans(t or "")
-            return [{"start": spans[a][1], "end": spans[b - 1][2]} for a, b in semantic_cuts([s[0] for s in spans], percentile, max_tokens)]
-
-        return text.map(of)
-
-    rows = sections(elements).withColumn("section", F.col("text")).withColumn("cuts", cuts("section"))
-    rows = rows.select("*", F.posexplode("cuts").alias("chunk_ord", "c")).drop("cuts")
-    rows = rows.withColumns({"char_start": F.col("c.start"), "char_end": F.col("c.end"), "context": F.lit(None).cast("string")})
-    rows = rows.withColumn("text", F.substring("section", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-    rows = rows.withColumn("chunk_id", stable_id(F.col("document_id"), F.lit("semantic"), F.lit(VERSION), F.array_join("section_path", "/"), F.col("chunk_ord"), F.col("char_start")))
-    return _finish(rows, "semantic")
-
-
 def clusters(vectors: list[dict[int, float]], threshold: float) -> list[int]:
     """Cluster of each vector: the nearest running mean above threshold, else a new one; in input order."""
     means: list[tuple[dict[int, float], int]] = []

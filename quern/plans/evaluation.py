@@ -9,36 +9,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ignoring_case, words
+from ..functions.text import grams, words
 from ..operators import metrics as M
 from . import pipelines as P
 from .tables import written
 
-#: Up to so many different words are given to the texts' scan as a list.
-MOST_WORDS = 1000
+#: Needles without an inner word are looked up by runs of so many characters, shorter ones by their whole.
+GRAM = 3
+
+
+def _rarest(asked: DataFrame, texts: DataFrame, cut: Callable[[Column], Column]) -> DataFrame:
+    """(case_id, needle, chunk_id, text) of texts that hold the rarest key of a needle: candidates of one posting list for each needle.
+
+    asked: (case_id, needle, keys). Texts' keys are cut to those that a needle
+    has before they are counted and joined.
+    """
+    wanted = written(asked.select("case_id", "needle", F.explode("keys").alias("key")), "needle-keys")
+    posts = written(texts.select("chunk_id", F.explode(cut(F.col("text"))).alias("key")).join(wanted.select("key").distinct(), "key"), "key-postings")
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n"))
+    best = wanted.join(sizes, "key", "left").groupBy("case_id", "needle").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    return best.join(posts, "key").join(texts, "chunk_id")
 
 
 def gold_by_substring(chunks: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, chunk_id, relevance): chunks that hold the case's `needle`, letter case aside.
 
     A needle's words but the first and the last are whole words of every text
-    that holds it, so its longest inner word is joined with the texts' words
-    and the needle itself is looked for only there. Needles without an inner
-    word are looked for in every text.
+    that holds it; a needle without such a word has runs of GRAM characters, or,
+    if it is shorter, itself. The rarest of a needle's keys gives the texts that
+    are searched for the needle itself. An empty needle is in every text, a
+    null one in none.
     """
     low = cases.select("case_id", F.lower("needle").alias("needle")).where("needle is not null")
-    inner = F.slice(words(F.col("needle")), 2, F.greatest(F.size(words(F.col("needle"))) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = low.withColumn("word", longest)
-    texts = chunks.select("chunk_id", F.lower("text").alias("text"))
-    wanted = [r["word"] for r in keyed.where("word is not null").select("word").distinct().limit(MOST_WORDS + 1).collect()]
-    own = F.array_distinct(words(F.col("text")))
-    if len(wanted) <= MOST_WORDS:  # texts give only the words that are asked for
-        own = F.array_intersect(own, F.lit(wanted).cast("array<string>"))
-    by_word = texts.withColumn("word", F.explode(own)).join(keyed.where("word is not null"), "word")
-    rest = chunks.select("chunk_id", "text").join(keyed.where("word is null"), contains_ignoring_case(F.col("text"), F.col("needle")))
-    hit = by_word.where(F.contains("text", F.col("needle"))).select("case_id", "chunk_id").unionByName(rest.select("case_id", "chunk_id"))
-    return hit.distinct().withColumn("relevance", F.lit(1.0))
+    inner = F.array_distinct(F.slice(words(F.col("needle")), 2, F.greatest(F.size(words(F.col("needle"))) - 2, F.lit(0))))
+    keyed = low.withColumns({"inner": inner, "n": F.when(F.size(inner) > 0, -1).otherwise(F.least(F.length("needle"), F.lit(GRAM)))})
+    texts = chunks.select("chunk_id", F.lower("text").alias("text")).where("text is not null")
+    found = _rarest(keyed.where("n < 0").select("case_id", "needle", F.col("inner").alias("keys")), texts, lambda t: F.array_distinct(words(t)))
+    for n in sorted(r[0] for r in keyed.where("n >= 0").select("n").distinct().collect()):  # 0 to GRAM
+        found = found.unionByName(_rarest(keyed.where(F.col("n") == n).select("case_id", "needle", grams(F.col("needle"), n).alias("keys")), texts, lambda t, n=n: grams(t, n)))
+    return found.where(F.contains("text", F.col("needle"))).select("case_id", "chunk_id").distinct().withColumn("relevance", F.lit(1.0))
 
 
 def gold_dataset(chunks: DataFrame, cases: DataFrame) -> DataFrame:
