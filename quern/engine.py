@@ -34,6 +34,7 @@ class Engine:
         docs = index.documents.withColumn("chunk_strategy", F.lit(self.settings.chunk_strategy))
         jobs = index.jobs.withColumn("updated_at", F.current_timestamp())
         self.store.replace_documents(docs, index.chunks, index.postings, index.vectors, jobs.drop("ord"))
+        self.store.vacuum()
         return [r.asDict() for r in jobs.orderBy("ord").drop("ord").collect()]
 
     def _index(self) -> P.Index:

@@ -17,6 +17,7 @@ def ingest_stream(sources: DataFrame, store: Store, checkpoint: str, settings: P
             return
         index = P.ingest(df, settings)
         store.replace_documents(index.documents, index.chunks, index.postings, index.vectors, index.jobs.drop("ord"))
+        store.vacuum()
 
     return sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
