@@ -35,8 +35,10 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: Nearest examples that vote; more if the last ones are equally near.
 NEIGHBOURS = 24
 BLOCK = 64
+#: Queries that are searched together.
+TOGETHER = 256
 #: Votes of the sample's share of toxic examples that each score starts with.
-PRIOR = 0.5
+PRIOR = 1.0
 #: A score from here on is predicted toxic.
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -147,21 +149,19 @@ def vectors(docs: DataFrame, terms: list[str], id_col: str = "doc_id") -> DataFr
 
 @dataclass
 class Index:
-    """Different example vectors, in blocks; posts[t] holds a term's examples and weights, bounds[t] its blocks and their greatest weights."""
+    """Different example vectors in blocks of BLOCK. A block holds its terms and their postings as a small matrix; bounds has each term's greatest weight in each block."""
 
     idf: np.ndarray
-    toxic: np.ndarray  # weight of a vector's toxic examples, and of all of them
-    whole: np.ndarray
+    toxic: np.ndarray  # weight of a vector's toxic examples,
+    whole: np.ndarray  # and of all of them
     name: list  # the least id of a vector's examples
-    rows: list[tuple[np.ndarray, np.ndarray]]
-    bounds: list[tuple[np.ndarray, np.ndarray]]
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each block: start of each of its terms' postings, examples, weights
-    heads: list[np.ndarray]  # of each block: its terms, ascending
+    keys: list  # (terms, counts) of each vector
+    bounds: np.ndarray  # terms x blocks
+    blocks: list[tuple[np.ndarray, np.ndarray]]  # terms, ascending, and weights: terms x vectors
     prior: float
     slope: float = 1.0
     offset: float = 0.0
     zero: int = -1
-    keys: list = field(default_factory=list)
     visited: int = 0  # blocks that searches have looked into
 
     def weigh(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -177,83 +177,77 @@ def index(examples: list[tuple], df: np.ndarray, n_docs: int, share: dict[int, f
         same.setdefault((at, times), []).append((y, i))
     # alike vectors are neighbours, so that a block's bounds are close
     keys = sorted(same, key=lambda k: (tuple(sorted(k[0], key=lambda t: (-idf[t], t))), k[1]))
-    own = Index(
-        idf, np.array([sum(share[y] for y, _ in same[k] if y) for k in keys]), np.array([sum(share[y] for y, _ in same[k]) for k in keys]),
-        [min(i for _, i in same[k]) for k in keys], [], [], [], [], 0.0,
-    )
-    own.keys = keys
-    own.prior = float(own.toxic.sum() / own.whole.sum()) if keys else 0.0
-    tops: list[tuple[list, list]] = [([], []) for _ in range(len(df))]
-    for at, times in keys:
-        a = np.array(at, np.int64)
-        own.rows.append((a, own.weigh(a, np.array(times, np.float64))))
+    toxic, whole = (np.array([sum(share[y] for y, _ in same[k] if y or every) for k in keys]) for every in (0, 1))
+    blocks = -(-len(keys) // BLOCK)
+    own = Index(idf, toxic, whole, [min(i for _, i in same[k]) for k in keys], keys, np.zeros((len(df), blocks)), [], float(toxic.sum() / whole.sum()) if keys else 0.0)
     own.zero = next((i for i, k in enumerate(keys) if not k[0]), -1)
-    for b, start in enumerate(range(0, len(keys), BLOCK)):
-        part = own.rows[start : start + BLOCK]
-        t = np.concatenate([r[0] for r in part])
-        e = np.repeat(np.arange(start, start + len(part)), [len(r[0]) for r in part])
-        w = np.concatenate([r[1] for r in part])
-        order = np.argsort(t, kind="stable")
-        t, e, w = t[order], e[order], w[order]
-        head, first = np.unique(t, return_index=True)
-        own.heads.append(head)
-        own.blocks.append((np.append(first, len(t)), e, w))
-        for term, most in zip(head.tolist(), np.maximum.reduceat(w, first) if len(first) else [], strict=True):
-            tops[term][0].append(b)
-            tops[term][1].append(most)
-    own.bounds = [(np.array(b, np.int64), np.array(m, np.float64)) for b, m in tops]
+    for b in range(blocks):
+        part = keys[b * BLOCK : (b + 1) * BLOCK]
+        head = np.array(sorted({t for at, _ in part for t in at}), np.int64)
+        held = np.zeros((len(head), len(part)))
+        for j, (at, times) in enumerate(part):
+            a = np.array(at, np.int64)
+            held[np.searchsorted(head, a), j] = own.weigh(a, np.array(times, np.float64))
+        own.blocks.append((head, held))
+        own.bounds[head, b] = held.max(axis=1)
     return own
 
 
-def nearest(own: Index, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Example vectors of the k highest cosines above zero, all that tie with the last included, best first; exact.
+def nearest(own: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (terms, weights) the example vectors of the k highest cosines above zero, all that tie with the last included, best first; exact.
 
-    but: a vector that is left out.
+    Each query first looks into the blocks of its highest bounds, which gives it
+    a k-th cosine, then into every block whose bound reaches that. but: a vector
+    for each query that is left out, -1 for none.
     """
-    most = np.zeros(len(own.blocks))
-    for t, w in zip(at.tolist(), weights.tolist(), strict=True):
-        b, m = own.bounds[t]
-        most[b] += w * m
-    order = np.argsort(-most, kind="stable")
-    found, sims, least = [], [], 0.0
-    held = np.zeros(0)
-    for b in order.tolist():
-        if most[b] <= 0 or most[b] < least - _EQUAL:
-            break
-        own.visited += 1
-        first, e, w = own.blocks[b]
-        head = own.heads[b]
-        place = np.searchsorted(head, at)
-        hit = np.flatnonzero((place < len(head)) & (head[np.minimum(place, len(head) - 1)] == at))
-        dot = np.zeros(BLOCK)
-        for i in hit.tolist():
-            s, n = first[place[i]], first[place[i] + 1]
-            dot[e[s:n] - b * BLOCK] += weights[i] * w[s:n]
-        if but // BLOCK == b and but >= 0:
-            dot[but % BLOCK] = 0
-        there = np.flatnonzero(dot > max(0.0, least - _EQUAL))
-        found.append(there + b * BLOCK)
-        sims.append(dot[there])
-        held = np.concatenate((held, dot[there]))
-        if len(held) >= k:
-            held = -np.partition(-held, k - 1)[:k]
-            least = held.min()
+    m, n = len(queries), len(own.blocks)
+    dense = np.zeros((m, len(own.idf)))
+    for i, (at, w) in enumerate(queries):
+        dense[i, at] = w
+    most = dense @ own.bounds
+    hidden = np.full(m, -1) if but is None else np.array(but, np.int64)
+    held, least, seen = np.zeros((m, k)), np.zeros(m), np.zeros((m, n), bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def look(b: int, rows: np.ndarray) -> None:
+        head, weights = own.blocks[b]
+        seen[rows, b] = True
+        own.visited += len(rows)
+        sims = dense[np.ix_(rows, head)] @ weights
+        mine = np.flatnonzero((hidden[rows] >= 0) & (hidden[rows] // BLOCK == b))
+        sims[mine, hidden[rows[mine]] % BLOCK] = 0
+        r, c = np.nonzero(sims > np.maximum(0, least[rows] - _EQUAL)[:, None])
+        found.append((rows[r], c + b * BLOCK, sims[r, c]))
+        held[rows] = -np.partition(-np.concatenate((held[rows], sims), axis=1), k - 1, axis=1)[:, :k]
+        least[rows] = held[rows].min(axis=1)
+
+    for _ in range(2 if n else 0):
+        best = np.where(seen, -1.0, most).argmax(axis=1)
+        for b in np.unique(best).tolist():
+            look(b, np.flatnonzero((best == b) & ~seen[:, b]))
+    for b in np.argsort(-most.sum(axis=0), kind="stable").tolist():
+        rows = np.flatnonzero(~seen[:, b] & (most[:, b] > 0) & (most[:, b] >= least - _EQUAL))
+        if len(rows):
+            look(b, rows)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at_all, s = np.concatenate(found), np.round(np.concatenate(sims), 9)
-    if len(s) > k:
-        last = -np.partition(-s, k - 1)[k - 1]
-        at_all, s = at_all[s >= last], s[s >= last]
-    best = np.lexsort((at_all, -s))
-    return at_all[best], s[best]
+        return [(np.zeros(0, np.int64), np.zeros(0))] * m
+    q, e, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    s = np.round(s, 9)
+    ok = (s > 0) & (s >= np.round(least, 9)[q])
+    q, e, s = q[ok], e[ok], s[ok]
+    order = np.lexsort((e, -s, q))
+    q, e, s = q[order], e[order], s[order]
+    cuts = np.searchsorted(q, np.arange(m + 1))
+    return [(e[a:z], s[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
 def vote(own: Index, at: np.ndarray, sims: np.ndarray, but: tuple[int, float, float] | None = None) -> float:
-    """Share of toxic votes; a vote counts 1 / (1.02 - cosine), PRIOR votes go to the examples' own share. but: (vector, toxic, all) weight not to count."""
+    """Share of toxic votes; a vote counts cosine**2 / (1.02 - cosine), PRIOR votes go to the examples' own share. but: (vector, toxic, all) weight not to count."""
     toxic, whole = own.toxic[at], own.whole[at]
     if but is not None:
         toxic, whole = toxic - np.where(at == but[0], but[1], 0), whole - np.where(at == but[0], but[2], 0)
-    w = 1.0 / (1.02 - np.minimum(sims, 1.0))
+    near = np.minimum(sims, 1.0)
+    w = near * near / (1.02 - near)
     return float((PRIOR * own.prior + (w * toxic).sum()) / (PRIOR + (w * whole).sum()))
 
 
@@ -282,11 +276,16 @@ def scored(own: Index, raw: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(own.slope * _logit(np.array(raw)) + own.offset, -30, 30))))
 
 
-def _search(own: Index, at: np.ndarray, times: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """nearest() of a vector; the examples without vocabulary words are those of a text without any."""
-    if len(at):
-        return nearest(own, at, own.weigh(at, times), but=but)
-    return (np.array([own.zero]), np.ones(1)) if own.zero >= 0 else (np.zeros(0, np.int64), np.zeros(0))
+def search(own: Index, vectors: list[tuple[list[int], list[int]]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """nearest() of vectors (terms, counts), TOGETHER at once; the examples without vocabulary terms are those of a text without any."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.array([own.zero]), np.ones(1)) if own.zero >= 0 else (np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+    some = [i for i, (at, _) in enumerate(vectors) if at]
+    for s in range(0, len(some), TOGETHER):
+        part = some[s : s + TOGETHER]
+        asked = [(np.array(vectors[i][0], np.int64), own.weigh(np.array(vectors[i][0], np.int64), np.array(vectors[i][1], np.float64))) for i in part]
+        for i, near in zip(part, nearest(own, asked, but=None if but is None else [but[i] for i in part]), strict=True):
+            out[i] = near
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
@@ -312,11 +311,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
         def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix, of = sent.value
             for b in batches:
-                raw = []
-                for at, times, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    me = of[tuple(at), tuple(times)]
-                    near, sims = _search(ix, np.array(at, np.int64), np.array(times, np.float64))
-                    raw.append(vote(ix, near, sims, (me, share[y] * y, share[y])))
+                rows = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+                raw = [
+                    vote(ix, near, sims, (of[tuple(at), tuple(times)], share[y] * y, share[y]))
+                    for (at, times, y), (near, sims) in zip(rows, search(ix, [r[:2] for r in rows]), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column(2)], names=["raw", "toxic"])
 
         tried = own_rows.select("terms", "counts", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(leave_out, "raw double, toxic int").collect()
@@ -343,18 +342,14 @@ def assess(docs: DataFrame, labels: DataFrame, shown: int = 3) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, seen = sent.value, {}
         for b in batches:
-            scores, shows = [], []
-            for at, times in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                key = (tuple(at), tuple(times))
-                if key not in seen:
-                    near, sims = _search(ix, np.array(at, np.int64), np.array(times, np.float64))
-                    score = scored(ix, vote(ix, near, sims)) if len(ix.whole) else 0.0
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    seen[key] = score, [{"doc_id": ix.name[i], "cosine": float(c), "toxic_share": float(ix.toxic[i] / ix.whole[i])} for i, c in zip(near[:shown].tolist(), sims[:shown], strict=True)]
-                score, show = seen[key]
-                scores.append(score)
-                shows.append(show)
+            rows = [(tuple(at), tuple(times)) for at, times in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            if len(seen) > 20_000:
+                seen.clear()
+            fresh = [r for r in dict.fromkeys(rows) if r not in seen]
+            for row, (near, sims) in zip(fresh, search(ix, fresh), strict=True):
+                show = [{"doc_id": ix.name[i], "cosine": float(c), "toxic_share": float(ix.toxic[i] / ix.whole[i])} for i, c in zip(near[:shown].tolist(), sims[:shown], strict=True)]
+                seen[row] = (scored(ix, vote(ix, near, sims)) if len(ix.whole) else 0.0), show
+            scores, shows = zip(*(seen[r] for r in rows), strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= THRESHOLD) for x in scores], pa.int32()),
                 pa.array(shows, pa.list_(pa.struct([("doc_id", b.schema.field(0).type), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))),

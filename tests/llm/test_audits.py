@@ -161,19 +161,19 @@ def test_nearest_examples_equal_all_cosines():
         examples.append((tuple(at.tolist()), tuple(rng.integers(1, 4, len(at)).tolist()), int(rng.random() < 0.2), i))
     own = toxicity.index(examples, rng.integers(1, 500, 40), 1000, {0: 1.0, 1: 1.0})
     dense = np.zeros((len(own.keys), 40))
-    for i, (at, w) in enumerate(own.rows):
-        dense[i, at] = w
+    for i, (at, times) in enumerate(own.keys):
+        dense[i, list(at)] = own.weigh(np.array(at, int), np.array(times, float))
     assert len(own.blocks) > 3
+    asked, but = [], []
     for _ in range(150):
         at = np.flatnonzero(rng.random(40) < 0.1)
-        w = own.weigh(at, rng.integers(1, 4, len(at)).astype(float))
-        but = int(rng.integers(-1, len(own.keys)))
+        asked.append((at, own.weigh(at, rng.integers(1, 4, len(at)).astype(float))))
+        but.append(int(rng.integers(-1, len(own.keys))))
+    for (at, w), b, (near, got) in zip(asked, but, toxicity.nearest(own, asked, 7, but), strict=True):
         sims = np.round(dense[:, at] @ w, 9)
-        if but >= 0:
-            sims[but] = 0
-        near, got = toxicity.nearest(own, at, w, k=7, but=but)
-        want = [(-s, i) for i, s in enumerate(sims) if s > 0]
-        want.sort()
+        if b >= 0:
+            sims[b] = 0
+        want = sorted((-s, i) for i, s in enumerate(sims) if s > 0)
         want = [x for x in want if len(want) <= 7 or x[0] <= want[6][0]]
         assert near.tolist() == [i for _, i in want] and np.allclose(got, [-s for s, _ in want])
     assert own.visited < 150 * len(own.blocks)
