@@ -625,14 +625,39 @@ def met_abstention(spark: SparkSession, sf: str) -> DataFrame:
 # --- graph, store, streaming ------------------------------------------------
 
 
-@query()
+#: Entities of a text: runs of capitalised tokens after a sentence's first, lower-cased, each once.
+_ENTITIES = r"""list_distinct(list_filter(list_transform(string_split(array_to_string(flatten(list_transform(string_split(regexp_replace(trim({t}), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: list_concat(list_transform(
+    list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[A-Z]') AND length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) >= 2 THEN regexp_replace(x, '[.,;:!?"'']+$', '') ELSE chr(31) END), [chr(31)]))), ' '), chr(31)), lambda r: lower(trim(r))), lambda r: r <> ''))"""
+_PARAGRAPHS = r"""chunks AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') || '-' || lpad((ord - 1)::VARCHAR, 6, '0') AS chunk_id, p AS text FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord FROM (SELECT doc_id,
+    list_filter(list_transform(regexp_split_to_array(text, '\n(?:[^\S\n]*\n)+'), lambda b: trim(replace(b, chr(10), ' '))), lambda b: b <> '') AS ps FROM documents WHERE text IS NOT NULL)))"""
+_GRAPH = f"""{_PARAGRAPHS}, listed AS (SELECT chunk_id, {_ENTITIES.format(t='text')} AS e FROM chunks), mentions AS (SELECT chunk_id, unnest(e) AS entity FROM listed),
+    edges AS (SELECT a.entity AS src, b.entity AS dst, count(*)::DOUBLE AS w FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity GROUP BY ALL)"""
+
+
+def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """(chunk_id, text): every paragraph of a document as one chunk."""
+    e = parsers.plain_elements(texts(spark, sf), "doc_id")
+    return e.select(F.concat(F.lpad("source_id", 12, "0"), F.lit("-"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("chunk_id"), "text")
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, w FROM edges")
 def grf_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.build(doc_chunks(spark, sf))[1]
+    return graph.build(paragraphs(spark, sf))[1]
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, nodes AS (SELECT DISTINCT entity AS node FROM mentions), size AS (SELECT count(*) AS n FROM nodes),
+    step AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM edges), lone AS (SELECT node FROM nodes ANTI JOIN step ON src = node),
+    seeds AS (SELECT DISTINCT query_id, node FROM (SELECT doc_id AS query_id, unnest({_ENTITIES.format(t='text')}) AS node FROM documents WHERE doc_id % 100 = 0) SEMI JOIN nodes USING (node)),
+    restart AS (SELECT query_id, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS p FROM seeds),
+    ranks AS (SELECT 0 AS i, query_id, node, p AS rank FROM restart UNION ALL SELECT i + 1, query_id, node, sum(r) FROM (
+        SELECT i, query_id, dst AS node, 0.5::DOUBLE * rank * share AS r FROM ranks JOIN step ON src = node UNION ALL SELECT i, query_id, node, 0.5::DOUBLE * p FROM (SELECT DISTINCT i, query_id FROM ranks) JOIN restart USING (query_id)
+        UNION ALL SELECT i, query_id, nodes.node, r / n FROM (SELECT i, query_id, sum(0.5::DOUBLE * rank) AS r FROM ranks SEMI JOIN lone USING (node) GROUP BY ALL), nodes, size) WHERE i < 50 GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, sum(rank) AS score FROM ranks JOIN mentions ON entity = node WHERE i = 50 GROUP BY ALL)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY rank <= 5"""
+)
 def grf_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    mentions, edges = graph.build(doc_chunks(spark, sf))
+    mentions, edges = graph.build(paragraphs(spark, sf))
     q = table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return _hits(graph.retrieve(q, mentions, edges, 5))
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, blank_tokens
-from ..plans.tables import written
-from .search import ranked
+from ..plans.tables import bucketed, drop_bucketed, written
+from .search import dense_search, ranked
 
 
 def entities(text: Column, include_single: bool = True, least: int = 2) -> Column:
@@ -48,43 +49,92 @@ def merged(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -
     return old[0].unionByName(new[0]).distinct(), edges
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 50, cut_every: int = 2) -> DataFrame:
-    """(query_id, node, rank): walks that restart at the query's seeds with probability alpha.
+@dataclass
+class Ranks:
+    """rank (query_id, node, rank) of walks among nodes with edges and from lone seeds; lone (query_id, p): the share of a query's seeds without edges;
+    whole (node, rank): what such a query has besides on every node, times its p, None if no query has any."""
 
-    nodes: all nodes, seeds: query_id, node. Nodes without edges give their
-    rank to all nodes evenly; seeds outside the graph are ignored and a query
-    without seeds has no rows. The table is written every few steps.
+    rank: DataFrame
+    lone: DataFrame
+    whole: DataFrame | None
+
+
+def lone_shares(alpha: float, part: float, iterations: int) -> list[float]:
+    """The mass that lone nodes give away in each round if all seeds are lone: a number for each round, the same for every query.
+
+    Lone nodes have no edge in either direction, so they hold their restart and
+    their part of what was given away one round before. part: lone of all nodes.
     """
-    own = written(seeds.join(nodes, "node", "left_semi").distinct(), "seeds")
-    restart = own.join(own.groupBy("query_id").agg((1.0 / F.count("*")).alias("p")), "query_id").select("query_id", "node", "p")
+    out = [1 - alpha]
+    for _ in range(iterations - 1):
+        out.append((1 - alpha) * (alpha + out[-1] * part))
+    return out
+
+
+def page_rank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float = 0.5, iterations: int = 50, cut_every: int = 4, tolerance: float = 1e-12) -> Ranks:
+    """Walks that restart at a query's seeds with probability alpha, `iterations` rounds or until no rank moves by more than tolerance.
+
+    edges: src, dst, w, both ways; nodes: all nodes; seeds: query_id, node.
+    Nodes without edges give their rank to all nodes evenly; seeds outside the
+    graph are ignored and a query without seeds has no rows. Edges are dealt by
+    their source once and written; each round moves ranks alone. What lone nodes
+    give away is the same for every query but for the query's share of lone
+    seeds: it walks along as one more query, not as a row for each node and query.
+    """
+    if iterations < 1 or not 0 < alpha <= 1:
+        raise ValueError("iterations must be positive and alpha in (0, 1]")
     total = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    step = written(edges.join(total, "src").select("src", F.col("dst").alias("node"), (F.col("w") / F.col("total")).alias("share")), "steps")
-    lone = nodes.join(step.select(F.col("src").alias("node")), "node", "left_anti")
-    n = nodes.count()
-    has_lone = not lone.isEmpty()
-    restart = written(restart, "restart")
-    rank = restart.select("query_id", "node", F.col("p").alias("rank"))
+    step = bucketed(edges.join(total, "src").select("src", F.col("dst").alias("node"), (F.col("w") / F.col("total")).alias("share")), "steps", "src")
+    own = written(seeds.join(nodes, "node", "left_semi").distinct(), "seeds")
+    sources = step.select(F.col("src").alias("node"), F.lit(True).alias("linked")).distinct()
+    weight = own.join(own.groupBy("query_id").agg((1.0 / F.count("*")).alias("p")), "query_id").join(sources, "node", "left")
+    restart = written(weight.select("query_id", "node", "p", F.coalesce("linked", F.lit(False)).alias("linked")), "restart")
+    lone = written(restart.where("NOT linked").groupBy("query_id").agg(F.sum("p").alias("p")), "lone-seeds")
+    n, n_linked = nodes.count(), sources.count()
+    given = lone_shares(alpha, (n - n_linked) / n, iterations) if not lone.isEmpty() else []
+    plain = F.lit(False).alias("whole")
+    rank = restart.select(plain, "query_id", "node", F.col("p").alias("rank"))
+    evenly = nodes.select(F.lit(True).alias("whole"), F.lit(None).cast(seeds.schema["query_id"].dataType).alias("query_id"), "node")
+    back = restart.select(plain, "query_id", "node", (alpha * F.col("p")).alias("r"), F.lit(0.0).alias("before"))
     for i in range(iterations):
-        walk = rank.withColumnRenamed("node", "src").join(step, "src").select("query_id", "node", ((1 - alpha) * F.col("rank") * F.col("share")).alias("r"))
-        rows = walk.unionByName(restart.select("query_id", "node", (alpha * F.col("p")).alias("r")))
-        if has_lone:
-            # only queries with a seed among the lone nodes have such a rank, and give it to every node
-            lost = rank.join(lone, "node").groupBy("query_id").agg((F.sum("rank") * (1 - alpha) / n).alias("r"))
-            rows = rows.unionByName(lost.crossJoin(nodes).select("query_id", "node", "r"))
-        rank = rows.groupBy("query_id", "node").agg(F.sum("r").alias("rank"))
-        if (i + 1) % cut_every == 0:
-            rank = written(rank, "rank")
-    return rank
+        walk = rank.withColumnRenamed("node", "src").join(step, "src").select("whole", "query_id", "node", ((1 - alpha) * F.col("rank") * F.col("share")).alias("r"), F.lit(0.0).alias("before"))
+        rows = walk.unionByName(back).unionByName(rank.select("whole", "query_id", "node", F.lit(0.0).alias("r"), F.col("rank").alias("before")))
+        if given:
+            rows = rows.unionByName(evenly.withColumns({"r": F.lit(given[i] / n), "before": F.lit(0.0)}))
+        sums = rows.groupBy("whole", "query_id", "node").agg(F.sum("r").alias("rank"), F.sum("before").alias("before"))
+        if (i + 1) % cut_every == 0 or i + 1 == iterations:
+            held = written(sums, "rank")
+            moved = held.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+            rank = held.select("whole", "query_id", "node", "rank")
+            if moved is None or moved <= tolerance:
+                break
+        else:
+            rank = sums.select("whole", "query_id", "node", "rank")
+    drop_bucketed(step, edges.sparkSession)
+    found = rank.where("rank > 0")
+    return Ranks(found.where("NOT whole").select("query_id", "node", "rank"), lone, found.where("whole").select("node", "rank") if given else None)
 
 
 def retrieve(queries: DataFrame, mentions: DataFrame, edges: DataFrame, k: int, iterations: int = 50) -> DataFrame:
-    """Chunks by the summed rank of their entities; a query without a known entity has no hits."""
+    """Chunks by the summed rank of their entities; a query without a known entity has no hits.
+
+    A query with seeds without edges ranks every chunk: those that its walk
+    reaches are scored one by one, and of the others, whose order is one for all
+    such queries, the best k can count.
+    """
     mentions, edges = written(mentions, "mentions"), written(edges, "edges")
     nodes = written(mentions.select(F.col("entity").alias("node")).distinct(), "nodes")
     seeds = queries.select("query_id", F.explode(entities(F.col("query"))).alias("node"))
-    rank = page_rank(edges, nodes, seeds, iterations=iterations)
-    hits = rank.join(mentions.withColumnRenamed("entity", "node"), "node").groupBy("query_id", "chunk_id").agg(F.sum("rank").alias("score")).where("score > 0")
-    return ranked(hits, k).withColumn("components", F.create_map(F.lit("ppr"), F.col("score")))
+    found = page_rank(edges, nodes, seeds, iterations=iterations)
+    held = mentions.withColumnRenamed("entity", "node")
+    hits = found.rank.join(held, "node").groupBy("query_id", "chunk_id").agg(F.sum("rank").alias("score"))
+    if found.whole is not None:
+        every = written(found.whole.join(held, "node").groupBy("chunk_id").agg(F.sum("rank").alias("rank")), "whole-ranks")
+        hits = hits.join(found.lone, "query_id", "left").join(every, "chunk_id", "left")
+        hits = hits.select("query_id", "chunk_id", (F.col("score") + F.coalesce(F.col("p") * F.col("rank"), F.lit(0.0))).alias("score"))
+        rest = dense_search(found.lone.select("query_id", F.array("p").alias("vec")), every.select("chunk_id", F.array("rank").alias("vec")), k, "dot")
+        hits = hits.unionByName(rest.select("query_id", "chunk_id", "score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))  # the walk only adds
+    return ranked(hits.where("score > 0"), k).withColumn("components", F.create_map(F.lit("ppr"), F.col("score")))
 
 
 def entities_of(text: str) -> list[str]:

@@ -27,6 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by the column `by` as an exchange would deal it: joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"quern_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", f"{folder(spark)}/quern-tables/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def drop_bucketed(df: DataFrame, spark: SparkSession) -> None:
+    """Forget and delete a table that bucketed() made and that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        name = path.rsplit("/", 2)[1]
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files give fewer partitions; a table that has as many stays as it is, without an exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism
