@@ -147,6 +147,23 @@ def vectors(docs: DataFrame, terms: list[str], id_col: str = "doc_id") -> DataFr
     return rows.mapInArrow(count, f"`{id_col}` {kind}, held_out boolean, pick long, terms array<int>, counts array<int>")
 
 
+def document_frequencies(vecs: DataFrame, terms: int) -> np.ndarray:
+    """In how many rows each vocabulary term occurs. Each task adds up its rows; the driver gets at most `terms` sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(terms, np.int64)
+        for b in batches:
+            seen += np.bincount(b.column(0).flatten().to_numpy(), minlength=terms)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
+
+    df = np.zeros(terms, np.int64)
+    if terms:
+        for r in vecs.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            df[r["term"]] = r["n"]
+    return df
+
+
 @dataclass
 class Index:
     """Different example vectors in blocks of BLOCK. A block holds its terms and their postings as a small matrix; bounds has each term's greatest weight in each block."""
@@ -297,9 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, DataFrame]:
     chosen = sample(docs, labels)
     terms = vocabulary(docs, chosen)
     vecs = written(vectors(docs, terms), "toxicity-vectors")
-    df = np.zeros(len(terms), np.int64)
-    for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # MOST_TERMS rows
-        df[r["t"]] = r["count"]
+    df = document_frequencies(vecs, len(terms))
     own_rows = vecs.where(~F.col("held_out")).join(chosen.table(docs), "pick").dropDuplicates(["pick"])
     share = {y: chosen.labelled[y] / chosen.taken[y] for y in chosen.taken}
     examples = [(tuple(r["terms"]), tuple(r["counts"]), r["toxic"], r["doc_id"]) for r in own_rows.orderBy("pick").collect()]
