@@ -701,6 +701,15 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.event_windows(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE ts IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.sessions(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
 # --- pipelines --------------------------------------------------------------
 
 
@@ -712,7 +721,25 @@ def _answers(df: DataFrame) -> DataFrame:
     return df.select("query_id", "answer", F.size("citations").alias("n_citations"), F.coalesce(F.array_join("retrieved_ids", ","), F.lit("")).alias("retrieved"))
 
 
-@query()
+#: Chunks as ingest makes them of plain documents: windows of 180 tokens, 140 apart, of a document's joined paragraphs.
+_INGESTED = (
+    _SENTENCES.split("cut AS")[0]
+    + r"""tok AS (SELECT doc_id, i, t, coalesce(sum(length(t) + length(g)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i, unnest(list_concat(g, [''])) AS g FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS l, regexp_extract_all(text, '\s+') AS g FROM sec))),
+    n AS (SELECT doc_id, CASE WHEN count(*) <= 180 THEN 1 ELSE ceil((count(*) - 180) / 140.0)::BIGINT + 1 END AS n FROM tok GROUP BY doc_id), win AS (SELECT doc_id, unnest(generate_series(0, n - 1)) AS w FROM n),
+    cuts AS (SELECT win.doc_id, w, min(s) AS s, max(s + length(t)) AS e FROM win JOIN tok ON tok.doc_id = win.doc_id AND i BETWEEN w * 140 + 1 AND w * 140 + 180 GROUP BY ALL),
+    """
+    + f"chunks AS MATERIALIZED (SELECT {_CHUNK_ID.format(kind='heading_aware', n='w')}, substr(text, s + 1, e - s) AS text FROM cuts JOIN sec USING (doc_id))"
+)
+_INGESTED_BOTH = _BOTH.replace(_CHUNKS, _INGESTED)
+
+
+@query(
+    f"""WITH {_INGESTED_BOTH}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
+    top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 5),
+    c AS (SELECT query_id, rank, chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM top JOIN chunks USING (chunk_id)),
+    a AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved, least(count(*), 3) AS n, string_agg('[' || rank || '] ' || CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 240)) || '…' END, chr(10) ORDER BY rank) FILTER (rank <= 3) AS lines FROM c GROUP BY query_id)
+    SELECT query_id, CASE WHEN n > 0 THEN 'Based on ' || n || ' retrieved passage(s):' || chr(10) || lines ELSE '' END AS answer, coalesce(n, 0)::INTEGER AS n_citations, coalesce(retrieved, '') AS retrieved FROM asked LEFT JOIN a USING (query_id)"""
+)
 def pipe_answer(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.answer(asked(spark, sf), _index(spark, sf)))
 
@@ -737,7 +764,15 @@ def pipe_iterative(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.iterative(asked(spark, sf), _index(spark, sf), P.Settings(mode="sparse")))
 
 
-@query()
+@query(
+    f"""WITH {_INGESTED_BOTH}, {_GOLD}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
+    runs AS (SELECT 'hybrid' AS mode, query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f UNION ALL SELECT CASE m WHEN 's' THEN 'sparse' ELSE 'dense' END, query_id, chunk_id, rank FROM both_hits),
+    g AS (SELECT query_id, count(*) AS n, list_sum(list_transform(generate_series(1, least(count(*), 10)), lambda i: 1.0::DOUBLE / log2(i + 1))) AS idcg FROM gold GROUP BY query_id),
+    h AS (SELECT mode, r.query_id, rank, count(*) OVER (PARTITION BY mode, r.query_id ORDER BY rank) AS so_far FROM runs r JOIN gold USING (query_id, chunk_id) WHERE rank <= 10),
+    m AS (SELECT mode, query_id, count(*) AS hit, min(rank) AS first, sum(1.0::DOUBLE / log2(rank + 1)) AS dcg, sum(so_far / rank::DOUBLE) AS ap FROM h GROUP BY mode, query_id)
+    SELECT mode, round(avg(coalesce(hit / n::DOUBLE, 0)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg, round(avg(coalesce(ap / least(n, 10), 0)), 6) AS context_precision
+    FROM (SELECT DISTINCT mode FROM runs) CROSS JOIN asked LEFT JOIN g USING (query_id) LEFT JOIN m USING (mode, query_id) GROUP BY mode"""
+)
 def eval_modes(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
     cases = asked(spark, sf).withColumnRenamed("query_id", "case_id").withColumn("needle", F.col("query"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .functions.text import stable_id
 from .operators import context as C
 from .operators import store as S
+from .operators.search import attach
 from .plans import pipelines as P
+from .plans.tables import drop_written, written
 
 SNAPSHOT = "snapshot_id string, profile string, embedding_model string, dimensions int, created_at timestamp"
 
@@ -37,11 +39,11 @@ class Engine:
         self.store.vacuum()
         return [r.asDict() for r in jobs.orderBy("ord").drop("ord").collect()]
 
-    def _index(self) -> P.Index:
-        t = [self.store.read(n) for n in ("chunks", "postings", "dense", "jobs", "documents")]
-        if t[0] is None:
-            raise LookupError("nothing is ingested")
-        return P.Index(*t)
+    def _index_or_none(self) -> P.Index | None:
+        """The tables of one version of the store."""
+        version = self.store.version()
+        t = [self.store.read(n, version) for n in ("chunks", "postings", "dense", "jobs", "documents")]
+        return None if t[0] is None else P.Index(*t)
 
     def cost(self, query: str, contexts: list[str], answer: str) -> float:
         """Estimated USD of one answer: four characters a token, the query embedded once, query and contexts read, the answer written."""
@@ -51,17 +53,35 @@ class Engine:
         rows = C.cost(self.spark.createDataFrame(usage, "model_id string, input_chars long, output_chars long"), self.prices)
         return float(rows.agg(F.sum("estimated_cost_usd")).first()[0])
 
-    def query(self, text: str, top_k: int = 5, mode: str = "hybrid", fusion: str = "rrf") -> dict:
-        """Answer, citations and time of one question; nothing ingested: an empty answer."""
+    def query(self, text: str, top_k: int = 5, mode: str = "hybrid", fusion: str = "rrf", rerank_top_k: int | None = None) -> dict:
+        """Answer, citations, times of the stages and model ids of one question; nothing ingested or found: an empty answer."""
         began = time.perf_counter()
+        settings = replace(self.settings, top_k=top_k, mode=mode, fusion=fusion, rerank_top_k=rerank_top_k)
         asked = self.spark.createDataFrame([(0, text)], "query_id int, query string")
-        try:
-            row = P.answer(asked, self._index(), replace(self.settings, top_k=top_k, mode=mode, fusion=fusion)).first()
-            out = {"answer": row["answer"], "citations": [c.asDict(True) for c in row["citations"]], "retrieved_ids": row["retrieved_ids"] or []}
+        out: dict = {"answer": "", "citations": [], "retrieved_ids": []}
+        contexts: list[str] = []
+        took = {"retrieve": 0.0, "rerank": 0.0, "generate": 0.0}
+        if (index := self._index_or_none()) is not None:
+            at = time.perf_counter()
+
+            def stage(name: str, df: DataFrame) -> DataFrame:
+                nonlocal at
+                held = written(df, f"query-{name}")
+                took[name] = (time.perf_counter() - at) * 1000
+                at = time.perf_counter()
+                return held
+
+            hits = stage("retrieve", P.retrieve(asked, index, settings))
+            best = stage("rerank", P.rerank(attach(hits, index.chunks), asked, settings))
+            row = stage("generate", P.generate(best, asked, settings, hits)).first()
             contexts = row["contexts"] or []
-        except LookupError:
-            out, contexts = {"answer": "", "citations": [], "retrieved_ids": []}, []
-        return out | {"timings_ms": {"total": (time.perf_counter() - began) * 1000}, "estimated_cost_usd": self.cost(text, contexts, out["answer"])}
+            if contexts:
+                out = {"answer": row["answer"], "citations": [c.asDict(True) for c in row["citations"]], "retrieved_ids": row["retrieved_ids"] or []}
+            for held in (hits, best):
+                drop_written(held)
+        total = (time.perf_counter() - began) * 1000
+        ids = {"embedding": self.models[0], "reranker": "model" if settings.order else settings.reranker, "generator": self.models[1]}
+        return out | {"timings_ms": took | {"total": total}, "model_ids": ids, "estimated_cost_usd": self.cost(text, contexts, out["answer"]) if contexts else 0.0}
 
     def documents(self) -> list[dict]:
         docs, chunks = self.store.read("documents"), self.store.read("chunks")
@@ -97,7 +117,7 @@ class Engine:
 
     def snapshot(self, profile: str = "test") -> dict:
         """Save the configuration that decides whether old vectors can be searched; `drifted` if the newest one differs."""
-        model = f"hash-v1-{self.settings.dim}"
+        model = f"hash-v1-{self.settings.dim}" if self.settings.embedder is None else self.models[0]
         row = self.spark.createDataFrame([(profile, model, self.settings.dim)], "profile string, embedding_model string, dimensions int")
         row = row.select(stable_id(F.col("profile"), F.col("embedding_model"), F.col("dimensions")).alias("snapshot_id"), "*", F.current_timestamp().alias("created_at"))
         old = self.store.read("config_snapshots")

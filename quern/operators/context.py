@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_tokens, compressor_sentences, count_tokens, jaccard, snippet, word_set
+from ..functions.text import SNIPPET_CHARS, blank_tokens, compressor_sentences, count_tokens, jaccard, snippet, word_set
 
 #: Prefixes of the ids of local models, which are free, as are ids with a slash (fixed).
 FREE = ("hash-emb", "bm25-local", "extractive", "identity-rerank", "mmr-rerank", "fake-")
@@ -82,6 +82,15 @@ def extractive_answers(queries: DataFrame, contexts: DataFrame, most: int = 3) -
     return joined.select("query_id", F.coalesce(text, F.lit("")).alias("answer"), F.coalesce("citations", F.array()).alias("citations"))
 
 
+def cited_contexts(queries: DataFrame, contexts: DataFrame, most_chars: int = SNIPPET_CHARS) -> DataFrame:
+    """(query_id, answer, citations) for a model to answer: an empty answer and one citation for each context, with the beginning of its text as it is."""
+    cited = contexts.select(
+        "query_id", F.struct("position", "chunk_id", "document_id", F.substring("text", 1, most_chars).alias("snippet"), F.lit(0.0).alias("score"), "page_span", "section_path").alias("c")
+    )
+    grouped = cited.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("citations"))
+    return queries.join(grouped, "query_id", "left").select("query_id", F.lit("").alias("answer"), F.coalesce("citations", F.array()).alias("citations"))
+
+
 def unresolved_citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     """Citations that name no context: must be empty."""
     said = answers.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.chunk_id")

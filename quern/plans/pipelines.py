@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.text import collapse, embedding_text, stable_id
 from ..functions.vectors import hashed_vectors
-from ..operators import chunking, context, search, sparse
+from ..operators import chunking, context, graph, search, sparse, tools
 from ..operators import understanding as U
 from ..sources import parsers
 from .tables import written
@@ -22,10 +23,19 @@ CHUNKERS = {"heading_aware": chunking.heading_aware, "semantic": chunking.semant
 class Settings:
     """What changes results. Names and defaults are those of the engine's users.
 
-    The last four are a caller's models, None for the built-in steps: an
-    embedder of a text column, a writer of a hypothetical passage for a query
-    column, an order of a query's texts, and an answer to the columns query
-    and contexts.
+    mode: dense, sparse, hybrid, max_sim (late interaction of tokens) or graph
+    (walks over entities). quantised: the dense part is searched in int8 first
+    and rescore * k candidates are ranked exactly. truncate: leading dimensions
+    that vectors keep. late_chunking mixes a chunk's vector with those of its
+    neighbours in the document. instruction: the task that queries, not texts,
+    are embedded with. rerank_top_k: how many hits a reranker leaves, top_k if
+    None.
+
+    The last ones are a caller's models, None for the built-in steps: an
+    embedder of a text column (of texts and queries, or of queries by
+    query_embedder), a writer of a hypothetical passage for a query column, an
+    order of a query's texts, an answer to the columns query and contexts, and
+    a model that answers with tools.
     """
 
     chunk_strategy: str = "heading_aware"
@@ -40,28 +50,67 @@ class Settings:
     mmr_lambda: float = 0.7
     process_contexts: bool = False
     dim: int = 256
+    quantised: bool = False
+    rescore: int = search.RESCORE
+    truncate: int | None = None
+    late_chunking: bool = False
+    late_alpha: float = 0.3
+    instruction: str | None = None
+    rerank_top_k: int | None = None
     embedder: Callable[[Column], Column] | None = None
     hypothesis: Callable[[Column], Column] | None = None
     order: Callable[[str, list[str]], list[int]] | None = None
     generator: Callable[[Column, Column], Column] | None = None
+    query_embedder: Callable[[Column], Column] | None = None
+    tool_model: Callable[[list], tools.Turn] | None = None
+
+    @property
+    def final_k(self) -> int:
+        return self.rerank_top_k or self.top_k
 
 
 @dataclass
 class Index:
-    """Tables of one ingested batch: documents are all that could be parsed, jobs has the input's order in `ord`."""
+    """Tables of one ingested batch: documents are all that could be parsed, jobs has the input's order in `ord`; the entity graph is made when it is first asked for."""
 
     chunks: DataFrame
     postings: DataFrame
     vectors: DataFrame
     jobs: DataFrame
     documents: DataFrame
+    graph: tuple[DataFrame, DataFrame] | None = None
+
+    def entity_graph(self) -> tuple[DataFrame, DataFrame]:
+        """(mentions, edges) of the chunks."""
+        if self.graph is None:
+            mentions, edges = graph.build(self.chunks)
+            self.graph = written(mentions, "mentions"), written(edges, "edges")
+        return self.graph
 
 
 def vectors_of(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """(key, vec) by the settings' embedder."""
+    """(key, vec) by the settings' embedder, cut to the dimensions that the settings keep."""
     if settings.embedder is None:
-        return hashed_vectors(df, key, text, settings.dim)
-    return df.select(key, settings.embedder(F.col(text)).alias("vec"))
+        out = hashed_vectors(df, key, text, settings.dim)
+    else:
+        out = df.select(key, settings.embedder(F.col(text)).alias("vec"))
+    return out if settings.truncate is None else out.select(key, V.truncated(F.col("vec"), settings.truncate).alias("vec"))
+
+
+def chunk_vectors(chunks: DataFrame, text: str, settings: Settings) -> DataFrame:
+    """(chunk_id, vec) of indexed chunks, mixed along the document with late chunking."""
+    own = vectors_of(chunks, "chunk_id", text, settings)
+    if not settings.late_chunking:
+        return own
+    order = Window.partitionBy("document_id").orderBy("section_ord", "chunk_ord", "chunk_id")
+    placed = own.join(chunks.select("chunk_id", "document_id", F.row_number().over(order).alias("at")), "chunk_id")
+    return V.late_chunked(placed, "document_id", "at", "vec", settings.late_alpha).select("chunk_id", F.col("late").alias("vec"))
+
+
+def query_vectors(queries: DataFrame, settings: Settings) -> DataFrame:
+    """(query_id, vec): queries with their instruction, by the query embedder if there is one; never mixed."""
+    asked = queries if settings.instruction is None else queries.withColumn("query", V.instructed(F.col("query"), settings.instruction))
+    return vectors_of(asked, "query_id", "query", replace(settings, embedder=settings.query_embedder or settings.embedder))
 
 
 def chunk(elements: DataFrame, settings: Settings) -> DataFrame:
@@ -82,7 +131,7 @@ def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> I
     held = written(chunks.withColumn("indexed", embedding_text(F.col("context"), F.col("text"))), "chunks")
     model = sparse.fit(held, text="indexed")
     postings = sparse.encode(held, model, text="indexed")
-    vectors = vectors_of(held, "chunk_id", "indexed", settings)
+    vectors = chunk_vectors(held, "indexed", settings)
     sizes = held.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     good = F.col("error").isNull()
     jobs = sources.join(sizes, "document_id", "left").select(
@@ -108,18 +157,29 @@ def ingest_plain(texts: DataFrame, id_col: str, text: str, settings: Settings |
     return index_chunks(chunk(parsers.plain_elements(texts, id_col, text), settings), settings, sources)
 
 
+MODES = ("dense", "sparse", "hybrid", "max_sim", "graph")
+
+
 def search_once(queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
     """Hits of (query_id, query) in the settings' mode; only the encoders that the mode needs are planned."""
-    if settings.mode not in ("dense", "sparse", "hybrid"):
+    if settings.mode not in MODES:
         raise ValueError(f"unknown mode {settings.mode}")
+    if settings.top_k < 1 or (settings.rerank_top_k or 1) < 1:
+        raise ValueError("top_k and rerank_top_k must be positive")
     q = queries.select("query_id", collapse(F.col("query")).alias("query"))
+    if settings.mode == "graph":
+        return graph.retrieve(q, *index.entity_graph(), settings.top_k)
+    if settings.mode == "max_sim":
+        hits = search.max_sim(q, index.chunks, settings.top_k)
+        return hits.withColumn("components", F.create_map(F.lit("maxsim"), F.col("score")))
     both = settings.mode == "hybrid"
     k = search.PREFETCH if both else settings.top_k
     s = d = None
     if settings.mode != "dense":
         s = search.sparse_search(sparse.encode_query(q, "query_id", "query"), index.postings, index.chunks, k)
     if settings.mode != "sparse":
-        d = search.dense_search(vectors_of(q, "query_id", "query", settings), index.vectors, k)
+        asked = query_vectors(q, settings)
+        d = search.quantised_search(asked, index.vectors, k, settings.rescore) if settings.quantised else search.dense_search(asked, index.vectors, k)
     if both:
         return search.hybrid(d, s, settings.top_k, settings.fusion)
     one = s if d is None else d
@@ -145,31 +205,53 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
 
 
 def rerank(hits: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame:
-    """hits with chunk columns, reordered."""
+    """hits with chunk columns, reordered, rerank_top_k of each query."""
+    k = settings.final_k
     if settings.order is not None:
-        return search.model_rerank(hits, queries, settings.top_k, settings.order)
+        return search.model_rerank(hits, queries, k, settings.order)
     if settings.reranker == "identity":
-        return search.identity_rerank(hits, settings.top_k)
+        return search.identity_rerank(hits, k)
     if settings.reranker == "listwise":
-        return search.listwise_rerank(hits, queries, settings.top_k)
+        return search.listwise_rerank(hits, queries, k)
     if settings.reranker == "mmr":
-        new = search.mmr_rerank(hits, queries, settings.top_k, settings.mmr_lambda)
+        new = search.mmr_rerank(hits, queries, k, settings.mmr_lambda)
         return hits.drop("rank").join(new.select("query_id", "chunk_id", "rank", "rerank", "relevance"), ["query_id", "chunk_id"])
     raise ValueError(f"unknown reranker {settings.reranker}")
 
 
+def checked(answers: DataFrame) -> DataFrame:
+    """answers, which fail to be read where a citation names no context, or a context no retrieved chunk."""
+    cited = F.array_except(F.transform("citations", lambda c: c["chunk_id"]), F.col("context_ids"))
+    made_up = F.array_except("context_ids", F.coalesce("retrieved_ids", F.array().cast("array<string>")))
+    say = lambda what, ids: F.raise_error(F.concat(F.lit(f"{what}: "), F.array_join(ids, ", "))).cast("string")
+    text = F.when(F.size(cited) > 0, say("a citation names no context", cited)).when(F.size(made_up) > 0, say("a context was not retrieved", made_up)).otherwise(F.col("answer"))
+    return answers.withColumn("answer", text).drop("context_ids")
+
+
 def generate(hits: DataFrame, queries: DataFrame, settings: Settings, retrieved: DataFrame | None = None) -> DataFrame:
-    """Answers from hits that carry chunk columns and a rank; retrieved_ids are those of `retrieved`, the ranking before a reranker."""
+    """Answers from hits that carry chunk columns and a rank; retrieved_ids are those of `retrieved`, the ranking before a reranker.
+
+    The built-in answer cites the contexts it quotes, a model's answer all of
+    its contexts. Every citation must name a context, and every context a
+    retrieved chunk: reading an answer that breaks this is an error.
+    """
     contexts = hits.withColumn("position", F.col("rank")).join(queries.select("query_id", "query"), "query_id")
     if settings.process_contexts:
         contexts = context.process(contexts)
-    answers = context.extractive_answers(queries, contexts)
+    model = settings.generator is not None or settings.tool_model is not None
+    answers = context.extractive_answers(queries, contexts) if not model else context.cited_contexts(queries, contexts)
     ids = (hits if retrieved is None else retrieved).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda e: e["chunk_id"]).alias("retrieved_ids"))
-    texts = contexts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda e: e["text"]).alias("contexts"))
+    held = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "text", "chunk_id"))).alias("l"))
+    texts = held.select("query_id", F.transform("l", lambda e: e["text"]).alias("contexts"), F.transform("l", lambda e: e["chunk_id"]).alias("context_ids"))
     out = queries.select("query_id", "query").join(answers, "query_id").join(ids, "query_id", "left").join(texts, "query_id", "left")
-    if settings.generator is None:
-        return out
-    return out.withColumn("answer", settings.generator(F.col("query"), F.coalesce("contexts", F.array().cast("array<string>"))))
+    out = out.withColumn("context_ids", F.coalesce("context_ids", F.array().cast("array<string>")))
+    if settings.generator is not None:
+        out = out.withColumn("answer", settings.generator(F.col("query"), F.coalesce("contexts", F.array().cast("array<string>"))))
+    elif settings.tool_model is not None:
+        passages = F.transform(F.coalesce("contexts", F.array().cast("array<string>")), lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t))
+        said = tools.tool_answers(F.concat_ws("\n\n", F.col("query"), F.array_join(passages, "\n")), settings.tool_model)
+        out = out.withColumn("__said", said).withColumns({"answer": F.col("__said.text"), "tool_value": F.col("__said.value")}).drop("__said")
+    return checked(out)
 
 
 def answer(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:

@@ -24,7 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{folder(df.sparkSession)}/quern-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._quern_path = path
+    return back
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that written() made and that no lazy plan reads any more."""
+    if path := getattr(df, "_quern_path", None):
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
