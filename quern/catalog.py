@@ -218,6 +218,28 @@ def src_layout(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("document_id").cast("long").alias("conv_id"), F.col("source_id").cast("long").alias("turn"), "type", F.array_join("section_path", " > ").alias("section"))
 
 
+@query(
+    """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS r FROM conversations WHERE trim(text) <> ''),
+    p AS (SELECT *, first_value(text) OVER (PARTITION BY conv_id, r // 4 ORDER BY r) AS t0, nth_value(text, 3) OVER (PARTITION BY conv_id, r // 4 ORDER BY r) AS t2 FROM r)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY r // 4 DESC, r) - 1 AS ord, CASE r % 4 WHEN 1 THEN 'ListItem' WHEN 3 THEN 'Formula' ELSE 'Title' END AS type, text,
+    CASE r % 4 WHEN 0 THEN '' WHEN 3 THEN t0 || ' > ' || t2 ELSE t0 END AS section, 1 + r % 3 AS start_page, 2 + r % 3 AS end_page FROM p"""
+)
+def src_layout_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as nested layout documents: every fourth turn is a heading, read last first, with the next three below it, one of them a heading too."""
+    c = table(spark, sf, "conversations").where("trim(text) <> ''")
+    r = c.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
+    name = lambda i: F.concat(F.lit("#/texts/"), i.cast("string"))
+    under = F.when(F.col("r") % 4 == 0, F.array(F.col("r") + 1, F.col("r") + 2)).when(F.col("r") % 4 == 2, F.array(F.col("r") + 1)).otherwise(F.array().cast("array<int>"))
+    kids = F.transform(F.filter(under, lambda i: i < F.col("n")), lambda i: F.struct(name(i).alias("$ref")))
+    label = F.when(F.col("r") % 4 == 0, "section_header").when(F.col("r") % 4 == 1, "list_item").when(F.col("r") % 4 == 2, "title").otherwise("formula")
+    prov = F.array(F.struct((F.col("r") % 3 + 2).alias("page_no")), F.struct((F.col("r") % 3 + 1).alias("page_no")))
+    item = F.struct(name(F.col("r")).alias("self_ref"), label.alias("label"), "text", kids.alias("children"), prov.alias("prov"))
+    tops = F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("r") % 4 == 0, F.col("r"))))), lambda i: F.struct(name(i).alias("$ref")))
+    docs = r.groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(F.to_json(F.struct(F.struct(tops.alias("children")).alias("body"), F.collect_list(item).alias("texts"))).alias("json"))
+    e = parsers.layout_tree_elements(docs.withColumn("source_id", F.col("document_id")))
+    return e.select(F.col("document_id").cast("long").alias("conv_id"), F.col("ord").cast("long").alias("ord"), "type", "text", F.array_join("section_path", " > ").alias("section"), F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"))
+
+
 @query()
 def src_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("text/html").alias("media_type"), F.col("html").alias("text"))
@@ -394,8 +416,8 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def _sparse_hits(spark: SparkSession, sf: str) -> DataFrame:
-    c = doc_chunks(spark, sf)
-    return search.sparse_search(sparse.encode_query(asked(spark, sf), text="query"), sparse.encode(c, sparse.fit(c)), c)
+    c, q = doc_chunks(spark, sf), sparse.encode_query(asked(spark, sf), text="query")
+    return search.sparse_search(q, sparse.encode(c, sparse.fit(c), only=q), c)
 
 
 def _dense_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -736,7 +758,7 @@ _INGESTED_BOTH = _BOTH.replace(_CHUNKS, _INGESTED)
 @query(
     f"""WITH {_INGESTED_BOTH}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
     top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 5),
-    c AS (SELECT query_id, rank, chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM top JOIN chunks USING (chunk_id)),
+    c AS (SELECT query_id, rank, chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM top JOIN chunks USING (chunk_id)),
     a AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved, least(count(*), 3) AS n, string_agg('[' || rank || '] ' || CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 240)) || '…' END, chr(10) ORDER BY rank) FILTER (rank <= 3) AS lines FROM c GROUP BY query_id)
     SELECT query_id, CASE WHEN n > 0 THEN 'Based on ' || n || ' retrieved passage(s):' || chr(10) || lines ELSE '' END AS answer, coalesce(n, 0)::INTEGER AS n_citations, coalesce(retrieved, '') AS retrieved FROM asked LEFT JOIN a USING (query_id)"""
 )

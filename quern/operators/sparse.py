@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import VOCABULARY, hash_bucket
+from ..plans.tables import written
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class Bm25:
-    """Statistics of one fitted batch: terms (idx, df, idf) and one row (n, avgdl)."""
+    """Statistics of one fitted batch: terms (idx, df, idf), n texts of avgdl words on average; counts (key, idx, tf, dl) of the batch `of`, as a table."""
 
     terms: DataFrame
-    totals: DataFrame
+    n: int
+    avgdl: float
+    counts: DataFrame
+    of: tuple
 
 
 def term_counts(df: DataFrame, key: str, text: str, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(key, idx, tf): words counted by hashed index, partial sums before the exchange."""
-    return df.select(key, F.explode(words(F.col(text))).alias("t")).groupBy(key, hash_bucket(F.col("t"), vocabulary).alias("idx")).agg(F.count("*").alias("tf"))
+    """(key, idx, tf, dl): words counted by hashed index, partial sums before the exchange, and the text's number of words."""
+    found = df.select(key, words(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("t"))
+    return found.groupBy(key, "dl", hash_bucket(F.col("t"), vocabulary).alias("idx")).agg(F.count("*").alias("tf")).select(key, "idx", "tf", "dl")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -31,23 +36,30 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def fit(chunks: DataFrame, key: str = "chunk_id", text: str = "text", vocabulary: int = VOCABULARY) -> Bm25:
-    """Document frequencies and mean length of a batch; an empty batch gives no terms."""
-    lengths = chunks.select(F.size(words(F.col(text))).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    terms = term_counts(chunks, key, text, vocabulary).groupBy("idx").agg(F.count("*").alias("df"))
-    return Bm25(terms.crossJoin(F.broadcast(totals)).select("idx", "df", idf(F.col("n"), F.col("df")).alias("idf")), totals)
+    """Document frequencies and mean length of a batch; an empty batch gives no terms.
 
+    The batch's words are cut, hashed and counted once, into a table that
+    encode() reads too.
+    """
+    counts = written(term_counts(chunks, key, text, vocabulary), "term-counts")
+    n, total = chunks.count(), counts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    terms = counts.groupBy("idx").agg(F.count("*").alias("df")).select("idx", "df", idf(F.lit(n), F.col("df")).alias("idf"))
+    return Bm25(terms, n, total / n if n else 0.0, counts, (chunks, key, text, vocabulary))
 
-def encode(chunks: DataFrame, model: Bm25, key: str = "chunk_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
-    """Postings (key, idx, w); indices that were not fitted are dropped."""
+
+def encode(chunks: DataFrame, model: Bm25, key: str = "chunk_id", text: str = "text", vocabulary: int = VOCABULARY, only: DataFrame | None = None) -> DataFrame:
+    """Postings (key, idx, w); indices that were not fitted are dropped. only: a table whose idx are all that is wanted, as a query set's."""
     if model is None:
         raise RuntimeError("fit the statistics first")
-    sizes = chunks.select(key, F.size(words(F.col(text))).alias("dl"))
-    rows = term_counts(chunks, key, text, vocabulary).join(sizes, key).join(model.terms, "idx").crossJoin(F.broadcast(model.totals))
-    share = F.when(F.col("avgdl") == 0, F.lit(K1)).otherwise(K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))))
-    return rows.select(key, "idx", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + share)).alias("w"))
+    fitted = model.of[0] is chunks and model.of[1:] == (key, text, vocabulary)
+    counts = model.counts if fitted else term_counts(chunks, key, text, vocabulary)
+    if only is not None:
+        wanted = only.select("idx").distinct()
+        counts = counts.join(wanted, "idx", "left_semi")
+    share = K1 * (1 - B + B * F.col("dl") / F.lit(model.avgdl)) if model.avgdl else F.lit(K1)
+    return counts.join(model.terms, "idx").select(key, "idx", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + share)).alias("w"))
 
 
 def encode_query(queries: DataFrame, key: str = "query_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """(key, idx, q): raw counts; needs no statistics."""
-    return term_counts(queries, key, text, vocabulary).withColumnRenamed("tf", "q")
+    return term_counts(queries, key, text, vocabulary).select(key, "idx", F.col("tf").alias("q"))

@@ -127,11 +127,11 @@ def chunk(elements: DataFrame, settings: Settings) -> DataFrame:
 
 
 def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> Index:
-    """Encode chunks; sources (source_id, document_id, ord, error) gives the jobs. Statistics are those of this batch; its chunks are written once and read by both encoders."""
+    """Encode chunks; sources (source_id, document_id, ord, error) gives the jobs. Statistics are those of this batch; chunks, postings and vectors are written once and read by every search."""
     held = written(chunks.withColumn("indexed", embedding_text(F.col("context"), F.col("text"))), "chunks")
     model = sparse.fit(held, text="indexed")
-    postings = sparse.encode(held, model, text="indexed")
-    vectors = chunk_vectors(held, "indexed", settings)
+    postings = written(sparse.encode(held, model, text="indexed"), "postings")
+    vectors = written(chunk_vectors(held, "indexed", settings), "vectors")
     sizes = held.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     good = F.col("error").isNull()
     jobs = sources.join(sizes, "document_id", "left").select(

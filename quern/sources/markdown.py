@@ -51,17 +51,17 @@ def runs(marked: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "run", "kind", "level", stripped(F.when(F.col("kind") == "text", F.array_join("held", " ")).otherwise(F.array_join("held", "\n"))).alias("text"))
 
 
-def open_headings(rows: DataFrame, key: str, order: str, heading: Column, level: str, text: str) -> Column:
+def open_headings(rows: DataFrame, key: str, order: str, heading: Column, level: str, text: str, levels: range = LEVELS) -> Column:
     """Texts of the headings that are open before a row; a heading closes those of its level and deeper ones.
 
     The last heading of each level is a running maximum; it is open if it is of a
     lower level than the row and comes after the last heading of each lower level.
     """
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = {n: F.max(F.when(heading & (F.col(level) == n), F.struct(F.col(order).alias("at"), F.col(text).alias("text")))).over(before) for n in LEVELS}
-    own = F.when(heading, F.col(level)).otherwise(len(LEVELS) + 1)
+    last = {n: F.max(F.when(heading & (F.col(level) == n), F.struct(F.col(order).alias("at"), F.col(text).alias("text")))).over(before) for n in levels}
+    own = F.when(heading, F.col(level)).otherwise(levels.stop)
     still = [
-        F.when(F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(last[k]["at"], F.lit(-1)) for k in LEVELS if k < n)) < last[n]["at"], F.when(own > n, last[n]["text"])) for n in LEVELS
+        F.when(F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(last[k]["at"], F.lit(-1)) for k in levels if k < n)) < last[n]["at"], F.when(own > n, last[n]["text"])) for n in levels
     ]
     return F.filter(F.array(*still), lambda t: t.isNotNull())
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, stable_id
+from .layout import tree_elements
 from .markdown import LEVELS, markdown_parts, open_headings
 
 MEDIA = {"text/markdown": "markdown", "text/plain": "markdown", "text/html": "html", "application/hwp+zip": "hwpx", "application/x-hwp": "hwp", "application/pdf": "pdf"}
@@ -334,6 +335,11 @@ def layout_elements(items: DataFrame, layout: str = "opendataloader") -> DataFra
     return named.select("document_id", "source_id", F.col("n").alias("ord"), "type", "text", "section_path", "level", stable_id(F.col("document_id"), F.col("n"), F.col("type")).alias("element_id"), F.col("page").alias("start_page"), F.col("page").alias("end_page"), "bounding_box", route.alias("route"))
 
 
+def layout_tree_elements(documents: DataFrame) -> DataFrame:
+    """Elements of nested layout documents (document_id, source_id, json) of the first of the two models; see layout.tree_elements()."""
+    return tree_elements(documents, *LAYOUTS["docling"])
+
+
 def pipe_table(header: Column, rows: Column) -> Column:
     """Markdown of a table: header, dashes, rows."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
