@@ -506,7 +506,21 @@ def rrk_mmr(spark: SparkSession, sf: str) -> DataFrame:
     return search.mmr_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10).select("query_id", "chunk_id", "rank", r6("rerank"), r6("relevance"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {_SPARSE}, c AS (SELECT query_id, chunk_id, rank AS position, text, query FROM s JOIN chunks USING (chunk_id) JOIN asked USING (query_id) WHERE rank <= 10),
+    sets AS (SELECT query_id, position, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM c),
+    near AS (SELECT b.query_id, b.position, list(a.position) AS l FROM sets a JOIN sets b ON a.query_id = b.query_id AND a.position < b.position AND len(list_intersect(a.t, b.t)) / greatest(len(list_distinct(list_concat(a.t, b.t))), 1)::DOUBLE >= 0.8 GROUP BY ALL),
+    fold AS (SELECT DISTINCT query_id, 0::BIGINT AS p, []::BIGINT[] AS kept FROM c UNION ALL SELECT f.query_id, f.p + 1, CASE WHEN len(list_intersect(kept, coalesce(l, []::BIGINT[]))) > 0 THEN kept ELSE list_append(kept, f.p + 1) END
+        FROM fold f JOIN sets ON sets.query_id = f.query_id AND sets.position = f.p + 1 LEFT JOIN near n ON n.query_id = f.query_id AND n.position = f.p + 1),
+    k AS (SELECT query_id, unnest(kept) AS position FROM fold QUALIFY p = max(p) OVER (PARTITION BY query_id)),
+    r AS (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY position) AS at_, count(*) OVER (PARTITION BY query_id) AS n FROM c SEMI JOIN k USING (query_id, position)),
+    cut AS (SELECT query_id, at_, unnest(l) AS x, generate_subscripts(l, 1) AS i, len(l) AS m, list_distinct({_WORDS.format(t='query')}) AS q FROM (SELECT query_id, at_, query, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: trim(x) <> '') AS l FROM r)),
+    scored AS (SELECT *, CASE WHEN len(q) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(q, {_WORDS.format(t='x')})) / len(q)::DOUBLE END AS v FROM cut),
+    kept AS (SELECT *, v > avg(v) OVER w + 1e-12 AS above, row_number() OVER (PARTITION BY query_id, at_ ORDER BY v DESC, i) AS best FROM scored WINDOW w AS (PARTITION BY query_id, at_)),
+    t AS (SELECT query_id, at_, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT *, bool_or(above) OVER (PARTITION BY query_id, at_) AS any_ FROM kept) WHERE m > 1 AND (above OR (NOT any_ AND best = 1)) GROUP BY ALL),
+    done AS (SELECT r.query_id, r.chunk_id, CASE WHEN r.at_ % 2 = 1 THEN (r.at_ + 1) // 2 ELSE n - r.at_ // 2 + 1 END AS position, coalesce(t.text, r.text) AS text FROM r LEFT JOIN t ON t.query_id = r.query_id AND t.at_ = r.at_)
+    SELECT query_id, chunk_id, position::INTEGER AS position, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS token_count, md5(text) AS text_md5 FROM done"""
+)
 def ctx_process(spark: SparkSession, sf: str) -> DataFrame:
     c = _contexts(spark, sf).withColumn("position", F.col("rank"))
     return context.process(c).select("query_id", "chunk_id", "position", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -755,18 +769,22 @@ _INGESTED = (
 _INGESTED_BOTH = _BOTH.replace(_CHUNKS, _INGESTED)
 
 
-@query(
-    f"""WITH {_INGESTED_BOTH}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
+_ANSWERED = f"""WITH {_INGESTED_BOTH}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
     top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 5),
     c AS (SELECT query_id, rank, chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM top JOIN chunks USING (chunk_id)),
     a AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved, least(count(*), 3) AS n, string_agg('[' || rank || '] ' || CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 240)) || '…' END, chr(10) ORDER BY rank) FILTER (rank <= 3) AS lines FROM c GROUP BY query_id)
     SELECT query_id, CASE WHEN n > 0 THEN 'Based on ' || n || ' retrieved passage(s):' || chr(10) || lines ELSE '' END AS answer, coalesce(n, 0)::INTEGER AS n_citations, coalesce(retrieved, '') AS retrieved FROM asked LEFT JOIN a USING (query_id)"""
-)
+
+
+@query(_ANSWERED)
 def pipe_answer(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.answer(asked(spark, sf), _index(spark, sf)))
 
 
-@query()
+@query(
+    f"""SELECT query_id, CASE WHEN skip THEN '' ELSE answer END AS answer, CASE WHEN NOT skip THEN n_citations END AS n_citations, CASE WHEN skip THEN '' ELSE retrieved END AS retrieved FROM ({_ANSWERED}) JOIN (SELECT query_id, NOT list_bool_or(list_transform([{_CUES}], lambda c: contains(lower(trim(query)), c)))
+    AND (len(list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda x: x <> '')) <= 4 OR regexp_matches(trim(query), '^[\\d\\s\\+\\-\\*\\/\\^\\(\\)\\.%±×÷]+$')) AS skip FROM (SELECT item_id AS query_id, text AS query FROM benchmark)) USING (query_id)"""
+)
 def pipe_adaptive(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.adaptive(asked(spark, sf), _index(spark, sf)))
 
