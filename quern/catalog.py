@@ -501,7 +501,16 @@ def rrk_listwise(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(search.listwise_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SPARSE}, {_DENSE_PARTS}, top AS (SELECT query_id, chunk_id FROM s WHERE rank <= 10), rel AS MATERIALIZED (SELECT query_id, chunk_id, coalesce(score, 0.0::DOUBLE) AS rel FROM top LEFT JOIN d_hit USING (query_id, chunk_id)),
+    met AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, sum(x.w * y.w) AS v FROM top a JOIN top b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id JOIN vec x ON x.chunk_id = a.chunk_id JOIN vec y ON y.chunk_id = b.chunk_id AND y.bucket = x.bucket GROUP BY ALL),
+    sim AS MATERIALIZED (SELECT t.query_id, t.chunk_id AS a, u.chunk_id AS b, coalesce(v, 0.0::DOUBLE) AS v FROM top t JOIN top u ON t.query_id = u.query_id AND t.chunk_id <> u.chunk_id LEFT JOIN met ON met.query_id = t.query_id AND met.a = t.chunk_id AND met.b = u.chunk_id),
+    fold AS (SELECT query_id, 1 AS rank, [chunk_id] AS chosen, chunk_id, 0.7::DOUBLE * rel AS rerank, rel AS relevance FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * rel, 9) DESC, chunk_id) = 1
+        UNION ALL SELECT query_id, rank + 1, list_append(chosen, c), c, m, rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(m, 9) DESC, c) AS k FROM (
+            SELECT f.query_id, f.rank, f.chosen, r.chunk_id AS c, r.rel, 0.7::DOUBLE * r.rel - (1 - 0.7::DOUBLE) * max(s.v) AS m FROM fold f JOIN rel r ON r.query_id = f.query_id AND NOT list_contains(f.chosen, r.chunk_id)
+            JOIN sim s ON s.query_id = f.query_id AND s.a = r.chunk_id AND list_contains(f.chosen, s.b) GROUP BY f.query_id, f.rank, f.chosen, r.chunk_id, r.rel)) WHERE k = 1)
+    SELECT query_id, chunk_id, rank::INTEGER AS rank, round(rerank, 6) AS rerank, round(relevance, 6) AS relevance FROM fold"""
+)
 def rrk_mmr(spark: SparkSession, sf: str) -> DataFrame:
     return search.mmr_rerank(_contexts(spark, sf).drop("query"), asked(spark, sf), 10).select("query_id", "chunk_id", "rank", r6("rerank"), r6("relevance"))
 
