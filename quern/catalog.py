@@ -478,7 +478,18 @@ def search_quantised(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(search.quantised_search(q, v, 10))
 
 
-@query()
+@query(
+    f"""WITH {_CHUNKS}, {_ASKED}, qt AS (SELECT query_id, token, count(*) AS n FROM (SELECT query_id, unnest(CASE WHEN len(l) = 0 THEN ['<empty>'] ELSE l END) AS token FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '') AS l FROM asked)) GROUP BY ALL),
+    dt AS (SELECT DISTINCT chunk_id, unnest(CASE WHEN len(l) = 0 THEN ['<empty>'] ELSE l END) AS token FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS l FROM chunks)),
+    words AS (SELECT token, row_number() OVER (ORDER BY token)::INTEGER AS id FROM (SELECT token FROM qt UNION SELECT token FROM dt)),
+    raw AS (SELECT id, (('0x' || substr(sha1(token), 1 + 10 * i, 8))::UBIGINT % 64)::INTEGER AS bucket, sum(CASE WHEN ('0x' || substr(sha1(token), 9 + 10 * i, 2))::UBIGINT % 2 = 1 THEN 16.0::DOUBLE ELSE -16.0::DOUBLE END) AS v FROM words, range(4) r(i) GROUP BY ALL),
+    vec AS MATERIALIZED (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS w FROM raw WHERE v <> 0 UNION ALL SELECT id, 0, 1.0::DOUBLE FROM raw GROUP BY id HAVING max(abs(v)) = 0),
+    q AS MATERIALIZED (SELECT query_id, id, n FROM qt JOIN words USING (token)), d AS MATERIALIZED (SELECT chunk_id, id FROM dt JOIN words USING (token)),
+    sims AS MATERIALIZED (SELECT a.id AS qid, b.id AS did, sum(a.w * b.w) AS v FROM (SELECT vec.* FROM vec SEMI JOIN q USING (id)) a JOIN (SELECT vec.* FROM vec SEMI JOIN d USING (id)) b ON a.bucket = b.bucket GROUP BY ALL),
+    best AS (SELECT qid, chunk_id, max(v) AS v, count(*) AS met FROM sims JOIN d ON d.id = did GROUP BY ALL), sizes AS (SELECT chunk_id, count(*) AS n FROM d GROUP BY ALL),
+    s AS (SELECT query_id, chunk_id, sum(q.n * CASE WHEN met < sizes.n THEN greatest(v, 0.0::DOUBLE) ELSE v END) AS score FROM q JOIN best ON best.qid = q.id JOIN sizes USING (chunk_id) GROUP BY ALL)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+)
 def search_max_sim(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(search.max_sim(asked(spark, sf), doc_chunks(spark, sf), 10))
 
