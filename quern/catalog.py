@@ -838,3 +838,57 @@ def eval_modes(spark: SparkSession, sf: str) -> DataFrame:
     cases = asked(spark, sf).withColumnRenamed("query_id", "case_id").withColumn("needle", F.col("query"))
     out = evaluation.run_modes(cases, index, evaluation.gold_by_substring(index.chunks, cases), 10, ["dense", "sparse", "hybrid"])
     return out.select("mode", r6("recall"), r6("mrr"), r6("ndcg"), r6("context_precision"))
+
+
+def _scored_sql(runs: str, docs: str = "", window: tuple[int, int] = (180, 140)) -> str:
+    """(config_ord, config, query_id, metrics) of `runs` (config_ord, config, query_id, chunk_id, rank), made of s, d and both_hits."""
+    chunks = _INGESTED.replace("180", str(window[0])).replace("140", str(window[1])).replace("FROM documents WHERE", f"FROM documents WHERE {docs}")
+    return f"""WITH {_BOTH.replace(_CHUNKS, chunks)}, {_GOLD}, {runs},
+    g AS (SELECT query_id, count(*) AS n, list_sum(list_transform(generate_series(1, least(count(*), 10)), lambda i: 1.0::DOUBLE / log2(i + 1))) AS idcg FROM gold GROUP BY query_id),
+    h AS (SELECT config, r.query_id, rank, count(*) OVER (PARTITION BY config, r.query_id ORDER BY rank) AS so_far FROM runs r JOIN gold USING (query_id, chunk_id)),
+    m AS (SELECT config, query_id, count(*) AS hit, min(rank) AS first, sum(1.0::DOUBLE / log2(rank + 1)) AS dcg, sum(so_far / rank::DOUBLE) AS ap FROM h GROUP BY config, query_id),
+    c AS (SELECT config_ord, config, query_id, rank, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM runs JOIN chunks USING (chunk_id)),
+    a AS (SELECT config_ord, config, query_id, 'Based on ' || least(count(*), 3) || ' retrieved passage(s):' || chr(10) || string_agg('[' || rank || '] ' || CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 240)) || '…' END, chr(10) ORDER BY rank) FILTER (rank <= 3) AS answer, list_distinct({_WORDS.format(t="string_agg(text, ' ')")}) AS src FROM c GROUP BY ALL),
+    w AS (SELECT config_ord, config, query_id, {_grounded_sql('answer', 'src')} AS l FROM a)
+    SELECT config_ord, config, query_id, coalesce(hit / n::DOUBLE, 0) AS recall, coalesce(1.0::DOUBLE / first, 0) AS mrr, coalesce(dcg / idcg, 0) AS ndcg, coalesce(ap / least(n, 10), 0) AS context_precision, len(list_filter(l, lambda x: x >= 0.6)) / len(l)::DOUBLE AS faithfulness
+    FROM w LEFT JOIN g USING (query_id) LEFT JOIN m USING (config, query_id)"""
+
+
+_MEASURES = ("recall", "mrr", "ndcg", "context_precision", "faithfulness")
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in _MEASURES)
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank"
+_PLAIN_RUNS = "SELECT {i} AS config_ord, '{name}' AS config, query_id, chunk_id, rank FROM {m} WHERE rank <= 10"
+_ABLATED = f"""rrf AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL), z AS (SELECT query_id, chunk_id, score, avg(score) OVER w AS mu, stddev_samp(score) OVER w AS sd FROM both_hits WINDOW w AS (PARTITION BY query_id, m)),
+    dbsf AS (SELECT query_id, chunk_id, sum(CASE WHEN sd IS NULL OR sd < 1e-12 THEN 0.5::DOUBLE ELSE (score - (mu - 3 * sd)) / (6 * sd) END) AS score FROM z GROUP BY ALL),
+    runs AS (SELECT 0 AS config_ord, 'rrf' AS config, query_id, chunk_id, {_RANKED} FROM rrf QUALIFY rank <= 10 UNION ALL SELECT 1 AS config_ord, 'dbsf' AS config, query_id, chunk_id, {_RANKED} FROM dbsf QUALIFY rank <= 10
+    UNION ALL {_PLAIN_RUNS.format(i=2, name='sparse', m='s')} UNION ALL {_PLAIN_RUNS.format(i=3, name='dense', m='d')})"""
+_SHORT = f"runs AS ({_PLAIN_RUNS.format(i=4, name='short', m='s')})"
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select(F.col("query_id").alias("case_id"), "query", F.col("query").alias("needle"))
+
+
+@query(f"SELECT config_ord::INTEGER AS config_ord, config, {_MEANS} FROM (({_scored_sql(_ABLATED)}) UNION ALL ({_scored_sql(_SHORT, window=(60, 45))})) GROUP BY config_ord, config")
+def eval_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Five configurations over two indexes."""
+    corpus = evaluation.Corpus(_cases(spark, sf), lambda s: P.ingest_plain(texts(spark, sf), "doc_id", "text", s))
+    configs = {"rrf": P.Settings(), "dbsf": P.Settings(fusion="dbsf"), "sparse": P.Settings(mode="sparse"), "dense": P.Settings(mode="dense"), "short": P.Settings(mode="sparse", max_tokens=60, overlap_tokens=15)}
+    return evaluation.ablation(corpus, None, configs, 10).select("config_ord", "config", *map(r6, _MEASURES))
+
+
+_PROFILED = f"runs AS ({_PLAIN_RUNS.format(i=0, name='sparse', m='s')} UNION ALL {_PLAIN_RUNS.format(i=1, name='dense', m='d')})"
+
+
+@query(
+    f"""WITH p AS (SELECT scenario, config_ord, config, {', '.join(f'avg({c}) AS {c}' for c in _MEASURES)} FROM (SELECT 'english' AS scenario, * FROM ({_scored_sql(_PROFILED, "lang = 'en' AND")}) UNION ALL SELECT 'others' AS scenario, * FROM ({_scored_sql(_PROFILED, "lang IS DISTINCT FROM 'en' AND")})) GROUP BY GROUPING SETS ((scenario, config_ord, config), (config_ord, config)))
+    SELECT coalesce(scenario, 'all') AS scenario, config, {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)}, row_number() OVER (PARTITION BY scenario ORDER BY round(mrr, 9) DESC, config_ord) = 1 AS best FROM p"""
+)
+def eval_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Two configurations over English documents and all others, and over both; `best` by reciprocal rank."""
+    def corpus(english: bool) -> evaluation.Corpus:
+        of = texts(spark, sf).where(F.col("lang").eqNullSafe("en") == F.lit(english))
+        return evaluation.Corpus(_cases(spark, sf), lambda s: P.ingest_plain(of, "doc_id", "text", s))
+
+    rows = evaluation.profile({"english": corpus(True), "others": corpus(False)}, {"sparse": P.Settings(mode="sparse"), "dense": P.Settings(mode="dense")}, 10)
+    return evaluation.marked(rows, "mrr").select(F.coalesce("scenario", F.lit("all")).alias("scenario"), "config", *map(r6, _MEASURES), "best")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, words
@@ -89,49 +89,116 @@ def generation_metrics(answers: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+#: Settings that only change what is done with hits, those that change the hits of an index, and those that change an index of chunks.
+AFTERWARDS = ("reranker", "mmr_lambda", "process_contexts", "rerank_top_k", "order", "generator", "tool_model")
+SEARCHED = ("mode", "fusion", "top_k", "expand", "quantised", "rescore", "instruction", "query_embedder", "hypothesis")
+ENCODED = ("contextual", "dim", "truncate", "late_chunking", "late_alpha", "embedder")
+RETRIEVAL = ("recall", "mrr", "ndcg", "context_precision")
+
+
+class Corpus:
+    """Sources and cases of many runs. An index, its gold and the hits of a search are made once for all settings that are alike in what they depend on.
+
+    index_of makes an index of settings. Cases: case_id, query, needle and, for
+    metrics that compare with one, reference_answer.
+    """
+
+    def __init__(self, cases: DataFrame, index_of: Callable[[P.Settings], P.Index]) -> None:
+        self.cases = cases if "reference_answer" in cases.columns else cases.withColumn("reference_answer", F.lit(None).cast("string"))
+        self.queries = cases.select(F.col("case_id").alias("query_id"), "query")
+        self._index_of = index_of
+        self._made: dict[tuple[str, P.Settings], P.Index | DataFrame] = {}
+
+    @classmethod
+    def of(cls, sources: DataFrame, cases: DataFrame) -> Corpus:
+        """Sources are parsed once, whatever is made of them."""
+        parsed = P.parse(sources)
+        return cls(cases, lambda settings: P.ingest_parsed(parsed, settings))
+
+    def _once(self, what: str, settings: P.Settings, beside: tuple[str, ...], make: Callable[[], P.Index | DataFrame]) -> P.Index | DataFrame:
+        """What `make` gives, made once for settings that differ in no other fields than `beside`."""
+        usual = P.Settings()
+        key = what, replace(settings, **{f: getattr(usual, f) for f in beside})
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
+    def index(self, settings: P.Settings) -> P.Index:
+        return self._once("index", settings, AFTERWARDS + SEARCHED, lambda: self._index_of(settings))
+
+    def gold(self, settings: P.Settings) -> DataFrame:
+        return self._once("gold", settings, AFTERWARDS + SEARCHED + ENCODED, lambda: written(gold_by_substring(self.index(settings).chunks, self.cases), "gold"))
+
+    def hits(self, settings: P.Settings) -> DataFrame:
+        return self._once("hits", settings, AFTERWARDS, lambda: written(P.retrieve(self.queries, self.index(settings), settings), "hits"))
+
+    def _each(self, configs: dict[str, P.Settings], k: int, one: Callable[[P.Settings], DataFrame]) -> DataFrame:
+        parts = [one(replace(s, top_k=k)).select(F.lit(i).alias("config_ord"), F.lit(n).alias("config"), "*") for i, (n, s) in enumerate(configs.items())]
+        return reduce(DataFrame.unionByName, parts)
+
+    def retrieved(self, configs: dict[str, P.Settings], k: int) -> DataFrame:
+        """(config_ord, config, case_id, recall, mrr, ndcg, context_precision) of the best k."""
+        return self._each(configs, k, lambda s: M.ranking_metrics(self.hits(s).withColumnRenamed("query_id", "case_id"), self.gold(s), self.cases, k))
+
+    def answered(self, configs: dict[str, P.Settings], k: int) -> DataFrame:
+        """(config_ord, config, case_id, metrics of answers) from the same hits."""
+        return self._each(configs, k, lambda s: generation_metrics(P.answer_hits(self.hits(s), self.queries, self.index(s), s), self.cases))
+
+    def measured(self, configs: dict[str, P.Settings], k: int) -> DataFrame:
+        """Both for each case."""
+        return self.retrieved(configs, k).join(self.answered(configs, k), ["config_ord", "config", "case_id"])
+
+
+def _means(rows: DataFrame, keys: list[str]) -> list[Column]:
+    return [F.avg(c).alias(c) for c in rows.columns if c not in {"case_id", *keys}]
+
+
 def run_matrix(sources: DataFrame, cases: DataFrame, k: int, strategies: list[str], modes: list[str]) -> DataFrame:
     """Retrieval metrics of chunk strategies and modes, and each strategy's generation metrics (hybrid mode) beside them; gold is found anew in each strategy's chunks."""
     if unknown := {*strategies} - {*P.CHUNKERS}:
         raise ValueError(f"unknown chunk strategies: {sorted(unknown)}")
+    corpus = Corpus.of(sources, cases)
+    bases = {s: P.Settings(chunk_strategy=s) for s in strategies}
+    found = reduce(DataFrame.unionByName, [corpus.retrieved({m: replace(b, mode=m) for m in modes}, k).select(F.lit(s).alias("strategy"), F.col("config").alias("mode"), *RETRIEVAL) for s, b in bases.items()])
+    said = corpus.answered(bases, k).drop("config_ord").withColumnRenamed("config", "strategy")
+    return found.groupBy("strategy", "mode").agg(*_means(found, ["strategy", "mode"])).join(said.groupBy("strategy").agg(*_means(said, ["strategy"])), "strategy")
 
-    def one(strategy: str) -> DataFrame:
-        settings = P.Settings(chunk_strategy=strategy, top_k=k)
-        index = P.ingest(sources, settings)
-        found = run_modes(cases, index, written(gold_by_substring(index.chunks, cases), "gold"), k, modes)
-        said = generation_metrics(P.answer(cases.select(F.col("case_id").alias("query_id"), "query"), index, settings), cases)
-        means = said.agg(*[F.avg(c).alias(c) for c in said.columns if c != "case_id"])
-        return found.join(means, F.lit(True)).withColumn("strategy", F.lit(strategy))
-
-    return reduce(DataFrame.unionByName, map(one, strategies))
 
-
-def ablation(sources: DataFrame, cases: DataFrame, configs: dict[str, P.Settings], k: int) -> DataFrame:
-    """One row of mean metrics for each named configuration, in their order."""
-    def one(i: int, name: str, settings: P.Settings) -> DataFrame:
-        index = P.ingest(sources, settings)
-        gold = written(gold_by_substring(index.chunks, cases), "gold")
-        queries = cases.select(F.col("case_id").alias("query_id"), "query")
-        hits = P.retrieve(queries, index, replace(settings, top_k=k)).withColumnRenamed("query_id", "case_id")
-        found = M.ranking_metrics(hits, gold, cases, k)
-        said = generation_metrics(P.answer(queries, index, settings), cases)
-        both = found.join(said, "case_id")
-        return both.agg(*[F.avg(c).alias(c) for c in both.columns if c != "case_id"]).select(F.lit(i).alias("config_ord"), F.lit(name).alias("config"), "*")
-
-    return reduce(DataFrame.unionByName, [one(i, n, s) for i, (n, s) in enumerate(configs.items())])
+def ablation(sources: DataFrame | Corpus, cases: DataFrame | None, configs: dict[str, P.Settings], k: int) -> DataFrame:
+    """One row of mean metrics for each named configuration, ordered by config_ord. Configurations share what they have in common (Corpus)."""
+    corpus = sources if isinstance(sources, Corpus) else Corpus.of(sources, cases)
+    keys = ["config_ord", "config"]
+    rows = corpus.measured(configs, k)
+    return rows.groupBy(*keys).agg(*_means(rows, keys))
 
 
 def best_by(rows: DataFrame, metric: str) -> DataFrame:
     return M.winners(rows, metric, "config_ord")
 
 
-def profile(scenarios: dict[str, tuple[DataFrame, DataFrame]], configs: dict[str, P.Settings], k: int) -> DataFrame:
-    """Ablation of each scenario (sources, cases)."""
-    return reduce(DataFrame.unionByName, [ablation(s, c, configs, k).withColumn("scenario", F.lit(n)) for n, (s, c) in scenarios.items()])
+def profile(scenarios: dict[str, tuple[DataFrame, DataFrame] | Corpus], configs: dict[str, P.Settings], k: int) -> DataFrame:
+    """Ablation of each scenario (sources, cases), and with a null scenario the means over the cases of all of them. Cases are scored once for both."""
+    corpora = {n: s if isinstance(s, Corpus) else Corpus.of(*s) for n, s in scenarios.items()}
+    rows = reduce(DataFrame.unionByName, [c.measured(configs, k).withColumn("scenario", F.lit(n)) for n, c in corpora.items()])
+    keys = ["scenario", "config_ord", "config"]
+    return rows.groupingSets([[F.col(c) for c in keys], [F.col(c) for c in keys[1:]]], *keys).agg(*_means(rows, keys))
+
+
+def marked(profiled: DataFrame, metric: str) -> DataFrame:
+    """profiled with `best`: whether a configuration has the scenario's greatest metric and is the first that has it."""
+    best = Window.partitionBy("scenario").orderBy(F.desc_nulls_last(F.round(metric, 9)), "config_ord")
+    return profiled.withColumn("best", F.row_number().over(best) == 1)
 
 
 def strengths(profiled: DataFrame, metric: str) -> DataFrame:
     """(config, scenarios): where each configuration wins."""
-    return M.winners(profiled, metric, "config_ord", ["scenario"]).groupBy("config").agg(F.array_sort(F.collect_list("scenario")).alias("scenarios"))
+    return marked(profiled.where("scenario is not null"), metric).where("best").groupBy("config").agg(F.array_sort(F.collect_list("scenario")).alias("scenarios"))
+
+
+def profile_table(profiled: DataFrame, metric: str, configs: list[str]) -> DataFrame:
+    """One metric as a table of scenarios by configurations, with the winner's name."""
+    held = marked(profiled.where("scenario is not null"), metric)
+    return held.groupBy("scenario").pivot("config", configs).agg(F.first(metric)).join(held.where("best").select("scenario", F.col("config").alias("best")), "scenario")
 
 
 def computation(cases: DataFrame, index: P.Index, gold: DataFrame, k: int, model: Callable) -> DataFrame:

@@ -142,11 +142,19 @@ def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> I
     return Index(held, postings, vectors, jobs, documents)
 
 
+def parse(sources: DataFrame) -> DataFrame:
+    """Sources with their outlines, written."""
+    return written(parsers.outlines(sources), "outlines")
+
+
+def ingest_parsed(done: DataFrame, settings: Settings) -> Index:
+    """Chunk and encode what parse() gave."""
+    return index_chunks(chunk(parsers.elements_of(done), settings), settings, done.drop("parts"))
+
+
 def ingest(sources: DataFrame, settings: Settings | None = None) -> Index:
     """Parse, chunk, encode. Sources that can't be parsed give failed jobs and the rest goes on."""
-    settings = settings or Settings()
-    done = written(parsers.outlines(sources), "outlines")
-    return index_chunks(chunk(parsers.elements_of(done), settings), settings, done.drop("parts"))
+    return ingest_parsed(parse(sources), settings or Settings())
 
 
 def ingest_plain(texts: DataFrame, id_col: str, text: str, settings: Settings | None = None) -> Index:
@@ -257,7 +265,11 @@ def generate(hits: DataFrame, queries: DataFrame, settings: Settings, retrieved:
 def answer(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:
     """(query_id, query, answer, citations, retrieved_ids, contexts); retrieved_ids in the order before reranking."""
     settings = settings or Settings()
-    hits = written(retrieve(queries, index, settings), "hits")
+    return answer_hits(written(retrieve(queries, index, settings), "hits"), queries, index, settings)
+
+
+def answer_hits(hits: DataFrame, queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
+    """Answers from hits that are there already."""
     return generate(rerank(search.attach(hits, index.chunks), queries, settings), queries, settings, hits)
 
 
