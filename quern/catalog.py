@@ -892,3 +892,51 @@ def eval_profile(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = evaluation.profile({"english": corpus(True), "others": corpus(False)}, {"sparse": P.Settings(mode="sparse"), "dense": P.Settings(mode="dense")}, 10)
     return evaluation.marked(rows, "mrr").select(F.coalesce("scenario", F.lit("all")).alias("scenario"), "config", *map(r6, _MEASURES), "best")
+
+
+_PROPOSED = """SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS case_id, ['computation', 'retrieval', 'computation', 'essay', 'table'][(o_orderkey % 5 + 1)::INTEGER] AS kind, o_orderkey AS k, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 7000000 ELSE 0 END AS c,
+    lpad((o_orderkey + CASE WHEN o_orderkey % 11 = 0 THEN 90000000 ELSE 0 END)::VARCHAR, 12, '0') AS chunk FROM orders"""
+
+
+@query(
+    f"""WITH p AS ({_PROPOSED}), h AS (SELECT p.*, 'Order ' || o_orderkey || ' of customer ' || o_custkey || '.' AS text FROM p JOIN orders ON lpad(o_orderkey::VARCHAR, 12, '0') = chunk WHERE kind <> 'essay')
+    SELECT case_id, kind, chunk AS chunk_ids, CASE WHEN kind = 'computation' AND k % 7 <> 0 THEN k || ' + ' || c || ' * 2' END AS formula, CASE WHEN kind = 'computation' AND k % 7 <> 0 THEN (k + c * 2)::DOUBLE END AS expected_value
+    FROM h WHERE kind <> 'computation' OR (contains(text, k::VARCHAR) AND contains(text, c::VARCHAR) AND (k % 7 = 0 OR k % 13 <> 0))"""
+)
+def eval_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases proposed for texts of orders: some name no chunk or no known kind, some cite numbers that are not there, some can't be computed."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    chunks = o.select(name(k).alias("chunk_id"), F.concat(F.lit("Order "), k, F.lit(" of customer "), "o_custkey", F.lit(".")).alias("text"))
+    cited = F.col("o_custkey") + F.when(k % 3 == 0, 7_000_000).otherwise(0)
+    kind = F.element_at(F.array(*map(F.lit, ("computation", "retrieval", "computation", "essay", "table"))), (k % 5 + 1).cast("int"))
+    operation = F.when(k % 7 == 0, "").when(k % 13 == 0, F.concat(k, F.lit(" / (1 - 1)"))).otherwise(F.concat(k, F.lit(" + "), cited, F.lit(" * 2")))
+    asked_for = name(k + F.when(k % 11 == 0, 90_000_000).otherwise(0))
+    proposals = o.select(name(k).alias("case_id"), kind.alias("kind"), F.lit("how much").alias("query"), F.array(asked_for, F.lit("none")).alias("chunk_ids"), F.array(k.cast("double"), cited.cast("double")).alias("numbers"), operation.alias("operation"))
+    return evaluation.guarded_cases(proposals, chunks).select("case_id", "kind", F.array_join("chunk_ids", ",").alias("chunk_ids"), "formula", "expected_value")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS doc, event_id AS el, ts, event_type, floor(value) AS v, value FROM events),
+    gold AS (SELECT doc, el, row_number() OVER (PARTITION BY doc ORDER BY ts, el) AS at, CASE WHEN el % 4 = 0 THEN 'Table' WHEN v < 30 THEN 'Title' ELSE 'NarrativeText' END AS type FROM e WHERE el % 5 <> 0),
+    parsed AS (SELECT 'blocks' AS parser, doc, el, row_number() OVER (PARTITION BY doc ORDER BY el % 3, v, el % 10, el, event_type) AS at, CASE WHEN v < 25 THEN 'Title' ELSE 'NarrativeText' END AS type FROM e
+    UNION ALL SELECT 'values', doc, el, row_number() OVER (PARTITION BY doc ORDER BY v, el), CASE WHEN el % 4 = 0 THEN 'Table' WHEN v < 25 THEN 'Title' ELSE 'NarrativeText' END FROM e),
+    both_ AS (SELECT parser, doc, el, g.at AS ga, p.at AS pa, g.type = p.type AS same FROM parsed p JOIN gold g USING (doc, el)), t AS (SELECT parser, doc, avg(same::INT) AS type_accuracy FROM both_ GROUP BY ALL),
+    k AS (SELECT parser, a.doc, avg((a.pa < b.pa)::INT) AS reading_order FROM both_ a JOIN both_ b USING (parser, doc) WHERE a.ga < b.ga GROUP BY ALL),
+    gc AS (SELECT DISTINCT doc, unnest([0, 0]) AS r, unnest([0, 1]) AS c, unnest([event_type, (el % 7)::VARCHAR]) AS t FROM e WHERE el % 8 = 0), fc AS (SELECT DISTINCT doc, unnest([0, 0, 1]) AS r, unnest([0, 1, 1]) AS c, unnest([event_type, (el % 7)::VARCHAR, 'x']) AS t FROM e WHERE el % 4 = 0),
+    docs AS (SELECT doc FROM gold UNION SELECT doc FROM gc), n AS (SELECT doc, (SELECT count(*) FROM gc WHERE gc.doc = docs.doc) AS ng, (SELECT count(*) FROM fc WHERE fc.doc = docs.doc) AS nf, (SELECT count(*) FROM gc JOIN fc USING (doc, r, c, t) WHERE gc.doc = docs.doc) AS nb FROM docs)
+    SELECT parser, doc AS document_id, round(coalesce(type_accuracy, 1), 6) AS type_accuracy, round(coalesce(reading_order, 1), 6) AS reading_order, round(CASE WHEN parser = 'blocks' THEN CASE WHEN ng = 0 THEN 1 ELSE 0 END WHEN ng + nf = 0 THEN 1 ELSE 2.0::DOUBLE * nb / (ng + nf) END, 6) AS table_f1
+    FROM n CROSS JOIN (SELECT DISTINCT parser FROM parsed) LEFT JOIN t USING (parser, doc) LEFT JOIN k USING (parser, doc)"""
+)
+def eval_parsers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two parsers of users' events as pages (by place, and by value with tables) against the order of time."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("element"), "ts", "event_type", F.floor("value").alias("v"))
+    whole = F.col("element") % 4 == 0
+    grid = F.concat("event_type", F.lit(" | "), F.col("element") % 7, F.lit("\n | x"))
+    blocks = parsers.block_order(e.select("document_id", "element", (F.col("element") % 3).alias("page"), (F.col("element") % 10).cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.lit(100.0).alias("page_height"), F.col("event_type").alias("text")), "element")
+    values = e.select("document_id", "element", F.row_number().over(Window.partitionBy("document_id").orderBy("v", "element")).alias("ord"), F.when(whole, "Table").when(F.col("v") < 25, "Title").otherwise("NarrativeText").alias("type"), F.when(whole, grid).otherwise(F.col("event_type")).alias("text"))
+    parsed = blocks.select(F.lit("blocks").alias("parser"), *values.columns).unionByName(values.withColumn("parser", F.lit("values")))
+    gold = e.where("element % 5 <> 0").select("document_id", "element", F.row_number().over(Window.partitionBy("document_id").orderBy("ts", "element")).alias("ord"), F.when(whole, "Table").when(F.col("v") < 30, "Title").otherwise("NarrativeText").alias("type"))
+    cells = e.where("element % 8 = 0").select("document_id", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("event_type").alias("text")), F.struct(F.lit(0).alias("row"), F.lit(1).alias("col"), (F.col("element") % 7).cast("string").alias("text")))).alias("c")).select("document_id", "c.*")
+    return metrics.parser_scores(parsed, gold, cells, ["blocks", "values"]).select("parser", "document_id", r6("type_accuracy"), r6("reading_order"), r6("table_f1"))

@@ -151,6 +151,50 @@ def table_cells(table: Column) -> Column:
     return F.filter(F.flatten(cells), lambda c: c["text"] != "")
 
 
+def order_scores(gold: DataFrame, found: DataFrame, by: list[str], key: str, place: str) -> DataFrame:
+    """(by, n, reading_order) of rows (by, key, place): the share of pairs of common keys that both put in one order; groups with fewer than two are left out.
+
+    Pairs that are swapped are counted bit by bit of a key's found rank: among
+    the keys that agree in all higher bits, a key without the bit counts those
+    with it that gold puts before it. That is a running sum, so a long document
+    costs n log n rows and no list of pairs. Repeated keys have their first
+    place; equal places are in the order of their keys.
+    """
+    once = lambda d, name: d.groupBy(*by, key).agg(F.min(place).alias(name))
+    group = Window.partitionBy(*by)
+    both = once(gold, "__g").join(once(found, "__f"), [*by, key])
+    ranked = both.select(*by, F.row_number().over(group.orderBy("__g", key)).alias("g"), (F.row_number().over(group.orderBy("__f", key)) - 1).alias("f"), F.count("*").over(group).alias("n"))
+    bits = ranked.where("n > 1").withColumn("b", F.explode(F.expr("sequence(0, length(bin(n - 1)) - 1)")))
+    split = bits.withColumns({"one": F.expr("shiftright(f, b) & 1"), "prefix": F.expr("shiftright(f, b + 1)")})
+    before = F.sum("one").over(Window.partitionBy(*by, "b", "prefix").orderBy("g"))
+    swapped = split.withColumn("before", before).groupBy(*by, "n").agg(F.sum(F.when(F.col("one") == 0, F.col("before")).otherwise(0)).alias("swapped"))
+    return swapped.select(*by, "n", (1.0 - F.col("swapped") * 2.0 / (F.col("n") * (F.col("n") - 1))).alias("reading_order"))
+
+
+def parser_scores(parsed: DataFrame, gold: DataFrame, cells: DataFrame, parsers: list[str]) -> DataFrame:
+    """(parser, document_id, type_accuracy, reading_order, table_f1) of every document of gold and every parser, whether the parser found something in it or not.
+
+    parsed: (parser, document_id, element, ord, type, text). gold: (document_id,
+    element, ord, type) as it should be. cells: (document_id, row, col, text) of
+    all tables of a document, numbered within their table, equal ones once.
+    Elements without gold count in no score but their cells in the table's. No
+    gold element: type accuracy 1; no cell on both sides: table F1 1; fewer
+    than two common elements: order 1. Of elements found twice the last type counts.
+    """
+    at = ["parser", "document_id"]
+    graded = gold.select("document_id").unionByName(cells.select("document_id")).distinct().withColumn("parser", F.explode(F.array(*map(F.lit, parsers))))
+    wanted = gold.withColumn("parser", F.explode(F.array(*map(F.lit, parsers))))
+    last = parsed.groupBy(*at, "element").agg(F.max_by("type", F.struct("ord", "type")).alias("found"))
+    types = wanted.join(last, [*at, "element"], "left").groupBy(*at).agg(F.avg(F.coalesce((F.col("type") == F.col("found")).cast("double"), F.lit(0.0))).alias("type_accuracy"))
+    order = order_scores(wanted, parsed, at, "element", "ord")
+    of_gold = cells.withColumn("parser", F.explode(F.array(*map(F.lit, parsers)))).select(*at, "row", "col", "text", F.lit(1).alias("g"), F.lit(0).alias("f"))
+    of_found = parsed.where("type = 'Table'").select(*at, F.explode(table_cells(F.col("text"))).alias("c")).select(*at, "c.row", "c.col", "c.text", F.lit(0).alias("g"), F.lit(1).alias("f"))
+    each = of_gold.unionByName(of_found).groupBy(*at, "row", "col", "text").agg(F.max("g").alias("g"), F.max("f").alias("f"))
+    tables = each.groupBy(*at).agg((F.sum(F.col("g") * F.col("f")) * 2.0 / F.sum(F.col("g") + F.col("f"))).alias("table_f1"))
+    out = graded.join(types, at, "left").join(order.drop("n"), at, "left").join(tables, at, "left")
+    return out.select(*at, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("type_accuracy", "reading_order", "table_f1")])
+
+
 def normalised_number_text(text: str) -> str:
     import re
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grams, words
 from ..operators import metrics as M
+from ..operators import tools
 from . import pipelines as P
 from .tables import written
 
 #: Needles without an inner word are looked up by runs of so many characters, shorter ones by their whole.
 GRAM = 3
+KINDS = ("retrieval", "table", "computation")
 
 
 def _rarest(asked: DataFrame, texts: DataFrame, cut: Callable[[Column], Column]) -> DataFrame:
@@ -64,6 +66,35 @@ def generated_gold(chunks: DataFrame, write: Callable[[Column], Column]) -> Data
     return chunks.select(F.concat(F.lit("gen-"), "chunk_id").alias("case_id"), write(F.col("text")).alias("query"), F.col("text").alias("needle"))
 
 
+def guarded_cases(proposals: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(case_id, query, kind, chunk_ids, numbers, formula, expected_value): those of a model's proposals that chunks bear out.
+
+    proposals: (case_id, kind, query, chunk_ids array<string>, numbers
+    array<double>, operation). Chunk ids that name no chunk are taken out, and a
+    case that has none left, or a kind that is none of KINDS, is dropped. So is
+    a computation with a number that is in none of its chunks, as digits or in
+    Korean units, or with an operation that can't be computed. The value of an
+    operation is computed here and never taken from the model; without an
+    operation it is null. Null chunk ids or numbers are empty ones; a null
+    number is one that no chunk holds. case_id must be a key.
+    """
+    known = proposals.where(F.col("kind").isin(*KINDS)).withColumns({"chunk_ids": F.coalesce("chunk_ids", F.array().cast("array<string>")), "numbers": F.coalesce("numbers", F.array().cast("array<double>"))})
+    named = written(known.select("case_id", F.posexplode("chunk_ids").alias("at", "chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id"), "named-chunks")
+    ids = named.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda c: c["chunk_id"]).alias("chunk_ids"))
+    computed = known.where("kind = 'computation'")
+    asked = computed.select("case_id", F.explode(F.array_distinct("numbers")).alias("number"))
+    seen = asked.where("number is not null").join(named.select("case_id", "text"), "case_id").withColumn("seen", M.operand_found(F.col("number"), F.col("text")))
+    borne = seen.where("seen").select("case_id", "number").distinct()
+    # a null equals no number in the join, so that its case is among the lost
+    lost = asked.join(borne, ["case_id", "number"], "left_anti").select("case_id").distinct()
+    value = F.when(F.col("operation") != "", tools.calculator(F.col("operation")))
+    values = written(computed.select("case_id", value.alias("said")), "case-values")
+    failed = values.where(F.startswith(F.col("said"), F.lit("Error"))).select("case_id")
+    good = known.drop("chunk_ids").join(ids, "case_id").join(lost, "case_id", "left_anti").join(failed, "case_id", "left_anti").join(values, "case_id", "left")
+    number = F.col("said").try_cast("double")
+    return good.select("case_id", "query", "kind", "chunk_ids", F.when(F.col("kind") == "computation", F.col("numbers")).otherwise(F.array().cast("array<double>")).alias("numbers"), F.when(number.isNotNull(), F.col("operation")).alias("formula"), number.alias("expected_value"))
+
+
 def run_modes(cases: DataFrame, index: P.Index, gold: DataFrame, k: int, modes: list[str], fusion: str = "rrf") -> DataFrame:
     """Mean retrieval metrics of each mode."""
     queries = cases.select(F.col("case_id").alias("query_id"), "query")
@@ -203,10 +234,8 @@ def profile_table(profiled: DataFrame, metric: str, configs: list[str]) -> DataF
 
 def computation(cases: DataFrame, index: P.Index, gold: DataFrame, k: int, model: Callable) -> DataFrame:
     """Numeric accuracy of the tool loop and recall of the search, for cases of kind `computation`."""
-    from ..operators.tools import tool_answers
-
     own = cases.where("kind = 'computation'")
     hits = P.search_once(own.select(F.col("case_id").alias("query_id"), "query"), index, P.Settings(top_k=k)).withColumnRenamed("query_id", "case_id")
     recall = M.ranking_metrics(hits, gold, own, k).select("case_id", "recall")
-    said = own.withColumn("said", tool_answers(F.col("query"), model))
+    said = own.withColumn("said", tools.tool_answers(F.col("query"), model))
     return said.select("case_id", "said.value", M.numeric_accuracy(F.col("said.value"), F.col("expected_value")).alias("numeric_accuracy")).join(recall, "case_id")
