@@ -240,10 +240,18 @@ def src_layout_tree(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("document_id").cast("long").alias("conv_id"), F.col("ord").cast("long").alias("ord"), "type", "text", F.array_join("section_path", " > ").alias("section"), F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT page_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+') AS a FROM pages)),
+    n AS (SELECT *, regexp_extract(t, '^</?([a-z0-9]+)', 1) AS tag, NOT starts_with(t, '</') AS opens FROM t),
+    s AS (SELECT *, sum(CASE WHEN tag IN ('nav', 'head') THEN CASE WHEN opens THEN 1 ELSE -1 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS skip, tag IN ('p', 'li', 'div', 'h1', 'body', 'nav', 'head') AS block FROM n WHERE tag NOT IN ('script', 'style')),
+    r AS (SELECT *, sum(block::INT) OVER (PARTITION BY page_id ORDER BY i) AS run FROM s WHERE skip = 0),
+    e AS (SELECT page_id, run, coalesce(max(CASE WHEN block AND opens THEN CASE tag WHEN 'h1' THEN 'Title' WHEN 'li' THEN 'ListItem' ELSE 'NarrativeText' END END), 'NarrativeText') AS type,
+        trim(regexp_replace(replace(replace(replace(replace(replace(replace(coalesce(string_agg(CASE WHEN tag = 'br' THEN ' ' WHEN NOT starts_with(t, '<') THEN t END, '' ORDER BY i), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM r GROUP BY ALL)
+    SELECT page_id::VARCHAR AS source_id, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS ord, type, text, coalesce(CASE WHEN type <> 'Title' THEN last_value(CASE WHEN type = 'Title' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY run) END, '') AS section FROM e WHERE text <> ''"""
+)
 def src_html(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("text/html").alias("media_type"), F.col("html").alias("text"))
-    return parsers.parse(pages)[0].select("source_id", "ord", "type", "text", F.size("section_path").alias("depth"))
+    e = parsers.html_elements(spread(table(spark, sf, "pages")), "page_id", "html")
+    return e.select("source_id", F.col("ord").cast("long").alias("ord"), "type", "text", F.array_join("section_path", " > ").alias("section"))
 
 
 @query(
@@ -599,7 +607,11 @@ def met_answers(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.answer_correctness(F.col("said"), F.col("reply")), 6).alias("correctness"))
 
 
-@query()  # DuckDB's edit distance counts bytes
+@query(  # DuckDB's edit distance counts bytes: each character that has several stands for a control character that no text holds
+    f"""WITH {_PAIRS}, c AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS wide FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations) WHERE unicode(c) > 127),
+    b AS (SELECT wide, array_to_string(list_transform(range(1, length(wide) + 1), lambda i: CASE WHEN i <= 8 THEN chr((i)::INT) ELSE chr((i + 5)::INT) END), '') AS narrow FROM c)
+    SELECT conv_id, turn, round(levenshtein(translate(said, wide, narrow), translate(reply, wide, narrow)) / greatest(length(said), 1)::DOUBLE, 6) AS cer FROM pairs CROSS JOIN b"""
+)
 def met_error_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("conv_id", "turn", F.round(metrics.character_error_rate(F.col("said"), F.col("reply")), 6).alias("cer"))
 

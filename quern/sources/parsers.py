@@ -11,7 +11,6 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, stable_id
+from .html import html_parts
 from .layout import tree_elements
 from .markdown import LEVELS, markdown_parts, open_headings
 
@@ -78,69 +78,6 @@ class Outline:
             self.stack.append((level, text))
 
 
-class _Html(HTMLParser):
-    BLOCKS = {"p": "NarrativeText", "li": "ListItem", "pre": "Code", "td": "", "th": "", "tr": "", "table": "Table", "figcaption": "Figure", "blockquote": "NarrativeText", "div": "NarrativeText", "body": "NarrativeText"}
-    SKIP = ("script", "style", "nav", "noscript", "template", "head")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out, self.held, self.skip, self.kind, self.level = Outline(), [], 0, "NarrativeText", 0
-        self.rows: list[list[str]] | None = None
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        self.held.clear()
-        if self.rows is not None:
-            if text and self.rows:
-                self.rows[-1].append(text)
-        elif text:
-            self.out.add(self.kind, text, self.level)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.flush()
-            self.skip += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.flush()
-            self.kind, self.level = "Title", int(tag[1])
-        elif tag in self.BLOCKS:
-            self.flush()
-            if tag == "table":
-                self.rows = []
-            elif tag == "tr" and self.rows is not None:
-                self.rows.append([])
-            elif self.BLOCKS[tag]:
-                self.kind, self.level = self.BLOCKS[tag], 0
-        elif tag == "br":
-            self.held.append(" ")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-            self.held.clear()
-        elif tag == "table" and self.rows is not None:
-            self.flush()
-            rows, self.rows = self.rows, None
-            self.out.add("Table", "\n".join(" | ".join(r) for r in rows if r))
-        elif re.fullmatch("h[1-6]", tag) or tag in self.BLOCKS:
-            self.flush()
-            if self.rows is None:
-                self.kind, self.level = "NarrativeText", 0
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.held.append(data)
-
-
-def html_outline(text: str) -> list[dict]:
-    """Headings, paragraphs, list items, code and tables of a page; scripts, styles and navigation are left out."""
-    p = _Html()
-    p.feed(text)
-    p.close()
-    p.flush()
-    return p.out.out
-
-
 def short_line_is_title(text: str) -> bool:
     return len(text) <= 40 and not text.endswith((".", "!", "?"))
 
@@ -186,14 +123,14 @@ def _walk_hwpx(node: ElementTree.Element, out: Outline) -> None:
             _walk_hwpx(child, out)
 
 
-OUTLINES: dict[str, Callable] = {"text/html": html_outline, "application/x-hwp": lambda t: lines_outline(t.splitlines())}
+OUTLINES: dict[str, Callable] = {"application/x-hwp": lambda t: lines_outline(t.splitlines())}
 
 
 def outlines(sources: DataFrame) -> DataFrame:
     """(source_id, document_id, ord, parts, error): what each source of any supported type holds, ord in the order of the rows.
 
-    Markdown is parsed by windows over its lines and plain text by expressions;
-    HTML and office files go through a Python function. A source that no parser
+    Markdown and HTML are parsed by windows over lines and tags, plain text by
+    expressions; office files go through a Python function. A source that no parser
     takes, or that its parser can't read, has an error and no parts; the batch
     goes on.
     """
@@ -216,18 +153,18 @@ def outlines(sources: DataFrame) -> DataFrame:
     doc = document_id(F.col("source_id"), F.col("media_type"), parser_of(F.col("media_type"))).alias("document_id")
     named = base.select("source_id", "media_type", doc, "ord", "text", "content")
     out = ["source_id", "document_id", "ord", "parts", "error"]
-    written = F.coalesce("media_type", F.lit("")).isin("text/markdown", "text/plain")
+    written = F.coalesce("media_type", F.lit("")).isin("text/markdown", "text/plain", "text/html")
     other = named.where(~written).withColumn("r", outline("media_type", "text", "content")).select("source_id", "document_id", "ord", "r.parts", "r.error")
     nothing = F.when(F.col("text").isNull(), "TypeError: no text").alias("error")
     paragraph = lambda t: F.struct(F.lit("NarrativeText").alias("type"), t.alias("text"), F.array().cast("array<string>").alias("section_path"), F.lit(0).alias("level"))
     plain = named.where("media_type = 'text/plain'").select("source_id", "document_id", "ord", F.transform(plain_paragraphs(F.col("text")), paragraph).cast(PARTS).alias("parts"), nothing)
-    marked = named.where("media_type = 'text/markdown'")
-    return other.select(out).unionByName(plain.select(out)).unionByName(_listed(marked).select(out))
+    marked, pages = (_listed(named.where(F.col("media_type") == kind), parts) for kind, parts in (("text/markdown", markdown_parts), ("text/html", html_parts)))
+    return other.select(out).unionByName(plain.select(out)).unionByName(marked.select(out)).unionByName(pages.select(out))
 
 
-def _listed(marked: DataFrame) -> DataFrame:
-    """outlines() of markdown sources: the parts of each in one array."""
-    parts = markdown_parts(marked.select(F.col("ord").alias("row"), "text"), "row", "text")
+def _listed(marked: DataFrame, parts_of: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """outlines() of sources that windows parse: the parts of each in one array."""
+    parts = parts_of(marked.select(F.col("ord").alias("row"), "text"), "row", "text")
     one = F.struct("ord", "type", "text", "section_path", "level")
     lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("l"))
     whole = marked.select("source_id", "document_id", "ord", F.col("text").isNull().alias("none")).join(lists, F.col("ord") == F.col("row"), "left")
@@ -247,15 +184,24 @@ def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements_of(done), done.where("error is not null").select("source_id", "error")
 
 
-def markdown_elements(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
-    """Elements of markdown texts, by windows alone; rows of one source_id are parsed one by one."""
+def _elements(sources: DataFrame, source_id: str, text: str, media_type: str, parser: str, parts_of: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     named = sources.select(F.col(source_id).cast("string").alias("source_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     key = F.struct("source_id", "row").alias("of")
-    doc = document_id(F.col("of.source_id"), F.lit("text/markdown"), F.lit("markdown"))
-    rows = markdown_parts(named.select(key, "text"), "of", "text").select(doc.alias("document_id"), F.col("of.source_id").alias("source_id"), "ord", "type", "text", "section_path", "level")
+    doc = document_id(F.col("of.source_id"), F.lit(media_type), F.lit(parser))
+    rows = parts_of(named.select(key, "text"), "of", "text").select(doc.alias("document_id"), F.col("of.source_id").alias("source_id"), "ord", "type", "text", "section_path", "level")
     return rows.withColumns({"element_id": stable_id(F.col("document_id"), F.col("ord"), F.col("type")), "start_page": F.lit(1), "end_page": F.lit(1)})
 
 
+def markdown_elements(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
+    """Elements of markdown texts, by windows alone; rows of one source_id are parsed one by one."""
+    return _elements(sources, source_id, text, "text/markdown", "markdown", markdown_parts)
+
+
+def html_elements(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
+    """Elements of pages, by windows alone; rows of one source_id are parsed one by one."""
+    return _elements(sources, source_id, text, "text/html", "html", html_parts)
+
+
 def titles(elements: DataFrame) -> DataFrame:
     """(document_id, title): the first heading of level one."""
     return elements.where("type = 'Title' and level = 1").groupBy("document_id").agg(F.min_by("text", "ord").alias("title"))
