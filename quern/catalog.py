@@ -826,7 +826,18 @@ def pipe_corrective(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.corrective(asked(spark, sf), _index(spark, sf)))
 
 
-@query()
+_SUBQUESTIONS = _decompose_sql().replace("conv_id, turn", "item_id").replace("FROM conversations", "FROM benchmark")
+
+
+@query(
+    f"""WITH {_INGESTED_BOTH.replace(_ASKED, f"parts AS (SELECT item_id, hop, question FROM ({_SUBQUESTIONS})), asked AS (SELECT item_id || '/' || hop AS query_id, question AS query FROM parts)")}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM both_hits GROUP BY ALL),
+    top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM f QUALIFY r <= 5),
+    once AS (SELECT item_id AS query_id, chunk_id, min({{'hop': hop, 'r': r}}) AS first FROM top JOIN parts ON query_id = item_id || '/' || hop GROUP BY ALL),
+    c AS (SELECT query_id, chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY query_id ORDER BY first, chunk_id) AS rank FROM once JOIN chunks USING (chunk_id)),
+    k AS (SELECT c.* FROM c JOIN (SELECT item_id AS query_id, count(*) AS n FROM parts GROUP BY item_id) USING (query_id) WHERE rank <= 5 * n),
+    a AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved, least(count(*), 3) AS n, string_agg('[' || rank || '] ' || CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 240)) || '…' END, chr(10) ORDER BY rank) FILTER (rank <= 3) AS lines FROM k GROUP BY query_id)
+    SELECT item_id AS query_id, CASE WHEN n > 0 THEN 'Based on ' || n || ' retrieved passage(s):' || chr(10) || lines ELSE '' END AS answer, coalesce(n, 0)::INTEGER AS n_citations, coalesce(retrieved, '') AS retrieved FROM benchmark LEFT JOIN a ON a.query_id = item_id"""
+)
 def pipe_decomposed(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(P.decomposed(asked(spark, sf), _index(spark, sf)))
 
