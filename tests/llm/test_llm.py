@@ -354,6 +354,17 @@ def test_url_filters(spark):
     assert urls.match_rules(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
 
 
+def test_url_filters_query_has_the_verdicts_of_the_contract(spark, tmp_path):
+    want = {
+        0: ("com", "/en/", "com/en/", "block"), 1: ("a.com", "/en/7", "com/en/", "block"), 2: ("www.example.com", "/en/71", "example.com/en/7", "allow"),
+        3: ("net", "/de/", "net/de/", "allow"), 4: ("example.net", "/de/9", "net/de/", "allow"), 5: ("a.net", "/de/8", "net/de/", "allow"),
+        6: ("b.example.net", "/de/8", "example.net/de/8", "block"), 7: ("x.org", "/es/1", "org/es/", "block"), 8: ("x.org", "/de/", None, "allow"),
+    }
+    rows = [(i, f"http://{host}{path}") for i, (host, path, _, _) in want.items()]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"]: tuple(r)[1:] for r in QUERIES["op7_url_filters"](spark, str(tmp_path)).collect()} == want
+
+
 def test_url_filters_with_many_rules(spark):
     rng = random.Random(6)
     labels, letters = ["com", "net", "a", "b", "c", "x1"], "ab/"
