@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.lazy import column_function
 from ..functions.text import BLANK, SENTENCE_END, blank_tokens, count_tokens, sentences, stable_id, words
@@ -42,36 +52,98 @@ def attribute(parts: Column, start: Column, end: Column) -> Column:
 
 
 def _finish(rows: DataFrame, strategy: str) -> DataFrame:
-    hit = attribute(F.col("parts"), F.col("char_start"), F.col("char_end"))
-    return rows.withColumn("hit", hit).select(
+    """Chunks of rows; those that have `hit`, the parts they overlap, and token_count already keep them."""
+    if "hit" not in rows.columns:
+        rows = rows.withColumns({"hit": attribute(F.col("parts"), F.col("char_start"), F.col("char_end")), "token_count": count_tokens(F.col("text"))})
+    return rows.select(
         "chunk_id", "document_id", "source_id", "text",
         F.struct(F.array_min(F.transform("hit", lambda p: p["start_page"])).alias("start_page"), F.array_max(F.transform("hit", lambda p: p["end_page"])).alias("end_page")).alias("page_span"),
         "section_path", F.transform("hit", lambda p: p["element_id"]).alias("element_ids"), "char_start", "char_end",
-        count_tokens(F.col("text")).alias("token_count"), F.lit(strategy).alias("chunk_strategy"), F.lit(VERSION).alias("chunk_version"),
+        "token_count", F.lit(strategy).alias("chunk_strategy"), F.lit(VERSION).alias("chunk_version"),
         F.lit(None).cast("string").alias("parent_chunk_id"), "context", "section_ord", "chunk_ord",
     )
 
 
-@column_function("array<struct<start:int,end:int>>")
-def _offsets(text: pd.Series) -> pd.Series:
-    import re
+#: Characters of windows that a task gathers before it hands them on.
+CHARS_AT_ONCE = 1 << 21
+
+
+def token_bounds(text: str, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens between white space begin and end; blank: whether a character below U+3001 is white space, and at last False for all others."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = np.zeros(len(codes) + 2, np.int8)
+    solid[1:-1] = ~blank[np.minimum(codes, len(blank) - 1)]
+    step = np.diff(solid)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-    token = re.compile(r"[^\s\x1c-\x1f\x85]+")
-    return text.map(lambda t: [{"start": m.start(), "end": m.end()} for m in token.finditer(t or "")])
+
+def token_windows(found: DataFrame, max_tokens: int, step: int) -> DataFrame:
+    """(document_id, section_ord, source_id, section_path, window, char_start, char_end, token_count, text, hit) of sections(); hit: the parts that a window overlaps.
+
+    A window's row holds its own text and parts only, never the section's, and a
+    task holds the windows of some texts: memory and work follow the length of
+    the texts, also of one long text.
+    """
+    part = lambda p: F.struct(*(p[c].alias(c) for c in ("element_id", "start", "end", "start_page", "end_page")))
+    parts = F.transform(F.filter("parts", lambda p: p["text"].isNotNull()), part)
+    rows = found.select(*SECTION, "source_id", "section_path", "text", parts.alias("hit"))
+    kept = [*SECTION, "source_id", "section_path"]
+    numbers = ["window", "char_start", "char_end", "token_count"]
+    kind = StructType([*(rows.schema[c] for c in kept), *(StructField(c, IntegerType()) for c in numbers), StructField("text", StringType()), rows.schema["hit"]])
+    arrow = to_arrow_schema(kind)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = np.array([chr(c).isspace() for c in range(0x3002)])
+        for batch in batches:
+            texts, listed = batch.column(4), batch.column(5)
+            offsets, flat = listed.offsets.to_numpy(), listed.values
+            starts, ends = (flat.field(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            own, cuts, text, near, chars = [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                at, bounds = pa.array(np.array(own, np.int64)), np.concatenate(cuts).T.astype(np.int32)
+                low, high = np.concatenate(near).T
+                sizes = high - low
+                places = np.concatenate([[0], np.cumsum(sizes)])
+                picked = np.repeat(low - places[:-1], sizes) + np.arange(places[-1])
+                hit = pa.ListArray.from_arrays(pa.array(places, pa.int32()), flat.take(pa.array(picked)))
+                columns = [*(batch.column(i).take(at) for i in range(4)), *map(pa.array, bounds), pa.array(text, pa.string()), hit]
+                return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+            for i in range(batch.num_rows):
+                whole = texts[i].as_py()
+                if whole is None:
+                    continue
+                begin, end = token_bounds(whole, blank)
+                if not len(begin):
+                    continue
+                n = 1 if len(begin) <= max_tokens else -(-(len(begin) - max_tokens) // step) + 1
+                first = np.arange(n) * step
+                last = np.minimum(first + max_tokens, len(begin))
+                s, e = begin[first], end[last - 1]
+                a, b = offsets[i], offsets[i + 1]
+                low, high = np.searchsorted(ends[a:b], s, "right") + a, np.searchsorted(starts[a:b], e, "left") + a
+                for x in range(0, n, 1024):
+                    run = slice(x, x + 1024)
+                    text += [whole[p:q] for p, q in zip(s[run].tolist(), e[run].tolist(), strict=True)]
+                    own += [i] * len(s[run])
+                    cuts.append(np.stack([np.arange(n)[run], s[run], e[run], (last - first)[run]], axis=1))
+                    near.append(np.stack([low[run], high[run]], axis=1))
+                    chars += int((e[run] - s[run]).sum())
+                    if chars >= CHARS_AT_ONCE:
+                        yield made()
+                        own, cuts, text, near, chars = [], [], [], [], 0
+            if own:
+                yield made()
+
+    return rows.mapInArrow(cut, kind)
 
 
 def heading_aware(elements: DataFrame, max_tokens: int = 180, overlap_tokens: int = 40) -> DataFrame:
     """Windows of max_tokens tokens that overlap, inside each section; the text is the exact substring."""
     if overlap_tokens >= max_tokens:
         raise ValueError("overlap must be less than max_tokens")
-    step = max_tokens - overlap_tokens
-    spans = sections(elements).withColumn("tok", _offsets("text")).where(F.size("tok") > 0)
-    n = F.when(F.size("tok") <= max_tokens, 1).otherwise(F.ceil((F.size("tok") - max_tokens) / step) + 1).cast("int")
-    rows = spans.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("window"))
-    first = F.element_at("tok", (F.col("window") * step + 1).cast("int"))["start"]
-    last = F.element_at("tok", F.least(F.size("tok"), F.col("window") * step + max_tokens).cast("int"))["end"]
-    cut = rows.withColumns({"char_start": first, "char_end": last}).withColumn("section", F.col("text"))
-    cut = cut.withColumn("text", F.substring("section", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    cut = token_windows(sections(elements), max_tokens, max_tokens - overlap_tokens)
     cut = cut.withColumn("chunk_id", stable_id(F.col("document_id"), F.lit("heading_aware"), F.lit(VERSION), F.array_join("section_path", "/"), F.col("window"), F.col("char_start")))
     return _finish(cut.withColumns({"context": F.lit(None).cast("string"), "chunk_ord": F.col("window")}), "heading_aware")
 
@@ -169,42 +241,48 @@ def semantic(elements: DataFrame, percentile: float = 90.0, max_tokens: int = 18
     return _finish(rows, "semantic")
 
 
+@lru_cache(maxsize=1 << 16)
+def _hashed_token(token: str) -> tuple[int, float]:
+    d = hashlib.sha1(token.encode()).digest()
+    return int.from_bytes(d[:4], "big"), 1.0 if d[4] & 1 else -1.0
+
+
 def hashed(text: str, dim: int = 256) -> dict[int, float]:
     """Unit vector of one text as the hash embedding gives it, for the sequential chunkers."""
-    import hashlib
-    import math
-    import re
-
     found: dict[int, float] = {}
     for token in re.findall(r"\w+", text.lower()):
-        d = hashlib.sha1(token.encode()).digest()
-        bucket = int.from_bytes(d[:4], "big") % dim
-        found[bucket] = found.get(bucket, 0.0) + (1.0 if d[4] & 1 else -1.0)
+        bucket, sign = _hashed_token(token)
+        bucket %= dim
+        found[bucket] = found.get(bucket, 0.0) + sign
     size = math.sqrt(sum(v * v for v in found.values()))
     return {b: v / size for b, v in found.items() if v} if size else {}
 
 
 def _cos(a: dict[int, float], b: dict[int, float]) -> float:
-    import math
-
     na, nb = (math.sqrt(sum(v * v for v in x.values())) for x in (a, b))
     return sum(v * b.get(k, 0.0) for k, v in a.items()) / (na * nb) if na and nb else 0.0
 
 
 def clusters(vectors: list[dict[int, float]], threshold: float) -> list[int]:
-    """Cluster of each vector: the nearest running mean above threshold, else a new one; in input order."""
-    means: list[tuple[dict[int, float], int]] = []
+    """Cluster of each vector: the nearest running mean above threshold, else a new one; in input order. Cosines are compared by 12 decimals."""
+    dim = 1 + max((k for v in vectors for k in v), default=0)
+    means, norms, sizes = np.zeros((16, dim)), np.zeros(16), []
     out = []
     for v in vectors:
-        sims = [_cos(v, m) for m, _ in means]
-        best = max(range(len(sims)), key=sims.__getitem__, default=-1)
+        x = np.zeros(dim)
+        x[list(v)] = list(v.values())
+        n = len(sizes)
+        both = norms[:n] * math.sqrt(x @ x)
+        sims = np.round(np.divide(means[:n] @ x, both, out=np.zeros(n), where=both > 0), 12)
+        best = int(sims.argmax()) if n else -1
         if best < 0 or sims[best] <= threshold:
-            best = len(means)
-            means.append((dict(v), 1))
-        else:
-            mean, n = means[best]
-            n += 1
-            means[best] = ({k: mean.get(k, 0.0) + (v.get(k, 0.0) - mean.get(k, 0.0)) / n for k in mean.keys() | v.keys()}, n)
+            best = n
+            sizes.append(0)
+            if n == len(means):
+                means, norms = np.concatenate([means, np.zeros_like(means)]), np.concatenate([norms, np.zeros_like(norms)])
+        sizes[best] += 1
+        means[best] += (x - means[best]) / sizes[best]
+        norms[best] = math.sqrt(means[best] @ means[best])
         out.append(best)
     return out
 
