@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import BLANK, blank_tokens
 from ..plans.tables import bucketed, drop_bucketed, written
-from .search import dense_search, ranked
+from .search import DECIMALS, dense_search, ranked
 
 
 def entities(text: Column, include_single: bool = True, least: int = 2) -> Column:
@@ -137,6 +141,119 @@ def retrieve(queries: DataFrame, mentions: DataFrame, edges: DataFrame, k: int,
     return ranked(hits.where("score > 0"), k).withColumn("components", F.create_map(F.lit("ppr"), F.col("score")))
 
 
+def mentions_of(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """The mentions of build(): (entity, chunk_id), each once."""
+    listed = chunks.select(F.col(key).alias("chunk_id"), entities(F.col(text)).alias("e")).dropDuplicates(["chunk_id"])
+    return listed.select(F.explode("e").alias("entity"), "chunk_id")
+
+
+def numbered(df: DataFrame, column: str, number: str) -> DataFrame:
+    """(column, number): the different values in their order, numbered from 0, as a table. Ranges of values are numbered side by side."""
+    held = written(df.select(column).distinct().repartitionByRange(column).select(column, F.spark_partition_id().alias("part")), "values")
+    begin, at = [], 0
+    for r in held.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        begin.append((r["part"], at))
+        at += r["n"]
+    first = df.sparkSession.createDataFrame(begin, "part int, first long")
+    order = Window.partitionBy("part").orderBy(column)
+    return written(held.join(F.broadcast(first), "part").select(column, (F.col("first") + F.row_number().over(order) - 1).cast("int").alias(number)), "numbered")
+
+
+class Mentions:
+    """Who is named where, as arrays: the walk over entities that are named together goes by way of the chunks, so that it needs a number for each mention and none for each pair.
+
+    chunk, node: numbers of a mention's chunk and entity. An edge weighs the
+    number of chunks that name both ends: a node gets from each of its chunks
+    what all that are named there give, but for itself.
+    """
+
+    #: Numbers that a task gathers at once, and that the ranks of the queries it walks for together may have.
+    GATHERED, HELD = 1 << 20, 1 << 22
+
+    def __init__(self, chunk: np.ndarray, node: np.ndarray) -> None:
+        self.n_chunks, self.n = (int(x.max()) + 1 if len(x) else 0 for x in (chunk, node))
+        order = np.lexsort((node, chunk))
+        self.chunk, self.node = chunk[order].astype(np.int32), node[order].astype(np.int32)
+        self.by_node = np.argsort(self.node, kind="stable").astype(np.int32)
+        self.chunk_first = np.searchsorted(self.chunk, np.arange(self.n_chunks + 1))
+        self.node_first = np.searchsorted(self.node[self.by_node], np.arange(self.n + 1))
+        total = np.bincount(self.node, weights=(np.diff(self.chunk_first) - 1)[self.chunk], minlength=self.n)
+        self.lone = total == 0
+        self.share = np.divide(1.0, total, out=np.zeros(self.n), where=total > 0)[:, None]
+
+    def _sums(self, first: np.ndarray, width: int, rows: Callable[[slice], np.ndarray]) -> np.ndarray:
+        """Sums of rows(mentions) over the runs that begin at `first`, none of which is empty."""
+        out = np.empty((len(first) - 1, width))
+        step, a = max(1, self.GATHERED // max(1, width)), 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + step, "right")) - 1)
+            if first[b] - first[a] <= step:
+                out[a:b] = np.add.reduceat(rows(slice(first[a], first[b])), first[a:b] - first[a], axis=0)
+            else:  # one long run
+                out[a] = sum(rows(slice(x, min(x + step, first[b]))).sum(axis=0) for x in range(first[a], first[b], step))
+            a = b
+        return out
+
+    def per_chunk(self, x: np.ndarray) -> np.ndarray:
+        return self._sums(self.chunk_first, x.shape[1], lambda s: x[self.node[s]])
+
+    def walk(self, seeds: list[np.ndarray], alpha: float, iterations: int, tolerance: float) -> np.ndarray:
+        """Ranks, a row for each node and a column for each query, after `iterations` rounds or once no rank moves by more than tolerance."""
+        back = np.zeros((self.n, len(seeds)))
+        for j, own in enumerate(seeds):
+            back[own, j] = 1.0 / len(own)
+        rank = back
+        for _ in range(iterations):
+            given = rank * self.share
+            met = self.per_chunk(given)
+            new = self._sums(self.node_first, len(seeds), lambda s: met[self.chunk[self.by_node[s]]] - given[self.node[self.by_node[s]]])
+            new += rank[self.lone].sum(axis=0) / self.n
+            new = (1 - alpha) * new + alpha * back
+            moved = np.abs(new - rank).max()
+            rank = new
+            if moved <= tolerance:
+                break
+        return rank
+
+
+def retrieve_mentioned(queries: DataFrame, mentions: DataFrame, k: int, alpha: float = 0.5, iterations: int = 50, tolerance: float = 1e-12) -> DataFrame:
+    """What retrieve() gives over the graph that build() makes of the same chunks, without its edges.
+
+    Mentions are numbered by Spark and go to every worker as two whole numbers
+    each; queries are dealt over the tasks, and a task walks for some queries at
+    once, so that its ranks stay within a bound.
+    """
+    if iterations < 1 or not 0 < alpha <= 1:
+        raise ValueError("iterations must be positive and alpha in (0, 1]")
+    spark = queries.sparkSession
+    mentions = written(mentions, "mentions")
+    nodes, chunks = numbered(mentions, "entity", "node"), numbered(mentions, "chunk_id", "chunk")
+    pairs = mentions.join(nodes, "entity").join(chunks, "chunk_id").select("chunk", "node").toArrow()
+    held = spark.sparkContext.broadcast(Mentions(*(pairs.column(c).to_numpy() for c in ("chunk", "node"))))
+    asked = queries.select("query_id", F.explode(entities(F.col("query"))).alias("entity")).join(nodes, "entity").groupBy("query_id").agg(F.sort_array(F.collect_set("node")).alias("seeds"))
+    kind = queries.schema["query_id"].dataType
+    found = pa.schema([("query_id", to_arrow_type(kind)), ("chunk", pa.int32()), ("score", pa.float64())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = held.value
+        some = max(1, Mentions.HELD // max(1, graph.n + graph.n_chunks))
+        for batch in batches:
+            for at in range(0, batch.num_rows, some):
+                b = batch.slice(at, some)
+                scores = graph.per_chunk(graph.walk([np.array(x) for x in b.column(1).to_pylist()], alpha, iterations, tolerance))
+                rows: list[tuple] = []
+                for j, name in enumerate(b.column(0).to_pylist()):
+                    near = np.round(scores[:, j], DECIMALS)
+                    at_least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -1.0
+                    top = np.flatnonzero((near >= at_least) & (scores[:, j] > 0))
+                    rows += [(name, int(c), float(scores[c, j])) for c in top[np.argsort(-near[top], kind="stable")[:k]]]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=found.names), preserve_index=False, schema=found)
+
+    dealt = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hits = dealt.mapInArrow(best, f"query_id {kind.simpleString()}, chunk int, score double")
+    return ranked(hits.join(chunks, "chunk").select("query_id", "chunk_id", "score"), k).withColumn("components", F.create_map(F.lit("ppr"), F.col("score")))
+
+
 def entities_of(text: str) -> list[str]:
     """The same entities for one text, for tests."""
     out: list[str] = []
