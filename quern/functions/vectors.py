@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,36 @@ def hash_embedding(df: DataFrame, key: str | list[str], text: str, dim: int = DE
     return raw.where("v <> 0").join(norm, keys).select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("w"))
 
 
-def token_hashes(text: Column, dim: int) -> Column:
-    """Of each word twice its bucket, and one more if its sign is positive."""
-    return F.transform(words(text), lambda t: hash_bucket(t, dim) * 2 + F.when(hash_sign(t) > 0, 1).otherwise(0))
+class WordHashes(dict):
+    """Of each word twice the number that its first four SHA-1 bytes are, and one more if the fifth is odd. At most MOST words are held."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        d = hashlib.sha1(word.encode("utf-8", "surrogatepass")).digest()
+        self[word] = code = int.from_bytes(d[:4], "big") << 1 | d[4] & 1
+        return code
+
+
+_HASHES = WordHashes()
+_WORDS = re.compile(r"\w+")
+
+
+def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """WordHashes of the words of lower-cased texts, one text after another, and each text's number of words. A worker hashes a word once."""
+    found = [_WORDS.findall(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum())), sizes
+
+
+def unit_rows(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, dim: int) -> pa.ListArray:
+    """n vectors of the sums of values by row and bucket, each divided by its norm; zeros stay."""
+    x = np.bincount(row * dim + bucket, weights=value, minlength=n * dim).reshape(n, dim)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.reshape(-1)))
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = DENSE_DIM) -> DataFrame:
@@ -53,19 +83,14 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = DENSE_DIM) ->
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                n, lists = b.num_rows, b.column(1)
-                codes = lists.flatten().to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-                x = np.bincount(row * dim + (codes >> 1), weights=np.where(codes & 1, 1.0, -1.0), minlength=n * dim).reshape(n, dim)
-                size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.reshape(-1)))
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                codes, sizes = word_codes(b.column(1).to_pylist())
+                vec = unit_rows(np.repeat(np.arange(b.num_rows), sizes), (codes >> 1) % dim, np.where(codes & 1, 1.0, -1.0), b.num_rows, dim)
                 yield pa.RecordBatch.from_arrays([b.column(0), vec], names=[key, "vec"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, token_hashes(F.col(text), dim).alias("codes")).mapInArrow(pack, f"`{key}` {kind}, vec array<double>")
+    return df.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(pack, f"`{key}` {kind}, vec array<double>")
 
 
 def dense(sparse: DataFrame, key: str, dim: int = DENSE_DIM) -> DataFrame:

@@ -84,7 +84,7 @@ def token_windows(found: DataFrame, max_tokens: int, step: int) -> DataFrame:
     task holds the windows of some texts: memory and work follow the length of
     the texts, also of one long text.
     """
-    part = lambda p: F.struct(*(p[c].alias(c) for c in ("element_id", "start", "end", "start_page", "end_page")))
+    part = lambda p: F.struct(F.length(p["text"]).alias("length"), *(p[c].alias(c) for c in ("element_id", "start_page", "end_page")))
     parts = F.transform(F.filter("parts", lambda p: p["text"].isNotNull()), part)
     rows = found.select(*SECTION, "source_id", "section_path", "text", parts.alias("hit"))
     kept = [*SECTION, "source_id", "section_path"]
@@ -97,7 +97,7 @@ def token_windows(found: DataFrame, max_tokens: int, step: int) -> DataFrame:
         for batch in batches:
             texts, listed = batch.column(4), batch.column(5)
             offsets, flat = listed.offsets.to_numpy(), listed.values
-            starts, ends = (flat.field(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            lengths = flat.field(0).to_numpy(zero_copy_only=False)
             own, cuts, text, near, chars = [], [], [], [], 0
 
             def made() -> pa.RecordBatch:
@@ -122,7 +122,8 @@ def token_windows(found: DataFrame, max_tokens: int, step: int) -> DataFrame:
                 last = np.minimum(first + max_tokens, len(begin))
                 s, e = begin[first], end[last - 1]
                 a, b = offsets[i], offsets[i + 1]
-                low, high = np.searchsorted(ends[a:b], s, "right") + a, np.searchsorted(starts[a:b], e, "left") + a
+                ends = np.cumsum(lengths[a:b] + 2, dtype=np.int64) - 2
+                low, high = np.searchsorted(ends, s, "right") + a, np.searchsorted(ends - lengths[a:b], e, "left") + a
                 for x in range(0, n, 1024):
                     run = slice(x, x + 1024)
                     text += [whole[p:q] for p, q in zip(s[run].tolist(), e[run].tolist(), strict=True)]
@@ -141,9 +142,14 @@ def token_windows(found: DataFrame, max_tokens: int, step: int) -> DataFrame:
 
 def heading_aware(elements: DataFrame, max_tokens: int = 180, overlap_tokens: int = 40) -> DataFrame:
     """Windows of max_tokens tokens that overlap, inside each section; the text is the exact substring."""
+    return heading_aware_sections(sections(elements), max_tokens, overlap_tokens)
+
+
+def heading_aware_sections(found: DataFrame, max_tokens: int = 180, overlap_tokens: int = 40) -> DataFrame:
+    """heading_aware() of sections(), or of what parsers.plain_sections() makes of plain texts."""
     if overlap_tokens >= max_tokens:
         raise ValueError("overlap must be less than max_tokens")
-    cut = token_windows(sections(elements), max_tokens, max_tokens - overlap_tokens)
+    cut = token_windows(found, max_tokens, max_tokens - overlap_tokens)
     cut = cut.withColumn("chunk_id", stable_id(F.col("document_id"), F.lit("heading_aware"), F.lit(VERSION), F.array_join("section_path", "/"), F.col("window"), F.col("char_start")))
     return _finish(cut.withColumns({"context": F.lit(None).cast("string"), "chunk_ord": F.col("window")}), "heading_aware")
 

@@ -71,7 +71,10 @@ class Settings:
 
 @dataclass
 class Index:
-    """Tables of one ingested batch: documents are all that could be parsed, jobs has the input's order in `ord`; the entity graph is made when it is first asked for."""
+    """Tables of one ingested batch: documents are all that could be parsed, jobs has the input's order in `ord`; the entity graph is made when it is first asked for.
+
+    model has the batch's counts, which sparse search reads, None for an index read from a store: there it reads the postings.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -79,6 +82,7 @@ class Index:
     jobs: DataFrame
     documents: DataFrame
     graph: tuple[DataFrame, DataFrame] | None = None
+    model: sparse.Bm25 | None = None
 
     def entity_graph(self) -> tuple[DataFrame, DataFrame]:
         """(mentions, edges) of the chunks."""
@@ -127,11 +131,15 @@ def chunk(elements: DataFrame, settings: Settings) -> DataFrame:
 
 
 def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> Index:
-    """Encode chunks; sources (source_id, document_id, ord, error) gives the jobs. Statistics are those of this batch; chunks, postings and vectors are written once and read by every search."""
-    held = written(chunks.withColumn("indexed", embedding_text(F.col("context"), F.col("text"))), "chunks")
-    model = sparse.fit(held, text="indexed")
-    postings = written(sparse.encode(held, model, text="indexed"), "postings")
-    vectors = written(chunk_vectors(held, "indexed", settings), "vectors")
+    """Encode chunks; sources (source_id, document_id, ord, error) gives the jobs. Statistics are those of this batch; chunks and their counts are written once and read by every search.
+
+    Postings are made of the counts where they are read, and so are plain hashed vectors, 256 numbers for each chunk; others are written.
+    """
+    held = written(chunks, "chunks", "zstd").withColumn("indexed", embedding_text(F.col("context"), F.col("text")))
+    model = sparse.fit(held, text="indexed", name="postings")
+    postings = sparse.encode(held, model, text="indexed")
+    plain = settings.embedder is None and settings.truncate is None and not settings.late_chunking and V.VOCABULARY % settings.dim == 0
+    vectors = sparse.dense_vectors(model, settings.dim) if plain else written(chunk_vectors(held, "indexed", settings), "vectors")
     sizes = held.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     good = F.col("error").isNull()
     jobs = sources.join(sizes, "document_id", "left").select(
@@ -139,7 +147,7 @@ def index_chunks(chunks: DataFrame, settings: Settings, sources: DataFrame) -> I
         F.when(good, F.col("document_id")).alias("document_id"), F.when(good, F.coalesce("chunk_count", F.lit(0))).otherwise(0).cast("long").alias("chunk_count"), "error", "ord",
     )
     documents = sources.where(good).select("document_id", "source_id").distinct()
-    return Index(held, postings, vectors, jobs, documents)
+    return Index(held, postings, vectors, jobs, documents, model=model)
 
 
 def parse(sources: DataFrame) -> DataFrame:
@@ -162,7 +170,11 @@ def ingest_plain(texts: DataFrame, id_col: str, text: str, settings: Settings |
     settings = settings or Settings()
     doc = parsers.document_id(F.col(id_col), F.lit("text/plain"), F.lit("markdown"))
     sources = texts.select(F.col(id_col).cast("string").alias("source_id"), doc.alias("document_id"), F.monotonically_increasing_id().alias("ord"), F.lit(None).cast("string").alias("error"))
-    return index_chunks(chunk(parsers.plain_elements(texts, id_col, text), settings), settings, sources)
+    if settings.chunk_strategy == "heading_aware" and not settings.contextual:
+        chunks = chunking.heading_aware_sections(parsers.plain_sections(texts, id_col, text), settings.max_tokens, settings.overlap_tokens)
+    else:
+        chunks = chunk(parsers.plain_elements(texts, id_col, text), settings)
+    return index_chunks(chunks, settings, sources)
 
 
 MODES = ("dense", "sparse", "hybrid", "max_sim", "graph")
@@ -184,7 +196,10 @@ def search_once(queries: DataFrame, index: Index, settings: Settings) -> DataFra
     k = search.PREFETCH if both else settings.top_k
     s = d = None
     if settings.mode != "dense":
-        s = search.sparse_search(sparse.encode_query(q, "query_id", "query"), index.postings, index.chunks, k)
+        if index.model is not None:
+            s = search.bm25_search(q, index.model, k)
+        else:
+            s = search.sparse_search(sparse.encode_query(q, "query_id", "query"), index.postings, index.chunks, k)
     if settings.mode != "sparse":
         asked = query_vectors(q, settings)
         d = search.quantised_search(asked, index.vectors, k, settings.rescore) if settings.quantised else search.dense_search(asked, index.vectors, k)

@@ -20,10 +20,10 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors. codec: of Parquet, the session's if None."""
     path = f"{folder(df.sparkSession)}/quern-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quern_path = path
     return back
