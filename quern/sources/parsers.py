@@ -60,14 +60,6 @@ def plain_elements(sources: DataFrame, source_id: str = "source_id", text: str =
     )
 
 
-def plain_sections(sources: DataFrame, source_id: str = "source_id", text: str = "text", media_type: str = "text/plain") -> DataFrame:
-    """chunking.sections() of plain_elements(), without an exchange: a plain text has one section. Of the parts no ranges. source_id must be a key."""
-    doc = document_id(F.col(source_id), F.lit(media_type), F.lit("markdown"))
-    rows = sources.select(F.col(source_id).cast("string").alias("source_id"), doc.alias("document_id"), plain_paragraphs(F.col(text)).alias("l")).where(F.size("l") > 0)
-    part = lambda t, i: F.struct(i.alias("ord"), stable_id(F.col("document_id"), i, F.lit("NarrativeText")).alias("element_id"), t.alias("text"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
-    return rows.select("document_id", "source_id", F.lit(0).cast("long").alias("section_ord"), F.array().cast("array<string>").alias("section_path"), F.transform("l", part).alias("parts"), F.array_join("l", "\n\n").alias("text"))
-
-
 class Outline:
     """Elements under a stack of headings."""
 
